@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from moiety.llm import ngram_join
+from moiety.llm import ngram_join, suffix_dedup
 
 QUERIES = {
+    "op6_suffix_array_dedup": suffix_dedup.op6,
     "op10_ngram_jaccard_join": ngram_join.op10,
 }
 ORACLES: dict[str, str] = {}
