@@ -222,3 +222,27 @@ def env_path(name: str) -> str:
     import public_tokenizers
 
     return os.fspath(public_tokenizers.path(name))
+
+
+# ---------------------------------------------------------------- sums of fixed-size tables
+
+def _sum_blocks(batches):
+    import pyarrow as pa
+
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, b in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
+            x = np.frombuffer(b.as_buffer(), np.int64)
+            total[k] = total[k] + x if k in total else x
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+
+
+def summed_table(rows: DataFrame, size: int, blocks: int) -> np.ndarray:
+    """Sum of tables of ``size`` int64 counters that tasks left as rows (block, counts, salt): salted first, so no task gets all."""
+    kind = "block int, counts binary"
+    first = rows.repartition("block", F.pmod("salt", F.lit(16))).select("block", "counts").mapInArrow(_sum_blocks, kind)
+    out = np.zeros(size, np.int64)
+    width = size // blocks
+    for r in first.repartition("block").mapInArrow(_sum_blocks, kind).collect():
+        out[r.block * width:(r.block + 1) * width] += np.frombuffer(r.counts, np.int64)
+    return out

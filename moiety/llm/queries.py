@@ -1,8 +1,10 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from moiety.llm import ngram_join, suffix_dedup
+from moiety.llm import ngram_join, packing, suffix_dedup, token_output
 
 QUERIES = {
+    "op5_best_fit_packing": packing.op5,
+    "op7_token_binary_output": token_output.op7,
     "op6_suffix_array_dedup": suffix_dedup.op6,
     "op10_ngram_jaccard_join": ngram_join.op10,
 }
