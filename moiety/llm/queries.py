@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from moiety.llm import ngram_join, packing, quality, suffix_dedup, token_output
+from moiety.llm import embedding_dedup, ngram_join, packing, quality, suffix_dedup, token_output
 
 QUERIES = {
+    "op1_embedding_near_dedup": embedding_dedup.op1,
     "op8_quality_classifier": quality.op8,
     "op5_best_fit_packing": packing.op5,
     "op7_token_binary_output": token_output.op7,
