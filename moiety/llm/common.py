@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import sys
 import tempfile
@@ -30,16 +31,22 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{root}/moiety-{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared scratch folder and read it back: lineage ends there."""
-    spark = df.sparkSession
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared scratch folder and read it back: lineage ends there.
+
+    ``free`` asks the driver to collect its garbage afterwards, so that large shuffles no longer needed leave the disks."""
+    spark, schema = df.sparkSession, df.schema
     root = scratch_root(spark)
     path = f"{root}/{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4").partitionBy(*partition_by).parquet(path)
+    df.write.option("compression", "lz4").parquet(path)
+    if free:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     if root not in _ROOTS:
         _ROOTS.add(root)
         atexit.register(release)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 _ROOTS: set[str] = set()
@@ -246,3 +253,52 @@ def summed_table(rows: DataFrame, size: int, blocks: int) -> np.ndarray:
     for r in first.repartition("block").mapInArrow(_sum_blocks, kind).collect():
         out[r.block * width:(r.block + 1) * width] += np.frombuffer(r.counts, np.int64)
     return out
+
+
+# ---------------------------------------------------------------- which rows to look at again
+
+BITS = 1 << 24  #: of the table below: 2 MB whatever the corpus
+
+
+def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        h = mix(ids.astype(np.int64).view(U) + U(0x9E3779B97F4A7C15))
+    return (h & U(BITS - 1)).astype(np.int64), ((h >> U(32)) & U(BITS - 1)).astype(np.int64)
+
+
+def _mark(batches):
+    import pyarrow as pa
+
+    marks, some = np.zeros(BITS, bool), 0
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        some += len(ids)
+        for at in _places(ids):
+            marks[at] = True
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(marks).tobytes()], pa.binary())], ["marks"])
+
+
+def _merge_marks(batches):
+    import pyarrow as pa
+
+    marks = np.zeros(BITS // 8, np.uint8)
+    for batch in batches:
+        for x in batch.column("marks"):
+            marks |= np.frombuffer(x.as_buffer(), np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([marks.tobytes()], pa.binary())], ["marks"])
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter (2 probes, BITS bits) of the single long column of ``ids``: rows it passes still have to be joined."""
+    marks = np.zeros(BITS // 8, np.uint8)
+    for r in ids.mapInArrow(_mark, "marks binary").repartition(8).mapInArrow(_merge_marks, "marks binary").collect():
+        marks |= np.frombuffer(bytes(r.marks), np.uint8)
+    return marks
+
+
+def passes(marks: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    out = np.ones(len(ids), bool)
+    for at in _places(ids):
+        out &= (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return out

@@ -30,13 +30,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moiety.llm import common as C
 
 LENGTH, TRIGGER = 50, 24
-SEGMENT = 1 << 20  #: windows looked at together
+SEGMENT = 1 << 18  #: windows looked at together
 U = np.uint64
 LOW = U((1 << 31) - 1)
 
@@ -113,6 +114,20 @@ def _binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
 
 
+def _planes(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Slices as binary, each as differences with all lowest bytes first, then the next: what a compressor likes."""
+    out = []
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        d = np.diff(x[a:b], prepend=np.zeros(1, x.dtype))
+        out.append(d.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    return pa.array(out, pa.binary())
+
+
+def _unplane(raw, kind) -> np.ndarray:
+    raw = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.cumsum(np.ascontiguousarray(raw.T).reshape(-1).view(kind), dtype=kind)
+
+
 def _by_row(doc, tag, *flat):
     """Packs arrays by (doc, tag): keys and one binary column for each array."""
     order = np.lexsort((tag, doc))
@@ -144,7 +159,7 @@ def _parse(batches, n_buckets):
             rows = [memoryview(x.as_buffer()) if x.is_valid else b"" for x in batch.column("text")]
             lots, held = [], 0
 
-            def flush(lots=lots, ids=ids, tags=tags):
+            def flush(lots, ids, tags):
                 row, place, more, trigger, phrase = map(np.concatenate, zip(*lots, strict=True))
                 lots.clear()
                 doc, tag = ids[row], tags[row]
@@ -162,18 +177,18 @@ def _parse(batches, n_buckets):
                 bucket = np.sort(bucket, kind="stable")
                 edges = np.flatnonzero(np.diff(bucket, prepend=-1))
                 ends = np.append(edges, len(order))
-                cols = [(trigger[order] & U(0xFFFFFFFFFF)).view(np.uint8).reshape(-1, 8)[:, :5].reshape(-1), (phrase[order] & U(0xFFFFFFFF)).astype(np.uint32), doc[order], tag[order], place[order].astype(np.uint32), more[order].astype(np.uint8)]
-                packed = [_binary(x, ends * (5 if k == 0 else 1)) for k, x in enumerate(cols)]
+                five = (trigger[order] & U(0xFFFFFFFFFF)).view(np.uint8).reshape(-1, 8)[:, :5].reshape(-1)
+                packed = [_binary(five, ends * 5), _binary((phrase[order] & U(0xFFFFFFFF)).astype(np.uint32), ends), _planes(doc[order], ends), _planes(tag[order], ends), _planes(place[order].astype(np.uint32), ends), _binary(more[order].astype(np.uint8), ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[edges], pa.int32()), *packed, pa.nulls(len(edges), pa.int64()), pa.nulls(len(edges), pa.int64()), pa.nulls(len(edges), pa.binary())], _NAMES)
 
             for lot in phrases(rows):
                 lots.append(lot)
                 held += len(lot[0])
-                if held > 2_000_000:
-                    yield from flush()
+                if held > 800_000:
+                    yield from flush(lots, ids, tags)
                     held = 0
             if lots:
-                yield from flush()
+                yield from flush(lots, ids, tags)
 
 
 def _gather(batches, kinds):
@@ -189,7 +204,19 @@ _FOUND = "doc_id long, row_tag long, gone binary, asked binary, trigger binary"
 
 def _sort_parse(batches):
     """Ranges that an earlier document has; phrases whose strings the dictionary has to settle."""
-    five, phrase, doc, tag, place, more = _gather(batches, {"trigger": np.uint8, "phrase": np.uint32, "doc": np.int64, "tag": np.int64, "place": np.uint32, "more": np.uint8})
+    kinds = {"trigger": np.uint8, "phrase": np.uint32, "doc": np.int64, "tag": np.int64, "place": np.uint32, "more": np.uint8}
+    got = {k: [] for k in kinds}
+    for batch in batches:
+        ready = batch.column("bucket").is_null()
+        if batch.num_rows > ready.true_count:
+            rest = batch.filter(pc.invert(ready))
+            for k, kind in kinds.items():
+                read = _unplane if k in ("doc", "tag", "place") else np.frombuffer
+                got[k] += [read(x.as_buffer(), kind) for x in rest.column(k)]
+        if ready.true_count:  # found within a batch already
+            batch = batch.filter(ready)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "row_tag", "gone")] + [pa.nulls(batch.num_rows, pa.binary())] * 2, ["doc_id", "row_tag", "gone", "asked", "trigger"])
+    five, phrase, doc, tag, place, more = (np.concatenate(got.pop(k)) if got[k] else np.zeros(0, kind) for k, kind in kinds.items())
     if not len(phrase):
         return
     trigger = np.zeros((len(phrase), 8), np.uint8)
@@ -315,27 +342,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, row_tag (hash of the text), n_bytes, n_removed, n_spans, kept_sha256, kept (remaining bytes; null: all are kept, or none if n_removed is n_bytes)."""
     spark = docs.sparkSession
     n = C.partitions(spark)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.xxhash64("text").alias("tag"))
-    info = rows.select("doc_id", F.col("tag").alias("row_tag"), F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    info = C.cut(info)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.xxhash64("text").alias("row_tag"))
+    info = C.cut(rows.select("doc_id", "row_tag", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
     firsts = info.groupBy("sha").agg(F.min("doc_id").alias("first"))
     tagged = C.cut(info.join(firsts, "sha"))
     originals = tagged.where(F.col("doc_id") == F.col("first"))
-    parsed = C.cut(rows.mapInArrow(lambda it: _parse(it, 4 * n), _PARSED).repartition(4 * n, "bucket"))
-    return _finish(rows, tagged, originals, parsed, n, length)
-
-
-def _finish(rows, tagged, originals, parsed, n, length):
-    entries = parsed.where("bucket is not null").select(*_NAMES[:7])
-    found = C.cut(entries.repartition(4 * n, "bucket").mapInArrow(_sort_parse, _FOUND))
+    # entries name a row by doc_id alone, unless a doc_id has several texts
+    several = bool(info.groupBy("doc_id").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a <> b").head(1))
+    keyed = rows if several else rows.withColumn("row_tag", F.lit(0).cast("long"))
+    if not several:
+        tagged, originals = (x.withColumn("row_tag", F.lit(0).cast("long")) for x in (tagged, originals))
+    buckets = 2 * n
+    parsed = keyed.withColumnRenamed("row_tag", "tag").mapInArrow(lambda it: _parse(it, buckets), _PARSED)
+    found = C.cut(parsed.repartition(buckets, F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))).mapInArrow(_sort_parse, _FOUND), free=True)
     alone = originals.select("doc_id", "row_tag").distinct()
-    gone = parsed.where("bucket is null").select("doc_id", "row_tag", "gone").unionAll(found.where("gone is not null").select("doc_id", "row_tag", "gone"))
+    gone = found.where("gone is not null").select("doc_id", "row_tag", "gone")
     asked = found.where("asked is not null").groupBy("doc_id", "row_tag").agg(F.collect_list("asked").alias("asked"), F.collect_list("trigger").alias("triggers"))
-    texts = rows.withColumnRenamed("tag", "row_tag")
-    settled = texts.join(asked, ["doc_id", "row_tag"]).mapInArrow(lambda it: _fetch(it, 4 * n, length), "bucket int, doc binary, tag binary, place binary, more binary, trigger binary, bytes binary")
-    settled = C.cut(settled.repartition(4 * n, "bucket").mapInArrow(lambda it: _dictionary(it, length), "doc_id long, row_tag long, gone binary"))
+    settled = keyed.join(asked, ["doc_id", "row_tag"]).mapInArrow(lambda it: _fetch(it, 4 * n, length), "bucket int, doc binary, tag binary, place binary, more binary, trigger binary, bytes binary")
+    settled = C.cut(settled.repartition(4 * n, "bucket").mapInArrow(lambda it: _dictionary(it, length), "doc_id long, row_tag long, gone binary"), free=True)
     ranges = gone.unionAll(settled).join(alone, ["doc_id", "row_tag"], "left_semi").groupBy("doc_id", "row_tag").agg(F.collect_list("gone").alias("gone"))
-    laid = texts.join(ranges, ["doc_id", "row_tag"]).mapInArrow(lambda it: _lay(it, length), "doc_id long, row_tag long, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["doc_id", "row_tag"])
+    laid = keyed.join(ranges, ["doc_id", "row_tag"]).mapInArrow(lambda it: _lay(it, length), "doc_id long, row_tag long, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["doc_id", "row_tag"])
     copy, long = F.col("doc_id") > F.col("first"), F.col("n_bytes") >= length
     return tagged.join(laid, ["doc_id", "row_tag"], "left").select(
         "doc_id", "row_tag", "n_bytes",
