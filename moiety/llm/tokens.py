@@ -12,7 +12,7 @@ import numpy as np
 
 from moiety.llm import common as C
 
-MOST_WORDS, MOST_IDS = 400_000, 4_000_000  #: of a worker's table, which is emptied beyond
+MOST_WORDS, MOST_IDS = 800_000, 8_000_000  #: of a worker's table, which keeps only words met again beyond
 
 
 class _Index(dict):
@@ -37,22 +37,33 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        # a special token's text between words keeps their ids apart in one call
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.mark, self.mark_id = min(special) if special else (None, -1)
         self._empty()
 
     def _empty(self):
         self.index, self.pool, self.used = _Index(), np.zeros(1 << 16, np.uint32), 0
-        self.at, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.at, self.n, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
+
+    def _shrink(self):
+        """Forgets the words met once."""
+        total = len(self.index)
+        keep = np.flatnonzero(self.met[:total] > 1)
+        if len(keep) > MOST_WORDS // 2:
+            return self._empty()
+        words = list(self.index)
+        old, at, n = self.pool, self.at, self.n
+        self._empty()
+        for k in keep.tolist():
+            self.index[words[k]] = len(self.index)
+        flat = old[np.repeat(at[keep] - (np.cumsum(n[keep]) - n[keep]), n[keep]) + np.arange(int(n[keep].sum()))]
+        self._store(flat, n[keep], 0)
 
-    def _learn(self):
-        words, self.index.new = self.index.new, []
-        if not words:
-            return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))
-        total, first = len(self.index), len(self.index) - len(words)
+    def _store(self, flat, n, first):
+        total = first + len(n)
         while total > len(self.at):
-            self.at, self.n = np.append(self.at, np.zeros_like(self.at)), np.append(self.n, np.zeros_like(self.n))
+            self.at, self.n, self.met = (np.append(x, np.zeros_like(x)) for x in (self.at, self.n, self.met))
         while self.used + len(flat) > len(self.pool):
             self.pool = np.append(self.pool, np.zeros_like(self.pool))
         self.pool[self.used:self.used + len(flat)] = flat
@@ -60,13 +71,31 @@ class WordEncoder:
         self.at[first:total] = self.used + np.cumsum(n) - n
         self.used += len(flat)
 
+    def _ask(self, words: list[bytes], per: int = 1000):
+        """Ids of all words, and how many each has."""
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        call = self.tokenizer.encode_batch_fast
+        if self.mark is None or any("<|" in w for w in texts):
+            ids = [np.array(e.ids, np.uint32) for e in call(texts, add_special_tokens=False)]
+            return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in call([self.mark.join(["", *texts[i:i + per]]) for i in range(0, len(texts), per)], add_special_tokens=False)])
+        marks = np.flatnonzero(flat == self.mark_id)
+        return flat[flat != self.mark_id], np.diff(np.append(marks, len(flat))) - 1
+
+    def _learn(self):
+        words, self.index.new = self.index.new, []
+        if words:
+            flat, n = self._ask(words)
+            self._store(flat, n, len(self.index) - len(words))
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > MOST_WORDS or self.used > MOST_IDS:
-            self._empty()
+            self._shrink()
         found = [np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)) for words in map(bytes.split, texts)]
         self._learn()
         words = np.concatenate(found) if found else np.zeros(0, np.int64)
         n = self.n[words]
+        self.met[:len(self.index)] += np.bincount(words, minlength=len(self.index))
         flat = self.pool[np.repeat(self.at[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         ends = np.concatenate([[0], np.cumsum(n)])
         count = np.cumsum([len(x) for x in found])
