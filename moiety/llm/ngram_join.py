@@ -10,10 +10,12 @@ costs more postings, and cuts the pairs that reach verification, which is estima
 
 Equal sets are joined first and one of each goes on, so thousands of copies cost no pairs.  Posting lists of up to
 ``long_list`` documents give all their pairs, which are counted; pairs with too few shared prefix shingles are
-dropped and the others verified exactly.  A longer list first has all its documents verified against one leader of
-the list (a star), several rounds over; when the components so found are known, it gives only the pairs that join
-different components.  No pair of one component has to be compared, since only components are asked for: no link
-that joins two components is lost, and no group's pairs are all emitted.
+dropped and the others verified exactly.  In longer lists each document is first verified against a leader of one of
+its lists, several rounds over.  Lists whose documents are then one component are done: no pair inside a component has
+to be compared, since only components are asked for.  Lists left with up to ``block_list`` documents give the pairs that
+join different components, counted like the others.  Documents of still longer lists are compared in blocks, as matrix
+products: those outside their group's largest component with all of the group.  So no link that joins two components is
+lost, and no large group's pairs are emitted as rows.
 
 Defined results: null or empty text, or white space only: an empty set, in a component of its own.  Documents with
 fewer than 5 words: their whole sequence is one shingle.  Rows that repeat a doc_id are one document if their sets are
@@ -37,7 +39,7 @@ MOST = 8  #: longest l that a document may choose
 U = np.uint64
 
 
-def _profile(batches, whole_sets=False):
+def _profile(batches):
     """Rows of documents: id, set size, a 128-bit digest of the set; at the end, the partition's shingle counts in 64 blocks."""
     counts, part = np.zeros(SLOTS, np.int64), 0
     with np.errstate(over="ignore"):
@@ -60,28 +62,6 @@ def _profile(batches, whole_sets=False):
         yield pa.RecordBatch.from_arrays([pa.nulls(64, pa.int64()), some, pa.nulls(64, pa.int64()), pa.nulls(64, pa.int64()), pa.array(range(64), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "block", "counts"])
 
 
-def _sum_blocks(batches):
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, b in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
-            x = np.frombuffer(b.as_buffer(), np.int64)
-            total[k] = total[k] + x if k in total else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
-
-
-def _count_table(profile: DataFrame) -> np.ndarray:
-    """All documents' shingle counts: 2^20 counters whatever the corpus, summed in two levels."""
-    kind = "block int, counts binary"
-    rows = profile.where("block is not null")
-    first = rows.repartition("block", F.pmod("n_shingles", F.lit(16))).select("block", "counts").mapInArrow(_sum_blocks, kind)
-    last = first.repartition("block").mapInArrow(_sum_blocks, kind).collect()
-    table = np.zeros(SLOTS, np.int64)
-    for r in last:
-        size = SLOTS // 64
-        table[r.block * size:(r.block + 1) * size] += np.frombuffer(r.counts, np.int64)
-    return table
-
-
 def choose_prefix(costs: np.ndarray, size: int, t: float, most: int = MOST, per_posting: float = 1.0, per_pair: float = 0.02) -> tuple[int, int]:
     """(l, prefix length) of a set whose shingles, in the global order, have these estimated posting-list lengths.
 
@@ -193,15 +173,25 @@ def _match(batches, t, long_list):
         yield pa.RecordBatch.from_arrays([pa.array(lo[k]), pa.array(hi[k]), pa.array(n[k].astype(np.int32)), pa.array(need[k].astype(np.int32)), *nulls(len(lo[k]), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())], names)
 
 
-def _sets(batches):
+def _sets(batches, marks):
     with np.errstate(over="ignore"):
         for batch in batches:
+            ids = batch.column("doc_id")
+            batch = batch.filter(pa.array(C.passes(marks.value, ids.to_numpy(zero_copy_only=False))))
             data, offsets = C.column_bytes(batch.column("text"))
             ids = batch.column("doc_id")
             for i, j in C.text_slices(offsets, SLICE):
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([s.tobytes() for s in C.shingle_sets(data, offsets[i:j + 1])], pa.binary())], ["id", "s"])
 
 
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, s): shingle sets, from their whole texts, of the documents in ``ids`` (one column); no text is shuffled."""
+    ids = C.cut(ids.distinct())
+    marks = docs.sparkSession.sparkContext.broadcast(C.id_filter(ids))
+    sets = docs.where("doc_id is not null").mapInArrow(lambda it: _sets(it, marks), "id long, s binary")
+    return C.cut(sets.join(ids.toDF("id"), "id", "left_semi"))
+
+
 def _verify(batches, percent):
     for batch in batches:
         keep = []
@@ -217,64 +207,147 @@ def _verify(batches, percent):
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct candidate ``pairs`` (a, b) whose sets are similar enough, from their whole texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = C.cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, s binary"))
+    sets = sets_of(docs, pairs.select("a").unionAll(pairs.select("b")))
     wide = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return wide.mapInArrow(lambda it: _verify(it, percent), "a long, b long")
 
 
-def similarity_components(docs: DataFrame, percent: int = 75, long_list: int = 32, rounds: int = 3) -> DataFrame:
+def _block_links(batch, percent):
+    """Links of a block: its stragglers against its documents; for each straggler one link to each component it meets."""
+    none = pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], ["a", "b"])
+    doc, comp, first = (batch.column(c).to_numpy() for c in ("doc", "c", "straggler"))
+    sets = [np.frombuffer(x.as_buffer(), U) for x in batch.column("s")]
+    x, y = np.flatnonzero(first), np.flatnonzero(~first)
+    if not len(x) or not len(y):
+        return none
+    size = np.array([len(s) for s in sets], np.int64)
+    of = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat := np.concatenate(sets), kind="stable")
+    new = np.diff(flat[order], prepend=flat[order[:1]] - U(1)) != 0
+    token = np.empty(len(flat), np.int64)
+    token[order] = np.cumsum(new) - 1
+    repeated = np.bincount(token)[token] > 1
+    of, token = of[repeated], np.unique(token[repeated], return_inverse=True)[1]
+    same = np.zeros((len(x), len(y)), np.float32)
+    order = np.argsort(token, kind="stable")
+    of, token = of[order], token[order]
+    for a in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
+        i, j = np.searchsorted(token, [a, a + 4096])
+        dense = np.zeros((len(sets), 4096), np.float32)
+        dense[of[i:j], token[i:j] - a] = 1
+        same += dense[x] @ dense[y].T
+    both = size[x][:, None] + size[y][None, :] - same
+    i, j = np.nonzero((100 * same >= percent * both) & (same > 0) & (comp[x][:, None] != comp[y][None, :]))
+    if not len(i):
+        return none
+    keep = np.unique(np.stack([i, comp[y[j]]]), axis=1, return_index=True)[1]
+    return pa.Table.from_arrays([pa.array(doc[x[i[keep]]]), pa.array(doc[y[j[keep]]])], ["a", "b"])
+
+
+def _pairs_in_lists(batches, percent):
+    """Pairs of different components in the lists of this partition, and how many lists have them; a list is in one partition."""
+    got = [batch for batch in batches if batch.num_rows]
+    if not got:
+        return
+    table = pa.Table.from_batches(got)
+    token, doc, c, size, l = (table.column(k).to_numpy() for k in ("token", "doc", "c", "size", "l"))
+    order = np.lexsort((doc, token))
+    token, doc, c, size, l = (x[order] for x in (token, doc, c, size, l))
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    lengths = np.diff(np.append(starts, len(token)))
+    xs, ys = [], []
+    for k in np.unique(lengths[lengths > 1]).tolist():
+        for some in np.array_split(at := starts[lengths == k], max(1, len(at) * k * k // 4_000_000)):
+            x, y = _list_pairs(some, k)
+            fits = (np.minimum(size[x], size[y]).astype(np.int64) * 100 >= percent * np.maximum(size[x], size[y]).astype(np.int64)) & (c[x] != c[y])
+            xs.append(x[fits])
+            ys.append(y[fits])
+    x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (xs, ys))
+    lo, hi, n, need = _unique_pairs(doc[x], doc[y], np.minimum(l[x], l[y]))
+    for i in range(0, len(lo), 65536):
+        k = slice(i, i + 65536)
+        yield pa.RecordBatch.from_arrays([pa.array(lo[k]), pa.array(hi[k]), pa.array(n[k].astype(np.int32)), pa.array(need[k].astype(np.int32))], ["a", "b", "n", "l"])
+
+
+def _within(docs: DataFrame, rest: DataFrame, met: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of different components that share enough prefix shingles, all of them in lists of moderate length.
+
+    Lists go to tasks by their smallest document, so that the lists of one group of documents are mostly counted together."""
+    lead = rest.groupBy("token").agg(F.min("doc").alias("lead"))
+    pairs = rest.join(lead, "token").select("token", "doc", "c", "size", "l", "lead").repartition("lead")
+    pairs = pairs.drop("lead").mapInArrow(lambda it: _pairs_in_lists(it, percent), "a long, b long, n int, l int").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("l").alias("l"))
+    cold = met.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("m"))
+    enough = pairs.join(cold, ["a", "b"], "left").where("n + coalesce(m, 0) >= l").select("a", "b").join(tried, ["a", "b"], "left_anti")
+    return verified(docs, C.cut(enough), percent)
+
+
+def _across(docs: DataFrame, rest: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between documents of different components that share a very long list (token, doc, c of ``rest``).
+
+    Documents joined by such lists form groups.  In a group only the documents outside its largest component (the
+    stragglers) have anything left to be compared with; they are, with all of the group, in blocks of about ``block``
+    shingles a side, each compared as one matrix product.  Rows grow with the blocks and not with the pairs."""
+    leader = rest.groupBy("token").agg(F.min("doc").alias("lead"))
+    groups = C.connected_components(rest.join(leader, "token").select(F.col("doc").alias("a"), F.col("lead").alias("b")))
+    members = C.cut(rest.groupBy("doc").agg(F.min("c").alias("c"), F.max("size").alias("size")).join(groups.withColumnRenamed("id", "doc"), "doc"))
+    per = members.groupBy("component", "c").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+    major = per.groupBy("component").agg(F.max(F.struct("n", "c", "w")).alias("m"), F.sum("w").alias("all"))
+    major = major.where("all > m.w").select("component", F.col("m.c").alias("major"), F.ceil(F.col("all") / block).cast("int").alias("nb"), F.ceil((F.col("all") - F.col("m.w")) / block).cast("int").alias("ns"))
+    named = members.join(major, "component")
+    own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    out = ("component", "doc", "c")
+    whole = named.select(*out, F.lit(False).alias("straggler"), own("nb").alias("y"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("x"))
+    late = named.where("c <> major").select(*out, F.lit(True).alias("straggler"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("y"), own("ns").alias("x"))
+    sets = sets_of(docs, named.select("doc")).withColumnRenamed("id", "doc")
+    blocks = whole.unionByName(late).join(sets, "doc")
+    return blocks.groupBy("component", "x", "y").applyInArrow(lambda t: _block_links(t.combine_chunks(), percent), "a long, b long")
+
+
+def similarity_components(docs: DataFrame, percent: int = 75, long_list: int = 8, block_list: int = 64, rounds: int = 2, block: int = 100_000) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id that its links reach)."""
     spark, t = docs.sparkSession, percent / 100
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     profile = C.cut(docs.mapInArrow(_profile, "doc_id long, n_shingles long, d1 long, d2 long, block int, counts binary"))
-    counts = _count_table(profile)
+    counts = C.summed_table(profile.where("block is not null").select("block", "counts", F.col("n_shingles").alias("salt")), SLOTS, 64)
     shown = profile.where("block is null").select("doc_id", "n_shingles", "d1", "d2")
     full = shown.where("n_shingles > 0")
-    chosen = C.cut(full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    chosen = C.cut(full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")))
     one_each = docs.join(chosen.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     total = int(counts.sum())
     n_buckets = max(C.partitions(spark), total // 4_000_000, 1)
     table, noise = spark.sparkContext.broadcast(counts), total / SLOTS  # 8 MB whatever the corpus
     packed = one_each.mapInArrow(lambda it: _postings(it, table.value, noise, n_buckets, t), "bucket int, token binary, doc binary, size binary, l binary, place binary")
-    met = C.cut(packed.repartition(n_buckets, "bucket").mapInArrow(lambda it: _match(it, t, long_list), _MATCHES))
-    short = met.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("l").alias("l")).where("n >= l").select("a", "b")
-    hot = met.where("a is null").select("token", "doc", "size", F.col("dl").alias("l"), "place")
+    met = C.cut(packed.repartition(n_buckets, "bucket").mapInArrow(lambda it: _match(it, t, long_list), _MATCHES), free=True)
+    short = C.cut(met.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("l").alias("l")).where("n >= l").select("a", "b"))
     links = C.cut(verified(docs, short, percent))
-    components, left = None, hot
-    many = hot.agg(F.count("*")).first()[0]
-    tried = None
-    for k in range(rounds if many else 0):
+    left = met.where("a is null").select("token", "doc", "size", F.col("dl").alias("l"), "place")
+    tried = short
+    for k in range(rounds + 1):
         components = C.connected_components(links)
-        named = left.join(components.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
+        named = left.join(components.withColumnRenamed("id", "doc"), "doc", "left").select(*left.columns, F.coalesce("component", "doc").alias("c"))
         # lists that still join different components; the leader has few rarer shingles before this one
         spread = named.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min(F.struct("place", F.xxhash64("doc", F.lit(k)), "doc", "c", "size")).alias("first")).where("c1 <> c2").select("token", "first")
-        open_ = named.join(spread, "token")
-        left = C.cut(open_.select("token", "doc", "size", "l", "place"))
-        size_ok = F.least("size", "first.size") * 100 >= percent * F.greatest("size", "first.size")
-        stars = open_.where((F.col("c") != F.col("first.c")) & size_ok).select(F.least("doc", "first.doc").alias("a"), F.greatest("doc", "first.doc").alias("b")).distinct()
-        if tried is not None:
-            stars = stars.join(tried, ["a", "b"], "left_anti")
-        stars = C.cut(stars)
-        tried = stars if tried is None else tried.unionAll(stars)
-        if not stars.head(1):
+        open_ = C.cut(named.join(spread, "token"))
+        if not open_.head(1):
             break
+        if k == rounds:
+            tokens = open_.groupBy("token").agg(F.count("*").alias("n"))
+            sized = C.cut(open_.select("token", "doc", "c", "size", "l").join(tokens, "token"))
+            mid, long = sized.where(F.col("n") <= block_list), sized.where(F.col("n") > block_list)
+            links = links.unionAll(_within(docs, mid, met, tried, percent))
+            if long.head(1):
+                links = links.unionAll(_across(docs, long, percent, block))
+            links = C.cut(links)
+            break
+        left = open_.select("token", "doc", "size", "l", "place")
+        near = open_.where((F.col("c") != F.col("first.c")) & (F.least("size", "first.size") * 100 >= percent * F.greatest("size", "first.size")))
+        stars = near.groupBy("doc").agg(F.min(F.struct("place", F.xxhash64("token", F.lit(k)), F.col("first.doc").alias("leader"))).alias("x"))
+        stars = stars.select(F.least("doc", "x.leader").alias("a"), F.greatest("doc", "x.leader").alias("b")).distinct()
+        stars = C.cut(stars.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionAll(stars)
         links = C.cut(links.unionAll(verified(docs, stars, percent)))
-    if many:
-        components = C.connected_components(links)
-        rest = hot.join(left.select("token").distinct(), "token", "left_semi") if left is not hot else hot
-        rest = rest.join(components.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
-        wide = rest.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("token")
-        rest = C.cut(rest.join(wide, "token", "left_semi"))
-        if rest.head(1):
-            x, y = rest.select("token", *(F.col(n).alias(f"x{n}") for n in ("doc", "c", "size", "l"))), rest.select("token", *(F.col(n).alias(f"y{n}") for n in ("doc", "c", "size", "l")))
-            near = (F.col("xdoc") < F.col("ydoc")) & (F.col("xc") != F.col("yc")) & (F.least("xsize", "ysize") * 100 >= percent * F.greatest("xsize", "ysize"))
-            more = x.join(y, "token").where(near).groupBy(F.col("xdoc").alias("a"), F.col("ydoc").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("xl", "yl")).alias("l"))
-            cold = met.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("m"))
-            more = more.join(cold, ["a", "b"], "left").where("n + coalesce(m, 0) >= l").select("a", "b")
-            links = C.cut(links.unionAll(verified(docs, C.cut(more), percent)))
     groups = C.connected_components(links)
-    found = chosen.where("copies > 0").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+    found = chosen.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     linked = full.join(found, ["n_shingles", "d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     return linked.unionAll(shown.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 

@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from moiety.llm import embedding_dedup, ngram_join, packing, quality, suffix_dedup, token_output
+from moiety.llm import embedding_dedup, line_dedup, ngram_join, packing, quality, suffix_dedup, token_output
 
 QUERIES = {
+    "op4_line_dedup": line_dedup.op4,
     "op1_embedding_near_dedup": embedding_dedup.op1,
     "op8_quality_classifier": quality.op8,
     "op5_best_fit_packing": packing.op5,
@@ -10,4 +11,6 @@ QUERIES = {
     "op6_suffix_array_dedup": suffix_dedup.op6,
     "op10_ngram_jaccard_join": ngram_join.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": line_dedup.OP4_SQL,
+}
