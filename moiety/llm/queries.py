@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from moiety.llm import embedding_dedup, line_dedup, ngram_join, packing, quality, suffix_dedup, token_output
+from moiety.llm import ann, embedding_dedup, line_dedup, ngram_join, packing, quality, suffix_dedup, token_output
 
 QUERIES = {
+    "op3_nearest_neighbours": ann.op3,
     "op4_line_dedup": line_dedup.op4,
     "op1_embedding_near_dedup": embedding_dedup.op1,
     "op8_quality_classifier": quality.op8,
