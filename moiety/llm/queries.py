@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from moiety.llm import ann, embedding_dedup, line_dedup, ngram_join, packing, quality, sentencepiece_io, suffix_dedup, token_output
+from moiety.llm import ann, embedding_dedup, html_extract, line_dedup, ngram_join, packing, quality, sentencepiece_io, suffix_dedup, token_output
 
 QUERIES = {
+    "op2_html_extraction": html_extract.op2,
     "op9_sentencepiece": sentencepiece_io.op9,
     "op3_nearest_neighbours": ann.op3,
     "op4_line_dedup": line_dedup.op4,
