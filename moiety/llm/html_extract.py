@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from moiety.llm import common as C
 
-PATHS, WORDS, NUMBERS, HIDDEN = 192, 32, 8, 16
+PATHS, WORDS, NUMBERS, HIDDEN = 384, 32, 8, 16
 INPUT = PATHS + WORDS + NUMBERS
 SILENT = "script|style|noscript|template|svg|math|iframe|object|head|title|textarea|select|canvas|audio|video"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S | re.I)
@@ -260,6 +260,13 @@ def _made_up(r: random.Random) -> str:
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
 
     def sentence(n, mark=""):
+        odd = r.random()
+        if odd < 0.04:
+            return mark + " ".join([word()] * n)
+        if odd < 0.08:
+            return mark + " ".join(word().upper() + "!!" for _ in range(n))
+        if odd < 0.12:
+            return mark + " ".join(word() + r.choice(["&amp;&amp;", "***", "###", " |"]) for _ in range(n))
         return mark + " ".join(w + r.choice(["", "", "", ",", "&amp;"]) if k % 7 == 3 else w for k, w in enumerate(word() for _ in range(n))).capitalize() + r.choice([".", ".", ".", "!", "?", ""])
 
     def saying(kind, n):

@@ -54,7 +54,7 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_
     return later.groupBy("d", "t").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
-def _free(df: DataFrame, name: str) -> str:
+def free_name(df: DataFrame, name: str) -> str:
     taken = {c.lower() for c in df.columns}
     while name in taken:
         name = "_" + name
@@ -64,15 +64,19 @@ def _free(df: DataFrame, name: str) -> str:
 def remove_repeated_lines(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE, counts: tuple[str, str] | None = None) -> DataFrame:
     """``docs`` with repeated lines deleted from ``text``; ``counts`` names columns to add for the lines before and deleted."""
     found = repeated_lines(docs, window, long_line)
-    d, t, gone = (_free(docs, c) for c in ("gone_doc", "gone_text", "gone_lines"))
+    d, t, gone = (free_name(docs, c) for c in ("gone_doc", "gone_text", "gone_lines"))
     found = found.select(F.col("d").alias(d), F.col("t").alias(t), F.col("gone").alias(gone))
     joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(t)), "left")
-    ls = F.split("text", "\n", -1)
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(gone)), lambda i: ls[i]), "\n")
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
-    out = [text.alias("text") if c.lower() == "text" else F.when(F.col(gone).isNull(), F.col(c)).otherwise(F.char_length(kept)).cast(docs.schema[c].dataType).alias(c) if c.lower() == "n_chars" else F.col(c) for c in docs.columns]
+    # in steps, so that a text is split once and not for each line
+    ls, new = (free_name(docs, c) for c in ("gone_split", "gone_kept"))
+    joined = joined.withColumn(ls, F.when(F.col(gone).isNotNull() | F.lit(bool(counts)), F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(gone))
+    joined = joined.withColumn(new, F.when(F.col(gone).isNotNull(), F.array_join(F.transform(left, lambda i: F.get(F.col(ls), i)), "\n")))
+    same = F.col(gone).isNull()
+    changed = {"text": F.col(new), "n_chars": F.char_length(new)}
+    out = [F.when(same, docs[c]).otherwise(changed[c.lower()]).cast(docs.schema[c].dataType).alias(c) if c.lower() in changed else docs[c] for c in docs.columns]
     if counts:
-        out += [F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias(counts[0]), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(counts[1])]
+        out += [F.size(ls).cast("long").alias(counts[0]), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(counts[1])]
     return joined.select(*out)
 
 

@@ -1,5 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
+import corpus_pipeline
 from moiety.llm import ann, embedding_dedup, html_extract, line_dedup, ngram_join, packing, quality, sentencepiece_io, suffix_dedup, token_output
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_token_binary_output": token_output.op7,
     "op6_suffix_array_dedup": suffix_dedup.op6,
     "op10_ngram_jaccard_join": ngram_join.op10,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.OP4_SQL,

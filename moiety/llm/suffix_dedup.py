@@ -330,22 +330,24 @@ def _lay(batches, length):
             gone = np.cumsum(depth[:-1]) > 0
             spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            out.append((int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+            out.append((int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
         n, s, h, k = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_tag"), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(h, pa.string()), pa.array(k, pa.binary())], ["doc_id", "row_tag", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_tag"), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(h, pa.string()), pa.array(k, pa.string())], ["doc_id", "row_tag", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, row_tag (hash of the text), n_bytes, n_removed, n_spans, kept_sha256, kept (remaining bytes; null: all are kept, or none if n_removed is n_bytes)."""
+    """doc_id, text_tag (xxhash64 of the text), n_bytes, n_removed, n_spans, kept_sha256, kept_text.
+
+    ``kept_text`` is what the remaining bytes spell, without characters that were cut in two; it is null where nothing or all is removed."""
     spark = docs.sparkSession
     n = C.partitions(spark)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.xxhash64("text").alias("row_tag"))
     info = C.cut(rows.select("doc_id", "row_tag", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
     firsts = info.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    tagged = C.cut(info.join(firsts, "sha"))
+    tagged = C.cut(info.join(firsts, "sha").withColumn("text_tag", F.col("row_tag")))
     originals = tagged.where(F.col("doc_id") == F.col("first"))
     # entries name a row by doc_id alone, unless a doc_id has several texts
     several = bool(info.groupBy("doc_id").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a <> b").head(1))
@@ -361,15 +363,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     settled = keyed.join(asked, ["doc_id", "row_tag"]).mapInArrow(lambda it: _fetch(it, 4 * n, length), "bucket int, doc binary, tag binary, place binary, more binary, trigger binary, bytes binary")
     settled = C.cut(settled.repartition(4 * n, "bucket").mapInArrow(lambda it: _dictionary(it, length), "doc_id long, row_tag long, gone binary"), free=True)
     ranges = gone.unionAll(settled).join(alone, ["doc_id", "row_tag"], "left_semi").groupBy("doc_id", "row_tag").agg(F.collect_list("gone").alias("gone"))
-    laid = keyed.join(ranges, ["doc_id", "row_tag"]).mapInArrow(lambda it: _lay(it, length), "doc_id long, row_tag long, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["doc_id", "row_tag"])
+    laid = keyed.join(ranges, ["doc_id", "row_tag"]).mapInArrow(lambda it: _lay(it, length), "doc_id long, row_tag long, n_removed long, n_spans long, kept_sha256 string, kept_text string").dropDuplicates(["doc_id", "row_tag"])
     copy, long = F.col("doc_id") > F.col("first"), F.col("n_bytes") >= length
     return tagged.join(laid, ["doc_id", "row_tag"], "left").select(
-        "doc_id", "row_tag", "n_bytes",
+        "doc_id", "text_tag", "n_bytes",
         F.when(copy & long, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(copy & long, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))).alias("n_spans"),
-        F.when(copy & long, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), "kept")
+        F.when(copy & long, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), "kept_text")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``op6_suffix_array_dedup``: the operator over the whole of ``documents`` at 50 bytes."""
-    return remove_repeats(C.table(spark, sf_dir, "documents")).drop("row_tag", "kept")
+    return remove_repeats(C.table(spark, sf_dir, "documents")).drop("text_tag", "kept_text")
