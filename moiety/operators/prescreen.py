@@ -62,8 +62,9 @@ def summarize(results: DataFrame) -> DataFrame:
     """(dimension, value, n): candidates by sector, domain, component, confidence and decision, in one aggregation."""
     pair = lambda name, value: F.struct(F.lit(name).alias("dimension"), value.alias("value"))
     single = F.array(pair("manufacturing_sector", F.col("manufacturing_sector")), pair("assembly_confidence", F.col("assembly_confidence")), pair("decision", F.col("decision")))
-    lists = [F.transform(c, lambda x, n=c: pair(n, x)) for c in ("engineering_domains", "possible_components")]
-    return results.select(F.explode(F.concat(single, *lists)).alias("x")).groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"))
+    listed = lambda c: F.transform(c, lambda x: pair(c, x))
+    lists = [listed(c) for c in ("engineering_domains", "possible_components")]
+    return results.select(F.explode(F.flatten(F.array(single, *lists))).alias("x")).groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"))
 
 
 def with_probe(candidates: DataFrame, probes: DataFrame, key: str = "id") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,9 @@ def read_files(spark: SparkSession, path: str, head: int = HEAD, tail: int = TAI
 
 def step_markers(df: DataFrame, content: str) -> DataFrame:
     """Adds product_count, assembly_occurrence_count and solid_marker_count of the content, read as upper-case Latin-1."""
-    text = F.upper(F.decode(content, F.lit("ISO-8859-1")))
-    count = lambda words: sum((F.regexp_count(text, F.lit(S.quoted(w))) for w in words[1:]), F.regexp_count(text, F.lit(S.quoted(words[0]))))
+    text = F.upper(F.decode(content, "ISO-8859-1"))
+    one = lambda w: F.regexp_count(text, F.lit(S.quoted(w)))
+    count = lambda words: reduce(lambda a, b: a + b, map(one, words))
     return df.select("*", count(["PRODUCT("]).alias("product_count"), count(["NEXT_ASSEMBLY_USAGE_OCCURRENCE"]).alias("assembly_occurrence_count"), count(["MANIFOLD_SOLID_BREP", "BREP_WITH_VOIDS", "FACETED_BREP"]).alias("solid_marker_count"))
 
 

@@ -18,7 +18,7 @@ from moiety.operators.graph import label_histogram, refine_labels
 def read_step(spark: SparkSession, path: str) -> DataFrame:
     """(part, text) of all .step and .stp files below a folder; part is the file's path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike(r"\.(step|stp)$"))
-    return files.select(F.col("path").alias("part"), F.decode("content", F.lit("ISO-8859-1")).alias("text"))
+    return files.select(F.col("path").alias("part"), F.decode("content", "ISO-8859-1").alias("text"))
 
 
 def entities(texts: DataFrame) -> DataFrame:
