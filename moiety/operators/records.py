@@ -33,7 +33,7 @@ def not_in(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def by_manifest_order(df: DataFrame, ids: list[str], key: str) -> DataFrame:
     """Rows in the order of a manifest's ids."""
-    place = F.array_position(F.array(*(F.lit(i) for i in ids)), F.col(key))
+    place = F.array_position(F.array(*(F.lit(str(i)) for i in ids)), F.col(key).cast("string"))
     return df.where(place > 0).orderBy(place)
 
 
