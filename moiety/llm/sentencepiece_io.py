@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from moiety.llm import common as C
+from moiety.llm import tokens
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)  #: piece types of the format
@@ -105,11 +106,59 @@ class Model:
         return out
 
 
+class _Units(tokens.WordEncoder):
+    """Units of texts: spaces and what follows them, without the first space.  ``odd`` marks units where the libraries differ."""
+
+    def __init__(self, model: Model, tokenizer, library):
+        self.model, self.tokenizer, self.library = model, tokenizer, library
+        self.size = len(model.pieces)
+        self.starts = np.array([p.startswith(SPACE) for p, _, _ in model.pieces])
+        self.blank = next((i for i, p in enumerate(model.pieces) if p[0] == SPACE), model.unknown)
+        self._empty()
+
+    @staticmethod
+    def split(text: bytes, runs=re.compile(b" +[^ ]*")) -> list[bytes]:
+        text = text.replace(SPACE.encode(), b" ")
+        if not text:
+            return []
+        return [u[1:] for u in runs.findall(b" " + text)] if b"  " in text or text[:1] == b" " else text.split(b" ")
+
+    def _joined(self, texts: list[str], encode, per: int = 500):
+        """Ids of units without spaces, many in a text: each starts with a piece that starts with a space."""
+        flat = np.concatenate([np.array(x, np.uint32) for x in encode([" ".join(texts[i:i + per]) for i in range(0, len(texts), per)])]) if texts else np.zeros(0, np.uint32)
+        first = np.flatnonzero(self.starts[flat])
+        if len(first) != len(texts):
+            raise ValueError("a unit did not start with a space's piece")
+        return flat, np.diff(np.append(first, len(flat)))
+
+    def _ask(self, words: list[bytes]):
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = np.array([bool(t) and " " not in t for t in texts])
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        ours = lambda x: [e.ids for e in self.tokenizer.encode_batch_fast(x, add_special_tokens=False)]
+        theirs = lambda x: self.library.encode(x, num_threads=1)
+        easy = [t for t, p in zip(texts, plain, strict=True) if p]
+        (a, n_a), (b, n_b) = self._joined(easy, ours), self._joined(easy, theirs)
+        if len(a) == len(b) and np.array_equal(n_a, n_b):
+            owner = np.repeat(np.arange(len(n_b)), n_b)
+            differs = np.bincount(owner[a != b], minlength=len(n_b)) > 0
+        else:
+            at_a, at_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+            differs = np.array([not np.array_equal(a[i:i + k], b[j:j + m]) for i, k, j, m in zip(at_a, n_a, at_b, n_b, strict=True)])
+        hard = [t for t, p in zip(texts, plain, strict=True) if not p]
+        pairs = [([self.blank], [self.blank]) if not t else (x, y) for t, x, y in zip(hard, ours(hard), theirs(hard), strict=True)]
+        n, odd = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        n[plain], n[~plain] = n_b, [len(y) for _, y in pairs]
+        odd[plain], odd[~plain] = differs, [x != y for x, y in pairs]
+        both = np.concatenate([b, np.array([i for _, y in pairs for i in y], np.uint32)])
+        first = np.zeros(len(texts), np.int64)
+        first[plain], first[~plain] = np.cumsum(n_b) - n_b, len(b) + np.cumsum(n[~plain]) - n[~plain]
+        return both[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n, odd
+
+
 class Codec:
     """Encodes and decodes lists of UTF-8 texts."""
 
-    most_units = 600_000  #: of the table, which is emptied beyond
-
     def __init__(self, path: str):
         import sentencepiece
 
@@ -118,39 +167,37 @@ class Codec:
         os.environ.setdefault("RAYON_NUM_THREADS", "2")
         self.tokenizer = self.model.tokenizer()
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.units: dict[bytes, tuple[tuple[int, ...], bool]] = {}
-        self.blank = ((next((i for i, p in enumerate(self.model.pieces) if p[0] == SPACE), self.model.unknown),), True)
-
-    def _both(self, texts: list[str]) -> list[tuple[tuple[int, ...], bool]]:
+        self.units = _Units(self.model, self.tokenizer, self.library) if self.model.by_units else None
+        raw = self.model.bytes
+        self.lengths = np.array([len(b) for b in raw], np.int64)
+        self.begins, self.text = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(raw), np.uint8)
+
+    def encode_flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, ids of each text, and whether both libraries agree on it."""
+        if self.units is not None:
+            flat, n, odd = self.units.encode_words(texts)
+            return flat, n, odd == 0
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        ours = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        theirs = self.library.encode(texts, num_threads=1)
-        return [(tuple(b), a == b) for a, b in zip(ours, theirs, strict=True)]
+        words = [t.decode("utf-8", "replace") for t in texts]
+        ours, theirs = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)], self.library.encode(words, num_threads=1)
+        return np.array([i for y in theirs for i in y], np.uint32), np.array([len(y) for y in theirs], np.int64), np.array([x == y for x, y in zip(ours, theirs, strict=True)], bool)
 
     def encode(self, texts: list[bytes]) -> list[tuple[list[int], bool]]:
         """(ids, whether both libraries agree) of each text."""
-        if not self.model.by_units:
-            return [(list(i), same) for i, same in self._both([t.decode("utf-8", "replace") for t in texts])]
-        if len(self.units) > self.most_units:
-            self.units.clear()
-        mark, split = SPACE.encode(), re.compile(b" +[^ ]*")
-        lists = []
-        for t in texts:
-            t = t.replace(mark, b" ")
-            lists.append([] if not t else [u[1:] for u in split.findall(b" " + t)] if b"  " in t or t[:1] == b" " else t.split(b" "))
-        units = self.units
-        units[b""] = self.blank
-        new = list(dict.fromkeys(u for keys in lists for u in keys if u not in units))
-        units.update(zip(new, self._both([u.decode("utf-8", "replace") for u in new]), strict=True))
-        out = []
-        for keys in lists:
-            found = list(map(units.__getitem__, keys))
-            out.append(([i for ids, _ in found for i in ids], all(same for _, same in found)))
-        return out
+        flat, n, same = self.encode_flat(texts)
+        ends = np.cumsum(n)
+        return [(flat[a:b].tolist(), bool(s)) for a, b, s in zip(ends - n, ends, same, strict=True)]
+
+    def decode_flat(self, flat: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """Texts of flat ids."""
+        size = self.lengths[flat]
+        whole = self.text[np.repeat(self.begins[flat] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
+        texts = [whole[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return [t[1:] if self.model.dummy_prefix and t[:1] == b" " else t for t in texts]
 
     def decode(self, ids: list[int]) -> bytes:
-        text = b"".join(map(self.model.bytes.__getitem__, ids))
-        return text[1:] if self.model.dummy_prefix and text[:1] == b" " else text
+        return self.decode_flat(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 def codec(path: str) -> Codec:
@@ -171,11 +218,12 @@ def _encode(batches, path, with_ids):
         data, offsets = C.column_bytes(batch.column("text"))
         for i, j in C.text_slices(offsets, 1 << 20):
             texts = [data[a:b].tobytes() for a, b in zip(offsets[i:j].tolist(), offsets[i + 1:j + 1].tolist(), strict=True)]
-            coded = own.encode(texts)
-            raw = [np.array(ids, "<u4").tobytes() for ids, _ in coded]
-            back = [own.decode(ids) == t for (ids, _), t in zip(coded, texts, strict=True)]
-            columns = [pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(back, pa.bool_()), pa.array([same for _, same in coded], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *columns, pa.array(raw if with_ids else [None] * len(raw), pa.binary())], [x.split()[0] for x in _OUT.split(", ")])
+            flat, n, same = own.encode_flat(texts)
+            view, ends = memoryview(flat.astype("<u4")).cast("B"), 4 * np.cumsum(n)
+            raw = [view[b - 4 * k:b] for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
+            back = [a == b for a, b in zip(own.decode_flat(flat, n), texts, strict=True)]
+            columns = [pa.array(n, pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(back, pa.bool_()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *columns, pa.array([bytes(r) for r in raw] if with_ids else [None] * len(raw), pa.binary())], [x.split()[0] for x in _OUT.split(", ")])
 
 
 def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:

@@ -1,7 +1,7 @@
 """Token ids of whole texts with the tokenizers library, one call for each distinct word.
 
-For a vocabulary that drops white space (``word_bpe_49k.json`` does: its patterns never match any, and its normaliser
-composes nothing across it) the ids of a text are those of its words, split at ASCII white space, one after another.
+For a vocabulary that drops white space (``word_bpe_49k.json`` does: its patterns never match any, and its
+normaliser composes nothing across it) the ids of a text are those of its words, split at ASCII white space, one after another.
 So a worker asks the library once for each distinct word and keeps the answer in a bounded table; tests hold the ids
 against those of whole texts.
 """
@@ -12,7 +12,8 @@ import numpy as np
 
 from moiety.llm import common as C
 
-MOST_WORDS, MOST_IDS = 800_000, 8_000_000  #: of a worker's table, which keeps only words met again beyond
+MOST_WORDS, MOST_IDS = 360_000, 4_000_000  #: of a worker's table, which keeps the words met most often beyond
+_STOP = ".,;:!?"
 
 
 class _Index(dict):
@@ -40,30 +41,34 @@ class WordEncoder:
         # a special token's text between words keeps their ids apart in one call
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark, self.mark_id = min(special) if special else (None, -1)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._empty()
 
     def _empty(self):
         self.index, self.pool, self.used = _Index(), np.zeros(1 << 16, np.uint32), 0
-        self.at, self.n, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.at, self.n, self.met, self.odd = (np.zeros(1 << 16, np.int64) for _ in range(4))
 
     def _shrink(self):
-        """Forgets the words met once."""
+        """Forgets the less frequent half of the words."""
         total = len(self.index)
-        keep = np.flatnonzero(self.met[:total] > 1)
-        if len(keep) > MOST_WORDS // 2:
+        keep = np.sort(np.argsort(self.met[:total], kind="stable")[max(0, total - MOST_WORDS // 2):])
+        if int(self.n[keep].sum()) > MOST_IDS // 2:
             return self._empty()
         words = list(self.index)
-        old, at, n = self.pool, self.at, self.n
+        old, at, n, met, odd = self.pool, self.at, self.n, self.met, self.odd
         self._empty()
         for k in keep.tolist():
             self.index[words[k]] = len(self.index)
         flat = old[np.repeat(at[keep] - (np.cumsum(n[keep]) - n[keep]), n[keep]) + np.arange(int(n[keep].sum()))]
         self._store(flat, n[keep], 0)
+        self.met[:len(keep)], self.odd[:len(keep)] = met[keep] // 2, odd[keep]
 
     def _store(self, flat, n, first):
         total = first + len(n)
         while total > len(self.at):
-            self.at, self.n, self.met = (np.append(x, np.zeros_like(x)) for x in (self.at, self.n, self.met))
+            self.at, self.n, self.met, self.odd = (np.append(x, np.zeros_like(x)) for x in (self.at, self.n, self.met, self.odd))
         while self.used + len(flat) > len(self.pool):
             self.pool = np.append(self.pool, np.zeros_like(self.pool))
         self.pool[self.used:self.used + len(flat)] = flat
@@ -72,26 +77,58 @@ class WordEncoder:
         self.used += len(flat)
 
     def _ask(self, words: list[bytes], per: int = 1000):
-        """Ids of all words, and how many each has."""
+        """Ids of all words, and how many each has; many words in one call where their ends can be told.
+
+        A word of letters alone is one piece for the vocabulary, a word of letters and one stop two, and the last id of a
+        piece is known by its end-of-word mark.  Other words are kept apart by a special token's text."""
         texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        pieces = np.zeros(len(texts), np.int64)
+        if self.ends.any():
+            for k, w in enumerate(texts):
+                low = w.lower()
+                if low.isalpha() and w.isalpha():
+                    pieces[k] = 1
+                elif w[-1] in _STOP and low[:-1].isalpha() and w[:-1].isalpha():
+                    pieces[k] = 2
         call = self.tokenizer.encode_batch_fast
-        if self.mark is None or any("<|" in w for w in texts):
-            ids = [np.array(e.ids, np.uint32) for e in call(texts, add_special_tokens=False)]
-            return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate([np.array(e.ids, np.uint32) for e in call([self.mark.join(["", *texts[i:i + per]]) for i in range(0, len(texts), per)], add_special_tokens=False)])
-        marks = np.flatnonzero(flat == self.mark_id)
-        return flat[flat != self.mark_id], np.diff(np.append(marks, len(flat))) - 1
+        told = lambda joined: np.concatenate([np.array(e.ids, np.uint32) for e in call(joined, add_special_tokens=False)]) if joined else np.zeros(0, np.uint32)
+        easy, hard = np.flatnonzero(pieces), np.flatnonzero(pieces == 0)
+        flat = told([" ".join([texts[k] for k in easy[i:i + per]]) for i in range(0, len(easy), per)])
+        ends = np.flatnonzero(self.ends[flat])
+        last = ends[np.cumsum(pieces[easy]) - 1] + 1 if len(easy) else np.zeros(0, np.int64)
+        if self.mark is None or any("<|" in texts[k] for k in hard):
+            ids = [np.array(e.ids, np.uint32) for e in call([texts[k] for k in hard], add_special_tokens=False)]
+            rest, n_rest = (np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        else:
+            rest = told([self.mark.join(["", *(texts[k] for k in hard[i:i + per])]) for i in range(0, len(hard), per)])
+            marks = np.flatnonzero(rest == self.mark_id)
+            rest, n_rest = rest[rest != self.mark_id], np.diff(np.append(marks, len(rest))) - 1
+        n = np.zeros(len(texts), np.int64)
+        n[easy], n[hard] = np.diff(last, prepend=0), n_rest
+        both = np.concatenate([flat, rest])
+        first = np.zeros(len(texts), np.int64)
+        first[easy], first[hard] = last - n[easy], len(flat) + np.cumsum(n_rest) - n_rest
+        return both[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
     def _learn(self):
         words, self.index.new = self.index.new, []
         if words:
-            flat, n = self._ask(words)
-            self._store(flat, n, len(self.index) - len(words))
+            flat, n, *odd = self._ask(words)
+            first = len(self.index) - len(words)
+            self._store(flat, n, first)
+            self.odd[first:len(self.index)] = odd[0] if odd else 0
+
+    split = staticmethod(bytes.split)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        flat, each, _ = self.encode_words(texts)
+        return flat, each
+
+    def encode_words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, ids of each text, and the sum of its words' marks (``odd``)."""
         if len(self.index) > MOST_WORDS or self.used > MOST_IDS:
             self._shrink()
-        found = [np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)) for words in map(bytes.split, texts)]
+        found = [np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)) for words in map(self.split, texts)]
         self._learn()
         words = np.concatenate(found) if found else np.zeros(0, np.int64)
         n = self.n[words]
@@ -100,7 +137,8 @@ class WordEncoder:
         ends = np.concatenate([[0], np.cumsum(n)])
         count = np.cumsum([len(x) for x in found])
         each = np.diff(np.concatenate([[0], ends[count]])) if found else np.zeros(0, np.int64)
-        return flat, each
+        odd = np.concatenate([[0], np.cumsum(self.odd[words])])
+        return flat, each, np.diff(np.concatenate([[0], odd[count]])) if found else np.zeros(0, np.int64)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -123,3 +161,4 @@ def encoded_rows(batches, path: str, end_id: int, columns: list[str], limit: int
             flat, n = words.encode([data[a:b].tobytes() for a, b in zip(offsets[i:j].tolist(), offsets[i + 1:j + 1].tolist(), strict=True)])
             ids = np.insert(flat, np.cumsum(n), end_id).astype(np.uint32)
             yield {c: v[i:j] for c, v in kept.items()}, ids, n + 1
+    C.trim()
