@@ -224,6 +224,8 @@ def _encode(batches, path, with_ids):
             back = [a == b for a, b in zip(own.decode_flat(flat, n), texts, strict=True)]
             columns = [pa.array(n, pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(back, pa.bool_()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *columns, pa.array([bytes(r) for r in raw] if with_ids else [None] * len(raw), pa.binary())], [x.split()[0] for x in _OUT.split(", ")])
+    if own.units is not None:
+        own.units.rest()
 
 
 def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:

@@ -1,6 +1,6 @@
 """Token ids of whole texts with the tokenizers library, one call for each distinct word.
 
-For a vocabulary that drops white space (``word_bpe_49k.json`` does: its patterns never match any, and its
+For a vocabulary that is lower case and drops white space (``word_bpe_49k.json`` is: its patterns never match any, and its
 normaliser composes nothing across it) the ids of a text are those of its words, split at ASCII white space, one after another.
 So a worker asks the library once for each distinct word and keeps the answer in a bounded table; tests hold the ids
 against those of whole texts.
@@ -12,7 +12,8 @@ import numpy as np
 
 from moiety.llm import common as C
 
-MOST_WORDS, MOST_IDS = 360_000, 4_000_000  #: of a worker's table, which keeps the words met most often beyond
+MOST_WORDS, MOST_IDS = 500_000, 5_000_000  #: of a worker's table, which keeps the words met most often beyond
+IDLE_WORDS = 150_000
 _STOP = ".,;:!?"
 
 
@@ -50,10 +51,16 @@ class WordEncoder:
         self.index, self.pool, self.used = _Index(), np.zeros(1 << 16, np.uint32), 0
         self.at, self.n, self.met, self.odd = (np.zeros(1 << 16, np.int64) for _ in range(4))
 
-    def _shrink(self):
-        """Forgets the less frequent half of the words."""
+    def rest(self):
+        """Between tasks only the most frequent words are kept: an idle worker's memory counts too."""
+        if len(self.index) > IDLE_WORDS:
+            self._shrink(IDLE_WORDS)
+        C.trim()
+
+    def _shrink(self, most: int):
+        """Forgets all but the ``most`` frequent words."""
         total = len(self.index)
-        keep = np.sort(np.argsort(self.met[:total], kind="stable")[max(0, total - MOST_WORDS // 2):])
+        keep = np.sort(np.argsort(self.met[:total], kind="stable")[max(0, total - most):])
         if int(self.n[keep].sum()) > MOST_IDS // 2:
             return self._empty()
         words = list(self.index)
@@ -118,7 +125,10 @@ class WordEncoder:
             self._store(flat, n, first)
             self.odd[first:len(self.index)] = odd[0] if odd else 0
 
-    split = staticmethod(bytes.split)
+    @staticmethod
+    def split(text: bytes) -> list[bytes]:
+        # the vocabulary is lower case; ASCII can be lowered here, which leaves fewer words to ask for
+        return (text.lower() if text.isascii() and b"<|" not in text else text).split()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         flat, each, _ = self.encode_words(texts)
@@ -127,7 +137,7 @@ class WordEncoder:
     def encode_words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, ids of each text, and the sum of its words' marks (``odd``)."""
         if len(self.index) > MOST_WORDS or self.used > MOST_IDS:
-            self._shrink()
+            self._shrink(MOST_WORDS // 2)
         found = [np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)) for words in map(self.split, texts)]
         self._learn()
         words = np.concatenate(found) if found else np.zeros(0, np.int64)
@@ -161,4 +171,4 @@ def encoded_rows(batches, path: str, end_id: int, columns: list[str], limit: int
             flat, n = words.encode([data[a:b].tobytes() for a, b in zip(offsets[i:j].tolist(), offsets[i + 1:j + 1].tolist(), strict=True)])
             ids = np.insert(flat, np.cumsum(n), end_id).astype(np.uint32)
             yield {c: v[i:j] for c, v in kept.items()}, ids, n + 1
-    C.trim()
+    words.rest()
