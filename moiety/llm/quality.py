@@ -1,7 +1,7 @@
 """Quality classifier: a linear-chain conditional random field marks every line of a document good or bad.
 
 A line is described by counts of its bytes and words (upper case, digits, symbols, words repeated in a row, sentence
-ends, ...), each put into a few bins at the training sample's quantiles, for itself, the line before and the line
+ends, ...), each put into a few bins (lengths at the training sample's quantiles), for itself, the line before and the line
 after.  The field has a weight for each bin and for each pair of neighbouring labels.  Forward-backward gives every
 line's marginal; their mean, weighted by line length, is the document's quality, which a logistic curve fitted on the
 same sample turns into the probability of label 1.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from moiety.llm import common as C
 
 BINS, SLICE = 8, 1 << 20
+SHARES = (0.01, 0.03, 0.08, 0.15, 0.3, 0.5, 0.8)  #: bounds of the bins of features that are shares
 THRESHOLD = 0.3
 NAMES = ("bytes", "words", "upper", "digits", "high", "hashes", "pipes", "bangs", "stops", "other", "odd_ends", "repeats", "word_bytes", "ends_well", "starts_upper", "same_line")
 
@@ -155,13 +156,12 @@ class Field:
         return 1 / (1 + np.exp(-(self.curve[0] * np.log(mean / (1 - mean)) + self.curve[1])))
 
 
-def fit(x, n, before, labels, rounds: int = 120, rate: float = 0.1, l2: float = 1e-3) -> Field:
+def fit(x, n, before, labels, rounds: int = 200, rate: float = 0.1, l2: float = 5e-5) -> Field:
     """Maximum likelihood by Adam, every document with the same weight, and the logistic curve after it."""
     cuts = np.stack([np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1]) for k in range(x.shape[1])]) if len(x) else np.zeros((len(NAMES), BINS - 1))
-    for k, c in enumerate(cuts):  # features that are mostly one value: bins above it
-        rest = x[x[:, k] > c[-1], k] if c[0] == c[-1] else ()
-        if len(rest):
-            cuts[k] = np.quantile(rest, np.linspace(0, 1, BINS)[:-1])
+    for k, name in enumerate(NAMES):
+        if name not in ("bytes", "words", "word_bytes"):  # shares: the same bins for every sample
+            cuts[k] = SHARES
     field = Field(cuts)
     if len(set(labels.tolist())) < 2:
         return field
@@ -239,7 +239,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, most_doc
     n = [np.frombuffer(b, np.float32) for b in got.n]
     x = np.frombuffer(b"".join(got.x), np.float32).reshape(-1, len(NAMES))
     before = np.concatenate([[0], np.cumsum([len(k) for k in n])])
-    return fit(x, np.concatenate(n), before, got.label.to_numpy(float))
+    field = fit(x, np.concatenate(n), before, got.label.to_numpy(float))
+    C.trim()
+    return field
 
 
 def _score(batches, field):
