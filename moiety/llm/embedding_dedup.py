@@ -17,7 +17,8 @@ The grid uses as many dimensions as the number of vectors calls for (lossless at
 
 Defined results: vectors that are null, zero, or that hold null or
 non-finite components, and vectors without a label, link with nothing; vectors of different lengths neither.  Rows that repeat a vec_id do not link with each
-other; others count each of them, and all of them show the sum of their links.  An empty table gives no rows.
+other; others count each of them, and all of them show the sum of their links.  Rows without a vec_id link with nothing and get
+no component.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ File format: a folder with two Parquet tables, so that Spark's committer decides
 (int64), control, data, tokens_before (within the part), tokens.  Parts are ranges of doc_id, so reading by (part, seq)
 gives the documents in ascending doc_id order; rows that repeat a doc_id are ordered by text.
 
-Defined results: null or empty text is the end id alone; an empty table gives files without blocks.
+Defined results: null or empty text is the end id alone; rows without a doc_id have no place in the order and are left out; an
+empty table gives files without blocks.
 """
 
 from __future__ import annotations
