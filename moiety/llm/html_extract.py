@@ -328,7 +328,7 @@ def _made_up(r: random.Random) -> str:
 _TRAINED: dict = {}
 
 
-def train(pages: int = 3000, rounds: int = 1000, batch: int = 64, seed: int = 3, rate: float = 0.01) -> Labeller:
+def train(pages: int = 2000, rounds: int = 400, batch: int = 64, seed: int = 3, rate: float = 0.01) -> Labeller:
     """A labeller fitted to made-up pages by Adam; the same for the same arguments."""
     key = (pages, rounds, batch, seed, rate)
     if key in _TRAINED:
