@@ -76,6 +76,20 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_moiety_worker_cache", {})
 
 
+def trim(forget: bool = False) -> None:
+    """Hands freed memory back to the system; ``forget`` also empties this worker's tables (kept from other operators)."""
+    import ctypes
+
+    import pyarrow as pa
+
+    if forget:
+        worker_cache().clear()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 # ---------------------------------------------------------------- hashing
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -201,7 +215,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al. 2014).  Each step is a minimum per vertex, with
     map-side combining, and a join whose large side adaptive execution can split, so one vertex may have a third of
-    all edges.  Every step ends in a table of the scratch folder.  Loops and repeated edges are allowed."""
+    all edges.  Every two steps end in a table of the scratch folder.  Loops and repeated edges are allowed."""
     def stats(df):
         return df.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
 
@@ -211,7 +225,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        large = cut(large.distinct())
+        large = large.distinct()
         roots = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(roots, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").unionAll(roots.select("hi", F.col("m").alias("lo")))
         e = cut(small.distinct())
@@ -219,6 +233,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
+    trim()
     return e.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionAll(e.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
 
 
@@ -254,6 +269,7 @@ def summed_table(rows: DataFrame, size: int, blocks: int) -> np.ndarray:
     width = size // blocks
     for r in first.repartition("block").mapInArrow(_sum_blocks, kind).collect():
         out[r.block * width:(r.block + 1) * width] += np.frombuffer(r.counts, np.int64)
+    trim()
     return out
 
 

@@ -19,7 +19,7 @@ lost, and no large group's pairs are emitted as rows.
 
 Defined results: null or empty text, or white space only: an empty set, in a component of its own.  Documents with
 fewer than 5 words: their whole sequence is one shingle.  Rows that repeat a doc_id are one document if their sets are
-equal, else each row gets the component of its own set's links.  Columns other than doc_id and text are not read.
+equal, else each row gets the component of its own set's links.  Rows without a doc_id get nulls.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -34,13 +34,14 @@ from pyspark.sql import functions as F
 from moiety.llm import common as C
 
 SLOTS = 1 << 20
-SLICE = 1 << 21
+SLICE = 1 << 20
 MOST = 8  #: longest l that a document may choose
 U = np.uint64
 
 
 def _profile(batches):
     """Rows of documents: id, set size, a 128-bit digest of the set; at the end, the partition's shingle counts in 64 blocks."""
+    C.trim(forget=True)
     counts, part = np.zeros(SLOTS, np.int64), 0
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -77,6 +78,7 @@ def choose_prefix(costs: np.ndarray, size: int, t: float, most: int = MOST, per_
 
 def _postings(batches, table, noise, n_buckets, t):
     """Packed postings by bucket of shingle: hash, document, set size, l, place in the prefix."""
+    C.trim(forget=True)
     with np.errstate(over="ignore"):
         for batch in batches:
             data, offsets = C.column_bytes(batch.column("text"))
@@ -142,6 +144,7 @@ def _match(batches, t, long_list):
     if not got["token"]:
         return
     token, doc, size, l, place = (np.concatenate(got.pop(k)) for k in ("token", "doc", "size", "l", "place"))
+    C.trim(forget=True)
     order = np.argsort(token, kind="stable")
     token = token[order]
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -306,7 +309,8 @@ def _across(docs: DataFrame, rest: DataFrame, percent: int, block: int) -> DataF
 def similarity_components(docs: DataFrame, percent: int = 75, long_list: int = 8, block_list: int = 64, rounds: int = 2, block: int = 100_000) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id that its links reach)."""
     spark, t = docs.sparkSession, percent / 100
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    nameless = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    docs = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     profile = C.cut(docs.mapInArrow(_profile, "doc_id long, n_shingles long, d1 long, d2 long, block int, counts binary"))
     counts = C.summed_table(profile.where("block is not null").select("block", "counts", F.col("n_shingles").alias("salt")), SLOTS, 64)
     shown = profile.where("block is null").select("doc_id", "n_shingles", "d1", "d2")
@@ -349,7 +353,7 @@ def similarity_components(docs: DataFrame, percent: int = 75, long_list: int = 8
     groups = C.connected_components(links)
     found = chosen.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     linked = full.join(found, ["n_shingles", "d1", "d2"]).select("doc_id", "n_shingles", "component_id")
-    return linked.unionAll(shown.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return linked.unionAll(shown.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))).unionAll(nameless)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,8 @@ Texts that are equal as a whole are settled beforehand by their SHA-256.  Within
 with a phrase is sent on, so a passage in a third of all documents costs one entry a batch and not one a document.
 
 Defined results: null text is empty.  Fewer than ``length`` bytes: nothing goes.  Rows that repeat a doc_id do not
-remove each other's bytes; both are removed from later documents.  Columns other than doc_id and text are not read.
+remove each other's bytes; both are removed from later documents.  Rows without a doc_id have no order: they lose nothing and
+remove nothing.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moiety.llm import common as C
+from moiety.llm.line_dedup import free_name
 
 LENGTH, TRIGGER = 50, 24
 SEGMENT = 1 << 18  #: windows looked at together
@@ -151,6 +154,7 @@ def _gone_rows(doc, tag, place, more, names, kinds):
 
 def _parse(batches, n_buckets):
     """Packed parse entries by bucket of trigger; ranges that an earlier document of the same batch has already."""
+    C.trim(forget=True)
     blob = [pa.int32()] + [pa.binary()] * 6
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -184,11 +188,12 @@ def _parse(batches, n_buckets):
             for lot in phrases(rows):
                 lots.append(lot)
                 held += len(lot[0])
-                if held > 800_000:
+                if held > 400_000:
                     yield from flush(lots, ids, tags)
                     held = 0
             if lots:
                 yield from flush(lots, ids, tags)
+        C.trim()
 
 
 def _gather(batches, kinds):
@@ -219,6 +224,7 @@ def _sort_parse(batches):
     five, phrase, doc, tag, place, more = (np.concatenate(got.pop(k)) if got[k] else np.zeros(0, kind) for k, kind in kinds.items())
     if not len(phrase):
         return
+    C.trim(forget=True)
     trigger = np.zeros((len(phrase), 8), np.uint8)
     trigger[:, :5] = five.reshape(-1, 5)
     trigger = trigger.reshape(-1).view(U)
@@ -289,11 +295,12 @@ def repeated_suffixes(text: np.ndarray, starts: np.ndarray, doc: np.ndarray, len
     return out
 
 
-def _dictionary(batches, length, lot=400_000):
+def _dictionary(batches, length, lot=200_000):
     """Settles the strings of the asked phrases, some triggers at a time."""
     doc, tag, place, more, trigger, text = _gather(batches, {"doc": np.int64, "tag": np.int64, "place": np.uint32, "more": np.uint8, "trigger": U, "bytes": np.uint8})
     if not len(doc):
         return
+    C.trim(forget=True)
     sizes = more.astype(np.int64) + length
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     order = np.argsort(trigger, kind="stable")
@@ -314,6 +321,19 @@ def _dictionary(batches, length, lot=400_000):
             cols = _by_row(doc[of], tag[of], at << 8)
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row_tag", "gone"])
         a = b
+    C.trim()
+
+
+def kept_bytes(text: bytes, lists, length: int) -> tuple[bytes, int, int]:
+    """What is left of a text without the bytes of its ranges; how many go, and in how many runs."""
+    ranges = np.concatenate([np.frombuffer(x, np.int64) for x in lists])
+    place, more = ranges >> 8, ranges & 255
+    depth = np.zeros(len(text) + 1, np.int32)
+    np.add.at(depth, place, 1)
+    np.add.at(depth, place + more + length, -1)
+    gone = np.cumsum(depth[:-1]) > 0
+    spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
+    return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
 
 def _lay(batches, length):
@@ -321,57 +341,76 @@ def _lay(batches, length):
     for batch in batches:
         out = []
         for text, lists in zip(batch.column("text"), batch.column("gone"), strict=True):
-            text = text.as_buffer().to_pybytes() if text.is_valid else b""
-            ranges = np.concatenate([np.frombuffer(x, np.int64) for x in lists.as_py()])
-            place, more = ranges >> 8, ranges & 255
-            depth = np.zeros(len(text) + 1, np.int32)
-            np.add.at(depth, place, 1)
-            np.add.at(depth, place + more + length, -1)
-            gone = np.cumsum(depth[:-1]) > 0
-            spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-            kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            out.append((int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-        n, s, h, k = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_tag"), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(h, pa.string()), pa.array(k, pa.string())], ["doc_id", "row_tag", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            kept, n, spans = kept_bytes(text.as_buffer().to_pybytes() if text.is_valid else b"", lists.as_py(), length)
+            out.append((n, spans, hashlib.sha256(kept).hexdigest()))
+        n, s, h = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_tag"), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(h, pa.string())], ["doc_id", "row_tag", "n_removed", "n_spans", "kept_sha256"])
 
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, text_tag (xxhash64 of the text), n_bytes, n_removed, n_spans, kept_sha256, kept_text.
-
-    ``kept_text`` is what the remaining bytes spell, without characters that were cut in two; it is null where nothing or all is removed."""
+def _found(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, tagged, ranges): rows (doc_id, text, row_tag), what is known of each as a whole, and its ranges that go."""
     spark = docs.sparkSession
     n = C.partitions(spark)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.xxhash64("text").alias("row_tag"))
+    rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.xxhash64("text").alias("row_tag"))
     info = C.cut(rows.select("doc_id", "row_tag", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
     firsts = info.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    tagged = C.cut(info.join(firsts, "sha").withColumn("text_tag", F.col("row_tag")))
-    originals = tagged.where(F.col("doc_id") == F.col("first"))
+    tagged = C.cut(info.join(firsts, "sha"))
     # entries name a row by doc_id alone, unless a doc_id has several texts
     several = bool(info.groupBy("doc_id").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a <> b").head(1))
-    keyed = rows if several else rows.withColumn("row_tag", F.lit(0).cast("long"))
     if not several:
-        tagged, originals = (x.withColumn("row_tag", F.lit(0).cast("long")) for x in (tagged, originals))
+        rows, tagged = (x.withColumn("row_tag", F.lit(0).cast("long")) for x in (rows, tagged))
+    alone = tagged.where(F.col("doc_id") == F.col("first")).select("doc_id", "row_tag").distinct()
     buckets = 2 * n
-    parsed = keyed.withColumnRenamed("row_tag", "tag").mapInArrow(lambda it: _parse(it, buckets), _PARSED)
+    parsed = rows.withColumnRenamed("row_tag", "tag").mapInArrow(lambda it: _parse(it, buckets), _PARSED)
     found = C.cut(parsed.repartition(buckets, F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))).mapInArrow(_sort_parse, _FOUND), free=True)
-    alone = originals.select("doc_id", "row_tag").distinct()
     gone = found.where("gone is not null").select("doc_id", "row_tag", "gone")
     asked = found.where("asked is not null").groupBy("doc_id", "row_tag").agg(F.collect_list("asked").alias("asked"), F.collect_list("trigger").alias("triggers"))
-    settled = keyed.join(asked, ["doc_id", "row_tag"]).mapInArrow(lambda it: _fetch(it, 4 * n, length), "bucket int, doc binary, tag binary, place binary, more binary, trigger binary, bytes binary")
+    settled = rows.join(asked, ["doc_id", "row_tag"]).mapInArrow(lambda it: _fetch(it, 4 * n, length), "bucket int, doc binary, tag binary, place binary, more binary, trigger binary, bytes binary")
     settled = C.cut(settled.repartition(4 * n, "bucket").mapInArrow(lambda it: _dictionary(it, length), "doc_id long, row_tag long, gone binary"), free=True)
     ranges = gone.unionAll(settled).join(alone, ["doc_id", "row_tag"], "left_semi").groupBy("doc_id", "row_tag").agg(F.collect_list("gone").alias("gone"))
-    laid = keyed.join(ranges, ["doc_id", "row_tag"]).mapInArrow(lambda it: _lay(it, length), "doc_id long, row_tag long, n_removed long, n_spans long, kept_sha256 string, kept_text string").dropDuplicates(["doc_id", "row_tag"])
-    copy, long = F.col("doc_id") > F.col("first"), F.col("n_bytes") >= length
-    return tagged.join(laid, ["doc_id", "row_tag"], "left").select(
-        "doc_id", "text_tag", "n_bytes",
-        F.when(copy & long, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-        F.when(copy & long, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))).alias("n_spans"),
-        F.when(copy & long, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), "kept_text")
+    return rows, tagged, ranges
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text)."""
+    rows, tagged, ranges = _found(docs, length)
+    laid = rows.join(ranges, ["doc_id", "row_tag"]).mapInArrow(lambda it: _lay(it, length), "doc_id long, row_tag long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "row_tag"])
+    whole = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= length)  # a copy of an earlier text
+    out = tagged.join(laid, ["doc_id", "row_tag"], "left").select(
+        "doc_id", "n_bytes",
+        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))).alias("n_spans"),
+        F.when(whole, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"))
+    text, none = F.coalesce("text", F.lit("")).cast("binary"), F.lit(0).cast("long")
+    return out.unionAll(docs.where("doc_id is null").select("doc_id", F.length(text).cast("long"), none, none, F.sha2(text, 256)))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with what the remaining bytes spell as text (a character cut in two goes whole), and n_chars to match.
+
+    All columns pass through, whatever their names; texts that keep all their bytes are as they were, null included."""
+    _, tagged, ranges = _found(docs, length)
+    whole = tagged.where((F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= length)).select("doc_id", "row_tag", F.lit(None).cast("array<binary>").alias("gone")).distinct()
+    several = bool(tagged.where("row_tag <> 0").head(1))
+    doc, tag, gone, new = (free_name(docs, c) for c in ("cut_doc", "cut_tag", "cut_ranges", "cut_text"))
+    found = ranges.unionAll(whole).select(F.col("doc_id").alias(doc), F.col("row_tag").alias(tag), F.col("gone").alias(gone))
+    same = F.xxhash64(docs["text"]) == F.col(tag) if several else F.lit(True)
+    joined = docs.join(found, (docs["doc_id"] == F.col(doc)) & same, "left")
+
+    @F.pandas_udf("string")
+    def kept(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else "" if r is None else kept_bytes(t.encode(), r, length)[0].decode("utf-8", "ignore") for t, r in zip(texts, lists, strict=True)], dtype=object)
+
+    # the text goes through Python only where ranges were found
+    hit = F.col(doc).isNotNull()
+    joined = joined.withColumn(new, kept(F.when(hit, docs["text"]), F.col(gone)))
+    changed = {"text": F.col(new), "n_chars": F.char_length(new)}
+    return joined.select(*(F.when(hit, changed[c.lower()]).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c) if c.lower() in changed else docs[c] for c in docs.columns))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``op6_suffix_array_dedup``: the operator over the whole of ``documents`` at 50 bytes."""
-    return remove_repeats(C.table(spark, sf_dir, "documents")).drop("text_tag", "kept_text")
+    return remove_repeats(C.table(spark, sf_dir, "documents"))

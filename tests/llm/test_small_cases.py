@@ -466,6 +466,21 @@ def test_unigram_models_are_rebuilt():
     assert model.tokenizer().encode("ab a").ids == [3, 1]
 
 
+# ---------------------------------------------------------------- rows without an id
+
+def test_rows_without_ids(spark):
+    text = "same words all over again " * 5
+    df = table(spark, [(None, text), (None, None), (1, text), (2, text)])
+    assert sorted((r.doc_id or 0, r.n_removed) for r in suffix_dedup.remove_repeats(df).collect()) == [(0, 0), (0, 0), (1, 0), (2, len(text))]
+    assert sorted((r.doc_id or 0, r.text or "") for r in suffix_dedup.without_repeats(df).collect()) == [(0, ""), (0, text), (1, text), (2, "")]
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.similarity_components(df).collect()) == [(0, 0), (0, 0), (1, 1), (2, 1)]
+    assert sorted(r.text or "" for r in line_dedup.remove_repeated_lines(df).collect()) == ["", "", "", text]
+    assert packing.pack(df, common.env_path("word_bpe_49k.json")).count() == 4
+    assert corpus_pipeline.join_near_copies(spark, df, "").count() == 3
+    x = spark.createDataFrame([(None, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted((r.vec_id or 0, r.n_links) for r in embedding_dedup.near_duplicates(x).collect()) == [(0, 0), (1, 1), (2, 1)]
+
+
 # ---------------------------------------------------------------- the pipeline
 
 def test_pipeline(spark, tmp_path):
