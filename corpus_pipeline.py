@@ -28,21 +28,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id stays."""
+    """Of each group of similar documents the one with the smallest doc_id stays; rows without a doc_id stay too."""
     groups = ngram_join.similarity_components(docs)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(first, "doc_id", "left_semi").select(*docs.columns).unionAll(docs.where("doc_id is null"))
 
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 50-byte strings that a smaller document has go; a character cut in two goes as a whole."""
-    doc, tag, new = (line_dedup.free_name(docs, c) for c in ("cut_doc", "cut_tag", "cut_text"))
-    found = suffix_dedup.remove_repeats(docs).where("n_removed > 0").dropDuplicates(["doc_id", "text_tag"])
-    found = found.select(F.col("doc_id").alias(doc), F.col("text_tag").alias(tag), F.coalesce("kept_text", F.lit("")).alias(new))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(tag)), "left")
-    text = F.when(F.col(doc).isNull(), docs["text"]).otherwise(F.col(new))
-    out = [text.alias(c) if c == "text" else F.when(F.col(doc).isNull(), docs[c]).otherwise(F.char_length(text)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return joined.where(F.col(doc).isNull() | (F.trim(new) != "")).select(*out)
+    """Bytes of 50-byte strings that a smaller document has go; a document left without text goes too, unless it had none."""
+    flag = line_dedup.free_name(docs, "had_text")
+    marked = docs.withColumn(flag, F.trim(F.coalesce("text", F.lit(""))) != "")
+    return suffix_dedup.without_repeats(marked).where(~F.col(flag) | (F.trim("text") != "")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
