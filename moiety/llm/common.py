@@ -18,7 +18,7 @@ U = np.uint64
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a query.  Arrow batches of long texts are kept small, which bounds what a Python worker holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -57,6 +57,7 @@ def _profile(batches):
                 if len(flat):
                     counts += np.bincount((flat & U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "block", "counts"])
+    C.trim()
     if counts.any():
         blocks = counts.reshape(64, -1)
         some = pa.array([part & 0xFFFF] * 64, pa.int64())
@@ -185,6 +186,7 @@ def _sets(batches, marks):
             ids = batch.column("doc_id")
             for i, j in C.text_slices(offsets, SLICE):
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([s.tobytes() for s in C.shingle_sets(data, offsets[i:j + 1])], pa.binary())], ["id", "s"])
+    C.trim()
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -206,6 +208,7 @@ def _verify(batches, percent):
             keep.append(100 * same >= percent * (len(both) - same) and same > 0)
         keep = pa.array(keep, pa.bool_())
         yield batch.select(["a", "b"]).filter(keep)
+    C.trim()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:

@@ -211,11 +211,13 @@ def fit(x, n, before, labels, rounds: int = 200, rate: float = 0.1, l2: float =
 
 def _described(batches):
     """Slices of a batch with their line features; an empty text gets one empty line."""
+    C.trim(forget=True)
     for batch in batches:
         column = pa.compute.if_else(pa.compute.equal(pa.compute.binary_length(batch.column("text").fill_null("")), 0), "\n", batch.column("text"))
         data, offsets = C.column_bytes(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
         for i, j in C.text_slices(offsets, SLICE):
             yield batch.slice(i, j - i), *line_features(data, offsets[i:j + 1])
+    C.trim()
 
 
 def _sample_features(batches):

@@ -345,6 +345,7 @@ def _lay(batches, length):
             out.append((n, spans, hashlib.sha256(kept).hexdigest()))
         n, s, h = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_tag"), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(h, pa.string())], ["doc_id", "row_tag", "n_removed", "n_spans", "kept_sha256"])
+    C.trim()
 
 
 EMPTY = hashlib.sha256(b"").hexdigest()

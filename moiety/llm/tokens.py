@@ -13,7 +13,7 @@ import numpy as np
 from moiety.llm import common as C
 
 MOST_WORDS, MOST_IDS = 500_000, 5_000_000  #: of a worker's table, which keeps the words met most often beyond
-IDLE_WORDS = 150_000
+IDLE_WORDS = 100_000
 _STOP = ".,;:!?"
 
 
