@@ -8,6 +8,8 @@ against those of whole texts.
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 
 from moiety.llm import common as C
@@ -17,6 +19,11 @@ IDLE_WORDS = 100_000
 _STOP = ".,;:!?"
 
 
+def _letters(word: str) -> bool:
+    """Letters alone, also after the vocabulary's normaliser, which splits some letters into letter and mark."""
+    return word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha()
+
+
 class _Index(dict):
     def __init__(self):
         super().__init__()
@@ -87,22 +94,32 @@ class WordEncoder:
         """Ids of all words, and how many each has; many words in one call where their ends can be told.
 
         A word of letters alone is one piece for the vocabulary, a word of letters and one stop two, and the last id of a
-        piece is known by its end-of-word mark.  Other words are kept apart by a special token's text."""
+        piece is known by its end-of-word mark; a call whose marks are not as many as its pieces is asked again word by word.
+        Other words are kept apart by a special token's text."""
         texts = [w.decode("utf-8", "surrogatepass") for w in words]
         pieces = np.zeros(len(texts), np.int64)
         if self.ends.any():
             for k, w in enumerate(texts):
-                low = w.lower()
-                if low.isalpha() and w.isalpha():
+                if _letters(w):
                     pieces[k] = 1
-                elif w[-1] in _STOP and low[:-1].isalpha() and w[:-1].isalpha():
+                elif w[-1] in _STOP and _letters(w[:-1]):
                     pieces[k] = 2
         call = self.tokenizer.encode_batch_fast
         told = lambda joined: np.concatenate([np.array(e.ids, np.uint32) for e in call(joined, add_special_tokens=False)]) if joined else np.zeros(0, np.uint32)
         easy, hard = np.flatnonzero(pieces), np.flatnonzero(pieces == 0)
-        flat = told([" ".join([texts[k] for k in easy[i:i + per]]) for i in range(0, len(easy), per)])
-        ends = np.flatnonzero(self.ends[flat])
-        last = ends[np.cumsum(pieces[easy]) - 1] + 1 if len(easy) else np.zeros(0, np.int64)
+        flat, last, used = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        for some in (easy[i:i + per] for i in range(0, len(easy), per)):
+            got = told([" ".join([texts[k] for k in some])])
+            ends = np.flatnonzero(self.ends[got])
+            if len(ends) == pieces[some].sum() and ends[-1] == len(got) - 1:
+                stop = ends[np.cumsum(pieces[some]) - 1] + 1
+            else:  # the pieces are not those expected: each word alone
+                ids = [np.array(e.ids, np.uint32) for e in call([texts[k] for k in some], add_special_tokens=False)]
+                got, stop = np.concatenate(ids), np.cumsum([len(x) for x in ids])
+            flat.append(got)
+            last.append(stop + used)
+            used += len(got)
+        flat, last = np.concatenate(flat), np.concatenate(last)
         if self.mark is None or any("<|" in texts[k] for k in hard):
             ids = [np.array(e.ids, np.uint32) for e in call([texts[k] for k in hard], add_special_tokens=False)]
             rest, n_rest = (np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
