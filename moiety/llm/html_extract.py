@@ -9,8 +9,10 @@ There are no labelled pages to learn from, so the model is trained here, on the
 generator with a fixed seed: articles in containers of many kinds among menus, headers, footers, sidebars, notices, adverts,
 forms and comments.  Training takes seconds, does not depend on the input, and its result is kept for the process.
 
-Content of script, style and other elements that never show text is no block.  Character references are decoded; white
-space in a block becomes one space.  Nothing else is dropped or capped.
+Content of elements that never show text is no block: script, style, textarea and title up to their end tag (or the page's
+end, as in browsers), and those of ``SILENT`` up to their end tag, the end of the element around them, or their own "/>"; one of them
+that is never closed and has no element around it is ignored.  The end tag of head may be missing.  Text of math and of
+object counts as shown.  Character references are decoded; white space in a block becomes one space.  Nothing else is dropped or capped.
 
 Defined results: null or empty html gives empty text and 0; html without tags is one block.  Unclosed elements end with the
 element around them.  Rows that repeat are extracted each; an empty table gives no rows.
@@ -31,15 +33,20 @@ from moiety.llm import common as C
 
 PATHS, WORDS, NUMBERS, HIDDEN = 384, 32, 8, 16
 INPUT = PATHS + WORDS + NUMBERS
-SILENT = "script|style|noscript|template|svg|math|iframe|object|head|title|textarea|select|canvas|audio|video"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S | re.I)
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for n in ("script", "style", "textarea", "title")}
+SILENT = frozenset("noscript template svg iframe select canvas audio video annotation annotation-xml".split())
+NESTED = frozenset("svg template".split())  #: silent elements that may hold themselves
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _MARKS = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math object q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+MATH = frozenset("mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mstyle mspace mpadded mphantom menclose mfenced mtable mtr mtd merror maction semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
 
+BREAKS_SVG = CLOSES_P | frozenset("b big blockquote body br center code em font i p small span strike strong sub sup tt u var".split())  #: not part of a drawing, so they end it
+
 
 def _hash(token: str) -> int:
     return zlib.crc32(token.encode()) % PATHS
@@ -80,19 +87,54 @@ def blocks(page: str, cache: dict) -> list[tuple[tuple, str, float]]:
             parts.clear()
         links = 0
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        a, b = m.span()
-        if a > at:
+    def closed(name):
+        if name not in ended:
+            ended[name] = max((e.start() for e in re.finditer(f"</{name}", page, re.I)), default=-1)
+        return ended[name] >= at
+
+    at, quiet, ended = 0, [], {}
+    while True:
+        m = _TOKEN.search(page, at)
+        a = m.start() if m else len(page)
+        if a > at and not quiet:
             parts.append(page[at:a])
             links += (a - at) if linked else 0
-        at = b
-        if m[1] or page.startswith("<!", a) or page.startswith("<?", a):
+        if not m:
+            break
+        at = m.end()
+        if page[a + 1] in "!?":
             continue
         tag = _tag(m[0], cache)
         if tag is None:
             continue
         name, ends, tokens = tag
+        empty = m[0].endswith("/>")
+        if name in _RAW and not ends and not (quiet and quiet[0] == "svg" and (empty or not closed(name))):
+            e = _RAW[name].search(page, at)
+            at = e.end() if e else len(page)
+            continue
+        if quiet:
+            if ends and name in quiet:
+                del quiet[len(quiet) - 1 - quiet[::-1].index(name) if name in NESTED or name not in SILENT else quiet.index(name):]
+                continue
+            if ends:
+                over = name == "head" or any(name == n for n, _ in stack)
+            else:
+                over = name == "body" and all(n != "body" for n, _ in stack) or quiet[0] == "svg" and name in BREAKS_SVG and not {"foreignobject", "desc", "title"}.intersection(quiet)
+            if not over:
+                if not ends and not empty and name not in VOID:
+                    quiet.append(name)
+                continue
+            quiet.clear()
+        if name == "head":  # what shows no text in it is silent by itself; all else ends it
+            continue
+        if name in SILENT:
+            if not ends and not empty and (closed(name) or any(n not in ("html", "body") for n, _ in stack)):
+                quiet.append(name)
+            continue
+        if name in MATH:
+            parts += [] if ends else [" "]
+            continue
         if name in INLINE:
             if name == "a":
                 linked = max(0, linked + (-1 if ends else 1))
@@ -113,8 +155,6 @@ def blocks(page: str, cache: dict) -> list[tuple[tuple, str, float]]:
             if len(stack) < 200:
                 stack.append((name, tokens))
         path = tuple(t for _, t in stack)
-    if at < len(page):
-        parts.append(page[at:])
     close()
     return out
 

@@ -2,7 +2,9 @@
 
 import unicodedata
 
-from moiety.llm import common, tokens
+import pytest
+
+from moiety.llm import common, html_extract, tokens
 
 VOCABULARY = common.env_path("word_bpe_49k.json")
 
@@ -31,3 +33,20 @@ def test_joined_call_with_other_pieces_is_asked_word_by_word(monkeypatch):
     flat, n = own._ask([w.encode() for w in words])
     want = [own.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
     assert n.tolist() == [len(x) for x in want] and flat.tolist() == sum(want, [])
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<head><title>t</title><body><article><p>One.</p></article>", "One."),
+    ("<html><head><meta charset=x><noscript><link href=x><title>t</title><article>One.</article>", "One."),
+    ("<article>One.<svg /> Two. Three.</article>", "One. Two. Three."),
+    ("<article>One.<math/> Two.<object data=x /> Three.<iframe src=x /> Four.</article>", "One. Two. Three. Four."),
+    ("<article>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>y</annotation></math>, <object><b>shown</b></object>.</article>", "Let x = 2, shown."),
+    ("<div>One.<svg><g><path d=x><title/><style/></svg> Two.<svg><g></div><p>Three.", "One. Two. Three."),
+    ("<div>One.<svg><path d=x><p>Two.</div><p>Three.", "One. Two. Three."),
+    ("<div>A<svg><svg></svg>no<foreignObject><p>no</p></foreignObject></svg>B<template>no<template>no</template>no</template></div>", "AB"),
+    ("<p>A<script>if (a<b) '<p>'</script>B<select><option>no<option>no</select>C<textarea>no</textarea>D<noscript><div>no</div></noscript></p>", "ABCD"),
+    ("<body>A<video>B", "AB"),
+    ("İ<svg>no</SVG>A<iframe><iframe></iframe>B", "İAB"),
+])
+def test_no_shown_text_of_a_page_is_lost(page, want):
+    assert " ".join(t for _, t, _ in html_extract.blocks(page, {})) == want
