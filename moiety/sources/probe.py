@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from moiety.functions import scalar as S
 
-HEAD, TAIL = 65536, 262144  #: bytes looked at from either end of a file
+HEAD, TAIL = 1 << 20, 1 << 20  #: bytes looked at from either end of a file, as many as the reference takes
 
 
 def read_files(spark: SparkSession, path: str, head: int = HEAD, tail: int = TAIL) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 
 from moiety import catalog
+from moiety.sources import probe
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +37,13 @@ def test_components_over_all_orders(spark, small):
 def test_descriptors_of_all_parts(spark, small):
     got = {tuple(r) for r in catalog.QUERIES["step_descriptor_whole"](spark, small).select("part", "label", "faces", "vertex_points", "boundary_edges", "surface", "curve").collect()}
     assert got == {(k, f"part {k}", 1, 2, 1, "PLANE", "LINE") for k in range(1, 24)}
+
+
+def test_markers_in_the_first_and_last_mebibyte(spark, tmp_path):
+    data = bytearray(b" " * 2_500_000)
+    for at in (10, 70_000, 1_000_000, 1_600_000, 2_400_000):
+        data[at:at + 8] = b"PRODUCT("
+    (tmp_path / "a.step").write_bytes(data)
+    files = probe.read_files(spark, f"file://{tmp_path}")
+    assert probe.step_markers(files, "head").first()["product_count"] == 3
+    assert probe.step_markers(files, "tail").first()["product_count"] == 2
