@@ -10,7 +10,8 @@ in double precision on the original vectors.  The best of each lot are kept, and
 How many are enough is a share of the lot (``verify``), with windows taking up the same share of each array at every
 size, so recall depends on the data and not on their number; tests measure it against brute force.
 
-Every vector is indexed.  Lots are made by a hash of vec_id, so equal vectors spread over lots; queries go to every lot in
+Every distinct vector is indexed once, with the k + 1 smallest of its ids, so a group of equal vectors takes one place in the arrays
+and its smallest ids, which win ties, are never missed.  Lots are made by a hash of the vector; queries go to every lot in
 blocks.  Lots grow in number with the vectors, and a block of queries with a lot is one task's work.
 
 Defined results: vectors that are null, zero, or that hold null or non-finite components take no part, as queries or as
@@ -62,32 +63,38 @@ def candidates(index: np.ndarray, queries: np.ndarray, projections: int, thresho
         yield np.flatnonzero(found)
 
 
-def _best(score, ids, k):
-    order = np.lexsort((ids, -score))[:k]
-    return order
+def _best(score, ids: list, own: int, k: int) -> list[tuple[float, int]]:
+    """(score, id) of the k best distinct ids other than ``own`` of vectors with scores and sorted lists of ids."""
+    least = np.array([next((i for i in x[:2] if i != own), -1) for x in ids], np.int64)
+    best, met = {}, set()
+    for v in np.lexsort((least, -score)):
+        if len(met) == k:  # so many ids come before all of this vector's
+            break
+        for i in ids[v]:
+            if i != own:
+                best[i] = max(best.get(i, -np.inf), score[v])
+        if len(ids[v]) > 1 or ids[v][0] != own:
+            met.add(int(least[v]))
+    return sorted(((s, i) for i, s in best.items()), key=lambda x: (-x[0], x[1]))[:k]
 
 
 def _search(table, projections, threshold, verify, k):
-    """One lot of vectors with a block of queries: the k best of the lot for each query."""
+    """One lot of distinct vectors with a block of queries: the k best ids of the lot for each query."""
     table = table.combine_chunks()
     dim = table.column("dim")[0].as_py()
     is_query = table.column("query").to_numpy(zero_copy_only=False)
-    ids = table.column("id").to_numpy()
+    ids = table.column("ids").to_pylist()
     x = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(-1, dim)
     norm = np.linalg.norm(x, axis=1)
     unit = x / norm[:, None]
     q, v = np.flatnonzero(is_query), np.flatnonzero(~is_query)
-    out = [[], [], []]
+    out = []
     for i, found in zip(q, candidates(unit[v], unit[q], projections, threshold, verify, k + 1), strict=True):
         found = v[found]
-        found = found[ids[found] != ids[i]]
         score = (x[found] @ x[i]) / (norm[found] * norm[i])
-        top = _best(score, ids[found], 2 * k)
-        out[0].append(np.full(len(top), ids[i]))
-        out[1].append(ids[found[top]])
-        out[2].append(score[top])
-    q_, v_, s_ = (np.concatenate(z) if z else np.zeros(0) for z in out)
-    return pa.table({"query_id": pa.array(q_.astype(np.int64)), "vec_id": pa.array(v_.astype(np.int64)), "score": pa.array(s_.astype(np.float64))})
+        out += [(ids[i][0], n, s) for s, n in _best(score, [ids[f] for f in found], ids[i][0], k)]
+    q_, v_, s_ = zip(*out, strict=True) if out else ((), (), ())
+    return pa.table({"query_id": pa.array(q_, pa.int64()), "vec_id": pa.array(v_, pa.int64()), "score": pa.array(s_, pa.float64())})
 
 
 def _vectors(batches):
@@ -106,10 +113,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int
     asked = queries.select("vec_id", "embedding").where("vec_id is not null and embedding is not null")
     n, m = whole.count(), asked.count()
     lots, blocks = max(1, -(-n // lot)), max(1, -(-m // block))
-    index = whole.mapInArrow(_vectors, kind).withColumn("lot", F.pmod(F.xxhash64("id", F.xxhash64("vector")), F.lit(lots)).cast("int"))
+    # equal vectors are one, with the smallest ids that can be among the k of a query (which may be one of them)
+    index = whole.mapInArrow(_vectors, kind).distinct().withColumn("n", F.row_number().over(Window.partitionBy("dim", "vector").orderBy("id"))).where(F.col("n") <= k + 1)
+    index = index.groupBy("dim", "vector").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("lot", F.pmod(F.xxhash64("vector"), F.lit(lots)).cast("int"))
     index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("query", F.lit(False))
     ask = asked.mapInArrow(_vectors, kind).groupBy("id").agg(F.min(F.struct("dim", "vector")).alias("x")).select("id", "x.*")
-    ask = ask.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).withColumn("query", F.lit(True))
+    ask = ask.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).withColumn("query", F.lit(True)).withColumn("ids", F.array("id")).drop("id")
     both = index.unionByName(ask).repartition("dim", "lot", "block")
     found = both.groupBy("dim", "lot", "block").applyInArrow(lambda t: _search(t, projections, threshold, verify, k), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

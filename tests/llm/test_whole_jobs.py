@@ -2,9 +2,10 @@
 
 import unicodedata
 
+import numpy as np
 import pytest
 
-from moiety.llm import common, html_extract, tokens
+from moiety.llm import ann, common, html_extract, tokens
 
 VOCABULARY = common.env_path("word_bpe_49k.json")
 
@@ -50,3 +51,21 @@ def test_joined_call_with_other_pieces_is_asked_word_by_word(monkeypatch):
 ])
 def test_no_shown_text_of_a_page_is_lost(page, want):
     assert " ".join(t for _, t, _ in html_extract.blocks(page, {})) == want
+
+
+def test_neighbours_among_copies_and_repeated_ids(spark):
+    r = np.random.RandomState(4)
+    base = r.normal(size=(500, 8))
+    near = base[1] + 0.01 * r.normal(size=(40, 8))
+    rows = [(k + 1000, v.tolist()) for k, v in enumerate(base)] + [(k, base[0].tolist()) for k in range(300)] + [(7000, v.tolist()) for v in near]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for x in ann.search(df, df.where("vec_id in (0, 150, 1000, 1001)"), k=5, lot=10_000).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append(x.vec_id)
+    assert got[0] == [1, 2, 3, 4, 5] and got[150] == got[1000] == [0, 1, 2, 3, 4]
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    best = {}
+    for i, v in rows:
+        best[i] = max(best.get(i, -1), float(unit(np.array(v)) @ unit(base[1])))
+    assert len(got[1001]) == len(set(got[1001])) == 5 and got[1001][0] == 7000
+    assert len(set(got[1001]) & set(sorted((i for i in best if i != 1001), key=lambda i: (-round(best[i], 12), i))[:5])) >= 4
