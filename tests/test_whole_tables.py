@@ -47,3 +47,25 @@ def test_markers_in_the_first_and_last_mebibyte(spark, tmp_path):
     files = probe.read_files(spark, f"file://{tmp_path}")
     assert probe.step_markers(files, "head").first()["product_count"] == 3
     assert probe.step_markers(files, "tail").first()["product_count"] == 2
+
+
+def test_latest_and_markers_of_all_rows(spark, small, tmp_path):
+    got = {tuple(r) for r in catalog.QUERIES["latest_by_key_whole"](spark, small).select("p_partkey", "initial").collect()}
+    assert got == {(k, "P") for k in range(1, 24)}
+    spark.createDataFrame([(1, "x product( y PRODUCT("), (3, "none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.doc_id, r.product_count) for r in catalog.QUERIES["step_markers_whole"](spark, str(tmp_path)).collect()} == {(1, 2), (3, 0)}
+
+
+def test_weighted_distances_of_all_pairs(spark, tmp_path):
+    spark.createDataFrame([(k, k * 9, 100.0 + k) for k in range(1, 5)], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k, "N", 1.0 * k, 10.0 * k) for k in range(1, 5)], "l_partkey long, l_returnflag string, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for mode in ("strict", "family"):
+        got = {(r.part_a, r.part_b) for r in catalog.QUERIES[f"weighted_distance_{mode}_whole"](spark, str(tmp_path)).collect()}
+        assert got == {(a, b) for a in range(1, 5) for b in range(a + 1, 5)}
+
+
+def test_shapes_of_all_parts(spark, small):
+    got = {}
+    for r in catalog.QUERIES["rigid_group_whole"](spark, small).collect():
+        got.setdefault(r.group_id, set()).add(r.part_index)
+    assert sorted(map(sorted, got.values())) == [[k for k in range(1, 24) if k % 4 == m] for m in (1, 2, 3, 0)]
