@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,12 @@ _ROOTS: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder in spark.checkpoint.dir; a temporary one (set in the session) only where that is unset, as in tests."""
+    """Folder in spark.checkpoint.dir; where that is unset, a temporary one in a local session, as in tests, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="moiety-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/moiety-{spark.sparkContext.applicationId}"
