@@ -1,18 +1,18 @@
-"""What several operators of this subpackage share: scratch tables, worker caches, numpy hashing, components."""
+"""What several operators of this subpackage share: worker caches, numpy hashing, sums of tables, filters of ids."""
 
 from __future__ import annotations
 
-import atexit
-import gc
 import os
 import sys
-import tempfile
-import uuid
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moiety.operators.graph import component_stars as connected_components  # noqa: F401
+from moiety.sources.scratch import cut, release, scratch_root  # noqa: F401
+
 U = np.uint64
 
 
@@ -22,51 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---------------------------------------------------------------- scratch
-
-def scratch_root(spark: SparkSession) -> str:
-    """Folder in spark.checkpoint.dir; a temporary one (set in the session) only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="moiety-scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/moiety-{spark.sparkContext.applicationId}"
-
-
-def cut(df: DataFrame, free: bool = False) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared scratch folder and read it back: lineage ends there.
-
-    ``free`` asks the driver to collect its garbage afterwards, so that large shuffles no longer needed leave the disks."""
-    spark, schema = df.sparkSession, df.schema
-    root = scratch_root(spark)
-    path = f"{root}/{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4").parquet(path)
-    if free:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    if root not in _ROOTS:
-        _ROOTS.add(root)
-        atexit.register(release)
-    return spark.read.schema(schema).parquet(path)
-
-
-_ROOTS: set[str] = set()
-
-
-def release() -> None:
-    """Delete this application's scratch tables (at exit; earlier only when no result is read any more)."""
-    try:
-        spark = SparkSession.getActiveSession()
-        root = scratch_root(spark)
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        _ROOTS.discard(root)
-    except Exception:  # the JVM may be gone already; the folder's owner removes the rest
-        pass
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -208,35 +163,6 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> lis
     return out
 
 
-# ---------------------------------------------------------------- components
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every vertex of ``edges`` (a, b): the smallest id that it reaches.
-
-    Alternating large-star and small-star steps (Kiveris et al. 2014).  Each step is a minimum per vertex, with
-    map-side combining, and a join whose large side adaptive execution can split, so one vertex may have a third of
-    all edges.  Every two steps end in a table of the scratch folder.  Loops and repeated edges are allowed."""
-    def stats(df):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-
-    e = cut(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct())
-    seen = stats(e)
-    while seen[0]:
-        both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        large = large.distinct()
-        roots = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(roots, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").unionAll(roots.select("hi", F.col("m").alias("lo")))
-        e = cut(small.distinct())
-        now = stats(e)
-        if now == seen:
-            break
-        seen = now
-    trim()
-    return e.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionAll(e.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
-
-
 def utf8(text) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
@@ -250,73 +176,85 @@ def env_path(name: str) -> str:
 
 # ---------------------------------------------------------------- sums of fixed-size tables
 
+def pack_counts(x: np.ndarray) -> bytes:
+    """int64 counters as compressed byte planes: mostly small numbers take few bytes."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpack_counts(raw) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
+
+
 def _sum_blocks(batches):
     import pyarrow as pa
 
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, b in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
-            x = np.frombuffer(b.as_buffer(), np.int64)
+            x = unpack_counts(b.as_buffer())
             total[k] = total[k] + x if k in total else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([pack_counts(x) for x in total.values()], pa.binary())], ["block", "counts"])
 
 
 def summed_table(rows: DataFrame, size: int, blocks: int) -> np.ndarray:
-    """Sum of tables of ``size`` int64 counters that tasks left as rows (block, counts, salt): salted first, so no task gets all."""
+    """Sum of tables of ``size`` counters that tasks left as rows (block, counts, salt): salted first, so no task gets all."""
     kind = "block int, counts binary"
     first = rows.repartition("block", F.pmod("salt", F.lit(16))).select("block", "counts").mapInArrow(_sum_blocks, kind)
     out = np.zeros(size, np.int64)
     width = size // blocks
     for r in first.repartition("block").mapInArrow(_sum_blocks, kind).collect():
-        out[r.block * width:(r.block + 1) * width] += np.frombuffer(r.counts, np.int64)
+        out[r.block * width:(r.block + 1) * width] += unpack_counts(r.counts)
     trim()
     return out
 
 
 # ---------------------------------------------------------------- which rows to look at again
 
-BITS = 1 << 24  #: of the table below: 2 MB whatever the corpus
+PART = 1 << 21  #: bits of a part of the table below
 
 
-def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         h = mix(ids.astype(np.int64).view(U) + U(0x9E3779B97F4A7C15))
-    return (h & U(BITS - 1)).astype(np.int64), ((h >> U(32)) & U(BITS - 1)).astype(np.int64)
+    return (h & U(bits - 1)).astype(np.int64), ((h >> U(32)) & U(bits - 1)).astype(np.int64)
 
 
-def _mark(batches):
+def _mark(batches, bits):
     import pyarrow as pa
 
-    marks, some = np.zeros(BITS, bool), 0
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        some += len(ids)
-        for at in _places(ids):
-            marks[at] = True
-    if some:
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(marks).tobytes()], pa.binary())], ["marks"])
+        at = np.sort(np.concatenate(_places(batch.column(0).to_numpy(zero_copy_only=False), bits)))
+        edges = np.flatnonzero(np.diff(at // PART, prepend=-1))
+        parts = np.split((at % PART).astype(np.uint32), edges[1:]) if len(edges) else []
+        yield pa.RecordBatch.from_arrays([pa.array((at // PART)[edges], pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "places"])
 
 
 def _merge_marks(batches):
     import pyarrow as pa
 
-    marks = np.zeros(BITS // 8, np.uint8)
+    marks: dict[int, np.ndarray] = {}
     for batch in batches:
-        for x in batch.column("marks"):
-            marks |= np.frombuffer(x.as_buffer(), np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([marks.tobytes()], pa.binary())], ["marks"])
+        for k, x in zip(batch.column("part").to_pylist(), batch.column("places"), strict=True):
+            marks.setdefault(k, np.zeros(PART, bool))[np.frombuffer(x.as_buffer(), np.uint32)] = True
+    yield pa.RecordBatch.from_arrays([pa.array(list(marks), pa.int32()), pa.array([np.packbits(m).tobytes() for m in marks.values()], pa.binary())], ["part", "marks"])
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter (2 probes, BITS bits) of the single long column of ``ids``: rows it passes still have to be joined."""
-    marks = np.zeros(BITS // 8, np.uint8)
-    for r in ids.mapInArrow(_mark, "marks binary").repartition(8).mapInArrow(_merge_marks, "marks binary").collect():
-        marks |= np.frombuffer(bytes(r.marks), np.uint8)
-    return marks
+def id_filter(ids: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter (2 probes) of the single long column of ``ids``, about ``n`` rows: rows it passes still have to be joined.
+
+    It has 16 bits a row, from 256 kB to 32 MB; beyond 17 million rows it lets more through and nothing else changes."""
+    bits = PART
+    while bits < 16 * n and bits < 1 << 28:
+        bits *= 2
+    out = np.zeros(bits // 8, np.uint8)
+    for r in ids.mapInArrow(lambda it: _mark(it, bits), "part int, places binary").repartition("part").mapInArrow(_merge_marks, "part int, marks binary").collect():
+        out[r.part * (PART // 8):(r.part + 1) * (PART // 8)] |= np.frombuffer(bytes(r.marks), np.uint8)
+    return out
 
 
 def passes(marks: np.ndarray, ids: np.ndarray) -> np.ndarray:
     out = np.ones(len(ids), bool)
-    for at in _places(ids):
+    for at in _places(ids, 8 * len(marks)):
         out &= (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
     return out

@@ -68,7 +68,7 @@ def _tokenise(batches, path, end_id, size, wide):
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()), strict=True)], names)
         seq, before = seq + 1, before + len(ids)
     if seq:
-        row = [None] * 7 + [0, counts.tobytes(), part & 0xFFFF]
+        row = [None] * 7 + [0, C.pack_counts(counts), part & 0xFFFF]
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()), strict=True)], names)
 
 

@@ -69,18 +69,68 @@ def brute_components(sets, links):
     return {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize("long_list,block_list,rounds", [(8, 64, 2), (2, 4, 1), (2, 2, 0)])
-def test_ngram_join(spark, long_list, block_list, rounds):
-    rows = corpus(2)
+def brute_similar(rows):
     sets = brute_sets(rows)
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
-    want = brute_components(sets, links)
-    got = {r.doc_id: r for r in ngram_join.similarity_components(table(spark, rows, True), long_list=long_list, block_list=block_list, rounds=rounds, block=300).collect()}
+    return sets, brute_components(sets, links)
+
+
+@pytest.mark.parametrize("block,hot", [(300, 1 << 17), (2000, 3), (200_000, 1)])
+def test_ngram_join(spark, block, hot):
+    rows = corpus(2)
+    sets, want = brute_similar(rows)
+    got = {r.doc_id: r for r in ngram_join.similarity_components(table(spark, rows, True), block=block, hot=hot).collect()}
     assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
     assert {i: r.component_id for i, r in got.items()} == want
     assert want[4] == 3 and want[0] == 0 and want[1] == 1
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ngram_join_of_a_passage_in_a_third_of_the_documents(spark, seed):
+    """Texts that are mostly one passage: some pairs reach the threshold, most fall short of it."""
+    r = random.Random(seed)
+    passage = prose(r, 60).split()
+    rows = []
+    for k in range(240):
+        if k % 3:
+            rows.append((k, prose(r, r.randint(5, 60))))
+        else:
+            at, own = r.randrange(len(passage)), prose(r, r.randint(0, 14)).split()
+            words = passage[:at] + ["w%d" % r.randrange(9)] * r.randint(0, 2) + passage[at + r.randint(0, 3):]
+            rows.append((k, " ".join(own + words if r.random() < 0.5 else words + own)))
+    got = {x.doc_id: x.component_id for x in ngram_join.similarity_components(table(spark, rows), block=3000).collect()}
+    want = brute_similar(rows)[1]
+    assert got == want and 1 < len({want[k] for k in range(0, 240, 3)}) < 80
+
+
+def test_ngram_join_of_repeated_ids(spark):
+    """Rows of one doc_id are one vertex."""
+    r = random.Random(6)
+    a, b = prose(r, 60), prose(r, 90)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, prose(r, 50)), (4, prose(r, 50)), (5, a), (5, a)]
+    got = {(x.doc_id, x.component_id) for x in ngram_join.similarity_components(table(spark, rows)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 1)}
+
+
+@pytest.mark.parametrize("percent", [75, 90])
+def test_shingles_that_prefixes_have_to_share(percent):
+    """No two similar sets share fewer shingles of their prefixes than ``enough`` says."""
+    r = np.random.RandomState(3)
+    for _ in range(400):
+        n = r.randint(1, 60)
+        x = set(r.choice(200, n, replace=False).tolist())
+        y = set(x)
+        for _ in range(r.randint(0, 9)):
+            y.add(int(r.randint(200))) if r.rand() < 0.5 else y.discard(next(iter(y), None))
+        if not y or 100 * len(x & y) < percent * len(x | y):
+            continue
+        lx, ly = (int(r.randint(1, 9)) for _ in "xy")
+        px, py = (sorted(s)[:len(s) - -(-percent * len(s) // 100) + k] for s, k in ((x, lx), (y, ly)))
+        lx, ly = (min(k, -(-percent * len(s) // 100)) for s, k in ((x, lx), (y, ly)))
+        need = ngram_join.enough(len(x), lx, px[-1] // 20, len(y), ly, py[-1] // 20, percent)
+        assert len(set(px) & set(py)) >= need
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.similarity_components(table(spark, [])).count() == 0
     assert ngram_join.similarity_components(table(spark, [(1, None), (2, "")])).count() == 2
