@@ -69,3 +69,48 @@ def test_neighbours_among_copies_and_repeated_ids(spark):
         best[i] = max(best.get(i, -1), float(unit(np.array(v)) @ unit(base[1])))
     assert len(got[1001]) == len(set(got[1001])) == 5 and got[1001][0] == 7000
     assert len(set(got[1001]) & set(sorted((i for i in best if i != 1001), key=lambda i: (-round(best[i], 12), i))[:5])) >= 4
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_search_reaches_recall(spark, sf):
+    """The query with its own settings against brute force over the whole table, in double precision."""
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = {r.vec_id: np.array(r.embedding, float) for r in rows if r.embedding is not None and None not in r.embedding}
+    x = {i: v / np.linalg.norm(v) for i, v in x.items() if np.isfinite(v).all() and v.any()}
+    ids, all_ = np.array(list(x)), np.stack(list(x.values()))
+    found = ann.op3(spark, f"/root/testdata/{sf}")
+    assert found.columns[:4] == ["query_id", "rank", "vec_id", "score"] and [t for _, t in found.dtypes][:4] == ["bigint", "int", "bigint", "double"]
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    asked = [i for i in x if i % 50 == 0]
+    assert set(got) == set(asked)
+    hits = 0
+    for i in asked:
+        score = all_ @ x[i]
+        score[ids == i] = -9
+        fifth = np.sort(score)[-5]
+        assert sorted(got[i]) == [1, 2, 3, 4, 5] and len({v for v, _ in got[i].values()}) == 5
+        assert all(abs(s - x[v] @ x[i]) < 1e-12 for v, s in got[i].values())
+        hits += sum(s >= fifth - 1e-12 for _, s in got[i].values())
+    assert hits >= 0.95 * 5 * len(asked)
+
+
+def test_windows_are_read_once_and_reach_all():
+    """Each entry of an array is counted at most once; without a stop every vector is verified."""
+    r = np.random.RandomState(1)
+    x = r.normal(size=(300, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for (found, read), q in zip(ann.nearest(x, x[:20], 32, 0.7, 0.04, 5, np.arange(300)), x[:20], strict=True):
+        assert len(found) == len(set(found.tolist())) and read <= 32 * 300
+    for found, read in ann.nearest(x, x[:3], 32, 0.7, 2.0, 400, np.arange(300)):
+        assert sorted(found.tolist()) == list(range(300)) and read == 32 * 300
+
+
+def test_neighbours_with_clashing_columns(spark):
+    r = np.random.RandomState(8)
+    rows = [(k, r.normal(size=6).tolist(), "z", 1, [2], 3, True) for k in range(60)]
+    plain = spark.createDataFrame([x[:2] for x in rows], "vec_id long, embedding array<double>")
+    wide = spark.createDataFrame(rows, "vec_id long, embedding array<double>, dim string, id int, ids array<int>, lot int, query boolean")
+    pick = lambda df: sorted(map(tuple, ann.search(df, df.where("vec_id % 50 = 0")).collect()))
+    assert pick(plain) == pick(wide) and len(pick(plain)) == 10
