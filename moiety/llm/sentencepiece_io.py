@@ -7,8 +7,11 @@ fallback.  Models of type unigram become a Unigram model with those scores; mode
 
 Where no piece holds U+2581 after another character, and the normaliser changes nothing but spaces, a text falls apart
 into units (spaces and what follows them) that are encoded independently.  Each worker then encodes a distinct unit once,
-in multithreaded batches, and holds it against the sentencepiece library; a unit whose ids differ takes those of
-sentencepiece, and its documents show parity = false.  Otherwise whole texts are encoded and compared.
+in multithreaded batches; otherwise whole texts are encoded.  Ids are always those of the tokenizers library, and texts are decoded
+by its decoder in batches.  The sentencepiece library only checks: documents whose ids it would give otherwise show parity = false.
+
+Control pieces are special tokens, which no text spells and which decode to nothing; user-defined pieces are found in a text
+before all others; the unknown piece decodes to " \u2047 ", as with sentencepiece.
 
 Defined results: null or empty text has no ids.  As with sentencepiece, U+2581 in a text is decoded as a space, so such a
 text shows round_trip = false.  Rows that repeat are encoded each.
@@ -31,6 +34,7 @@ from moiety.llm import tokens
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)  #: piece types of the format
 UNIGRAM, BPE = 1, 2  #: model types of the format
+HIDDEN = "\ufdd0"  #: a code point that stands for no character, before the names of pieces that no text spells
 
 
 def fields(data: bytes):
@@ -79,15 +83,15 @@ class Model:
         self.dummy_prefix = bool(norm.get(3, 1))
         self.trim = bool(norm.get(4, 1))
         self.unknown = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
-        self.by_units = not self.charsmap and not self.trim and self.dummy_prefix and not any(SPACE in p.lstrip(SPACE) for p, _, _ in self.pieces)
-        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, kind in self.pieces]
+        self.by_units = not self.charsmap and not self.trim and self.dummy_prefix and not any(SPACE in p.lstrip(SPACE) or kind == USER for p, _, kind in self.pieces)
 
     def tokenizer(self):
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+        from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-        ids = {p: i for i, (p, _, _) in enumerate(self.pieces)}
+        names = [HIDDEN + p if kind in (CONTROL, UNUSED) else p for p, _, kind in self.pieces]
+        ids = {p: i for i, p in enumerate(names)}
         if self.kind == UNIGRAM:
-            model = models.Unigram([(p, s) for p, s, _ in self.pieces], self.unknown, self.byte_fallback)
+            model = models.Unigram([(p, s) for p, (_, s, _) in zip(names, self.pieces, strict=True)], self.unknown, self.byte_fallback)
         else:
             merges = []
             for p, score, kind in self.pieces:
@@ -102,7 +106,12 @@ class Model:
         out.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", SPACE)])
         if self.by_units:
             out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}+[^{SPACE}]*"), "isolated")
-        out.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), decoders.Strip(" ", 1, 0)])
+        steps = [decoders.Replace(self.pieces[self.unknown][0], " \u2047 ")] if self.pieces[self.unknown][2] == UNKNOWN else []
+        steps += [decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()]
+        out.decoder = decoders.Sequence([*steps, *([decoders.Strip(" ", 1, 0)] if self.dummy_prefix else [])])
+        out.add_special_tokens([AddedToken(p, normalized=False, special=True) for p, (_, _, kind) in zip(names, self.pieces, strict=True) if kind == CONTROL])
+        out.add_tokens([AddedToken(p, normalized=False) for p, _, kind in self.pieces if kind == USER])
+        out.encode_special_tokens = True
         return out
 
 
@@ -148,11 +157,11 @@ class _Units(tokens.WordEncoder):
         hard = [t for t, p in zip(texts, plain, strict=True) if not p]
         pairs = [([self.blank], [self.blank]) if not t else (x, y) for t, x, y in zip(hard, ours(hard), theirs(hard), strict=True)]
         n, odd = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        n[plain], n[~plain] = n_b, [len(y) for _, y in pairs]
+        n[plain], n[~plain] = n_a, [len(x) for x, _ in pairs]
         odd[plain], odd[~plain] = differs, [x != y for x, y in pairs]
-        both = np.concatenate([b, np.array([i for _, y in pairs for i in y], np.uint32)])
+        both = np.concatenate([a, np.array([i for x, _ in pairs for i in x], np.uint32)])
         first = np.zeros(len(texts), np.int64)
-        first[plain], first[~plain] = np.cumsum(n_b) - n_b, len(b) + np.cumsum(n[~plain]) - n[~plain]
+        first[plain], first[~plain] = np.cumsum(n_a) - n_a, len(a) + np.cumsum(n[~plain]) - n[~plain]
         return both[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n, odd
 
 
@@ -168,9 +177,6 @@ class Codec:
         self.tokenizer = self.model.tokenizer()
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.units = _Units(self.model, self.tokenizer, self.library) if self.model.by_units else None
-        raw = self.model.bytes
-        self.lengths = np.array([len(b) for b in raw], np.int64)
-        self.begins, self.text = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(raw), np.uint8)
 
     def encode_flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, ids of each text, and whether both libraries agree on it."""
@@ -180,7 +186,7 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         words = [t.decode("utf-8", "replace") for t in texts]
         ours, theirs = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)], self.library.encode(words, num_threads=1)
-        return np.array([i for y in theirs for i in y], np.uint32), np.array([len(y) for y in theirs], np.int64), np.array([x == y for x, y in zip(ours, theirs, strict=True)], bool)
+        return np.array([i for x in ours for i in x], np.uint32), np.array([len(x) for x in ours], np.int64), np.array([x == y for x, y in zip(ours, theirs, strict=True)], bool)
 
     def encode(self, texts: list[bytes]) -> list[tuple[list[int], bool]]:
         """(ids, whether both libraries agree) of each text."""
@@ -188,16 +194,10 @@ class Codec:
         ends = np.cumsum(n)
         return [(flat[a:b].tolist(), bool(s)) for a, b, s in zip(ends - n, ends, same, strict=True)]
 
-    def decode_flat(self, flat: np.ndarray, n: np.ndarray) -> list[bytes]:
-        """Texts of flat ids."""
-        size = self.lengths[flat]
-        whole = self.text[np.repeat(self.begins[flat] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
-        texts = [whole[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        return [t[1:] if self.model.dummy_prefix and t[:1] == b" " else t for t in texts]
-
-    def decode(self, ids: list[int]) -> bytes:
-        return self.decode_flat(np.array(ids, np.int64), np.array([len(ids)]))[0]
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        """Texts of lists of ids."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=True)
 
 
 def codec(path: str) -> Codec:
@@ -221,7 +221,8 @@ def _encode(batches, path, with_ids):
             flat, n, same = own.encode_flat(texts)
             view, ends = memoryview(flat.astype("<u4")).cast("B"), 4 * np.cumsum(n)
             raw = [view[b - 4 * k:b] for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
-            back = [a == b for a, b in zip(own.decode_flat(flat, n), texts, strict=True)]
+            every, last = flat.tolist(), np.cumsum(n).tolist()
+            back = [a.encode() == b for a, b in zip(own.decode([every[b - k:b] for b, k in zip(last, n.tolist(), strict=True)]), texts, strict=True)]
             columns = [pa.array(n, pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(back, pa.bool_()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *columns, pa.array([bytes(r) for r in raw] if with_ids else [None] * len(raw), pa.binary())], [x.split()[0] for x in _OUT.split(", ")])
     if own.units is not None:
@@ -238,7 +239,9 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     def run(batches):
         own = codec(path)
         for batch in batches:
-            texts = [None if x is None else own.decode(np.frombuffer(x, "<u4").tolist()).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
+            raw = batch.column("ids").to_pylist()
+            texts = own.decode([[] if x is None else np.frombuffer(x, "<u4").tolist() for x in raw])
+            texts = [None if x is None else t for x, t in zip(raw, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

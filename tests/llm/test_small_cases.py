@@ -516,6 +516,72 @@ def test_unigram_models_are_rebuilt():
     assert model.tokenizer().encode("ab a").ids == [3, 1]
 
 
+def proto(n, kind, value):
+    def number(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+    return number(n << 3 | kind) + (number(len(value)) + value if kind == 2 else value)
+
+
+def made_model(pieces, kind, dummy=1, trim=0, byte_fallback=0):
+    import struct
+
+    data = b"".join(proto(1, 2, proto(1, 2, p.encode()) + proto(2, 5, struct.pack("<f", s)) + proto(3, 0, bytes([t]))) for p, s, t in pieces)
+    data += proto(2, 2, proto(3, 0, bytes([kind])) + proto(35, 0, bytes([byte_fallback])))
+    return data + proto(3, 2, proto(1, 2, b"identity") + proto(3, 0, bytes([dummy])) + proto(4, 0, bytes([trim])) + proto(5, 0, b"\x01"))
+
+
+def test_unigram_model_of_real_size(tmp_path):
+    """All 32,000 pieces as a unigram model: ids and texts of the rebuilt backend are sentencepiece's."""
+    import sentencepiece
+
+    pieces = sentencepiece_io.Model(open(common.env_path("piece_bpe_32k.model"), "rb").read()).pieces
+    scored = [(p, -4.0 - 0.37 * (k % 997) / 97 - k / 3001 if t == sentencepiece_io.NORMAL else 0.0, t) for k, (p, _, t) in enumerate(pieces)]
+    path = tmp_path / "unigram.model"
+    path.write_bytes(made_model(scored, sentencepiece_io.UNIGRAM, byte_fallback=1))
+    library, own = sentencepiece.SentencePieceProcessor(model_file=str(path)), sentencepiece_io.Codec(str(path))
+    assert own.model.kind == sentencepiece_io.UNIGRAM
+    # in a run of one letter several cuts have the same score, and either library may take any
+    texts = [t for _, t in corpus(15) if t and len(set(t)) > 3] + ODD + ["The quick brown fox jumps over the lazy dog, 1234 times.", "naïve café — 東京 🙂"]
+    got = own.encode([t.encode() for t in texts])
+    for t, (ids, same) in zip(texts, got, strict=True):
+        assert ids == library.encode(t) and same, t
+        assert own.decode([ids])[0] == library.decode(ids), t
+
+
+def test_ids_come_from_the_backend_and_the_library_only_checks():
+    class Wrong:
+        def encode(self, x, **_):
+            return [[0] for _ in x]
+
+    own = sentencepiece_io.Codec(common.env_path("piece_bpe_32k.model"))
+    want = own.tokenizer.encode("some text here", add_special_tokens=False).ids
+    texts = [b"some text here", b"", b"one  two"]
+    right = [ids for ids, _ in own.encode(texts)]
+    assert right[0] == want
+    own.library, own.units = Wrong(), None
+    wrong = own.encode(texts)
+    assert [ids for ids, _ in wrong] == right and not wrong[0][1]
+
+
+def test_control_and_user_pieces(tmp_path):
+    """Control pieces are spelled by no text and decode to nothing; user-defined ones are found first; unknown shows as such."""
+    import sentencepiece
+
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("[X]", 0.0, 4), ("▁", -3.0, 1), ("▁a", -1.0, 1), ("b", -2.0, 1), ("a", -2.5, 1), ("▁ab", -1.5, 1)]
+    path = tmp_path / "small.model"
+    path.write_bytes(made_model(pieces, sentencepiece_io.UNIGRAM))
+    library, own = sentencepiece.SentencePieceProcessor(model_file=str(path)), sentencepiece_io.Codec(str(path))
+    assert not own.model.by_units
+    for t in ("ab a", "a[X]b", "ab [X] a", "a<s>b", "zz a"):
+        (ids, same), = own.encode([t.encode()])
+        assert same == (ids == library.encode(t))
+        assert own.decode([[1, *ids, 2]])[0] == library.decode([1, *ids, 2]), t
+    assert 1 not in own.encode([b"a<s>b"])[0][0] and 3 in own.encode([b"a[X]b"])[0][0]
+
+
 # ---------------------------------------------------------------- rows without an id
 
 def test_rows_without_ids(spark):
