@@ -5,7 +5,9 @@ import unicodedata
 import numpy as np
 import pytest
 
-from moiety.llm import ann, common, html_extract, tokens
+from pyspark.sql import functions as F
+
+from moiety.llm import ann, common, embedding_dedup, html_extract, tokens
 
 VOCABULARY = common.env_path("word_bpe_49k.json")
 
@@ -114,3 +116,44 @@ def test_neighbours_with_clashing_columns(spark):
     wide = spark.createDataFrame(rows, "vec_id long, embedding array<double>, dim string, id int, ids array<int>, lot int, query boolean")
     pick = lambda df: sorted(map(tuple, ann.search(df, df.where("vec_id % 50 = 0")).collect()))
     assert pick(plain) == pick(wide) and len(pick(plain)) == 10
+
+
+def _linked(rows, cosine=0.98):
+    """Brute force over rows (vec_id, vector, label): links of each vec_id, and components."""
+    unit = [np.array(np.float32(v), float) / np.linalg.norm(np.array(np.float32(v), float)) for _, v, _ in rows]
+    n, root = {}, {}
+    for i, _, _ in rows:
+        n[i], root[i] = 0, i
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j, (a, _, x) in enumerate(rows):
+        for k, (b, _, y) in enumerate(rows):
+            if a != b and x is not None and x == y and unit[j] @ unit[k] >= cosine:
+                n[a] += 1
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return n, {i: find(i) for i in root}
+
+
+@pytest.mark.parametrize("kind, labels", [("bigint", (1, 1 + (1 << 32), 3)), ("string", ("a", "b", "a b")), ("int", (1, 2, 3))])
+@pytest.mark.parametrize("piece", [8192, 7])
+def test_labels_of_any_type_copies_and_repeated_ids(spark, kind, labels, piece):
+    r = np.random.RandomState(11)
+    base = r.normal(size=(12, 20))
+    rows = []
+    for k in range(160):
+        v = base[r.randint(12)] + r.normal(size=20) * r.choice([0.0, 0.0, 0.05, 0.15])
+        rows.append((int(k if k % 10 else 1000 + k // 40), [float(np.float32(x)) for x in v], None if k % 23 == 5 else labels[r.randint(3)]))
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {kind}")
+    for c in ("id", "n", "own", "block", "cell", "x", "y", "a", "other"):
+        df = df.withColumn(c, F.lit("z"))
+    n, root = _linked(rows)
+    got = embedding_dedup.near_duplicates(df.repartition(3), piece=piece)
+    assert [t for _, t in got.dtypes] == ["bigint", "bigint", "bigint", "boolean"]
+    got = got.collect()
+    assert len(got) == len(rows) and max(n.values()) > 3
+    assert {x.vec_id: x.n_links for x in got} == n and {x.vec_id: x.component_id for x in got} == root
