@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moiety.sources.scratch import cut
@@ -92,9 +92,11 @@ def label_histogram(labels: DataFrame, by: Column | str) -> DataFrame:
 
 
 def renumbered(groups: DataFrame, group: str, member: str) -> DataFrame:
-    """Groups numbered from 1 by their smallest member, without a sort in one task: one row a group is ranked."""
+    """Groups numbered from 1 by their smallest member, without a sort in one task."""
+    from moiety.operators.numbering import numbered
+
     first = groups.groupBy(group).agg(F.min(member).alias("first_member"))
-    ranked = first.withColumn("number", F.row_number().over(Window.orderBy("first_member")))
+    ranked = numbered(first, ["first_member"], "number")
     return groups.join(ranked.select(group, "number"), group).drop(group).withColumnRenamed("number", group)
 
 

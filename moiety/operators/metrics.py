@@ -21,14 +21,14 @@ def pair_counts(df: DataFrame, truth: str, predicted: str, by: list[str] | None
     return join(join(together, sums[0]), sums[1])
 
 
-def adjusted_rand_index(df: DataFrame, truth: str, predicted: str, by: list[str] | None = None) -> DataFrame:
-    """Adjusted Rand index.  Fewer than two rows: 1.  Zero denominator: 1 if the partitions are equal, else 0."""
+def adjusted_rand_index(df: DataFrame, truth: str, predicted: str, by: list[str] | None = None, undefined: float | None = None) -> DataFrame:
+    """Adjusted Rand index.  Fewer than two rows: 1.  Zero denominator: ``undefined``, or 1 if the partitions are equal and else 0."""
     c = pair_counts(df, truth, predicted, by)
     total = S.choose2("n").cast("double")
     expected = F.col("same_truth") * F.col("same_predicted") / total
     top = (F.col("same_truth") + F.col("same_predicted")) / F.lit(2.0)
     equal = (F.col("both") == F.col("same_truth")) & (F.col("both") == F.col("same_predicted"))
-    ari = F.when(F.col("n") < 2, 1.0).when(top == expected, F.when(equal, 1.0).otherwise(0.0)).otherwise((F.col("both") - expected) / (top - expected))
+    ari = F.when(F.col("n") < 2, 1.0).when(top == expected, F.when(equal, 1.0).otherwise(0.0) if undefined is None else F.lit(float(undefined))).otherwise((F.col("both") - expected) / (top - expected))
     return c.select(*(by or []), "n", ari.alias("ari"))
 
 
@@ -94,6 +94,12 @@ def weighted_accuracy(records: DataFrame, stratum: str, total_name: str = "all")
 
 
 def holdout_totals(baseline: DataFrame, candidate: DataFrame, key: str, ari: DataFrame) -> DataFrame:
-    """Smallest agreement and total runtime ratio of two sets of runs (``key``, seconds); runs of one side only are an error of the caller."""
+    """Smallest agreement and total runtime ratio of two sets of runs (``key``, seconds).
+
+    A run without its counterpart, or without an agreement, is an error: the result would speak of fewer runs than were asked for."""
+    sides = baseline.select(key, F.lit(1).alias("side")).unionAll(candidate.select(key, F.lit(2))).unionAll(ari.select(key, F.lit(4)))
+    missing = sides.groupBy(key).agg(F.bit_or("side").alias("sides")).where("sides <> 7").orderBy(key).limit(5).collect()
+    if missing:
+        raise KeyError(f"runs without a counterpart: {', '.join(str(r[0]) for r in missing)}")
     both = baseline.select(key, F.col("seconds").alias("old")).join(candidate.select(key, F.col("seconds").alias("new")), key).join(ari, key)
     return both.agg(F.count("*").alias("run_count"), F.min("ari").alias("minimum_partition_ari"), ratio(F.sum("new"), F.sum("old"), 0.0).alias("runtime_ratio"))

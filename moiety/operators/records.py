@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from moiety.functions import scalar as S
 from moiety.functions import vocabulary as V
+from moiety.operators.naming import free_name
+from moiety.operators.numbering import numbered
 
 
 def left_chain(base: DataFrame, others: list[DataFrame], key: str, default: str = "pending", defaulted: tuple[str, ...] = ()) -> DataFrame:
@@ -32,9 +34,10 @@ def not_in(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def by_manifest_order(df: DataFrame, ids: list[str], key: str) -> DataFrame:
-    """Rows in the order of a manifest's ids."""
-    place = F.array_position(F.array(*(F.lit(str(i)) for i in ids)), F.col(key).cast("string"))
-    return df.where(place > 0).orderBy(place)
+    """Rows in the order of a manifest's ids; an id that the manifest repeats counts at its first place."""
+    place, name = free_name(df, "manifest_place"), free_name(df, "manifest_id")
+    listed = df.sparkSession.createDataFrame([(str(i), k) for k, i in enumerate(dict.fromkeys(map(str, ids)))], f"{name} string, {place} long")
+    return df.join(listed, F.col(key).cast("string") == F.col(name)).orderBy(place).drop(place, name)
 
 
 def incomplete_groups(assignments: DataFrame, n: int) -> DataFrame:
@@ -46,8 +49,10 @@ def incomplete_groups(assignments: DataFrame, n: int) -> DataFrame:
 
 def batches(df: DataFrame, order: str, size: int = 4, workers: int = 4) -> DataFrame:
     """Numbers rows in an order into batches, and batches to workers in turn."""
-    n = F.row_number().over(Window.orderBy(order)) - 1
-    return df.withColumn("batch", F.floor(n / size).cast("long")).withColumn("worker", F.pmod(F.floor(n / size), F.lit(workers)).cast("long"))
+    at = free_name(df, "place_in_order")
+    n = F.col(at)
+    placed = numbered(df, [order], at, 0)
+    return placed.withColumn("batch", F.floor(n / size).cast("long")).withColumn("worker", F.pmod(F.floor(n / size), F.lit(workers)).cast("long")).drop(at)
 
 
 def run_index(reports: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from moiety.functions import vocabulary as V
 from moiety.operators import coverage as cov
 from moiety.operators import discovery, metrics, records
-from moiety.plans import workflow
+from moiety.plans import recorder, workflow
 from moiety.plans.recorder import CycleState
 from moiety.sources import probe, step, tables
 
@@ -74,7 +74,7 @@ def discover(a) -> dict:
 def _sweep(spark: SparkSession, a, config: dict) -> DataFrame:
     near = tables.read_runs(spark, a.runs, "similarities.csv", tables.SIMILARITIES).select("run", "part_a", "part_b", "distance")
     final = tables.read_runs(spark, a.runs).select("run", F.col("part_index").cast("long").alias("part_index"), F.col("group").alias("final"))
-    swept = workflow.threshold_sweep(near, config["optimization"].get("thresholds", [0.12]))
+    swept = workflow.threshold_sweep(near, config["optimization"].get("thresholds", [0.12]), final)
     return swept.join(final, ["run", "part_index"])
 
 
@@ -102,8 +102,8 @@ def benchmark(a) -> dict:
     """Agreement and runtime of two folders of runs, by run."""
     spark = _spark()
     old, new = (tables.read_runs(spark, p).select("run", "part_index", F.col("group").alias(n)) for p, n in ((a.baseline, "old"), (a.candidate, "new")))
-    ari = metrics.adjusted_rand_index(old.join(new, ["run", "part_index"]), "old", "new", ["run"])
-    seconds = lambda p: spark.read.schema("run string, seconds double").json(f"{p}/seconds.jsonl")
+    ari = metrics.adjusted_rand_index(old.join(new, ["run", "part_index"]), "old", "new", ["run"], undefined=1.0)
+    seconds = lambda p: recorder.run_seconds(spark, p)
     return metrics.holdout_totals(seconds(a.baseline), seconds(a.candidate), "run", ari).first().asDict()
 
 

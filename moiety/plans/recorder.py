@@ -9,7 +9,8 @@ from contextlib import contextmanager
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from moiety.sources.tables import file_digests, load_json, write_json
 
@@ -115,3 +116,14 @@ class CycleState:
     def finish(self):
         self.value |= {"status": "completed", "finished_at": now()}
         self.save()
+
+
+def run_seconds(spark: SparkSession, root: str) -> DataFrame:
+    """(run, seconds): the summed stage times in the manifests of the run folders below ``root``; no run gives no rows."""
+    path, kind = f"{root}/*/record/workflow_manifest.json", "stages array<struct<name string, elapsed_seconds double>>"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where):
+        return spark.createDataFrame([], "run string, seconds double")
+    kept = spark.read.schema(kind).option("multiLine", True).json(path)
+    seconds = F.aggregate(F.coalesce("stages", F.array().cast("array<struct<name:string,elapsed_seconds:double>>")), F.lit(0.0), lambda s, x: s + F.coalesce(x["elapsed_seconds"], F.lit(0.0)))
+    return kept.select(F.element_at(F.split("_metadata.file_path", "/"), -3).alias("run"), seconds.alias("seconds"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from moiety.functions import scalar as S
 from moiety.operators import metrics, records
+from moiety.operators.numbering import upper_medians
 from moiety.queries.registry import query, table
 
 C2 = "({0} * ({0} - 1) / 2)"
@@ -72,7 +73,9 @@ def adjacent_threshold_delta(spark, sf_dir):
 
 @query("SELECT event_type, list_sort(list(value))[(count(*) // 2 + 1)::BIGINT] AS upper_median, min(value) AS least, bool_and(value >= 0) AS all_nonnegative FROM events GROUP BY event_type")
 def upper_median_value(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(metrics.upper_median(F.col("value")).alias("upper_median"), F.min("value").alias("least"), F.bool_and(F.col("value") >= 0).alias("all_nonnegative"))
+    events = table(spark, sf_dir, "events")
+    ranges = events.groupBy("event_type").agg(F.min("value").alias("least"), F.bool_and(F.col("value") >= 0).alias("all_nonnegative"))
+    return ranges.join(upper_medians(events, "event_type", "value").withColumnRenamed("median", "upper_median"), "event_type", "left")
 
 
 Z = "1.959963984540054::DOUBLE"

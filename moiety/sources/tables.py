@@ -45,9 +45,20 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, root: str, name: str = "parts.csv", schema: str = PARTS) -> DataFrame:
-    """A file of every run folder, with ``run``: the name of its folder."""
-    files = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).schema(schema).csv(root)
-    return files.withColumn("run", F.element_at(F.split("_metadata.file_path", "/"), -2))
+    """The table ``name`` of every run folder below ``root``, with ``run``: the name of its folder.
+
+    A table is a file of that name, or a folder of that name as this engine's writers leave it.  No run gives no rows."""
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for depth in ("*", "*/*", "*/*/*"):  # runs are folders, or folders of folders
+        at = f"{root}/{depth}/{name}"
+        found += [at] if files.globStatus(jvm.org.apache.hadoop.fs.Path(at)) else []
+    if not found:
+        return spark.createDataFrame([], schema).withColumn("run", F.lit(""))
+    rows = spark.read.option("header", True).schema(schema).csv(found)
+    parts = F.split("_metadata.file_path", "/")
+    return rows.withColumn("run", F.element_at(parts, F.array_position(F.reverse(parts), name).cast("int") * -1 - 1))
 
 
 def load_config(path: str | Path) -> dict:

@@ -12,8 +12,8 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from moiety.functions import scalar as S
-from moiety.operators import cluster, discovery, graph, metrics, pairs, prescreen, records, review, rigid
-from moiety.plans import recorder, workflow
+from moiety.operators import cluster, discovery, graph, metrics, numbering, pairs, prescreen, records, review, rigid
+from moiety.plans import cli, recorder, workflow
 from moiety.sources import probe, step, tables
 
 
@@ -390,3 +390,106 @@ def test_stage_stream(spark, tmp_path):
     q = stage_stream(spark, f"file://{log}").writeStream.format("memory").queryName("stages").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("stages").where("stage = 'one'").first().n == 1
+
+
+# ---------------------------------------------------------------- numbers, medians, runs
+
+def test_numbers_and_medians_without_one_task(spark):
+    r = np.random.RandomState(2)
+    rows = [(int(k), float(r.randint(0, 9)), "abc"[r.randint(3)]) for k in r.permutation(500)] + [(900, 1.5, "d"), (901, None, "d"), (902, 2.5, "d")]
+    df = spark.createDataFrame(rows, "k long, v double, g string").repartition(7)
+    got = numbering.numbered(df.withColumn("offset_x", F.lit(1)), ["k"], "number", 5).orderBy("k").collect()
+    assert [x.number for x in got] == list(range(5, 5 + len(rows))) and [x.k for x in got] == sorted(k for k, _, _ in rows)
+    medians = {x.g: x.median for x in numbering.upper_medians(df, "g", "v").collect()}
+    for g in "abcd":
+        values = sorted(v for _, v, h in rows if h == g and v is not None)
+        assert medians[g] == values[len(values) // 2]
+    batches = {x.k: (x.batch, x.worker) for x in records.batches(df, "k").collect()}
+    assert batches[0] == (0, 0) and batches[4] == (1, 1) and batches[17] == (4, 0)
+
+
+def test_two_conventions_for_an_undefined_index(spark):
+    df = spark.createDataFrame([(1, 1, 1), (2, 2, 2), (3, 3, 3)], "k long, a long, b long")
+    assert metrics.adjusted_rand_index(df, "a", "b").first().ari == 1.0
+    lone = spark.createDataFrame([(1, 1, 1), (2, 1, 1)], "k long, a long, b long")
+    assert metrics.adjusted_rand_index(lone, "a", "b", undefined=1.0).first().ari == 1.0
+
+
+def test_runs_without_a_counterpart_are_an_error(spark):
+    old = spark.createDataFrame([("a", 2.0), ("b", 2.0)], "run string, seconds double")
+    ari = spark.createDataFrame([("a", 1.0), ("b", 0.5)], "run string, ari double")
+    both = metrics.holdout_totals(old, old.withColumn("seconds", F.lit(1.0)), "run", ari).first()
+    assert (both.run_count, both.minimum_partition_ari, both.runtime_ratio) == (2, 0.5, 0.5)
+    with pytest.raises(KeyError, match="b"):
+        metrics.holdout_totals(old, old.where("run = 'a'"), "run", ari)
+
+
+def test_points_are_matched_in_order_to_the_nearest_free_one():
+    r = np.random.RandomState(4)
+    for _ in range(60):
+        n, tolerance = r.randint(1, 12), 0.15
+        target = r.uniform(0, 0.5, (n, 3))
+        moved = target[r.permutation(n)] + r.normal(size=(n, 3)) * 0.03
+        free, want = set(range(n)), []
+        for p in moved:
+            near = sorted((float(np.linalg.norm(p - target[k])), k) for k in free)
+            if not near or near[0][0] > tolerance:
+                want = None
+                break
+            want.append(near[0][1])
+            free.discard(near[0][1])
+        got = rigid.match_points(moved, target, tolerance)
+        assert (got is None) == (want is None) and (want is None or got.tolist() == want)
+
+
+def test_prepared_sources_are_reused_only_if_all_agrees(spark):
+    kind = "schema int, source_sha256 string, backend string, files array<struct<file:string,bytes:long,sha256:string>>"
+    two = [("b.step", 2, "y"), ("a.step", 1, "x")]
+    kept = spark.createDataFrame([(5, "s", "k", two, 1), (5, "t", "k", two, 2), (5, "u", "k", two, 1)], kind + ", parts int")
+    now = spark.createDataFrame([(5, "s", "k", two[::-1]), (5, "t", "k", two), (5, "u", "k", two[:1])], kind)
+    assert [r.source_sha256 for r in workflow.reusable_parts(kept, now).collect()] == ["s"]
+
+
+CONFIG = """schema_version = 1
+[discovery]
+providers = []
+[cycle]
+[quality_gates]
+[optimization]
+thresholds = [0.12, 0.2]
+[coverage.types.fastener]
+keywords = ["bolt"]
+[coverage.types.gear]
+keywords = ["gear"]
+"""
+
+
+def test_command_line_from_group_to_cycle(spark, tmp_path, capsys):
+    """What ``group`` writes is what ``benchmark``, ``optimize`` and ``cycle`` read."""
+    source = tmp_path / "source"
+    source.mkdir()
+    for name in ("bolt", "bolt2", "plate"):
+        (source / f"{name}.step").write_text(STEP.replace("sample", name))
+    names = {r.part for r in step.read_step(spark, f"file://{source}").collect()}
+    values = [{"part": p, "volume": 8.0 if "bolt" in p else 80.0, "area": 24.0, "edge_length": 24.0, "moments": [1.0, 2.0, 3.0]} for p in sorted(names)]
+    (tmp_path / "exact.jsonl").write_text("\n".join(map(json.dumps, values)))
+    for run in ("one", "two"):
+        assert cli.main(["group", f"file://{source}", "--properties", f"file://{tmp_path}/exact.jsonl", "--output", str(tmp_path / "runs" / run), "--precision", "off"]) == 0
+    parts = tables.read_runs(spark, str(tmp_path / "runs"))
+    assert parts.columns == [*workflow.column_names(tables.PARTS), "run"]
+    got = {(r.run, r.part_index): r for r in parts.collect()}
+    assert sorted(got) == [(run, k) for run in ("one", "two") for k in (1, 2, 3)]
+    assert got[("one", 1)].group == got[("one", 2)].group != got[("one", 3)].group
+    assert got[("one", 1)].moment_max == 3.0 and got[("one", 1)].faces > 0 and got[("one", 1)].normalized_step in names
+    (tmp_path / "config.toml").write_text(CONFIG)
+    common = ["--config", str(tmp_path / "config.toml"), "--output", str(tmp_path / "out")]
+    (tmp_path / "summary.json").write_text(json.dumps({"minimum_order_permutation_ari": "1.0", "median_adjacent_threshold_ari": "1.0", "rigid_invariance_passed": True, "boolean_completed_assemblies": "25"}))
+    capsys.readouterr()
+    assert cli.main(["benchmark", "--baseline", str(tmp_path / "runs"), "--candidate", str(tmp_path / "runs"), *common]) == 0
+    agreed = json.loads(capsys.readouterr().out)
+    assert agreed["run_count"] == 2 and agreed["minimum_partition_ari"] == 1.0 and agreed["runtime_ratio"] == 1.0
+    assert cli.main(["cycle", "--offline", "--assemblies", f"file://{source}", "--runs", str(tmp_path / "runs"), "--summary", str(tmp_path / "summary.json"), *common]) == 0
+    assert json.loads(capsys.readouterr().out)["decision"] == "waiting_for_human_labels"
+    best = json.loads((tmp_path / "out" / "thresholds.json").read_text())
+    assert [t["final_pair_recall"] for t in best["thresholds"]] == [1.0, 1.0]
+    assert cli.main(["plan", *common]) == 0 and json.loads(capsys.readouterr().out)["types"] == ["gear"]
