@@ -258,3 +258,22 @@ def passes(marks: np.ndarray, ids: np.ndarray) -> np.ndarray:
     for at in _places(ids, 8 * len(marks)):
         out &= (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
     return out
+
+
+def marked(rows: DataFrame, marks, kept: bool = True, column: str = "doc_id") -> DataFrame:
+    """Those ``rows`` whose id passes the broadcast filter ``marks``, or the others; rows without an id do not pass."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(place)
+            there = passes(marks.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ~ids.is_null().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(there == kept))
+
+    place = [c.lower() for c in rows.columns].index(column)
+    return rows.mapInArrow(run, rows.schema)
+
+
+def marks_of(ids: DataFrame):
+    """The broadcast filter of the single column of ``ids``, a written table."""
+    return ids.sparkSession.sparkContext.broadcast(id_filter(ids, ids.count()))

@@ -174,10 +174,6 @@ def _sets(batches, marks):
     C.trim()
 
 
-def _marks(ids: DataFrame):
-    return ids.sparkSession.sparkContext.broadcast(C.id_filter(ids, ids.count()))
-
-
 def _verify(batches, percent):
     for batch in batches:
         keep = []
@@ -202,7 +198,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct candidate ``pairs`` (a, b) whose sets, from their whole texts, are similar enough; no text is shuffled."""
     ids = C.cut(pairs.select("a").unionAll(pairs.select("b")).distinct())
-    marks = _marks(ids)
+    marks = C.marks_of(ids)
     sets = docs.mapInArrow(lambda it: _sets(it, marks), "id long, s binary")
     sets = C.cut(sets.join(ids.toDF("id"), "id", "left_semi"))
     wide = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -318,7 +314,7 @@ def similarity_components(docs: DataFrame, percent: int = 75, block: int = 200_0
     while blocks * WIDTH < min(total // 16, SLOTS):
         blocks *= 2
     counts = C.summed_table(profile.where("block is not null").select(F.pmod("block", F.lit(blocks)).alias("block"), "counts", F.col("n_shingles").alias("salt")), blocks * WIDTH, blocks)
-    table, marks = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32)), _marks(chosen.select("rep"))
+    table, marks = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32)), C.marks_of(chosen.select("rep"))
     n_buckets, noise = max(C.partitions(spark), total // 4_000_000, 1), total / len(counts)
     packed = docs.mapInArrow(lambda it: _postings(it, marks, table, noise, n_buckets, t, hot), _PACKED)
     listed = C.cut(packed.repartition(n_buckets, "bucket").mapInArrow(lambda it: _listed(it, table, hot), _LISTED), free=True)

@@ -7,7 +7,7 @@ cross documents and are judged on the input.
    window inside it (leftmost if equal), so every string has one trigger and equal strings have the same one at the
    same place.  A trigger with all the bytes that its strings can reach is a phrase; phrases overlap, so no string is
    cut, and which strings belong to a phrase follows from its bytes alone.
-2. Parse.  Each document becomes its sequence of phrases (trigger hash, phrase hash).  One sort by trigger, phrase and
+2. Parse.  Each document becomes its sequence of phrases (40 bits of the trigger hash, 64 of the phrase hash).  One sort by trigger, phrase and
    document brings equal phrases together.  A trigger met in one document only is done.  A phrase that an earlier
    document has too goes whole, without its strings being looked at: highly repetitive text costs one entry a phrase.
 3. Dictionary.  What is left are the first occurrences of phrases whose trigger stands in several different phrases.
@@ -169,7 +169,7 @@ def _parse(batches, n_buckets):
                 doc, tag = ids[row], tags[row]
                 key = trigger ^ (phrase * U(0x9E3779B97F4A7C15))
                 order = np.lexsort((doc, key))
-                new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+                new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (phrase[order][1:] != phrase[order][:-1])])
                 first = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
                 later = doc[order] > first
                 gone, order = order[later], order[~later]
@@ -182,7 +182,7 @@ def _parse(batches, n_buckets):
                 edges = np.flatnonzero(np.diff(bucket, prepend=-1))
                 ends = np.append(edges, len(order))
                 five = (trigger[order] & U(0xFFFFFFFFFF)).view(np.uint8).reshape(-1, 8)[:, :5].reshape(-1)
-                packed = [_binary(five, ends * 5), _binary((phrase[order] & U(0xFFFFFFFF)).astype(np.uint32), ends), _planes(doc[order], ends), _planes(tag[order], ends), _planes(place[order].astype(np.uint32), ends), _binary(more[order].astype(np.uint8), ends)]
+                packed = [_binary(five, ends * 5), _binary(phrase[order], ends), _planes(doc[order], ends), _planes(tag[order], ends), _planes(place[order].astype(np.uint32), ends), _binary(more[order].astype(np.uint8), ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[edges], pa.int32()), *packed, pa.nulls(len(edges), pa.int64()), pa.nulls(len(edges), pa.int64()), pa.nulls(len(edges), pa.binary())], _NAMES)
 
             for lot in phrases(rows):
@@ -209,7 +209,7 @@ _FOUND = "doc_id long, row_tag long, gone binary, asked binary, trigger binary"
 
 def _sort_parse(batches):
     """Ranges that an earlier document has; phrases whose strings the dictionary has to settle."""
-    kinds = {"trigger": np.uint8, "phrase": np.uint32, "doc": np.int64, "tag": np.int64, "place": np.uint32, "more": np.uint8}
+    kinds = {"trigger": np.uint8, "phrase": U, "doc": np.int64, "tag": np.int64, "place": np.uint32, "more": np.uint8}
     got = {k: [] for k in kinds}
     for batch in batches:
         ready = batch.column("bucket").is_null()
@@ -351,6 +351,9 @@ def _lay(batches, length):
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
+SHARE = 24 << 20  #: bytes of text whose parse is one task's work
+
+
 def _found(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, tagged, ranges): rows (doc_id, text, row_tag), what is known of each as a whole, and its ranges that go."""
     spark = docs.sparkSession
@@ -364,13 +367,15 @@ def _found(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFram
     if not several:
         rows, tagged = (x.withColumn("row_tag", F.lit(0).cast("long")) for x in (rows, tagged))
     alone = tagged.where(F.col("doc_id") == F.col("first")).select("doc_id", "row_tag").distinct()
-    buckets = 2 * n
+    total = info.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = max(2 * n, -(-total // SHARE))
     parsed = rows.withColumnRenamed("row_tag", "tag").mapInArrow(lambda it: _parse(it, buckets), _PARSED)
     found = C.cut(parsed.repartition(buckets, F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))).mapInArrow(_sort_parse, _FOUND), free=True)
     gone = found.where("gone is not null").select("doc_id", "row_tag", "gone")
     asked = found.where("asked is not null").groupBy("doc_id", "row_tag").agg(F.collect_list("asked").alias("asked"), F.collect_list("trigger").alias("triggers"))
-    settled = rows.join(asked, ["doc_id", "row_tag"]).mapInArrow(lambda it: _fetch(it, 4 * n, length), "bucket int, doc binary, tag binary, place binary, more binary, trigger binary, bytes binary")
-    settled = C.cut(settled.repartition(4 * n, "bucket").mapInArrow(lambda it: _dictionary(it, length), "doc_id long, row_tag long, gone binary"), free=True)
+    marks = C.marks_of(C.cut(asked.select("doc_id").distinct()))
+    settled = C.marked(rows, marks).join(asked, ["doc_id", "row_tag"]).mapInArrow(lambda it: _fetch(it, 2 * buckets, length), "bucket int, doc binary, tag binary, place binary, more binary, trigger binary, bytes binary")
+    settled = C.cut(settled.repartition(2 * buckets, "bucket").mapInArrow(lambda it: _dictionary(it, length), "doc_id long, row_tag long, gone binary"), free=True)
     ranges = gone.unionAll(settled).join(alone, ["doc_id", "row_tag"], "left_semi").groupBy("doc_id", "row_tag").agg(F.collect_list("gone").alias("gone"))
     return rows, tagged, ranges
 
@@ -378,7 +383,8 @@ def _found(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFram
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text)."""
     rows, tagged, ranges = _found(docs, length)
-    laid = rows.join(ranges, ["doc_id", "row_tag"]).mapInArrow(lambda it: _lay(it, length), "doc_id long, row_tag long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "row_tag"])
+    marks = C.marks_of(C.cut(ranges.select("doc_id").distinct()))
+    laid = C.marked(rows, marks).join(ranges, ["doc_id", "row_tag"]).mapInArrow(lambda it: _lay(it, length), "doc_id long, row_tag long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "row_tag"])
     whole = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= length)  # a copy of an earlier text
     out = tagged.join(laid, ["doc_id", "row_tag"], "left").select(
         "doc_id", "n_bytes",
@@ -398,6 +404,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     several = bool(tagged.where("row_tag <> 0").head(1))
     doc, tag, gone, new = (free_name(docs, c) for c in ("cut_doc", "cut_tag", "cut_ranges", "cut_text"))
     found = ranges.unionAll(whole).select(F.col("doc_id").alias(doc), F.col("row_tag").alias(tag), F.col("gone").alias(gone))
+    # texts that keep all their bytes are not shuffled
+    marks = C.marks_of(C.cut(found.select(doc).distinct()))
+    untouched, docs = C.marked(docs, marks, kept=False), C.marked(docs, marks)
     same = F.xxhash64(docs["text"]) == F.col(tag) if several else F.lit(True)
     joined = docs.join(found, (docs["doc_id"] == F.col(doc)) & same, "left")
 
@@ -409,7 +418,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     hit = F.col(doc).isNotNull()
     joined = joined.withColumn(new, kept(F.when(hit, docs["text"]), F.col(gone)))
     changed = {"text": F.col(new), "n_chars": F.char_length(new)}
-    return joined.select(*(F.when(hit, changed[c.lower()]).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c) if c.lower() in changed else docs[c] for c in docs.columns))
+    return untouched.unionAll(joined.select(*(F.when(hit, changed[c.lower()]).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c) if c.lower() in changed else docs[c] for c in docs.columns)))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
