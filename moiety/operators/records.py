@@ -24,7 +24,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def latest(df: DataFrame, key: str, order: list) -> DataFrame:
+def latest(df: DataFrame, key: str | list[str], order: list) -> DataFrame:
     """The row of highest priority of each key."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
 
@@ -115,3 +115,10 @@ def gate_decision(checks: DataFrame) -> DataFrame:
 def reusable(runs: DataFrame, wanted: DataFrame, signature: list[str]) -> DataFrame:
     """Completed runs whose signature is wanted."""
     return runs.where("status = 'completed'").join(wanted.select(*signature).distinct(), signature, "left_semi")
+
+
+def united(tables: list[DataFrame], key: list[str]) -> DataFrame:
+    """Rows of several tables by column name, once for each value of ``key``: the first table that has it counts."""
+    place = free_name(tables[0], "tier_place")
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (t.withColumn(place, F.lit(k)) for k, t in enumerate(tables)))
+    return latest(every, key, [F.asc(place)]).drop(place)
