@@ -1,29 +1,30 @@
 """HTML extraction by a recurrent block labeller: a bidirectional LSTM in numpy reads a page's blocks in order.
 
 A page is split at tags into blocks: text between block-level tags, with inline tags left out.  Each block becomes a vector: hashed names, classes and ids of the
-elements around it (its tag path), hashed words, and a few numbers (length, share of link text, place).  One LSTM reads the
-blocks forwards, one backwards, and a logistic unit on both states says whether the block is main text, so each decision sees
-the whole page.  Texts of the chosen blocks are joined in page order.
+elements around it (its tag path), hashed words, and a few numbers (length, share of link text and of digits, place).  One LSTM reads the
+blocks forwards, one backwards, and a logistic unit on their two states says whether the block is main text, so each decision sees
+the whole page and nothing but the states.  Texts of the chosen blocks are joined in page order.
 
-There are no labelled pages to learn from, so the model is trained here, on the driver, on ``pages`` made-up pages of a
-generator with a fixed seed: articles in containers of many kinds among menus, headers, footers, sidebars, notices, adverts,
-forms and comments.  Training takes seconds, does not depend on the input, and its result is kept for the process.
+There are no labelled pages to learn from.  ``html_training`` makes them up from a fixed seed (pages with telling class names, with
+none, and with meaningless ones) and fits the weights, which are stored beside this module; running it again gives them again.
 
 Content of elements that never show text is no block: script, style, textarea and title up to their end tag (or the page's
 end, as in browsers), and those of ``SILENT`` up to their end tag, the end of the element around them, or their own "/>"; one of them
-that is never closed and has no element around it is ignored.  The end tag of head may be missing.  Text of math and of
-object counts as shown.  Character references are decoded; white space in a block becomes one space.  Nothing else is dropped or capped.
+that is never closed and has no element around it is ignored.  The end tag of head may be missing.  A ">" inside a quoted attribute ends no
+tag.  Text of math and of object counts as shown.  Character references are decoded; white space in a block becomes one space.
+Nothing else is dropped or capped; of tag paths deeper than 128 the vector sees the outer and inner 64.
 
-Defined results: null or empty html gives empty text and 0; html without tags is one block.  Unclosed elements end with the
+Defined results: null or empty html gives empty text and 0; html without any tag is its whole text.  Unclosed elements end with the
 element around them.  Rows that repeat are extracted each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
-import random
+import os
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from moiety.llm import common as C
 
-PATHS, WORDS, NUMBERS, HIDDEN = 384, 32, 8, 16
+PATHS, WORDS, NUMBERS, HIDDEN = 384, 96, 12, 32
 INPUT = PATHS + WORDS + NUMBERS
 _RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for n in ("script", "style", "textarea", "title")}
 SILENT = frozenset("noscript template svg iframe select canvas audio video annotation annotation-xml".split())
 NESTED = frozenset("svg template".split())  #: silent elements that may hold themselves
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?>(?:[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*)(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|</>""", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _MARKS = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
@@ -72,8 +73,7 @@ def _tag(raw: str, cache: dict):
 
 def blocks(page: str, cache: dict) -> list[tuple[tuple, str, float]]:
     """(tag path, text, share of link text) of each block of a page, in order."""
-    out, stack, parts, links, linked = [], [], [], 0, 0
-    path: tuple = ()
+    out, stack, opened, parts, links, linked = [], [], Counter(), [], 0, 0
 
     def close():
         nonlocal links
@@ -83,7 +83,8 @@ def blocks(page: str, cache: dict) -> list[tuple[tuple, str, float]]:
                 text = text.replace("&amp;", "&") if text.count("&") == text.count("&amp;") else html.unescape(text)
             text = " ".join(text.split())
             if text:
-                out.append((path, text, min(1.0, links / len(text))))
+                seen = stack if len(stack) <= 128 else stack[:64] + stack[-64:]
+                out.append((tuple(t for _, t in seen), text, min(1.0, links / len(text))))
             parts.clear()
         links = 0
 
@@ -118,9 +119,9 @@ def blocks(page: str, cache: dict) -> list[tuple[tuple, str, float]]:
                 del quiet[len(quiet) - 1 - quiet[::-1].index(name) if name in NESTED or name not in SILENT else quiet.index(name):]
                 continue
             if ends:
-                over = name == "head" or any(name == n for n, _ in stack)
+                over = name == "head" or opened[name] > 0
             else:
-                over = name == "body" and all(n != "body" for n, _ in stack) or quiet[0] == "svg" and name in BREAKS_SVG and not {"foreignobject", "desc", "title"}.intersection(quiet)
+                over = name == "body" and not opened["body"] or quiet[0] == "svg" and name in BREAKS_SVG and not {"foreignobject", "desc", "title"}.intersection(quiet)
             if not over:
                 if not ends and not empty and name not in VOID:
                     quiet.append(name)
@@ -129,7 +130,7 @@ def blocks(page: str, cache: dict) -> list[tuple[tuple, str, float]]:
         if name == "head":  # what shows no text in it is silent by itself; all else ends it
             continue
         if name in SILENT:
-            if not ends and not empty and (closed(name) or any(n not in ("html", "body") for n, _ in stack)):
+            if not ends and not empty and (closed(name) or len(stack) > opened["html"] + opened["body"]):
                 quiet.append(name)
             continue
         if name in MATH:
@@ -145,16 +146,16 @@ def blocks(page: str, cache: dict) -> list[tuple[tuple, str, float]]:
         close()
         linked = 0
         if ends:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+            while opened[name]:  # what is open inside it ends with it
+                n, _ = stack.pop()
+                opened[n] -= 1
+                if n == name:
                     break
         elif name not in VOID:
-            if stack and stack[-1][0] == "p" and name in CLOSES_P or stack and name == stack[-1][0] and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                stack.pop()
-            if len(stack) < 200:
-                stack.append((name, tokens))
-        path = tuple(t for _, t in stack)
+            if stack and (stack[-1][0] == "p" and name in CLOSES_P or name == stack[-1][0] and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
+                opened[stack.pop()[0]] -= 1
+            stack.append((name, tokens))
+            opened[name] += 1
     close()
     return out
 
@@ -186,7 +187,9 @@ def block_vectors(found: list, cache: dict) -> np.ndarray:
     x[:, PATHS:PATHS + WORDS] = np.sqrt(np.bincount(of * WORDS + (words % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS) / np.maximum(count, 1)[:, None])
     for i, (path, text, links) in enumerate(found):
         x[i, :PATHS] = _path_vector(path, cache)
-        x[i, PATHS + WORDS:] = (np.log1p(len(text)) / 6, links, min(count[i], 60) / 60, text[-1] in ".!?\"", i / n, (n - i) / n, len(path) / 10, text[0].isupper())
+        digits = sum(map(str.isdigit, text[:200])) / min(len(text), 200)
+        same = i > 0 and found[i - 1][0] == path
+        x[i, PATHS + WORDS:] = (np.log1p(len(text)) / 6, links, min(count[i], 60) / 60, text[-1] in ".!?\"", i / n, (n - i) / n, min(len(path), 20) / 10, text[0].isupper(), digits, same, links > 0.9, "\u00a9" in text)
     return x
 
 
@@ -200,7 +203,7 @@ class Labeller:
             self.p[d + "x"] = (r.normal(size=(INPUT, 4 * HIDDEN)) * 0.15).astype(np.float32)
             self.p[d + "h"] = (r.normal(size=(HIDDEN, 4 * HIDDEN)) * 0.15).astype(np.float32)
             self.p[d + "b"] = np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)]).astype(np.float32)
-        self.p["o"] = (r.normal(size=(2 * HIDDEN + INPUT,)) * 0.1).astype(np.float32)
+        self.p["o"] = (r.normal(size=(2 * HIDDEN,)) * 0.1).astype(np.float32)
         self.p["c"] = np.zeros(1, np.float32)
 
     @staticmethod
@@ -230,7 +233,7 @@ class Labeller:
     def forward(self, x, mask, keep=False):
         f, tf = self._run(x, mask, "f", keep)
         b, tb = self._run(x, mask, "b", keep)
-        both = np.concatenate([f, b, x], axis=2)
+        both = np.concatenate([f, b], axis=2)
         return self._sigmoid(both @ self.p["o"] + self.p["c"][0]), both, tf, tb
 
     def gradients(self, x, mask, y):
@@ -273,137 +276,23 @@ class Labeller:
         return out
 
 
-# ---------------------------------------------------------------- made-up pages
-
-MAIN = ["<article>", '<article class="post">', "<main>", '<div class="content">', '<div id="main-content">', '<div class="article-body">', '<div class="entry-content">', '<section class="post-body">', '<div class="story">', '<div itemprop="articleBody">', '<div class="text">', "<main><article>", '<div id="main"><article class="entry">', '<main role="main"><div class="post">', "<article><section>"]
-ASIDE = {
-    "menu": ["<nav>", '<div class="menu">', '<ul class="nav">', '<div id="navigation">', '<div class="navbar">', '<nav class="breadcrumb">', '<div class="breadcrumbs">', '<nav role="navigation">', '<div class="pagination">', '<ul class="menu">', '<div class="toc">'],
-    "header": ["<header>", '<div id="header">', '<div class="masthead">', '<div class="site-header">', '<div class="topbar">', '<header class="banner">', '<div id="branding">'],
-    "footer": ["<footer>", '<div id="footer">', '<div class="site-footer">', '<footer class="bottom">', '<div class="copyright">', '<div class="legal">'],
-    "sidebar": ["<aside>", '<div class="sidebar">', '<div id="sidebar">', '<div class="related">', '<aside class="widget">', '<div class="recommended">', '<div class="rail">', '<section class="related-posts">', '<div class="share">', '<div class="social">'],
-    "notice": ['<div class="cookie-notice">', '<div class="notice">', '<div id="gdpr">', '<div class="consent">', '<div class="alert">', '<div role="alert">', '<div class="cookies banner">', '<div class="modal">', '<div class="popup">', '<p class="notice">', '<div class="paywall">', '<div role="dialog">'],
-    "advert": ['<div class="ad">', '<div class="ads">', '<div class="advert">', '<div class="advertisement">', '<div class="sponsored">', '<div class="promo">', '<aside class="ad">', '<p class="ad">', '<div id="ad-top">', '<section class="promotion">', '<ins class="adsbygoogle"><div>', '<div class="banner-ad">'],
-    "form": ["<form>", '<form class="search">', '<div class="newsletter"><form>', '<form id="subscribe">', '<form class="login">', '<div class="signup">', "<form><fieldset>", '<div class="contact-form"><form>'],
-    "comments": ['<div class="comments">', '<div id="comments">', '<section class="comments">', '<ol class="comment-list">', '<div class="comment">', '<ul class="replies">', '<section id="discussion">', '<div class="responses">', '<div class="user-comments">', '<div class="disqus thread">', '<aside class="comments">', '<div id="respond">'],
-}
-SAYING = {"menu": "home about contact news menu archive", "header": "welcome site log in sign up", "footer": "copyright rights reserved privacy terms imprint", "sidebar": "related read more popular share follow latest", "notice": "cookies accept consent privacy we use this site", "advert": "buy now sale offer sponsored advertisement click", "form": "email subscribe search submit name password send", "comments": "reply says comment posted ago likes"}
-MARK = ""
-
-
-def _close(opened: str) -> str:
-    return "".join(f"</{t}>" for t in reversed(re.findall(r"<([a-z0-9]+)", opened)))
-
-
-def _made_up(r: random.Random) -> str:
-    """A page; words of its main text carry MARK."""
-    syllables = [r.choice("bcdfghklmnprstvwz") + r.choice(["a", "e", "i", "o", "u", "ä", "é", "ou", "th", "ie", "an"]) for _ in range(40)]
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
-
-    def sentence(n, mark=""):
-        odd = r.random()
-        if odd < 0.04:
-            return mark + " ".join([word()] * n)
-        if odd < 0.08:
-            return mark + " ".join(word().upper() + "!!" for _ in range(n))
-        if odd < 0.12:
-            return mark + " ".join(word() + r.choice(["&amp;&amp;", "***", "###", " |"]) for _ in range(n))
-        return mark + " ".join(w + r.choice(["", "", "", ",", "&amp;"]) if k % 7 == 3 else w for k, w in enumerate(word() for _ in range(n))).capitalize() + r.choice([".", ".", ".", "!", "?", ""])
-
-    def saying(kind, n):
-        words = SAYING[kind].split()
-        return " ".join(r.choice(words) if r.random() < 0.3 else word() for _ in range(n)).capitalize() + r.choice(["", "."])
-
-    def aside(kind):
-        opened = r.choice(ASIDE[kind])
-        items = []
-        for _ in range(r.choice([1, 1, 2, 3, 6]) if kind != "menu" else r.randint(2, 8)):
-            text = saying(kind, r.choice([1, 2, 4, 9, 25]) if kind in ("menu", "form") else r.choice([2, 6, 12, 40])) if r.random() < 0.6 else sentence(r.choice([2, 8, 20, 60]))
-            if kind == "menu" or kind == "sidebar" and r.random() < 0.6:
-                text = f'<a href="/{word()}">{text}</a>'
-            form = {"menu": ["<li>", "", "<li>"], "form": ["<label>", "<p>", "", "<button>", "<div>"]}.get(kind, ["<p>", "<p>", "", "<div>", "<li>", "<h3>", "<h4>"])
-            tag = r.choice(form)
-            items.append(tag + text + _close(tag))
-        if kind == "menu" and r.random() < 0.7 and not opened.startswith("<ul"):
-            items = ["<ul>", *items, "</ul>"]
-        if kind == "footer" and r.random() < 0.5:
-            items.insert(0, "&copy; " + saying(kind, 4) + " &middot; ")
-        return opened + "".join(items) + _close(opened)
-
-    def prose():
-        kind = r.random()
-        text = sentence(r.choice([1, 4, 10, 25, 60, 120]), MARK)
-        if kind < 0.65:
-            if r.random() < 0.2:
-                text = r.choice(["<b>", "<i>", "<strong>", '<a href="/x">', "<em>"]) + text
-                text += "<br>" if r.random() < 0.6 else ""
-            return "<p>" + text + ("</p>" if r.random() < 0.85 else "")
-        if kind < 0.75:
-            return f"<h2>{text}</h2>"
-        if kind < 0.83:
-            return "<ul>" + "".join(f"<li>{sentence(r.randint(1, 12), MARK)}</li>" for _ in range(r.randint(1, 5))) + "</ul>"
-        if kind < 0.88:
-            return f"<blockquote><p>{text}</p></blockquote>"
-        if kind < 0.92:
-            return "<table><tr>" + "".join(f"<td>{sentence(3, MARK)}</td>" for _ in range(3)) + "</tr></table>"
-        if kind < 0.95:
-            return f"<pre>{text}</pre>"
-        return f"<div>{text}</div>" if kind < 0.98 else text
-
-    opened = r.choice(MAIN) if r.random() < 0.75 else "<article>"
-    inner = [f"<h1>{sentence(r.randint(2, 12), MARK)}</h1>"] if r.random() < 0.8 else []
-    inner += [prose() for _ in range(r.choice([0, 1, 2, 4, 8, 20, 40]))] or [f"<p>{sentence(20, MARK)}</p>"]
-    for kind in ("advert", "sidebar", "form", "comments", "notice"):
-        if r.random() < 0.15:
-            inner.insert(r.randint(1, len(inner)) if kind != "comments" else len(inner), aside(kind))
-    main = opened + "".join(inner) + _close(opened)
-    before = [aside(k) for k in ("header", "menu", "notice", "advert", "form") if r.random() < 0.5]
-    after = [aside(k) for k in ("comments", "sidebar", "advert", "form", "notice", "menu", "footer") if r.random() < 0.45]
-    if r.random() < 0.15:
-        before.append(aside("sidebar"))
-    r.shuffle(before)
-    wrap = r.choice(["", "", '<div class="page">', '<div id="wrapper"><div class="container">', '<div class="layout row">'])
-    return f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{wrap}{''.join(before)}<!-- x -->{main}{''.join(after)}{_close(wrap)}" + r.choice(["", "</body></html>"])
-
-
-_TRAINED: dict = {}
-
-
-def train(pages: int = 2000, rounds: int = 400, batch: int = 64, seed: int = 3, rate: float = 0.01) -> Labeller:
-    """A labeller fitted to made-up pages by Adam; the same for the same arguments."""
-    key = (pages, rounds, batch, seed, rate)
-    if key in _TRAINED:
-        return _TRAINED[key]
-    r, tags, paths = random.Random(seed), {}, {}
-    xs, ys = [], []
-    for _ in range(pages):
-        found = blocks(_made_up(r), tags)
-        ys.append(np.array([MARK in t for _, t, _ in found], np.float32))
-        xs.append(block_vectors([(p, t.replace(MARK, "") or ".", k) for p, t, k in found], paths))
-    order = sorted(range(pages), key=lambda k: len(xs[k]))
+WEIGHTS = os.path.join(os.path.dirname(__file__), "html_labeller.npz")
+
+
+def trained() -> Labeller:
+    """The labeller that ``moiety.llm.html_training`` fitted and stored beside this module."""
     own = Labeller()
-    m, v = ({k: np.zeros_like(w) for k, w in own.p.items()} for _ in range(2))
-    lots = [order[i:i + batch] for i in range(0, pages, batch)]
-    for step in range(1, rounds + 1):
-        some = r.choice(lots)
-        steps = max(len(xs[k]) for k in some)
-        x, mask, y = np.zeros((steps, len(some), INPUT), np.float32), np.zeros((steps, len(some)), bool), np.zeros((steps, len(some)), np.float32)
-        for j, k in enumerate(some):
-            x[:len(xs[k]), j], mask[:len(xs[k]), j], y[:len(xs[k]), j] = xs[k], True, ys[k]
-        g = own.gradients(x, mask, y)
-        lr = rate * min(1.0, 2 * (1 - step / (rounds + 1)))
-        for k in own.p:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-            own.p[k] = (own.p[k] - lr * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
-    _TRAINED[key] = own
+    with np.load(WEIGHTS) as stored:
+        own.p = {k: stored[k].astype(np.float32) for k in own.p}
     return own
 
 
 def main_texts(pages: list[str], model: Labeller, tags: dict, paths: dict) -> list[str]:
     """Main text of each page."""
     found = [blocks(p, tags) if p else [] for p in pages]
+    bare = [bool(p) and not _TOKEN.search(p) for p in pages]
     shown = model.probabilities([block_vectors(f, paths) if f else np.zeros((0, INPUT), np.float32) for f in found])
-    return [" ".join(t for (_, t, _), q in zip(f, p, strict=True) if q >= 0.5) for f, p in zip(found, shown, strict=True)]
+    return [" ".join(t for (_, t, _), q in zip(f, p, strict=True) if q >= 0.5 or b) for f, p, b in zip(found, shown, bare, strict=True)]
 
 
 def _extract(batches, model):
@@ -417,7 +306,7 @@ def _extract(batches, model):
 
 def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html)."""
-    model = pages.sparkSession.sparkContext.broadcast((model or train()).p)
+    model = pages.sparkSession.sparkContext.broadcast((model or trained()).p)
     return pages.select("page_id", "url", "html").mapInArrow(lambda it: _extract(it, model), "page_id long, url string, text string, n_chars long")
 
 

@@ -227,13 +227,17 @@ def _sample_features(batches):
         yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(before[:-1], before[1:], strict=True)], pa.binary())], ["label", "x", "n"])
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, most_docs: int = 3000) -> Field:
-    """Fits the field on a sample of labelled documents; ``held_out`` is the fold (of 5) left out."""
+def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, most_docs: int = 3000, most_bytes: int = 1 << 18) -> Field:
+    """Fits the field on a sample of labelled documents; ``held_out`` is the fold (of 5) left out.
+
+    The sample is bounded: ``most_docs`` doc_ids by hash, of each one row (the first by the hash of its text), and none of
+    texts over ``most_bytes``, which are scored like any other but not fitted on."""
     named = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     if held_out is not None:
         named = named.where(F.crc32(F.col("doc_id").cast("string")) % 5 != held_out)
     sample = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")  # most_docs rows
+    short = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
+    rows = short.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("x")).select("x.text", "x.label")  # most_docs rows
     got = rows.mapInArrow(_sample_features, "label int, x binary, n binary").toPandas()
     if not len(got):
         return Field(np.zeros((len(NAMES), BINS - 1)))
