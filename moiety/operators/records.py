@@ -122,3 +122,44 @@ def united(tables: list[DataFrame], key: list[str]) -> DataFrame:
     place = free_name(tables[0], "tier_place")
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (t.withColumn(place, F.lit(k)) for k, t in enumerate(tables)))
     return latest(every, key, [F.asc(place)]).drop(place)
+
+
+def status_counts(df: DataFrame, status: str = "status") -> DataFrame:
+    """Rows of each status, most first."""
+    return df.groupBy(status).agg(F.count("*").alias("n")).orderBy(F.desc("n"), status)
+
+
+def largest_runs(runs: DataFrame, n: int = 10, size: str = "solid_count", key: str = "id") -> DataFrame:
+    """The n largest runs, ties by key: a top-k report."""
+    return runs.orderBy(F.desc(size), key).limit(n)
+
+
+def by_size(files: DataFrame) -> DataFrame:
+    """Files (path, length) in the order of their size, then of their name without folders."""
+    return files.withColumn("name", F.element_at(F.split("path", "/"), -1)).orderBy("length", "name")
+
+
+#: summed over runs of exact verification: name, column
+_SUMS = (("total_solids", "solid_count"), ("total_final_groups", "final_groups"), ("total_multi_member_groups", "multi_member_groups"), ("total_solids_in_repeated_groups", "solids_in_multi_member_groups"),
+         ("total_checked_pairs", "checked_pairs"), ("total_split_pairs", "split_pairs"), ("total_verified_different_pairs", "verified_different_pairs"), ("total_unresolved_pairs", "unresolved_pairs"))
+
+
+def corpus_totals(inventory: DataFrame, inspection: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row of counts over downloads (status), inspections (id, status, solids) and runs (id, precision_mode and what run reports count).
+
+    Each table is aggregated once; a run's id counts once in the coverage whatever its tiers, and ids that are admitted and in no run are counted, not listed."""
+    admitted = F.col("status") == "admitted"
+    exact, rigid = (F.col("precision_mode") == m for m in ("boolean", "rigid"))
+    sum_ = lambda c: F.coalesce(F.sum(F.when(exact, F.col(c))), F.lit(0)).cast("long")
+    got = inventory.agg(F.count_if(F.col("status").isin("downloaded", "verified")).alias("downloaded_files"))
+    seen = inspection.agg(F.count("*").alias("inspected_files"), F.count_if(admitted).alias("admitted_assemblies"), F.count_if(~admitted).alias("rejected_files"),
+                          *(F.count_if(admitted & (F.col("solids") >= k)).alias(f"admitted_at_least_{k}_solids") for k in (30, 50, 200)))
+    done = runs.agg(F.count_if(exact).alias("boolean_completed_assemblies"), *(sum_(c).alias(f"boolean_{name}") for name, c in _SUMS),
+                    F.count_if(exact & (F.col("multi_member_groups") > 0)).alias("boolean_assemblies_with_repeated_geometry"),
+                    F.count_if(exact & (F.col("unresolved_pairs") == 0)).alias("boolean_zero_unresolved_assemblies"), F.count_if(rigid).alias("rigid_screened_assemblies"))
+    tiers = runs.groupBy("id").agg(F.bool_or(exact).alias("exact"), F.bool_or(rigid).alias("rigid"))
+    each = inspection.where(admitted).select("id", F.lit(True).alias("admitted")).distinct().join(tiers, "id", "full")
+    covered = F.coalesce(F.col("exact") | F.col("rigid"), F.lit(False))
+    cover = each.agg(F.count_if(covered).alias("covered_by_either_tier"), F.count_if(F.col("rigid") & ~F.col("exact")).alias("rigid_only_assemblies"),
+                     F.count_if(F.col("admitted") & ~covered).alias("unclassified_admitted"))
+    return reduce(lambda a, b: a.crossJoin(b), (seen, done, cover), got)  # one row each

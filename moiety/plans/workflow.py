@@ -210,3 +210,14 @@ def rigid_invariance(parts: DataFrame, tolerance: float = 1e-5, seed: int = 11)
 def fast_against_rigid(fast: DataFrame, exact: DataFrame) -> DataFrame:
     """Pair confusion of fast groups (part_index, group) held against rigid ones."""
     return metrics.pair_confusion(fast.select("part_index", F.col("group").alias("p")).join(exact.select("part_index", F.col("group").alias("t")), "part_index"), "t", "p")
+
+
+def recovered_groups(spark: SparkSession, root: str) -> DataFrame:
+    """(run, group, part_count, parts, minimum and mean similarity inside) of runs whose report is lost, from the tables they left."""
+    from moiety.sources.tables import read_runs
+
+    parts = read_runs(spark, root).select("run", "part_index", "group")
+    near = read_runs(spark, root, "similarities.csv", SIMILARITIES).where("same_group").select("run", F.col("part_a").alias("part_index"), "similarity")
+    inner = near.join(parts, ["run", "part_index"]).groupBy("run", "group").agg(F.min("similarity").alias("lo"), F.avg("similarity").alias("mean"))
+    sizes = parts.groupBy("run", "group").agg(F.count("*").alias("part_count"), F.array_sort(F.collect_list("part_index")).alias("parts"))
+    return sizes.join(inner, ["run", "group"], "left").select("run", "group", "part_count", "parts", F.coalesce("lo", F.lit(1.0)).alias("minimum_internal_similarity"), F.coalesce("mean", F.lit(1.0)).alias("mean_internal_similarity"))

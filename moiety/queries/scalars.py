@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from moiety.functions import scalar as S
-from moiety.operators import numbering, records
+from moiety.operators import kernel, numbering, records
 from moiety.queries.registry import query, table
 
 
@@ -71,3 +71,51 @@ def nearest_pairs(spark, sf_dir):
     a, b = (part.select("p_brand", "p_size", F.col("p_partkey").alias(f"part_{s}"), F.col("p_retailprice").alias(f"price_{s}")) for s in "ab")
     both = a.join(b, ["p_brand", "p_size"]).where("part_a < part_b").select("part_a", "part_b", F.round(F.abs(F.col("price_a") - F.col("price_b")), 6).alias("distance"))
     return both.orderBy("distance", "part_a", "part_b").limit(100)
+
+
+@query("""
+WITH s AS (SELECT o_orderkey, ceil(o_totalprice)::BIGINT AS expected_bytes, (o_orderkey % 7 * 30000)::BIGINT AS kept_bytes FROM orders),
+k AS (SELECT *, CASE WHEN kept_bytes > expected_bytes THEN 0 ELSE kept_bytes END AS start FROM s), l AS (SELECT *, ceil((expected_bytes - start) / least(4, expected_bytes - start))::BIGINT AS step FROM k WHERE expected_bytes > start)
+SELECT o_orderkey, segment::INT AS segment, start + segment * step AS first_byte, least(expected_bytes - 1, start + segment * step + step - 1) AS last_byte
+FROM (SELECT *, unnest(range(0, ceil((expected_bytes - start) / step)::BIGINT)) AS segment FROM l)""")
+def segment_plan(spark, sf_dir):
+    """Byte ranges that are still to be fetched, an order standing for a download."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.ceil("o_totalprice").cast("long").alias("expected_bytes"), (F.col("o_orderkey") % 7 * 30000).cast("long").alias("kept_bytes"))
+    return kernel.download_segments(o, 4).select("o_orderkey", "segment", "first_byte", "last_byte")
+
+
+@query("SELECT p_partkey::BIGINT AS source, p_size::BIGINT AS part_index, p_retailprice::DOUBLE AS volume, (p_size * 2)::DOUBLE AS area, 0::DOUBLE AS edge_length, greatest(p_size, 3)::DOUBLE AS longest, p_size AS faces, p_size::BIGINT = 1 AS agreed FROM part")
+def kernel_output(spark, sf_dir):
+    """Records of a kernel's output written from the part table, read back and held against the announced count and the written files."""
+    p = table(spark, sf_dir, "part").withColumn("source", F.col("p_partkey").cast("long"))
+    put = lambda *xs: F.concat(*(x.cast("string") if not isinstance(x, str) else F.lit(x) for x in xs))
+    size = F.col("p_size")
+    output = put("@@SOLID_COUNT 1\n@@PART_BEGIN ", size, " s_1\n@@VPROPS_BEGIN\nMass : ", F.col("p_retailprice"), "\nCenter of gravity :\nX = 1 Y = 2 Z = 3\n@@VPROPS_END\n@@SPROPS_BEGIN\nMass : ", size * 2,
+                 "\n@@SPROPS_END\n@@LPROPS_BEGIN\n@@LPROPS_END\n@@BBOX 3 -", size, " 1\n FACE : ", size, "\n@@PART_END\n")
+    told = p.select("source", output.alias("output"))
+    files = p.withColumn("k", F.explode(F.sequence(F.lit(1), size))).select("source", F.concat(F.lit("/c/part_"), F.lpad(F.col("k").cast("string"), 4, "0")).alias("stem"))
+    files = files.select("source", F.explode(F.array(F.concat("stem", F.lit(".step")), F.concat("stem", F.lit(".brep")))).alias("file"))
+    rows = kernel.kernel_records(told, "source", "output").join(kernel.kernel_agreement(told, "source", "output", files).select("source", "agreed"), "source")
+    return rows.select("source", "part_index", "volume", "area", "edge_length", F.col("bbox")[0].alias("longest"), "faces", "agreed")
+
+
+@query("""
+WITH t AS (SELECT o_custkey AS id, bool_or(o_orderpriority = '1-URGENT') AS exact, bool_or(o_orderpriority = '2-HIGH') AS rigid FROM orders GROUP BY 1)
+SELECT (SELECT count(*) FROM supplier WHERE s_acctbal > 0) AS downloaded_files, count(*) AS inspected_files, count(*) FILTER (c_acctbal > 0) AS admitted_assemblies, count(*) FILTER (c_acctbal > 0 AND c_nationkey * 10 >= 50) AS admitted_at_least_50_solids,
+  (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT') AS boolean_completed_assemblies, (SELECT sum(o_custkey)::BIGINT FROM orders WHERE o_orderpriority = '1-URGENT') AS boolean_total_solids,
+  (SELECT count(*) FROM t WHERE exact OR rigid) AS covered_by_either_tier, (SELECT count(*) FROM t WHERE rigid AND NOT exact) AS rigid_only_assemblies,
+  count(*) FILTER (c_acctbal > 0 AND c_custkey NOT IN (SELECT id FROM t WHERE exact OR rigid)) AS unclassified_admitted FROM customer""")
+def corpus_counts(spark, sf_dir):
+    """Suppliers as downloads, customers as inspections, orders as runs."""
+    got = table(spark, sf_dir, "supplier").select(F.when(F.col("s_acctbal") > 0, "verified").otherwise("failed").alias("status"))
+    seen = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") > 0, "admitted").otherwise("rejected").alias("status"), (F.col("c_nationkey") * 10).alias("solids"))
+    mode = F.when(F.col("o_orderpriority") == "1-URGENT", "boolean").when(F.col("o_orderpriority") == "2-HIGH", "rigid").otherwise("off")
+    one = {c: F.lit(1).alias(c) for c in ("final_groups", "multi_member_groups", "solids_in_multi_member_groups", "checked_pairs", "split_pairs", "verified_different_pairs", "unresolved_pairs")}
+    runs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), mode.alias("precision_mode"), F.col("o_custkey").alias("solid_count"), *one.values())
+    return records.corpus_totals(got, seen, runs).select("downloaded_files", "inspected_files", "admitted_assemblies", "admitted_at_least_50_solids", "boolean_completed_assemblies", "boolean_total_solids", "covered_by_either_tier", "rigid_only_assemblies", "unclassified_admitted")
+
+
+@query("SELECT o_orderkey AS id, o_totalprice AS solid_count FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def ten_largest(spark, sf_dir):
+    """The ten largest orders: a top-k report."""
+    return records.largest_runs(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("solid_count")))

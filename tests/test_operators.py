@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import random
+import shutil
 import struct
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from moiety.functions import scalar as S
-from moiety.operators import cluster, discovery, graph, metrics, numbering, pairs, prescreen, records, review, rigid
+from moiety.operators import cluster, discovery, graph, kernel, metrics, numbering, pairs, prescreen, records, review, rigid
 from moiety.plans import cli, recorder, workflow
 from moiety.sources import probe, step, tables
 
@@ -473,14 +474,16 @@ def test_command_line_from_group_to_cycle(spark, tmp_path, capsys):
     names = {r.part for r in step.read_step(spark, f"file://{source}").collect()}
     values = [{"part": p, "volume": 8.0 if "bolt" in p else 80.0, "area": 24.0, "edge_length": 24.0, "moments": [1.0, 2.0, 3.0]} for p in sorted(names)]
     (tmp_path / "exact.jsonl").write_text("\n".join(map(json.dumps, values)))
-    for run in ("one", "two"):
-        assert cli.main(["group", f"file://{source}", "--properties", f"file://{tmp_path}/exact.jsonl", "--output", str(tmp_path / "runs" / run), "--precision", "off"]) == 0
+    assert cli.main(["group", f"file://{source}", "--properties", f"file://{tmp_path}/exact.jsonl", "--output", str(tmp_path / "runs" / "one"), "--precision", "off", "--label-rounds", "1"]) == 0
+    shutil.copytree(tmp_path / "runs" / "one", tmp_path / "runs" / "two")
     parts = tables.read_runs(spark, str(tmp_path / "runs"))
     assert parts.columns == [*workflow.column_names(tables.PARTS), "run"]
     got = {(r.run, r.part_index): r for r in parts.collect()}
     assert sorted(got) == [(run, k) for run in ("one", "two") for k in (1, 2, 3)]
     assert got[("one", 1)].group == got[("one", 2)].group != got[("one", 3)].group
     assert got[("one", 1)].moment_max == 3.0 and got[("one", 1)].faces > 0 and got[("one", 1)].normalized_step in names
+    again = {(r.run, r.group): (r.part_count, r.parts, r.minimum_internal_similarity) for r in workflow.recovered_groups(spark, str(tmp_path / "runs")).collect()}
+    assert again[("two", 1)][:2] == (2, [1, 2]) and again[("two", 2)] == (1, [3], 1.0)
     (tmp_path / "config.toml").write_text(CONFIG)
     common = ["--config", str(tmp_path / "config.toml"), "--output", str(tmp_path / "out")]
     (tmp_path / "summary.json").write_text(json.dumps({"minimum_order_permutation_ari": "1.0", "median_adjacent_threshold_ari": "1.0", "rigid_invariance_passed": True, "boolean_completed_assemblies": "25"}))
@@ -493,3 +496,32 @@ def test_command_line_from_group_to_cycle(spark, tmp_path, capsys):
     best = json.loads((tmp_path / "out" / "thresholds.json").read_text())
     assert [t["final_pair_recall"] for t in best["thresholds"]] == [1.0, 1.0]
     assert cli.main(["plan", *common]) == 0 and json.loads(capsys.readouterr().out)["types"] == ["gear"]
+
+
+def test_batches_that_break_down_are_tried_alone():
+    def run(pairs):
+        if any(p == "slow" for p in pairs):
+            raise TimeoutError
+        if any(p == "bad" for p in pairs):
+            raise ValueError("no solid")
+        return [("verified", "") for _ in pairs]
+
+    got = kernel.in_batches(["a", "b", "c", "d", "e", "slow", "f", "bad", "slow"], run)
+    assert [x[0] for x in got] == ["verified"] * 5 + ["boolean_failed", "verified", "boolean_failed", "boolean_failed"]
+    assert got[0][2] == 1 and got[4][2] == 2 and got[5][1:] == ("timeout", 2) and got[7][1] == "ValueError: no solid" and got[8][2] == 1
+
+
+def test_forest_joins_the_first_root_that_passes(spark):
+    clouds = [CLOUD, CLOUD * [-1, 1, 1], CLOUD + 1, CLOUD * 2, CLOUD * 2 + 5]
+    members, told = rigid.verification_forest(_shapes(spark, clouds), rigid.RigidCheck())
+    assert {r.part_index: r["first"] for r in members.collect()} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3}
+    checks = {(r.reference_part, r.candidate_part): r.passed for r in told.collect()}
+    assert checks == {(0, 1): False, (0, 2): True, (0, 3): False, (1, 3): False, (3, 4): True}
+
+
+def test_extensions_and_checked_pairs(spark):
+    got = [value(spark, kernel.address_extension(F.lit(x))) for x in ("https://a/b/C.STP?x=1.zip", "https://a/b/c", "a.b/c#.stl")]
+    assert got == [".stp", ".step", ".step"]
+    pairs_ = spark.createDataFrame([(k, k + 1) for k in range(5)], "a long, b long")
+    rows = kernel.checked_in_batches(pairs_, lambda x: [("different", str(r.a)) for r in x]).collect()
+    assert {(r.a, r.status, r.reason, r.attempts) for r in rows} == {(k, "different", str(k), 1) for k in range(5)}
