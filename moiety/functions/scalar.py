@@ -74,7 +74,8 @@ def soft_bins(position) -> Column:
     """Entries (bin, weight) of a position on the bin axis: linear split between the two nearest bins."""
     position = col(position)
     low = F.floor(position)
-    return F.array(F.struct(low.cast("int").alias("bin"), (1 - (position - low)).alias("weight")), F.struct((low + 1).cast("int").alias("bin"), (position - low).alias("weight")))
+    return F.array(F.struct(low.cast("int").alias("bin"), (1 - (position - low)).alias("weight")),
+        F.struct((low + 1).cast("int").alias("bin"), (position - low).alias("weight")))
 
 
 # ---------------------------------------------------------------- tokens and labels
@@ -163,13 +164,16 @@ def downgraded(decision, confidence) -> Column:
 def file_integrity(exists, size, expected_size, digest, expected_digest, head) -> Column:
     """The first check that a downloaded file fails, else "valid"."""
     bad = lambda x, y: col(y).isNotNull() & ~col(x).eqNullSafe(col(y))
-    return (F.when(~F.coalesce(col(exists), F.lit(False)), "missing").when(bad(size, expected_size), "size_mismatch").when(bad(digest, expected_digest), "sha256_mismatch")
-            .when(F.startswith(col(head), F.lit("version https://git-lfs")), "lfs_pointer").when(~F.contains(F.upper(col(head)), F.lit("ISO-10303-21")), "invalid_header").otherwise("valid"))
+    return (F.when(~F.coalesce(col(exists), F.lit(False)), "missing").when(bad(size, expected_size),
+        "size_mismatch").when(bad(digest, expected_digest), "sha256_mismatch")
+            .when(F.startswith(col(head), F.lit("version https://git-lfs")),
+                "lfs_pointer").when(~F.contains(F.upper(col(head)), F.lit("ISO-10303-21")), "invalid_header").otherwise("valid"))
 
 
 def admission(solids, valid, least: int = 10) -> Column:
     """Structural admission of an inspected assembly."""
-    return F.when(col(solids) < 0, "inspection_failed").when(~F.coalesce(col(valid), F.lit(False)), "invalid_shape").when(col(solids) >= least, "admitted").otherwise("too_few_solids")
+    return F.when(col(solids) < 0, "inspection_failed").when(~F.coalesce(col(valid), F.lit(False)),
+        "invalid_shape").when(col(solids) >= least, "admitted").otherwise("too_few_solids")
 
 
 # ---------------------------------------------------------------- intervals

@@ -19,15 +19,18 @@ def coverage(texts: DataFrame, taxonomy: DataFrame, source: str = "source", text
 
     Keywords are matched anywhere in the lower-cased text.  Types without a hit stay, because the taxonomy is the left side."""
     hits = texts.select(F.col(source).alias("source"), F.lower(text).alias("body")).join(F.broadcast(taxonomy), F.contains(F.col("body"), F.col("keyword")))
-    found = hits.groupBy("type").agg(F.count_distinct("source").alias("source_count"), F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set("keyword")).alias("matched_keywords"))
+    found = hits.groupBy("type").agg(F.count_distinct("source").alias("source_count"),
+        F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set("keyword")).alias("matched_keywords"))
     out = taxonomy.select("type").distinct().join(found, "type", "left")
     n = F.coalesce("source_count", F.lit(0))
     empty = F.array().cast("array<string>")
-    return out.select("type", (n > 0).alias("covered"), n.alias("source_count"), F.coalesce("sources", empty).alias("sources"), F.coalesce("matched_keywords", empty).alias("matched_keywords"),
+    return out.select("type", (n > 0).alias("covered"), n.alias("source_count"), F.coalesce("sources", empty).alias("sources"),
+        F.coalesce("matched_keywords", empty).alias("matched_keywords"),
                       F.when(n == 0, "missing").when(n < least_sources, "undercovered").alias("gap"))
 
 
 def signature_counts(parts: DataFrame, source: str) -> DataFrame:
     """Parts and sources of each geometry signature; rare: at most two parts."""
     sig = S.geometry_signature("volume", "surface_area", "faces", "edges", "vertices")
-    return parts.groupBy(sig.alias("signature")).agg(F.count("*").alias("part_count"), F.count_distinct(source).alias("source_count")).withColumn("rare", F.col("part_count") <= 2)
+    return parts.groupBy(sig.alias("signature")).agg(F.count("*").alias("part_count"),
+        F.count_distinct(source).alias("source_count")).withColumn("rare", F.col("part_count") <= 2)

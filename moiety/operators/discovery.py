@@ -18,7 +18,9 @@ def datacite_license(identifier, uri):
     named = F.lower(F.coalesce(S.col(identifier), F.lit("")))
     address = F.lower(F.coalesce(S.col(uri), F.lit("")))
     by_id = F.when(named != "", F.upper(named))
-    return F.coalesce(by_id, F.when(F.contains(address, F.lit("by-sa/4.0")), "CC-BY-SA-4.0").when(F.contains(address, F.lit("by/4.0")), "CC-BY-4.0").when(F.contains(address, F.lit("apache")), "Apache-2.0").when(F.contains(address, F.lit("mit")), "MIT"), F.lit("unknown"))
+    return F.coalesce(by_id, F.when(F.contains(address, F.lit("by-sa/4.0")), "CC-BY-SA-4.0").when(F.contains(address, F.lit("by/4.0")),
+        "CC-BY-4.0").when(F.contains(address, F.lit("apache")), "Apache-2.0").when(F.contains(address, F.lit("mit")), "MIT"),
+        F.lit("unknown"))
 
 
 def gated(candidates: DataFrame, most_bytes: int, allowed=V.LICENSES) -> DataFrame:
@@ -27,7 +29,8 @@ def gated(candidates: DataFrame, most_bytes: int, allowed=V.LICENSES) -> DataFra
     return out.withColumn("decision", S.downgraded("decision", "assembly_confidence")) if "assembly_confidence" in out.columns else out
 
 
-def best_per_address(candidates: DataFrame, address: str = "download_url", other: str = "landing_url", score: str = "score", key: str = "candidate_id") -> DataFrame:
+def best_per_address(candidates: DataFrame, address: str = "download_url", other: str = "landing_url", score: str = "score",
+    key: str = "candidate_id") -> DataFrame:
     """The candidate with the highest score of each address (ties: smallest id): an aggregation with map-side combining."""
     where = F.coalesce(F.nullif(F.col(address), F.lit("")), F.col(other))
     order = F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"))
@@ -43,7 +46,8 @@ def staged(candidates: DataFrame, most: int, key: str = "candidate_id") -> DataF
     return candidates.where((F.col("decision") == "staged") & (F.coalesce("download_url", F.lit("")) != "")).orderBy(F.desc("score"), key).limit(most)
 
 
-def discover(spark: SparkSession, providers: dict[str, Provider], names: Iterable[str], gaps: dict[str, list[str]], most_types: int = 4) -> tuple[DataFrame | None, list[dict]]:
+def discover(spark: SparkSession, providers: dict[str, Provider], names: Iterable[str], gaps: dict[str, list[str]],
+    most_types: int = 4) -> tuple[DataFrame | None, list[dict]]:
     """Asks each named provider for each missing type; failures and unknown providers are events, not errors."""
     found, events = None, []
     for kind in list(gaps)[:most_types]:

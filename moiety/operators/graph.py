@@ -54,7 +54,8 @@ def component_stars(edges: DataFrame, small: int = SMALL) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         roots = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small_star = large.join(roots, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").unionAll(roots.select("hi", F.col("m").alias("lo")))
+        small_star = large.join(roots, "hi").select(F.col("lo").alias("hi"),
+            F.col("m").alias("lo")).where("hi <> lo").unionAll(roots.select("hi", F.col("m").alias("lo")))
         e = cut(small_star.distinct())
         now = stats(e)
         if now == seen:

@@ -38,7 +38,8 @@ def kernel_records(df: DataFrame, key: str, output: str) -> DataFrame:
     axes = lambda head, names: rf"(?s){head}\s*:.*?" + r".*?".join(rf"{n}\s*=\s*{NUMBER}" for n in names)
     box = _three(record, rf"@@BBOX\s+{NUMBER}\s+{NUMBER}\s+{NUMBER}")
     count = lambda item: F.coalesce(_read(record, rf"(?m)^\s*{item}\s*:\s*(\d+)").try_cast("int"), F.lit(0))
-    missing = F.filter(F.array(*(F.when(~record.contains(f"@@{s}_BEGIN") | ~record.contains(f"@@{s}_END"), F.lit(s)) for s in SECTIONS.values())), lambda x: x.isNotNull())
+    missing = F.filter(F.array(*(F.when(~record.contains(f"@@{s}_BEGIN") | ~record.contains(f"@@{s}_END"),
+        F.lit(s)) for s in SECTIONS.values())), lambda x: x.isNotNull())
     return found.select(
         key, _read(record, r"@@PART_BEGIN\s+(\d+)").cast("long").alias("part_index"), _read(record, r"@@PART_BEGIN\s+\d+\s+(\S+)").alias("shape_name"),
         *(mass(s).alias(name) for name, s in SECTIONS.items()), _three(exact, axes("Center of gravity", "XYZ")).alias("center"),
@@ -97,7 +98,8 @@ def checked_in_batches(pairs: DataFrame, run: Batch, size: int = 4) -> DataFrame
     def check(batches):
         for rows in batches:
             found = in_batches(list(rows.itertuples(index=False)), run, size)
-            yield rows.assign(status=[x[0] for x in found], reason=[x[1] for x in found], attempts=[x[2] for x in found]) if len(rows) else pd.DataFrame(columns=[*rows.columns, "status", "reason", "attempts"])
+            yield rows.assign(status=[x[0] for x in found], reason=[x[1] for x in found],
+                attempts=[x[2] for x in found]) if len(rows) else pd.DataFrame(columns=[*rows.columns, "status", "reason", "attempts"])
 
     return pairs.mapInPandas(check, f"{kinds}, status string, reason string, attempts int")
 
@@ -112,7 +114,8 @@ def download_segments(sources: DataFrame, segments: int) -> DataFrame:
     cut = sources.where(left > 0).select("*", kept.alias("from_"), step.alias("step_"))
     cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.ceil((F.col("expected_bytes") - F.col("from_")) / F.col("step_")).cast("int") - 1)).alias("segment"))
     first = F.col("from_") + F.col("segment") * F.col("step_")
-    return cut.select(*sources.columns, "segment", first.alias("first_byte"), F.least(F.col("expected_bytes") - 1, first + F.col("step_") - 1).alias("last_byte"))
+    return cut.select(*sources.columns, "segment", first.alias("first_byte"),
+        F.least(F.col("expected_bytes") - 1, first + F.col("step_") - 1).alias("last_byte"))
 
 
 def address_extension(address, default: str = ".step") -> Column:

@@ -28,7 +28,8 @@ def adjusted_rand_index(df: DataFrame, truth: str, predicted: str, by: list[str]
     expected = F.col("same_truth") * F.col("same_predicted") / total
     top = (F.col("same_truth") + F.col("same_predicted")) / F.lit(2.0)
     equal = (F.col("both") == F.col("same_truth")) & (F.col("both") == F.col("same_predicted"))
-    ari = F.when(F.col("n") < 2, 1.0).when(top == expected, F.when(equal, 1.0).otherwise(0.0) if undefined is None else F.lit(float(undefined))).otherwise((F.col("both") - expected) / (top - expected))
+    ari = F.when(F.col("n") < 2, 1.0).when(top == expected,
+        F.when(equal, 1.0).otherwise(0.0) if undefined is None else F.lit(float(undefined))).otherwise((F.col("both") - expected) / (top - expected))
     return c.select(*(by or []), "n", ari.alias("ari"))
 
 
@@ -39,11 +40,13 @@ def ratio(a, b, empty: float) -> Column:
 
 def pair_confusion(df: DataFrame, truth: str, predicted: str, by: list[str] | None = None) -> DataFrame:
     """tp, fp, fn, tn over all pairs, precision, recall (1 if empty), f1 (0 if empty), accuracy."""
-    c = pair_counts(df, truth, predicted, by).withColumn("tp", F.col("both")).withColumn("fp", F.col("same_predicted") - F.col("both")).withColumn("fn", F.col("same_truth") - F.col("both"))
+    c = pair_counts(df, truth, predicted, by).withColumn("tp", F.col("both")).withColumn("fp",
+        F.col("same_predicted") - F.col("both")).withColumn("fn", F.col("same_truth") - F.col("both"))
     c = c.withColumn("tn", S.choose2("n") - F.col("tp") - F.col("fp") - F.col("fn"))
     c = c.withColumn("precision", ratio("tp", F.col("tp") + F.col("fp"), 1.0)).withColumn("recall", ratio("tp", F.col("tp") + F.col("fn"), 1.0))
     f1 = ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"), 0.0)
-    return c.select(*(by or []), "tp", "fp", "fn", "tn", "precision", "recall", f1.alias("f1"), ratio(F.col("tp") + F.col("tn"), S.choose2("n"), 1.0).alias("accuracy"))
+    return c.select(*(by or []), "tp", "fp", "fn", "tn", "precision", "recall", f1.alias("f1"),
+        ratio(F.col("tp") + F.col("tn"), S.choose2("n"), 1.0).alias("accuracy"))
 
 
 def threshold_totals(df: DataFrame, run: str, threshold: str, label: str, final: str) -> DataFrame:
@@ -65,7 +68,8 @@ def recommend_threshold(totals: DataFrame, threshold: str, least_recall: float,
     good = F.col("best_workload_reduction") >= least_gain
     return best.select(
         F.when(good, F.col("best_eligible_threshold")).alias("recommended_threshold"), "best_eligible_threshold", "best_workload_reduction",
-        F.when(good, "proposal_requires_holdout_validation").when(F.col("best_eligible_threshold").isNotNull(), "no_material_gain").otherwise("no_eligible_threshold").alias("recommendation_status"))
+        F.when(good, "proposal_requires_holdout_validation").when(F.col("best_eligible_threshold").isNotNull(),
+            "no_material_gain").otherwise("no_eligible_threshold").alias("recommendation_status"))
 
 
 def upper_median(x) -> Column:
@@ -87,10 +91,13 @@ def weighted_accuracy(records: DataFrame, stratum: str, total_name: str = "all")
     ``records``: stratum, probability, correct (null: uncertain)."""
     weight = 1 / F.greatest("probability", F.lit(1e-15))
     decided = F.col("correct").isNotNull()
-    rows = records.rollup(stratum).agg(F.grouping(stratum).alias("pooled"), F.count("*").alias("labeled"), F.count_if(decided).alias("decided"), F.count_if(~decided).alias("uncertain"), F.sum(F.when(F.col("correct"), 1).otherwise(0)).alias("n_correct"),
+    rows = records.rollup(stratum).agg(F.grouping(stratum).alias("pooled"), F.count("*").alias("labeled"),
+        F.count_if(decided).alias("decided"), F.count_if(~decided).alias("uncertain"),
+        F.sum(F.when(F.col("correct"), 1).otherwise(0)).alias("n_correct"),
                (F.sum(F.when(decided, weight * F.col("correct").cast("int"))) / F.sum(F.when(decided, weight))).alias("estimate"))
     low, high = S.wilson("n_correct", "decided")
-    return rows.select(F.when(F.col("pooled") == 1, total_name).otherwise(F.col(stratum)).alias("stratum"), "labeled", "decided", "uncertain", F.col("n_correct").alias("correct"), "estimate", low.alias("wilson_low"), high.alias("wilson_high"))
+    return rows.select(F.when(F.col("pooled") == 1, total_name).otherwise(F.col(stratum)).alias("stratum"), "labeled", "decided",
+        "uncertain", F.col("n_correct").alias("correct"), "estimate", low.alias("wilson_low"), high.alias("wilson_high"))
 
 
 def holdout_totals(baseline: DataFrame, candidate: DataFrame, key: str, ari: DataFrame) -> DataFrame:

@@ -58,8 +58,11 @@ def batches(df: DataFrame, order: str, size: int = 4, workers: int = 4) -> DataF
 def run_index(reports: DataFrame) -> DataFrame:
     """(id, groups: part counts, pairs: statuses, stages: seconds) as one summary row a run."""
     multi = F.filter("groups", lambda g: g["part_count"] > 1)
-    return reports.select("id", F.size("groups").alias("final_groups"), F.size(multi).alias("multi_member_groups"), F.aggregate(multi, F.lit(0).cast("long"), lambda s, g: s + g["part_count"]).alias("solids_in_multi_member_groups"),
-                          F.size(F.filter("pairs", lambda p: p["status"].isin(*V.UNRESOLVED))).alias("unresolved_pairs"), F.bround(F.aggregate("stages", F.lit(0.0), lambda s, x: s + x["elapsed_seconds"]), 3).alias("elapsed_seconds"))
+    return reports.select("id", F.size("groups").alias("final_groups"), F.size(multi).alias("multi_member_groups"),
+        F.aggregate(multi, F.lit(0).cast("long"), lambda s, g: s + g["part_count"]).alias("solids_in_multi_member_groups"),
+                          F.size(F.filter("pairs", lambda p: p["status"].isin(*V.UNRESOLVED))).alias("unresolved_pairs"),
+                              F.bround(F.aggregate("stages", F.lit(0.0), lambda s, x: s + x["elapsed_seconds"]),
+                              3).alias("elapsed_seconds"))
 
 
 def stage_seconds(stages, name: str) -> Column:
@@ -72,16 +75,21 @@ def corpus_summary(runs: DataFrame) -> DataFrame:
     done = F.col("status") == "completed"
     exact = done & (F.col("precision_mode") == "boolean")
     total = lambda c, w: F.coalesce(F.sum(F.when(w, F.col(c))), F.lit(0))
-    return runs.agg(F.count("*").alias("runs"), F.count_if(done).alias("completed"), F.count_if(exact).alias("boolean_completed_assemblies"), F.count_if(F.col("status") == "failed").alias("failed"),
-                    total("solids", exact).alias("solids"), total("final_groups", exact).alias("final_groups"), total("multi_member_groups", exact).alias("multi_member_groups"), total("unresolved_pairs", exact).alias("unresolved_pairs"), total("elapsed_seconds", done).alias("elapsed_seconds"))
+    return runs.agg(F.count("*").alias("runs"), F.count_if(done).alias("completed"),
+        F.count_if(exact).alias("boolean_completed_assemblies"), F.count_if(F.col("status") == "failed").alias("failed"),
+                    total("solids", exact).alias("solids"), total("final_groups", exact).alias("final_groups"),
+                        total("multi_member_groups", exact).alias("multi_member_groups"),
+                        total("unresolved_pairs", exact).alias("unresolved_pairs"), total("elapsed_seconds", done).alias("elapsed_seconds"))
 
 
 def data_quality(parts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Ids of bad parts, unknown uses, distance range and how many distances are outside [0, 1] or not numbers."""
     ids = lambda w: F.array_sort(F.collect_list(F.when(w, F.col("part_index"))))
-    a = parts.agg(F.count("*").alias("part_count"), ids(F.col("volume") <= 0).alias("nonpositive_volume_parts"), ids(F.col("faces") <= 0).alias("zero_face_parts"))
+    a = parts.agg(F.count("*").alias("part_count"), ids(F.col("volume") <= 0).alias("nonpositive_volume_parts"),
+        ids(F.col("faces") <= 0).alias("zero_face_parts"))
     bad = F.isnan("distance") | (F.col("distance") < 0) | (F.col("distance") > 1)
-    return a.crossJoin(pairs.agg(F.min("distance").alias("least_distance"), F.max("distance").alias("largest_distance"), F.count_if(bad).alias("invalid_distances")))  # one row each
+    return a.crossJoin(pairs.agg(F.min("distance").alias("least_distance"), F.max("distance").alias("largest_distance"),
+        F.count_if(bad).alias("invalid_distances")))  # one row each
 
 
 def gate_checks(summary: DataFrame, limits: dict | None = None) -> DataFrame:
@@ -91,17 +99,23 @@ def gate_checks(summary: DataFrame, limits: dict | None = None) -> DataFrame:
     g = limits or V.GATE_LIMITS
     n = S.number_or_null
     zero = lambda c: F.coalesce(n(c), F.lit(0.0))
-    check = lambda name, passed, observed, required: F.struct(F.lit(name).alias("name"), passed.alias("passed"), S.col(observed).cast("string").alias("observed"), F.lit(str(required)).alias("required"))
+    check = lambda name, passed, observed, required: F.struct(F.lit(name).alias("name"), passed.alias("passed"),
+        S.col(observed).cast("string").alias("observed"), F.lit(str(required)).alias("required"))
     least = lambda name, c, limit: check(name, n(c) >= float(g[limit]), c, g[limit])
     checks = F.array(
-        check("input_order_ari", zero("minimum_order_permutation_ari") >= float(g["minimum_order_ari"]), "minimum_order_permutation_ari", g["minimum_order_ari"]),
-        check("threshold_ari", zero("median_adjacent_threshold_ari") >= float(g["minimum_threshold_ari"]), "median_adjacent_threshold_ari", g["minimum_threshold_ari"]),
+        check("input_order_ari", zero("minimum_order_permutation_ari") >= float(g["minimum_order_ari"]), "minimum_order_permutation_ari",
+            g["minimum_order_ari"]),
+        check("threshold_ari", zero("median_adjacent_threshold_ari") >= float(g["minimum_threshold_ari"]), "median_adjacent_threshold_ari",
+            g["minimum_threshold_ari"]),
         check("rigid_invariance", F.coalesce(F.col("rigid_invariance_passed"), F.lit(False)), "rigid_invariance_passed", True),
-        check("minimum_completed_assemblies", zero("boolean_completed_assemblies") >= int(g["minimum_completed_assemblies"]), "boolean_completed_assemblies", g["minimum_completed_assemblies"]),
+        check("minimum_completed_assemblies", zero("boolean_completed_assemblies") >= int(g["minimum_completed_assemblies"]),
+            "boolean_completed_assemblies", g["minimum_completed_assemblies"]),
         least("holdout_partition_ari", "minimum_partition_ari", "minimum_holdout_partition_ari"),
         check("holdout_runtime_ratio", n("runtime_ratio") <= float(g["maximum_holdout_runtime_ratio"]), "runtime_ratio", g["maximum_holdout_runtime_ratio"]),
-        least("human_merge_precision", "merge_precision", "minimum_merge_precision"), least("human_merge_precision_lower_bound", "merge_precision_low", "minimum_merge_precision_lower_bound"),
-        least("random_cross_correct_split", "cross_split", "minimum_random_cross_correct_split"), least("random_cross_lower_bound", "cross_split_low", "minimum_random_cross_lower_bound"))
+        least("human_merge_precision", "merge_precision", "minimum_merge_precision"),
+            least("human_merge_precision_lower_bound", "merge_precision_low", "minimum_merge_precision_lower_bound"),
+        least("random_cross_correct_split", "cross_split", "minimum_random_cross_correct_split"),
+            least("random_cross_lower_bound", "cross_split_low", "minimum_random_cross_lower_bound"))
     return summary.select(F.explode(checks).alias("c")).select("c.*")
 
 
@@ -109,7 +123,8 @@ def gate_decision(checks: DataFrame) -> DataFrame:
     """One row: decision, failed and missing checks."""
     names = lambda w: F.array_sort(F.collect_list(F.when(w, F.col("name"))))
     out = checks.agg(names(F.col("passed") == F.lit(False)).alias("failed_checks"), names(F.col("passed").isNull()).alias("missing_checks"))
-    return out.select(F.when(F.size("failed_checks") > 0, "rejected").when(F.size("missing_checks") > 0, "waiting_for_human_labels").otherwise("eligible_for_promotion").alias("decision"), "failed_checks", "missing_checks")
+    return out.select(F.when(F.size("failed_checks") > 0, "rejected").when(F.size("missing_checks") > 0,
+        "waiting_for_human_labels").otherwise("eligible_for_promotion").alias("decision"), "failed_checks", "missing_checks")
 
 
 def reusable(runs: DataFrame, wanted: DataFrame, signature: list[str]) -> DataFrame:
@@ -140,8 +155,10 @@ def by_size(files: DataFrame) -> DataFrame:
 
 
 #: summed over runs of exact verification: name, column
-_SUMS = (("total_solids", "solid_count"), ("total_final_groups", "final_groups"), ("total_multi_member_groups", "multi_member_groups"), ("total_solids_in_repeated_groups", "solids_in_multi_member_groups"),
-         ("total_checked_pairs", "checked_pairs"), ("total_split_pairs", "split_pairs"), ("total_verified_different_pairs", "verified_different_pairs"), ("total_unresolved_pairs", "unresolved_pairs"))
+_SUMS = (("total_solids", "solid_count"), ("total_final_groups", "final_groups"), ("total_multi_member_groups", "multi_member_groups"),
+    ("total_solids_in_repeated_groups", "solids_in_multi_member_groups"),
+         ("total_checked_pairs", "checked_pairs"), ("total_split_pairs", "split_pairs"),
+             ("total_verified_different_pairs", "verified_different_pairs"), ("total_unresolved_pairs", "unresolved_pairs"))
 
 
 def corpus_totals(inventory: DataFrame, inspection: DataFrame, runs: DataFrame) -> DataFrame:
@@ -152,11 +169,13 @@ def corpus_totals(inventory: DataFrame, inspection: DataFrame, runs: DataFrame)
     exact, rigid = (F.col("precision_mode") == m for m in ("boolean", "rigid"))
     sum_ = lambda c: F.coalesce(F.sum(F.when(exact, F.col(c))), F.lit(0)).cast("long")
     got = inventory.agg(F.count_if(F.col("status").isin("downloaded", "verified")).alias("downloaded_files"))
-    seen = inspection.agg(F.count("*").alias("inspected_files"), F.count_if(admitted).alias("admitted_assemblies"), F.count_if(~admitted).alias("rejected_files"),
+    seen = inspection.agg(F.count("*").alias("inspected_files"), F.count_if(admitted).alias("admitted_assemblies"),
+        F.count_if(~admitted).alias("rejected_files"),
                           *(F.count_if(admitted & (F.col("solids") >= k)).alias(f"admitted_at_least_{k}_solids") for k in (30, 50, 200)))
     done = runs.agg(F.count_if(exact).alias("boolean_completed_assemblies"), *(sum_(c).alias(f"boolean_{name}") for name, c in _SUMS),
                     F.count_if(exact & (F.col("multi_member_groups") > 0)).alias("boolean_assemblies_with_repeated_geometry"),
-                    F.count_if(exact & (F.col("unresolved_pairs") == 0)).alias("boolean_zero_unresolved_assemblies"), F.count_if(rigid).alias("rigid_screened_assemblies"))
+                    F.count_if(exact & (F.col("unresolved_pairs") == 0)).alias("boolean_zero_unresolved_assemblies"),
+                        F.count_if(rigid).alias("rigid_screened_assemblies"))
     tiers = runs.groupBy("id").agg(F.bool_or(exact).alias("exact"), F.bool_or(rigid).alias("rigid"))
     each = inspection.where(admitted).select("id", F.lit(True).alias("admitted")).distinct().join(tiers, "id", "full")
     covered = F.coalesce(F.col("exact") | F.col("rigid"), F.lit(False))

@@ -28,10 +28,14 @@ _COLUMNS = ("item_type", "group_a", "part_ids", "group_size", "predicted_relatio
 
 
 def _tasks(df: DataFrame, item: str, parts, relation: str, risk, stratum: str, evidence, group=None, size=None, probability=None) -> DataFrame:
-    return df.select(F.lit(item).alias("item_type"), (group if group is not None else F.lit(None)).cast("long").alias("group_a"), parts.cast("array<long>").alias("part_ids"), (size if size is not None else F.lit(2)).cast("long").alias("group_size"), F.lit(relation).alias("predicted_relation"), risk.cast("double").alias("risk_score"), F.lit(stratum).alias("selection_stratum"), (probability if probability is not None else F.lit(1.0)).alias("inclusion_probability"), evidence.alias("evidence"))
+    return df.select(F.lit(item).alias("item_type"), (group if group is not None else F.lit(None)).cast("long").alias("group_a"),
+        parts.cast("array<long>").alias("part_ids"), (size if size is not None else F.lit(2)).cast("long").alias("group_size"),
+        F.lit(relation).alias("predicted_relation"), risk.cast("double").alias("risk_score"), F.lit(stratum).alias("selection_stratum"),
+        (probability if probability is not None else F.lit(1.0)).alias("inclusion_probability"), evidence.alias("evidence"))
 
 
-def select_tasks(dataset: str, groups: DataFrame, checks: DataFrame, pairs: DataFrame, max_groups: int = 20, max_near: int = 20, cross_sample: int = 10, internal_sample: int = 10, max_unresolved: int = 20, max_boundary: int = 20) -> DataFrame:
+def select_tasks(dataset: str, groups: DataFrame, checks: DataFrame, pairs: DataFrame, max_groups: int = 20, max_near: int = 20,
+    cross_sample: int = 10, internal_sample: int = 10, max_unresolved: int = 20, max_boundary: int = 20) -> DataFrame:
     """The review queue of one run, most urgent first, each pair once.
 
     ``groups`` as group_summary gives them, ``checks`` as verification does (with boolean_relative_error if known), ``pairs``
@@ -40,24 +44,34 @@ def select_tasks(dataset: str, groups: DataFrame, checks: DataFrame, pairs: Data
     seed = f"{V.REVIEW_SEED}:{dataset}"
     two = lambda a, b: F.array(F.col(a), F.col(b))
     risky = groups.where("part_count > 1").orderBy("minimum_internal_similarity", F.desc("part_count"), "group").limit(max_groups)
-    out = _tasks(risky, "group_merge", F.slice("parts", 1, 3), "same", 1 - F.col("minimum_internal_similarity"), "high_risk_internal", F.format_string("min_internal_similarity=%.6f", "minimum_internal_similarity"), F.col("group"), F.col("part_count"))
+    out = _tasks(risky, "group_merge", F.slice("parts", 1, 3), "same", 1 - F.col("minimum_internal_similarity"), "high_risk_internal",
+        F.format_string("min_internal_similarity=%.6f", "minimum_internal_similarity"), F.col("group"), F.col("part_count"))
     if "boolean_relative_error" not in checks.columns:
         checks = checks.withColumn("boolean_relative_error", F.lit(None).cast("double"))
     open_ = checks.where(F.col("status").isin(*V.UNRESOLVED)).orderBy("group", "reference_part", "candidate_part").limit(max_unresolved)
-    out = out.unionAll(_tasks(open_, "unresolved_precision", two("reference_part", "candidate_part"), "different", F.lit(1.0), "unresolved_precision", F.coalesce("reason", F.lit("")), F.col("group")))
+    out = out.unionAll(_tasks(open_, "unresolved_precision", two("reference_part", "candidate_part"), "different", F.lit(1.0),
+        "unresolved_precision", F.coalesce("reason", F.lit("")), F.col("group")))
     error = F.nullif(F.col("boolean_relative_error"), F.lit(0.0))
     split = checks.where("status = 'different'").withColumn("e", error).orderBy(F.asc_nulls_last("e"), "reference_part", "candidate_part").limit(max_boundary)
-    out = out.unionAll(_tasks(split, "boolean_boundary_split", two("reference_part", "candidate_part"), "different", 1 / F.greatest(F.coalesce("e", F.lit(1.0)), F.lit(1e-15)), "boolean_boundary_split", F.concat(F.lit("boolean_relative_error="), F.coalesce(F.col("boolean_relative_error").cast("string"), F.lit("None"))), F.col("group")))
+    out = out.unionAll(_tasks(split, "boolean_boundary_split", two("reference_part", "candidate_part"), "different",
+        1 / F.greatest(F.coalesce("e", F.lit(1.0)), F.lit(1e-15)), "boolean_boundary_split",
+        F.concat(F.lit("boolean_relative_error="), F.coalesce(F.col("boolean_relative_error").cast("string"), F.lit("None"))),
+        F.col("group")))
     near = near_misses(pairs, max_near)
-    out = out.unionAll(_tasks(near, "near_miss_pair", two("part_a", "part_b"), "different", F.col("similarity"), "high_risk_cross_group", F.format_string("cross_group_similarity=%.6f", "similarity")))
+    out = out.unionAll(_tasks(near, "near_miss_pair", two("part_a", "part_b"), "different", F.col("similarity"), "high_risk_cross_group",
+        F.format_string("cross_group_similarity=%.6f", "similarity")))
     chosen = out.where(F.size("part_ids") == 2).select(F.array_min("part_ids").alias("part_a"), F.array_max("part_ids").alias("part_b"))
     cross, inner = pairs.where(~F.col("same_group")), pairs.where("same_group")
     drawn = hash_sample(cross.join(chosen, ["part_a", "part_b"], "left_anti"), cross_sample, seed).crossJoin(cross.agg(F.count("*").alias("n")))
-    out = out.unionAll(_tasks(drawn, "random_cross_pair", two("part_a", "part_b"), "different", F.col("similarity"), "random_cross_baseline", F.format_string("random_cross_similarity=%.6f", "similarity"), probability=inclusion_probability(cross_sample, "n")))
+    out = out.unionAll(_tasks(drawn, "random_cross_pair", two("part_a", "part_b"), "different", F.col("similarity"),
+        "random_cross_baseline", F.format_string("random_cross_similarity=%.6f", "similarity"),
+        probability=inclusion_probability(cross_sample, "n")))
     inside = hash_sample(inner, internal_sample, seed).crossJoin(inner.agg(F.count("*").alias("n")))
-    out = out.unionAll(_tasks(inside, "random_internal_pair", two("part_a", "part_b"), "same", F.lit(0.0), "random_internal_baseline", F.lit("random pair from a retained multi-member group"), probability=inclusion_probability(internal_sample, "n")))
+    out = out.unionAll(_tasks(inside, "random_internal_pair", two("part_a", "part_b"), "same", F.lit(0.0), "random_internal_baseline",
+        F.lit("random pair from a retained multi-member group"), probability=inclusion_probability(internal_sample, "n")))
     priority = F.coalesce(*(F.when(F.col("item_type") == k, F.lit(v)) for k, v in V.TASK_PRIORITY.items()), F.lit(9))
-    pair = F.when(F.size("part_ids") == 2, F.concat_ws(":", F.array_min("part_ids"), F.array_max("part_ids"))).otherwise(F.concat_ws(":", "item_type", "group_a"))
+    pair = F.when(F.size("part_ids") == 2,
+        F.concat_ws(":", F.array_min("part_ids"), F.array_max("part_ids"))).otherwise(F.concat_ws(":", "item_type", "group_a"))
     ordered = out.withColumn("p", priority).withColumn("pair", pair)
     first = ordered.withColumn("r", F.row_number().over(Window.partitionBy("pair").orderBy("p", F.desc("risk_score"), "part_ids"))).where("r = 1")
     return first.orderBy("p", F.desc("risk_score"), "part_ids").select(F.lit(dataset).alias("dataset_id"), *_COLUMNS)
@@ -67,7 +81,9 @@ def label_records(queue: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled tasks with whether the label confirms the prediction (null: uncertain); unknown tasks and blank labels are left out."""
     both = queue.join(labels.select("task_id", "human_label"), "task_id").where("human_label <> ''")
     right = ((F.col("predicted_relation") == "same") & (F.col("human_label") == "correct_merge")) | ((F.col("predicted_relation") == "different") & (F.col("human_label") == "correct_split"))
-    return both.select("task_id", "predicted_relation", F.col("selection_stratum").alias("stratum"), F.col("inclusion_probability").cast("double").alias("probability"), F.when(F.col("human_label") != "uncertain", right).alias("correct"))
+    return both.select("task_id", "predicted_relation", F.col("selection_stratum").alias("stratum"),
+        F.col("inclusion_probability").cast("double").alias("probability"),
+        F.when(F.col("human_label") != "uncertain", right).alias("correct"))
 
 
 def score_labels(queue: DataFrame, labels: DataFrame) -> DataFrame:

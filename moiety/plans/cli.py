@@ -28,7 +28,8 @@ def _taxonomy(config: dict) -> dict:
 
 def group(a) -> dict:
     spark = _spark()
-    config = workflow.Config(mode=a.mode, threshold=a.threshold, precision=a.precision, size_tolerance=a.size_tolerance, vertex_tolerance=a.vertex_tolerance, label_rounds=a.label_rounds)
+    config = workflow.Config(mode=a.mode, threshold=a.threshold, precision=a.precision, size_tolerance=a.size_tolerance,
+        vertex_tolerance=a.vertex_tolerance, label_rounds=a.label_rounds)
     exact = spark.read.json(a.properties)
     return workflow.group_parts(spark, step.read_step(spark, a.source), exact, a.output, config)
 
@@ -39,8 +40,10 @@ def coverage(a) -> dict:
     texts = step.read_step(spark, a.assemblies)
     from moiety.functions import scalar as S
 
-    named = texts.select(F.regexp_extract("part", r"([^/]+)\.[^.]+$", 1).alias("source"), F.concat_ws(" ", F.regexp_extract("part", r"([^/]+)\.[^.]+$", 1), F.array_join(S.product_names("text"), " ")).alias("text"))
-    rows = cov.coverage(named, cov.taxonomy_table(spark, _taxonomy(config)), least_sources=config["coverage"].get("minimum_sources_per_type", 1)).orderBy("type").collect()  # one row a type
+    named = texts.select(F.regexp_extract("part", r"([^/]+)\.[^.]+$", 1).alias("source"),
+        F.concat_ws(" ", F.regexp_extract("part", r"([^/]+)\.[^.]+$", 1), F.array_join(S.product_names("text"), " ")).alias("text"))
+    rows = cov.coverage(named, cov.taxonomy_table(spark, _taxonomy(config)),
+        least_sources=config["coverage"].get("minimum_sources_per_type", 1)).orderBy("type").collect()  # one row a type
     gaps = [r.type for r in rows if r.gap == "missing"] + [r.type for r in rows if r.gap == "undercovered"]
     result = {"semantic_types": [r.asDict() for r in rows], "coverage_gaps": gaps}
     tables.write_json(result, Path(a.output) / "coverage.json")
@@ -61,7 +64,8 @@ def discover(a) -> dict:
     providers = {n: probe.recorded_provider(p, schema, n) for n, p in (x.split("=", 1) for x in a.recorded)}
     gaps = tables.load_json(Path(a.output) / "coverage.json", {}).get("coverage_gaps", [])
     taxonomy, d = _taxonomy(config), config["discovery"]
-    found, events = discovery.discover(spark, providers, d.get("providers", list(providers)), {g: taxonomy[g] for g in gaps if g in taxonomy}, d.get("max_missing_types_per_cycle", 4))
+    found, events = discovery.discover(spark, providers, d.get("providers", list(providers)),
+        {g: taxonomy[g] for g in gaps if g in taxonomy}, d.get("max_missing_types_per_cycle", 4))
     n = 0
     if found is not None:
         chosen = discovery.best_per_address(discovery.gated(found, d.get("maximum_file_bytes", 1 << 29), d.get("allowed_licenses", V.LICENSES)))
@@ -82,7 +86,8 @@ def optimize(a) -> dict:
     spark, config = _spark(), tables.load_config(a.config)
     o = config["optimization"]
     totals = metrics.threshold_totals(_sweep(spark, a, config), "run", "threshold", "label", "final")
-    best = metrics.recommend_threshold(totals, "threshold", o.get("minimum_final_pair_recall", 1.0), o.get("baseline_threshold", 0.12), o.get("minimum_workload_reduction", 0.01)).first()
+    best = metrics.recommend_threshold(totals, "threshold", o.get("minimum_final_pair_recall", 1.0), o.get("baseline_threshold", 0.12),
+        o.get("minimum_workload_reduction", 0.01)).first()
     result = {"thresholds": [r.asDict() for r in totals.orderBy("threshold").collect()], **best.asDict()}  # one row a threshold
     tables.write_json(result, Path(a.output) / "thresholds.json")
     return result

@@ -29,7 +29,8 @@ class Recorder:
     def __init__(self, folder: str | Path, config: dict | None = None):
         self.folder = Path(folder)
         self.folder.mkdir(parents=True, exist_ok=True)
-        self.manifest = {"run_id": uuid.uuid4().hex, "status": "running", "started_at": now(), "config": config or {}, "stages": [], "quality_gates": [], "artifacts": []}
+        self.manifest = {"run_id": uuid.uuid4().hex, "status": "running", "started_at": now(), "config": config or {}, "stages": [],
+            "quality_gates": [], "artifacts": []}
         self._save()
 
     def _save(self):
@@ -125,5 +126,6 @@ def run_seconds(spark: SparkSession, root: str) -> DataFrame:
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where):
         return spark.createDataFrame([], "run string, seconds double")
     kept = spark.read.schema(kind).option("multiLine", True).json(path)
-    seconds = F.aggregate(F.coalesce("stages", F.array().cast("array<struct<name:string,elapsed_seconds:double>>")), F.lit(0.0), lambda s, x: s + F.coalesce(x["elapsed_seconds"], F.lit(0.0)))
+    seconds = F.aggregate(F.coalesce("stages", F.array().cast("array<struct<name:string,elapsed_seconds:double>>")), F.lit(0.0), lambda s,
+        x: s + F.coalesce(x["elapsed_seconds"], F.lit(0.0)))
     return kept.select(F.element_at(F.split("_metadata.file_path", "/"), -3).alias("run"), seconds.alias("seconds"))

@@ -64,7 +64,8 @@ def group_parts(spark: SparkSession, texts: DataFrame, exact: DataFrame, out: st
     with rec.stage("feature_collection") as m:
         scales = exact.select("part", F.pow(F.greatest("volume", F.lit(1e-15)), F.lit(1 / 3)).alias("scale"))
         index = cut(numbered(texts.select("part").distinct(), ["part"], "part_index").select("part", "part_index"))
-        parts = cut(step.descriptors(texts, scales, config.label_rounds).join(exact, "part").join(index, "part").withColumn("stable_key", F.sha2(F.to_json(F.struct("volume", "area", "edge_length", "moments", F.array_sort(F.map_entries("wl")).alias("wl"))), 256)))
+        parts = cut(step.descriptors(texts, scales, config.label_rounds).join(exact, "part").join(index, "part").withColumn("stable_key",
+            F.sha2(F.to_json(F.struct("volume", "area", "edge_length", "moments", F.array_sort(F.map_entries("wl")).alias("wl"))), 256)))
         m["part_count"] = n = parts.count()
     rec.gate("nonempty_model", n > 0)
     unknown = parts.where((F.col("unknown_surface_uses") > 0) | (F.col("unknown_curve_uses") > 0)).select("part").head(1)
@@ -84,11 +85,13 @@ def group_parts(spark: SparkSession, texts: DataFrame, exact: DataFrame, out: st
         final, checked = cut(final), cut(checked)
         m |= records_row(rigid.precision_counters(checked))
     if config.precision != "off":
-        proof = groups_are_connected(final.select(F.col("part_index").alias("id"), F.col("group").alias("grp")), checked.where("passed").select(F.col("reference_part").alias("a"), F.col("candidate_part").alias("b")))
+        proof = groups_are_connected(final.select(F.col("part_index").alias("id"), F.col("group").alias("grp")),
+            checked.where("passed").select(F.col("reference_part").alias("a"), F.col("candidate_part").alias("b")))
         rec.gate("precision_partition_proven", not proof.where("not connected").head(1))
     rec.gate("final_group_coverage", not records.incomplete_groups(final, n).head(1))
     with rec.stage("result_materialization"):
-        same = near.join(final.select(F.col("part_index").alias("part_a"), F.col("group").alias("ga")), "part_a").join(final.select(F.col("part_index").alias("part_b"), F.col("group").alias("gb")), "part_b")
+        same = near.join(final.select(F.col("part_index").alias("part_a"), F.col("group").alias("ga")),
+            "part_a").join(final.select(F.col("part_index").alias("part_b"), F.col("group").alias("gb")), "part_b")
         same = same.withColumn("same_group", F.col("ga") == F.col("gb")).drop("ga", "gb")
         write_csv(result_rows(parts, final, geometry), f"{out}/parts.csv", column_names(PARTS))
         write_csv(same, f"{out}/similarities.csv", column_names(SIMILARITIES))
@@ -107,11 +110,14 @@ def result_rows(parts: DataFrame, final: DataFrame, geometry: DataFrame) -> Data
     rows = parts.join(final.select("part_index", "group"), "part_index").join(geometry.select("part", F.col("points").alias("vertex_xyz")), "part", "left")
     have = {c.lower() for c in parts.columns}
     counted = {"faces": "ADVANCED_FACE", "edges": "EDGE_CURVE", "vertices": "VERTEX_POINT"}
-    numbers = [F.col(c).cast("int").alias(c) if c in have else F.coalesce(F.try_element_at("counts", F.lit(kind)), F.lit(0)).cast("int").alias(c) for c, kind in counted.items()]
+    numbers = [F.col(c).cast("int").alias(c) if c in have else F.coalesce(F.try_element_at("counts", F.lit(kind)),
+        F.lit(0)).cast("int").alias(c) for c, kind in counted.items()]
     axis = lambda k: F.transform("vertex_xyz", lambda p: p[k])
     sides = F.col("bbox") if "bbox" in have else F.array(*(F.coalesce(F.array_max(axis(k)) - F.array_min(axis(k)), F.lit(0.0)) for k in range(3)))
-    three = lambda values, name: [F.get(F.sort_array(values, False), F.lit(k)).alias(f"{name}_{size}") for k, size in enumerate(("max", "mid", "min"))]
-    return rows.select("part_index", F.col("label").alias("part_name"), "group", "volume", F.col("area").alias("surface_area"), "edge_length", *numbers, *three(sides, "bbox"), *three(F.col("moments"), "moment"), F.col("part").alias("normalized_step"))
+    three = lambda values, name: [F.get(F.sort_array(values, False), F.lit(k)).alias(f"{name}_{size}") for k,
+        size in enumerate(("max", "mid", "min"))]
+    return rows.select("part_index", F.col("label").alias("part_name"), "group", "volume", F.col("area").alias("surface_area"),
+        "edge_length", *numbers, *three(sides, "bbox"), *three(F.col("moments"), "moment"), F.col("part").alias("normalized_step"))
 
 
 def reusable_parts(kept: DataFrame, wanted: DataFrame, key: tuple[str, ...] = ("schema", "source_sha256", "backend")) -> DataFrame:
@@ -170,9 +176,11 @@ def order_trials(runs: DataFrame, thresholds: list[float], trials: int = 3, seed
         mixed = items[:]
         random.Random(f"{seed}:{trial}").shuffle(mixed)
         base, other = _labels(items, listed, t), _labels(items, listed, t, mixed)
-        return pd.DataFrame({"run": rows.run.iloc[0], "threshold": t, "trial": trial, "part_index": items, "base": [base[i] for i in items], "shuffled": [other[i] for i in items]})
+        return pd.DataFrame({"run": rows.run.iloc[0], "threshold": t, "trial": trial, "part_index": items, "base": [base[i] for i in items],
+            "shuffled": [other[i] for i in items]})
 
-    wide = runs.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds)))).withColumn("trial", F.explode(F.array(*(F.lit(k) for k in range(trials)))))
+    wide = runs.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds)))).withColumn("trial",
+        F.explode(F.array(*(F.lit(k) for k in range(trials)))))
     return wide.groupBy("run", "threshold", "trial").applyInPandas(group, f"run {kind}, threshold double, trial int, part_index long, base long, shuffled long")
 
 
@@ -201,7 +209,8 @@ def moved(points: np.ndarray, seed: int) -> np.ndarray:
 def rigid_invariance(parts: DataFrame, tolerance: float = 1e-5, seed: int = 11) -> DataFrame:
     """Agreement of representative groups before and after every part is moved at random: it must be 1."""
     kind = dict(parts.dtypes)
-    move = F.pandas_udf(lambda i, p: pd.Series([moved(np.array([list(x) for x in q], float), seed + int(k)).tolist() for k, q in zip(i, p, strict=True)]), kind["points"])
+    move = F.pandas_udf(lambda i, p: pd.Series([moved(np.array([list(x) for x in q], float), seed + int(k)).tolist() for k,
+        q in zip(i, p, strict=True)]), kind["points"])
     a = rigid.representative_groups(parts, tolerance).select("part_index", F.col("group").alias("before"))
     b = rigid.representative_groups(parts.withColumn("points", move("part_index", "points")), tolerance).select("part_index", F.col("group").alias("after"))
     return metrics.adjusted_rand_index(a.join(b, "part_index"), "before", "after")
@@ -209,7 +218,8 @@ def rigid_invariance(parts: DataFrame, tolerance: float = 1e-5, seed: int = 11)
 
 def fast_against_rigid(fast: DataFrame, exact: DataFrame) -> DataFrame:
     """Pair confusion of fast groups (part_index, group) held against rigid ones."""
-    return metrics.pair_confusion(fast.select("part_index", F.col("group").alias("p")).join(exact.select("part_index", F.col("group").alias("t")), "part_index"), "t", "p")
+    return metrics.pair_confusion(fast.select("part_index",
+        F.col("group").alias("p")).join(exact.select("part_index", F.col("group").alias("t")), "part_index"), "t", "p")
 
 
 def recovered_groups(spark: SparkSession, root: str) -> DataFrame:
@@ -220,4 +230,5 @@ def recovered_groups(spark: SparkSession, root: str) -> DataFrame:
     near = read_runs(spark, root, "similarities.csv", SIMILARITIES).where("same_group").select("run", F.col("part_a").alias("part_index"), "similarity")
     inner = near.join(parts, ["run", "part_index"]).groupBy("run", "group").agg(F.min("similarity").alias("lo"), F.avg("similarity").alias("mean"))
     sizes = parts.groupBy("run", "group").agg(F.count("*").alias("part_count"), F.array_sort(F.collect_list("part_index")).alias("parts"))
-    return sizes.join(inner, ["run", "group"], "left").select("run", "group", "part_count", "parts", F.coalesce("lo", F.lit(1.0)).alias("minimum_internal_similarity"), F.coalesce("mean", F.lit(1.0)).alias("mean_internal_similarity"))
+    return sizes.join(inner, ["run", "group"], "left").select("run", "group", "part_count", "parts",
+        F.coalesce("lo", F.lit(1.0)).alias("minimum_internal_similarity"), F.coalesce("mean", F.lit(1.0)).alias("mean_internal_similarity"))

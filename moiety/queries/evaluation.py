@@ -41,7 +41,8 @@ SWEPT = f"s AS (SELECT p_brand AS run, t AS threshold, floor(p_retailprice / t):
 
 def _swept(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumn("threshold", F.explode(F.array(*(F.lit(t) for t in THRESHOLDS))))
-    return part.select(F.col("p_brand").alias("run"), "threshold", F.floor(F.col("p_retailprice") / F.col("threshold")).alias("label"), F.col("p_name").alias("final"))
+    return part.select(F.col("p_brand").alias("run"), "threshold", F.floor(F.col("p_retailprice") / F.col("threshold")).alias("label"),
+        F.col("p_name").alias("final"))
 
 
 TOTALS = f"""{SWEPT}, {_pair_sql('s', 'final', 'label', 'run, threshold').strip()},
@@ -92,7 +93,8 @@ SELECT lang, n, k AS good, round(greatest(0::DOUBLE, {_wilson_sql('k', 'n', '-')
 def wilson_quality_by_lang(spark, sf_dir):
     labelled = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
     low, high = S.wilson("good", "n")
-    return labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum("quality").cast("long").alias("good")).select("lang", "n", "good", F.round(low, 9).alias("wilson_low"), F.round(high, 9).alias("wilson_high"))
+    return labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum("quality").cast("long").alias("good")).select("lang", "n", "good",
+        F.round(low, 9).alias("wilson_low"), F.round(high, 9).alias("wilson_high"))
 
 
 @query(f"""
@@ -101,9 +103,11 @@ a AS (SELECT coalesce(stratum, 'all') AS stratum, count(*) AS labeled, count(cor
 SELECT stratum, labeled, decided, uncertain, correct, round(estimate, 9) AS estimate, round(greatest(0::DOUBLE, {_wilson_sql('correct', 'decided', '-')}), 9) AS wilson_low, round(least(1::DOUBLE, {_wilson_sql('correct', 'decided', '+')}), 9) AS wilson_high FROM a""")
 def stratum_rollup(spark, sf_dir):
     labelled = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
-    rows = labelled.select(F.col("lang").alias("stratum"), ((F.col("doc_id") % 7 + 1) / F.lit(10.0)).alias("probability"), F.when(F.col("toxic") != 1, F.col("quality") == 1).alias("correct"))
+    rows = labelled.select(F.col("lang").alias("stratum"), ((F.col("doc_id") % 7 + 1) / F.lit(10.0)).alias("probability"),
+        F.when(F.col("toxic") != 1, F.col("quality") == 1).alias("correct"))
     out = metrics.weighted_accuracy(rows, "stratum")
-    return out.select("stratum", "labeled", "decided", "uncertain", F.col("correct").cast("long").alias("correct"), *(F.round(c, 9).alias(c) for c in ("estimate", "wilson_low", "wilson_high")))
+    return out.select("stratum", "labeled", "decided", "uncertain", F.col("correct").cast("long").alias("correct"),
+        *(F.round(c, 9).alias(c) for c in ("estimate", "wilson_low", "wilson_high")))
 
 
 GATES = """
@@ -114,8 +118,12 @@ c AS (SELECT unnest(['input_order_ari', 'threshold_ari', 'rigid_invariance', 'mi
 
 def _gate_rows(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    s = o.agg(F.count_if(F.col("o_orderstatus") == "F").alias("boolean_completed_assemblies"), (F.count_if(F.col("o_orderstatus") == "O") / F.count("*")).alias("share"))
-    given = {"minimum_order_permutation_ari": F.lit(1.0), "median_adjacent_threshold_ari": F.col("share"), "rigid_invariance_passed": F.lit(True), "minimum_partition_ari": F.lit("1.0"), "runtime_ratio": F.lit("1.05"), "merge_precision": F.lit("n/a"), "merge_precision_low": F.lit(None).cast("string"), "cross_split": F.col("share"), "cross_split_low": F.col("share")}
+    s = o.agg(F.count_if(F.col("o_orderstatus") == "F").alias("boolean_completed_assemblies"),
+        (F.count_if(F.col("o_orderstatus") == "O") / F.count("*")).alias("share"))
+    given = {"minimum_order_permutation_ari": F.lit(1.0), "median_adjacent_threshold_ari": F.col("share"),
+        "rigid_invariance_passed": F.lit(True), "minimum_partition_ari": F.lit("1.0"), "runtime_ratio": F.lit("1.05"),
+        "merge_precision": F.lit("n/a"), "merge_precision_low": F.lit(None).cast("string"), "cross_split": F.col("share"),
+        "cross_split_low": F.col("share")}
     return records.gate_checks(s.withColumns(given))
 
 
@@ -126,7 +134,8 @@ def gate_checks(spark, sf_dir):
 
 @query(GATES + " SELECT CASE WHEN bool_or(NOT passed) THEN 'rejected' WHEN count(*) > count(passed) THEN 'waiting_for_human_labels' ELSE 'eligible_for_promotion' END AS decision, count(*) FILTER (NOT passed) AS n_failed, count(*) - count(passed) AS n_missing FROM c")
 def gates_decision(spark, sf_dir):
-    return records.gate_decision(_gate_rows(spark, sf_dir)).select("decision", F.size("failed_checks").cast("long").alias("n_failed"), F.size("missing_checks").cast("long").alias("n_missing"))
+    return records.gate_decision(_gate_rows(spark, sf_dir)).select("decision", F.size("failed_checks").cast("long").alias("n_failed"),
+        F.size("missing_checks").cast("long").alias("n_missing"))
 
 
 @query("""
@@ -136,8 +145,10 @@ def holdout_totals(spark, sf_dir):
     o = table(spark, sf_dir, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.sum("o_totalprice").alias("seconds"))
     first = o.agg(F.min("y").alias("a"))
     old, new = (o.join(F.broadcast(first), F.col("y") == F.col("a") + k).select("o_custkey", "seconds") for k in (0, 1))
-    agree = old.withColumnRenamed("seconds", "b").join(new.withColumnRenamed("seconds", "n"), "o_custkey").select("o_custkey", F.least(F.lit(1.0), F.col("n") / F.col("b")).alias("ari"))
-    return metrics.holdout_totals(old, new, "o_custkey", agree).select("run_count", F.round("minimum_partition_ari", 9).alias("minimum_partition_ari"), F.round("runtime_ratio", 9).alias("runtime_ratio"))
+    agree = old.withColumnRenamed("seconds", "b").join(new.withColumnRenamed("seconds", "n"), "o_custkey").select("o_custkey",
+        F.least(F.lit(1.0), F.col("n") / F.col("b")).alias("ari"))
+    return metrics.holdout_totals(old, new, "o_custkey", agree).select("run_count",
+        F.round("minimum_partition_ari", 9).alias("minimum_partition_ari"), F.round("runtime_ratio", 9).alias("runtime_ratio"))
 
 
 def _order():

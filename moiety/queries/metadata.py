@@ -17,14 +17,17 @@ f AS (SELECT type, count(DISTINCT source) AS n, string_agg(DISTINCT keyword, '|'
 SELECT t.type, coalesce(n, 0) > 0 AS covered, coalesce(n, 0)::BIGINT AS source_count, coalesce(k, '') AS matched_keywords, CASE WHEN n IS NULL THEN 'missing' WHEN n < 5 THEN 'undercovered' END AS gap FROM (SELECT DISTINCT type FROM x) t LEFT JOIN f ON f.type = t.type""")
 def coverage_by_type(spark, sf_dir):
     out = cov.coverage(table(spark, sf_dir, "part"), cov.taxonomy_table(spark), "p_brand", "p_name", 5)
-    return out.select("type", "covered", F.col("source_count").cast("long").alias("source_count"), F.array_join("matched_keywords", "|").alias("matched_keywords"), "gap")
+    return out.select("type", "covered", F.col("source_count").cast("long").alias("source_count"),
+        F.array_join("matched_keywords", "|").alias("matched_keywords"), "gap")
 
 
 @query("""
 WITH s AS (SELECT concat_ws(':', floor(log10(p_retailprice + 0.5) / 0.5::DOUBLE)::BIGINT, floor(log10(p_size::DOUBLE * 1.001) / 0.5::DOUBLE)::BIGINT, p_size // 4, p_size // 8, (p_size + 3) // 8) AS signature, p_brand FROM part)
 SELECT signature, count(*) AS part_count, count(DISTINCT p_brand) AS source_count, count(*) <= 2 AS rare FROM s GROUP BY signature""")
 def size_signature_counts(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_brand", (F.col("p_retailprice") + 0.5).alias("volume"), (F.col("p_size").cast("double") * F.lit(1.001)).alias("surface_area"), F.col("p_size").alias("faces"), F.col("p_size").alias("edges"), (F.col("p_size") + 3).alias("vertices"))
+    part = table(spark, sf_dir, "part").select("p_brand", (F.col("p_retailprice") + 0.5).alias("volume"),
+        (F.col("p_size").cast("double") * F.lit(1.001)).alias("surface_area"), F.col("p_size").alias("faces"),
+        F.col("p_size").alias("edges"), (F.col("p_size") + 3).alias("vertices"))
     return cov.signature_counts(part, "p_brand")
 
 
@@ -58,8 +61,12 @@ def _screened(spark, sf_dir):
     d, part = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     both = d.join(part, F.col("p_partkey") == F.col("doc_id") + 1)
     k = F.col("doc_id")
-    title = F.concat("p_name", F.lit(" step file assembly components "), "p_type", F.lit(" quantity "), (k % 90).cast("string"), F.lit(" "), "source", F.when(k % 5 == 0, " single part").otherwise(""), F.when(k % 3 == 0, " complete assembly").otherwise(""))
-    return both.select(k.alias("id"), title.alias("title"), F.when(k % 4 == 0, "public").when(k % 4 == 1, "manual").when(k % 4 == 2, "verified_api").otherwise("unknown").alias("access_status"), F.when(k % 6 == 0, "unknown").otherwise("MIT").alias("license"), (k % 4).cast("int").alias("product_count"), (k % 20).cast("int").alias("solid_marker_count"))
+    title = F.concat("p_name", F.lit(" step file assembly components "), "p_type", F.lit(" quantity "), (k % 90).cast("string"), F.lit(" "),
+        "source", F.when(k % 5 == 0, " single part").otherwise(""), F.when(k % 3 == 0, " complete assembly").otherwise(""))
+    return both.select(k.alias("id"), title.alias("title"),
+        F.when(k % 4 == 0, "public").when(k % 4 == 1, "manual").when(k % 4 == 2,
+        "verified_api").otherwise("unknown").alias("access_status"), F.when(k % 6 == 0, "unknown").otherwise("MIT").alias("license"),
+        (k % 4).cast("int").alias("product_count"), (k % 20).cast("int").alias("solid_marker_count"))
 
 
 @query(f"WITH {SCREENED} SELECT * FROM r")
@@ -79,7 +86,9 @@ def prescreen_summary(spark, sf_dir):
 SELECT doc_id, CASE WHEN l IS NULL OR lower(l) NOT IN ({text_list([x.lower() for x in V.LICENSES])}) THEN 'manual_review' WHEN n > 2000 THEN 'rejected' ELSE 'staged' END AS decision
 FROM (SELECT doc_id, CASE lang WHEN 'en' THEN 'MIT' WHEN 'de' THEN 'cc-by-4.0' WHEN 'fr' THEN 'proprietary' END AS l, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE n_chars END AS n FROM documents)""")
 def license_gate(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", "MIT").when(F.col("lang") == "de", "cc-by-4.0").when(F.col("lang") == "fr", "proprietary").alias("l"), F.when(F.col("doc_id") % 11 != 0, F.col("n_chars")).alias("n"))
+    d = table(spark, sf_dir, "documents").select("doc_id",
+        F.when(F.col("lang") == "en", "MIT").when(F.col("lang") == "de", "cc-by-4.0").when(F.col("lang") == "fr", "proprietary").alias("l"),
+        F.when(F.col("doc_id") % 11 != 0, F.col("n_chars")).alias("n"))
     return d.select("doc_id", S.license_decision("l", "n", 2000).alias("decision"))
 
 
@@ -96,7 +105,9 @@ def word_boundary_hits(spark, sf_dir):
 WITH c AS (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS host, length(html) AS score FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY score DESC, page_id) AS k FROM c)
 SELECT page_id, host, score FROM r WHERE k = 1""")
 def dedup_best_page(spark, sf_dir):
-    c = table(spark, sf_dir, "pages").select(F.col("page_id").alias("candidate_id"), F.regexp_extract("url", "://([^/]+)", 1).alias("landing_url"), F.lit("").alias("download_url"), F.char_length("html").cast("long").alias("score"))
+    c = table(spark, sf_dir, "pages").select(F.col("page_id").alias("candidate_id"),
+        F.regexp_extract("url", "://([^/]+)", 1).alias("landing_url"), F.lit("").alias("download_url"),
+        F.char_length("html").cast("long").alias("score"))
     return discovery.best_per_address(c).select(F.col("candidate_id").alias("page_id"), F.col("landing_url").alias("host"), "score")
 
 
@@ -110,7 +121,8 @@ SELECT c_custkey, coalesce(o.status, 'pending') AS status, o.n_orders, l.n_lines
 LEFT JOIN (SELECT o_custkey, count(*) AS n_lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) l ON l.o_custkey = c_custkey""")
 def catalog_left_chain(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).join(o, "o_orderkey").groupBy("c_custkey").agg(F.count("*").alias("n_lines"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).join(o,
+        "o_orderkey").groupBy("c_custkey").agg(F.count("*").alias("n_lines"))
     orders = o.groupBy("c_custkey").agg(F.max("o_orderstatus").alias("status"), F.count("*").alias("n_orders"))
     return records.left_chain(table(spark, sf_dir, "customer").select("c_custkey"), [orders, lines], "c_custkey", defaulted=("status",))
 
@@ -134,9 +146,13 @@ SELECT count(*) AS runs, count(*) FILTER (o_orderstatus = 'F') AS completed, cou
        coalesce(sum(o_custkey) FILTER (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'), 0)::BIGINT AS solids, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 0), 2) AS elapsed_seconds FROM orders""")
 def corpus_summary(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    runs = o.select(F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("running").alias("status"), F.when(F.col("o_orderpriority") == "1-URGENT", "boolean").otherwise("rigid").alias("precision_mode"),
-                    F.col("o_custkey").alias("solids"), F.lit(1).alias("final_groups"), F.lit(0).alias("multi_member_groups"), F.lit(0).alias("unresolved_pairs"), F.col("o_totalprice").alias("elapsed_seconds"))
-    return records.corpus_summary(runs).select("runs", "completed", "boolean_completed_assemblies", "failed", "solids", F.round("elapsed_seconds", 2).alias("elapsed_seconds"))
+    runs = o.select(F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P",
+        "failed").otherwise("running").alias("status"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "boolean").otherwise("rigid").alias("precision_mode"),
+                    F.col("o_custkey").alias("solids"), F.lit(1).alias("final_groups"), F.lit(0).alias("multi_member_groups"),
+                        F.lit(0).alias("unresolved_pairs"), F.col("o_totalprice").alias("elapsed_seconds"))
+    return records.corpus_summary(runs).select("runs", "completed", "boolean_completed_assemblies", "failed", "solids",
+        F.round("elapsed_seconds", 2).alias("elapsed_seconds"))
 
 
 @query("""
@@ -144,9 +160,12 @@ WITH g AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY A
 SELECT o_custkey AS id, count(*) AS final_groups, count(*) FILTER (n > 1) AS multi_member_groups, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS solids_in_multi_member_groups, round(sum(n)::DOUBLE / 8, 3) AS elapsed_seconds FROM g GROUP BY 1""")
 def run_index(spark, sf_dir):
     g = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id"), "o_orderstatus").agg(F.count("*").alias("part_count"))
-    reports = g.groupBy("id").agg(F.collect_list(F.struct("part_count")).alias("groups"), F.collect_list(F.struct((F.col("part_count") / 8).alias("elapsed_seconds"))).alias("stages")).withColumn("pairs", F.array(F.struct(F.lit("verified").alias("status"))))
+    reports = g.groupBy("id").agg(F.collect_list(F.struct("part_count")).alias("groups"),
+        F.collect_list(F.struct((F.col("part_count") / 8).alias("elapsed_seconds"))).alias("stages")).withColumn("pairs",
+        F.array(F.struct(F.lit("verified").alias("status"))))
     out = records.run_index(reports)
-    return out.select("id", F.col("final_groups").cast("long").alias("final_groups"), F.col("multi_member_groups").cast("long").alias("multi_member_groups"), "solids_in_multi_member_groups", "elapsed_seconds")
+    return out.select("id", F.col("final_groups").cast("long").alias("final_groups"),
+        F.col("multi_member_groups").cast("long").alias("multi_member_groups"), "solids_in_multi_member_groups", "elapsed_seconds")
 
 
 @query("""
@@ -155,7 +174,8 @@ FROM (SELECT item_id, text, length(text) AS n, CASE WHEN item_id % 5 = 0 THEN le
 def file_integrity(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     n, k = F.char_length("text"), F.col("item_id")
-    return b.select("item_id", S.file_integrity(F.col("text").isNotNull(), n, n + F.when(k % 5 == 0, 1).otherwise(0), F.sha2("text", 256), F.when(k % 7 == 0, "x").otherwise(F.sha2("text", 256)), F.concat(F.lit("ISO-10303-21;"), "text")).alias("verdict"))
+    return b.select("item_id", S.file_integrity(F.col("text").isNotNull(), n, n + F.when(k % 5 == 0, 1).otherwise(0), F.sha2("text", 256),
+        F.when(k % 7 == 0, "x").otherwise(F.sha2("text", 256)), F.concat(F.lit("ISO-10303-21;"), "text")).alias("verdict"))
 
 
 @query("SELECT page_id, concat('https://example.org/raw/', replace(replace(url_encode(url), '%2F', '/'), '+', '%20')) AS address FROM pages")

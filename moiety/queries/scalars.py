@@ -12,19 +12,24 @@ SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice / 1000 < 1e-15 THEN '
        concat('A', format('{:.1f}', round_even(l_discount * 360 / 3.141592653589793, 0) / 2)) AS angle_token FROM lineitem""")
 def size_tokens(spark, sf_dir):
     """Length and angle tokens of prices and discounts; printed with fixed places, so that both engines write them alike."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.length_token(F.col("l_extendedprice").cast("double"), 1000.0).alias("a"), S.angle_token(F.col("l_discount").cast("double")).alias("b"))
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber",
+        S.length_token(F.col("l_extendedprice").cast("double"), 1000.0).alias("a"),
+        S.angle_token(F.col("l_discount").cast("double")).alias("b"))
     shown = lambda c, places: F.concat(F.substring(c, 1, 1), F.format_string(f"%.{places}f", F.substring(c, 2, 40).cast("double")))
-    return l.select("l_orderkey", "l_linenumber", F.when(F.col("a") == "L0", F.lit("L0")).otherwise(shown("a", 4)).alias("length_token"), shown("b", 1).alias("angle_token"))
+    return l.select("l_orderkey", "l_linenumber", F.when(F.col("a") == "L0", F.lit("L0")).otherwise(shown("a", 4)).alias("length_token"),
+        shown("b", 1).alias("angle_token"))
 
 
 @query("SELECT p_partkey, list_sort(list_distinct([trim(p_name), 'O''Neil ' || p_brand]))::VARCHAR AS names, [p_size::DOUBLE, p_retailprice::DOUBLE, -0.5::DOUBLE]::VARCHAR AS numbers FROM part")
 def record_fields(spark, sf_dir):
     """Product names and numbers read back from records written from the part table."""
     p = table(spark, sf_dir, "part")
-    text = F.concat(F.lit("#1=PRODUCT('"), "p_name", F.lit("',$); #2=product ( 'O''Neil "), "p_brand", F.lit("',$); #3=PRODUCT('',$); #4=PRODUCT('"), "p_name", F.lit("',$);"))
+    text = F.concat(F.lit("#1=PRODUCT('"), "p_name", F.lit("',$); #2=product ( 'O''Neil "), "p_brand",
+        F.lit("',$); #3=PRODUCT('',$); #4=PRODUCT('"), "p_name", F.lit("',$);"))
     body = F.concat(F.lit("'7',#12,("), F.col("p_size").cast("string"), F.lit("., "), F.col("p_retailprice").cast("string"), F.lit(",-.5E0),A1"))
     listed = lambda a: F.concat(F.lit("["), F.array_join(a.cast("array<string>"), ", "), F.lit("]"))
-    quoted = F.transform(S.product_names(text), lambda x: F.when(F.contains(x, F.lit("'")), F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'"))).otherwise(x))
+    quoted = F.transform(S.product_names(text),
+        lambda x: F.when(F.contains(x, F.lit("'")), F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'"))).otherwise(x))
     return p.select("p_partkey", listed(quoted).alias("names"), listed(S.numbers(body)).alias("numbers"))
 
 
@@ -38,7 +43,8 @@ def admitted_parts(spark, sf_dir):
 @query("SELECT DISTINCT o.* FROM (SELECT o_orderkey, o_orderstatus AS status, o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F') o JOIN (SELECT DISTINCT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey")
 def reusable_runs(spark, sf_dir):
     """Completed orders of customers with a positive balance: runs whose signature is wanted."""
-    runs = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "completed").otherwise("open").alias("status"), "o_custkey", "o_orderpriority")
+    runs = table(spark, sf_dir, "orders").select("o_orderkey",
+        F.when(F.col("o_orderstatus") == "F", "completed").otherwise("open").alias("status"), "o_custkey", "o_orderpriority")
     wanted = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
     return records.reusable(runs, wanted, ["o_custkey"]).withColumn("status", F.lit("F"))
 
@@ -69,7 +75,8 @@ def nearest_pairs(spark, sf_dir):
     """The hundred nearest pairs by distance, then by both parts: a top-k report."""
     part = table(spark, sf_dir, "part")
     a, b = (part.select("p_brand", "p_size", F.col("p_partkey").alias(f"part_{s}"), F.col("p_retailprice").alias(f"price_{s}")) for s in "ab")
-    both = a.join(b, ["p_brand", "p_size"]).where("part_a < part_b").select("part_a", "part_b", F.round(F.abs(F.col("price_a") - F.col("price_b")), 6).alias("distance"))
+    both = a.join(b, ["p_brand", "p_size"]).where("part_a < part_b").select("part_a", "part_b",
+        F.round(F.abs(F.col("price_a") - F.col("price_b")), 6).alias("distance"))
     return both.orderBy("distance", "part_a", "part_b").limit(100)
 
 
@@ -80,7 +87,8 @@ SELECT o_orderkey, segment::INT AS segment, start + segment * step AS first_byte
 FROM (SELECT *, unnest(range(0, ceil((expected_bytes - start) / step)::BIGINT)) AS segment FROM l)""")
 def segment_plan(spark, sf_dir):
     """Byte ranges that are still to be fetched, an order standing for a download."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.ceil("o_totalprice").cast("long").alias("expected_bytes"), (F.col("o_orderkey") % 7 * 30000).cast("long").alias("kept_bytes"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.ceil("o_totalprice").cast("long").alias("expected_bytes"),
+        (F.col("o_orderkey") % 7 * 30000).cast("long").alias("kept_bytes"))
     return kernel.download_segments(o, 4).select("o_orderkey", "segment", "first_byte", "last_byte")
 
 
@@ -90,10 +98,12 @@ def kernel_output(spark, sf_dir):
     p = table(spark, sf_dir, "part").withColumn("source", F.col("p_partkey").cast("long"))
     put = lambda *xs: F.concat(*(x.cast("string") if not isinstance(x, str) else F.lit(x) for x in xs))
     size = F.col("p_size")
-    output = put("@@SOLID_COUNT 1\n@@PART_BEGIN ", size, " s_1\n@@VPROPS_BEGIN\nMass : ", F.col("p_retailprice"), "\nCenter of gravity :\nX = 1 Y = 2 Z = 3\n@@VPROPS_END\n@@SPROPS_BEGIN\nMass : ", size * 2,
+    output = put("@@SOLID_COUNT 1\n@@PART_BEGIN ", size, " s_1\n@@VPROPS_BEGIN\nMass : ", F.col("p_retailprice"),
+        "\nCenter of gravity :\nX = 1 Y = 2 Z = 3\n@@VPROPS_END\n@@SPROPS_BEGIN\nMass : ", size * 2,
                  "\n@@SPROPS_END\n@@LPROPS_BEGIN\n@@LPROPS_END\n@@BBOX 3 -", size, " 1\n FACE : ", size, "\n@@PART_END\n")
     told = p.select("source", output.alias("output"))
-    files = p.withColumn("k", F.explode(F.sequence(F.lit(1), size))).select("source", F.concat(F.lit("/c/part_"), F.lpad(F.col("k").cast("string"), 4, "0")).alias("stem"))
+    files = p.withColumn("k", F.explode(F.sequence(F.lit(1), size))).select("source",
+        F.concat(F.lit("/c/part_"), F.lpad(F.col("k").cast("string"), 4, "0")).alias("stem"))
     files = files.select("source", F.explode(F.array(F.concat("stem", F.lit(".step")), F.concat("stem", F.lit(".brep")))).alias("file"))
     rows = kernel.kernel_records(told, "source", "output").join(kernel.kernel_agreement(told, "source", "output", files).select("source", "agreed"), "source")
     return rows.select("source", "part_index", "volume", "area", "edge_length", F.col("bbox")[0].alias("longest"), "faces", "agreed")
@@ -108,11 +118,16 @@ SELECT (SELECT count(*) FROM supplier WHERE s_acctbal > 0) AS downloaded_files,
 def corpus_counts(spark, sf_dir):
     """Suppliers as downloads, customers as inspections, orders as runs."""
     got = table(spark, sf_dir, "supplier").select(F.when(F.col("s_acctbal") > 0, "verified").otherwise("failed").alias("status"))
-    seen = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") > 0, "admitted").otherwise("rejected").alias("status"), (F.col("c_nationkey") * 10).alias("solids"))
+    seen = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"),
+        F.when(F.col("c_acctbal") > 0, "admitted").otherwise("rejected").alias("status"), (F.col("c_nationkey") * 10).alias("solids"))
     mode = F.when(F.col("o_orderpriority") == "1-URGENT", "boolean").when(F.col("o_orderpriority") == "2-HIGH", "rigid").otherwise("off")
-    one = {c: F.lit(1).alias(c) for c in ("final_groups", "multi_member_groups", "solids_in_multi_member_groups", "checked_pairs", "split_pairs", "verified_different_pairs", "unresolved_pairs")}
-    runs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), mode.alias("precision_mode"), F.col("o_custkey").alias("solid_count"), *one.values())
-    return records.corpus_totals(got, seen, runs).select("downloaded_files", "inspected_files", "admitted_assemblies", "admitted_at_least_50_solids", "boolean_completed_assemblies", "boolean_total_solids", "covered_by_either_tier", "rigid_only_assemblies", "unclassified_admitted")
+    one = {c: F.lit(1).alias(c) for c in ("final_groups", "multi_member_groups", "solids_in_multi_member_groups", "checked_pairs",
+        "split_pairs", "verified_different_pairs", "unresolved_pairs")}
+    runs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), mode.alias("precision_mode"),
+        F.col("o_custkey").alias("solid_count"), *one.values())
+    return records.corpus_totals(got, seen, runs).select("downloaded_files", "inspected_files", "admitted_assemblies",
+        "admitted_at_least_50_solids", "boolean_completed_assemblies", "boolean_total_solids", "covered_by_either_tier",
+        "rigid_only_assemblies", "unclassified_admitted")
 
 
 @query("SELECT o_orderkey AS id, o_totalprice AS solid_count FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")

@@ -27,7 +27,9 @@ def step_markers(df: DataFrame, content: str) -> DataFrame:
     text = F.upper(F.decode(content, "ISO-8859-1"))
     one = lambda w: F.regexp_count(text, F.lit(S.quoted(w)))
     count = lambda words: reduce(lambda a, b: a + b, map(one, words))
-    return df.select("*", count(["PRODUCT("]).alias("product_count"), count(["NEXT_ASSEMBLY_USAGE_OCCURRENCE"]).alias("assembly_occurrence_count"), count(["MANIFOLD_SOLID_BREP", "BREP_WITH_VOIDS", "FACETED_BREP"]).alias("solid_marker_count"))
+    return df.select("*", count(["PRODUCT("]).alias("product_count"),
+        count(["NEXT_ASSEMBLY_USAGE_OCCURRENCE"]).alias("assembly_occurrence_count"),
+        count(["MANIFOLD_SOLID_BREP", "BREP_WITH_VOIDS", "FACETED_BREP"]).alias("solid_marker_count"))
 
 
 def zip_names(data: bytes) -> list[str]:

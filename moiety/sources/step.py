@@ -28,12 +28,14 @@ def entities(texts: DataFrame) -> DataFrame:
     left out."""
     record = r"#(\d+)\s*=\s*([^;]*);"
     raw = texts.select("part", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s)({record})"), 1)).alias("pos", "r"))
-    raw = raw.select("part", "pos", F.regexp_extract("r", f"(?s){record}", 1).cast("int").alias("id"), F.trim(F.regexp_replace(F.regexp_extract("r", f"(?s){record}", 2), r"^\s+|\s+$", "")).alias("value"))
+    raw = raw.select("part", "pos", F.regexp_extract("r", f"(?s){record}", 1).cast("int").alias("id"),
+        F.trim(F.regexp_replace(F.regexp_extract("r", f"(?s){record}", 2), r"^\s+|\s+$", "")).alias("value"))
     simple = r"(?s)^([A-Z][A-Z0-9_]*)\s*\((.*)\)$"
     kinds = F.regexp_extract_all("value", F.lit(r"([A-Z][A-Z0-9_]*)\s*\("), 1)
     listed = F.coalesce(*(F.when(F.array_contains(kinds, k), F.lit(k)) for k in V.COMPLEX_PRIORITY), F.get(kinds, F.lit(0)))
     one = F.col("value").rlike(simple)
-    parsed = raw.select("part", "pos", "id", F.when(one, F.regexp_extract("value", simple, 1)).otherwise(listed).alias("kind"), F.when(one, F.regexp_extract("value", simple, 2)).otherwise(F.col("value")).alias("body"))
+    parsed = raw.select("part", "pos", "id", F.when(one, F.regexp_extract("value", simple, 1)).otherwise(listed).alias("kind"),
+        F.when(one, F.regexp_extract("value", simple, 2)).otherwise(F.col("value")).alias("body"))
     last = parsed.where("kind is not null").groupBy("part", "id").agg(F.max_by(F.struct("kind", "body"), "pos").alias("e")).select("part", "id", "e.*")
     return last.withColumn("refs", F.transform(F.regexp_extract_all("body", F.lit(r"#(\d+)"), 1), lambda x: x.cast("int")))
 
@@ -85,22 +87,26 @@ def _kinds(ents: DataFrame, prefix: str, kinds: tuple[str, ...]) -> DataFrame:
 
 def face_edges(ents: DataFrame) -> DataFrame:
     """(part, face, edge) of every use: face, bound, loop, oriented edge, edge curve; uses are not made distinct."""
-    hop = lambda source, target, kinds, to: _refs(ents, source).join(_kinds(ents, "dst", kinds), ["part", "dst"]).select("part", F.col("src").alias(target), F.col("dst").alias(to))
+    hop = lambda source, target, kinds, to: _refs(ents, source).join(_kinds(ents, "dst", kinds), ["part", "dst"]).select("part",
+        F.col("src").alias(target), F.col("dst").alias(to))
     bounds = hop(("ADVANCED_FACE",), "face", ("FACE_BOUND", "FACE_OUTER_BOUND"), "bound")
     loops = hop(("FACE_BOUND", "FACE_OUTER_BOUND"), "bound", ("EDGE_LOOP",), "loop")
     members = _refs(ents, ("EDGE_LOOP",)).select("part", F.col("src").alias("loop"), F.col("dst").alias("member"))
     oriented = _refs(ents, ("ORIENTED_EDGE",)).join(_kinds(ents, "dst", ("EDGE_CURVE",)), ["part", "dst"])
     oriented = oriented.groupBy("part", F.col("src").alias("member")).agg(F.max_by("dst", "pos").alias("edge"))
     direct = _kinds(ents, "member", ("EDGE_CURVE",)).withColumn("edge", F.col("member"))
-    return bounds.join(loops, ["part", "bound"]).join(members, ["part", "loop"]).join(oriented.unionByName(direct), ["part", "member"]).select("part", "face", "edge")
+    return bounds.join(loops, ["part", "bound"]).join(members, ["part", "loop"]).join(oriented.unionByName(direct),
+        ["part", "member"]).select("part", "face", "edge")
 
 
 def face_surfaces(ents: DataFrame) -> DataFrame:
     """(part, face, surface, body): the last referenced surface of each face, else UNKNOWN_SURFACE."""
-    surfaces = ents.where(F.col("kind").isin(*V.SURFACES) | F.contains("kind", F.lit("SURFACE"))).select("part", F.col("id").alias("dst"), F.struct("kind", "body").alias("s"))
+    surfaces = ents.where(F.col("kind").isin(*V.SURFACES) | F.contains("kind", F.lit("SURFACE"))).select("part", F.col("id").alias("dst"),
+        F.struct("kind", "body").alias("s"))
     found = _refs(ents, ("ADVANCED_FACE",)).join(surfaces, ["part", "dst"]).groupBy("part", F.col("src").alias("face")).agg(F.max_by("s", "pos").alias("s"))
     faces = _kinds(ents, "face", ("ADVANCED_FACE",))
-    return faces.join(found, ["part", "face"], "left").select("part", "face", F.coalesce("s.kind", F.lit("UNKNOWN_SURFACE")).alias("surface"), F.coalesce("s.body", F.lit("")).alias("body"))
+    return faces.join(found, ["part", "face"], "left").select("part", "face",
+        F.coalesce("s.kind", F.lit("UNKNOWN_SURFACE")).alias("surface"), F.coalesce("s.body", F.lit("")).alias("body"))
 
 
 def edge_curves(ents: DataFrame) -> DataFrame:
@@ -147,7 +153,8 @@ def parameter_token(kind, body, scale):
 
 def vertex_points(ents: DataFrame) -> DataFrame:
     """(part, points): distinct sorted vertex coordinates, rounded to 10 places."""
-    points = ents.where("kind = 'CARTESIAN_POINT'").select("part", F.col("id").alias("dst"), F.slice(S.numbers("body"), F.greatest(F.size(S.numbers("body")) - 2, F.lit(1)), F.lit(3)).alias("xyz")).where(F.size("xyz") == 3)
+    points = ents.where("kind = 'CARTESIAN_POINT'").select("part", F.col("id").alias("dst"),
+        F.slice(S.numbers("body"), F.greatest(F.size(S.numbers("body")) - 2, F.lit(1)), F.lit(3)).alias("xyz")).where(F.size("xyz") == 3)
     own = _refs(ents, ("VERTEX_POINT",)).join(points, ["part", "dst"])
     rounded = F.transform("xyz", lambda x: F.rint(x * 1e10) / 1e10)
     return own.groupBy("part").agg(F.array_sort(F.collect_set(rounded)).alias("points"))
@@ -183,39 +190,55 @@ def descriptors(texts: DataFrame, scales: DataFrame | None = None, rounds: int =
     ``scales`` (part, scale) divides lengths in family labels; 1 without it."""
     ents = reachable(entities(texts))
     scaled = ents.select("part").distinct()
-    scaled = scaled.join(scales, "part", "left").select("part", F.coalesce("scale", F.lit(1.0)).alias("scale")) if scales is not None else scaled.withColumn("scale", F.lit(1.0))
+    scaled = scaled.join(scales, "part", "left").select("part",
+        F.coalesce("scale", F.lit(1.0)).alias("scale")) if scales is not None else scaled.withColumn("scale", F.lit(1.0))
     uses = face_edges(ents)
     surfaces = face_surfaces(ents).join(scaled, "part")
     curves = edge_curves(ents).join(scaled, "part")
-    curves = curves.select("part", "edge", "curve", F.concat_ws("|p=", "curve", parameter_token("curve", "body", 1.0)).alias("strict"), F.concat_ws("|p=", "curve", parameter_token("curve", "body", "scale")).alias("family"))
-    bounds = _refs(ents, ("ADVANCED_FACE",)).join(_kinds(ents, "dst", ("FACE_BOUND", "FACE_OUTER_BOUND")), ["part", "dst"]).groupBy("part", F.col("src").alias("face")).agg(F.count("*").alias("bounds"))
+    curves = curves.select("part", "edge", "curve", F.concat_ws("|p=", "curve", parameter_token("curve", "body", 1.0)).alias("strict"),
+        F.concat_ws("|p=", "curve", parameter_token("curve", "body", "scale")).alias("family"))
+    bounds = _refs(ents, ("ADVANCED_FACE",)).join(_kinds(ents, "dst", ("FACE_BOUND", "FACE_OUTER_BOUND")), ["part", "dst"]).groupBy("part",
+        F.col("src").alias("face")).agg(F.count("*").alias("bounds"))
     degree = uses.groupBy("part", "face").agg(F.count_distinct("edge").alias("degree"))
     nodes = surfaces.join(bounds, ["part", "face"], "left").join(degree, ["part", "face"], "left")
-    base = F.concat(F.col("surface"), F.lit("|b="), F.least(F.coalesce("bounds", F.lit(0)), F.lit(4)).cast("string"), F.lit("|d="), F.least(F.coalesce("degree", F.lit(0)), F.lit(12)).cast("string"), F.lit("|p="))
-    nodes = nodes.select("part", "face", "surface", F.concat(base, parameter_token("surface", "body", 1.0)).alias("strict"), F.concat(base, parameter_token("surface", "body", "scale")).alias("family"))
+    base = F.concat(F.col("surface"), F.lit("|b="), F.least(F.coalesce("bounds", F.lit(0)), F.lit(4)).cast("string"), F.lit("|d="),
+        F.least(F.coalesce("degree", F.lit(0)), F.lit(12)).cast("string"), F.lit("|p="))
+    nodes = nodes.select("part", "face", "surface", F.concat(base, parameter_token("surface", "body", 1.0)).alias("strict"),
+        F.concat(base, parameter_token("surface", "body", "scale")).alias("family"))
     shared = adjacency(uses)
-    sides = shared.withColumn("a", F.explode("faces")).withColumn("b", F.explode("faces")).where((F.col("a") != F.col("b")) | ((F.size("faces") == 1) & (F.col("uses") > 1)))
+    sides = shared.withColumn("a", F.explode("faces")).withColumn("b",
+        F.explode("faces")).where((F.col("a") != F.col("b")) | ((F.size("faces") == 1) & (F.col("uses") > 1)))
     sides = sides.join(curves, ["part", "edge"])
     seam = F.when(F.col("a") == F.col("b"), F.lit("|SEAM")).otherwise(F.lit(""))
     histograms = []
     for mode, name in (("strict", "wl"), ("family", "wl_family")):
         key = lambda c: F.struct(F.col("part"), F.col(c))
-        labels = refine_labels(nodes.select(key("face").alias("node"), F.col(mode).alias("label")), sides.select(F.struct("part", F.col("a").alias("face")).alias("node"), F.struct("part", F.col("b").alias("face")).alias("other"), F.concat(F.col(mode), seam).alias("kind")), rounds)
+        labels = refine_labels(nodes.select(key("face").alias("node"), F.col(mode).alias("label")),
+            sides.select(F.struct("part", F.col("a").alias("face")).alias("node"),
+            F.struct("part", F.col("b").alias("face")).alias("other"), F.concat(F.col(mode), seam).alias("kind")), rounds)
         histograms.append(label_histogram(labels.withColumn("part", F.col("node.part")), "part").withColumnRenamed("histogram", name))
     counts = ents.where(F.col("kind").isin(*V.COUNTED_KINDS)).groupBy("part", "kind").agg(F.count("*").alias("n"))
-    every = scaled.select("part", F.explode(F.array(*(F.lit(k) for k in V.COUNTED_KINDS))).alias("kind")).join(counts, ["part", "kind"], "left").na.fill(0, ["n"])
-    edges = shared.groupBy("part").agg(F.sum(F.expr("size(faces) * (size(faces) - 1) / 2")).cast("long").alias("shared_edges"), F.count_if(F.expr("size(faces) = 1 and uses = 1")).alias("boundary_edges"), F.count_if(F.expr("size(faces) = 1 and uses > 1")).alias("seam_edges"))
+    every = scaled.select("part", F.explode(F.array(*(F.lit(k) for k in V.COUNTED_KINDS))).alias("kind")).join(counts, ["part", "kind"],
+        "left").na.fill(0, ["n"])
+    edges = shared.groupBy("part").agg(F.sum(F.expr("size(faces) * (size(faces) - 1) / 2")).cast("long").alias("shared_edges"),
+        F.count_if(F.expr("size(faces) = 1 and uses = 1")).alias("boundary_edges"),
+        F.count_if(F.expr("size(faces) = 1 and uses > 1")).alias("seam_edges"))
     histogram = F.pandas_udf(lambda p: p.map(distance_histogram), "array<double>")
     points = vertex_points(ents).select("part", F.col("points"), histogram("points").alias("distances"))
     curve_uses = uses.join(curves.select("part", "edge", "curve"), ["part", "edge"])
     out = solid_labels(ents).join(_as_map(every, "kind", "counts"), "part")
-    for df in (_as_map(surfaces.groupBy("part", "surface").agg(F.count("*").alias("n")), "surface", "surfaces"), _as_map(curve_uses.groupBy("part", "curve").agg(F.count("*").alias("n")), "curve", "curves"), *histograms, points, edges, nodes.groupBy("part").agg(F.count("*").alias("nodes"))):
+    for df in (_as_map(surfaces.groupBy("part", "surface").agg(F.count("*").alias("n")), "surface", "surfaces"),
+        _as_map(curve_uses.groupBy("part", "curve").agg(F.count("*").alias("n")), "curve", "curves"), *histograms, points, edges,
+        nodes.groupBy("part").agg(F.count("*").alias("nodes"))):
         out = out.join(df, "part", "left")
     none = F.create_map().cast("map<string,bigint>")
     maps = {m: F.coalesce(m, none).alias(m) for m in ("counts", "surfaces", "curves", "wl", "wl_family")}
     figure = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("part", "label", *maps.values(), F.coalesce("distances", F.array_repeat(F.lit(0.0), 32)).alias("distances"), F.coalesce(F.size("points"), F.lit(0)).alias("vertex_points"), figure("nodes"), figure("shared_edges"), figure("boundary_edges"), figure("seam_edges"),
-                      F.coalesce(F.try_element_at("surfaces", F.lit("UNKNOWN_SURFACE")), F.lit(0)).alias("unknown_surface_uses"), F.coalesce(F.try_element_at("curves", F.lit("UNKNOWN_CURVE")), F.lit(0)).alias("unknown_curve_uses"))
+    return out.select("part", "label", *maps.values(), F.coalesce("distances", F.array_repeat(F.lit(0.0), 32)).alias("distances"),
+        F.coalesce(F.size("points"), F.lit(0)).alias("vertex_points"), figure("nodes"), figure("shared_edges"), figure("boundary_edges"),
+        figure("seam_edges"),
+                      F.coalesce(F.try_element_at("surfaces", F.lit("UNKNOWN_SURFACE")), F.lit(0)).alias("unknown_surface_uses"),
+                          F.coalesce(F.try_element_at("curves", F.lit("UNKNOWN_CURVE")), F.lit(0)).alias("unknown_curve_uses"))
 
 
 def rigid_geometry(texts: DataFrame) -> DataFrame:
@@ -223,13 +246,19 @@ def rigid_geometry(texts: DataFrame) -> DataFrame:
     ents = reachable(entities(texts))
     points = vertex_points(ents)
     uses, curves = face_edges(ents), edge_curves(ents)
-    coordinates = ents.where("kind = 'CARTESIAN_POINT'").select("part", F.col("id").alias("dst"), F.transform(F.slice(S.numbers("body"), -3, 3), lambda x: F.rint(x * 1e10) / 1e10).alias("xyz"))
-    vertex = _refs(ents, ("VERTEX_POINT",)).join(coordinates, ["part", "dst"]).groupBy("part", F.col("src").alias("dst")).agg(F.min_by("xyz", "pos").alias("xyz"))
-    ends = _refs(ents, ("EDGE_CURVE",)).join(vertex, ["part", "dst"]).groupBy("part", F.col("src").alias("edge")).agg(F.array_sort(F.collect_list(F.struct("pos", "xyz"))).alias("e"))
+    coordinates = ents.where("kind = 'CARTESIAN_POINT'").select("part", F.col("id").alias("dst"),
+        F.transform(F.slice(S.numbers("body"), -3, 3), lambda x: F.rint(x * 1e10) / 1e10).alias("xyz"))
+    vertex = _refs(ents, ("VERTEX_POINT",)).join(coordinates, ["part", "dst"]).groupBy("part",
+        F.col("src").alias("dst")).agg(F.min_by("xyz", "pos").alias("xyz"))
+    ends = _refs(ents, ("EDGE_CURVE",)).join(vertex, ["part", "dst"]).groupBy("part",
+        F.col("src").alias("edge")).agg(F.array_sort(F.collect_list(F.struct("pos", "xyz"))).alias("e"))
     index = lambda k: F.array_position("points", F.get("e", k)["xyz"]).cast("int") - 1
     typed = ends.where(F.size("e") >= 2).join(points, "part").join(curves.select("part", "edge", "curve"), ["part", "edge"])
     typed = typed.select("part", "edge", F.struct(F.least(index(0), index(1)).alias("i"), F.greatest(index(0), index(1)).alias("j"), F.col("curve")).alias("t"))
-    edges = typed.groupBy("part", "t").agg(F.count("*").alias("n")).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("t.i", "t.j", "t.curve", "n"))).alias("edges"))
+    edges = typed.groupBy("part", "t").agg(F.count("*").alias("n")).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("t.i", "t.j",
+        "t.curve", "n"))).alias("edges"))
     boundary = uses.join(typed, ["part", "edge"]).groupBy("part", "face").agg(F.array_sort(F.collect_list("t")).alias("boundary"))
-    faces = face_surfaces(ents).join(boundary, ["part", "face"], "left").groupBy("part", "surface", "boundary").agg(F.count("*").alias("n")).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("surface", "boundary", "n"))).alias("faces"))
+    faces = face_surfaces(ents).join(boundary, ["part", "face"], "left").groupBy("part", "surface",
+        "boundary").agg(F.count("*").alias("n")).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("surface", "boundary",
+        "n"))).alias("faces"))
     return points.join(edges, "part", "left").join(faces, "part", "left")

@@ -88,7 +88,8 @@ def write_csv(df: DataFrame, path: str, fields: list[str] | None = None) -> None
     """CSV with a header; chosen fields, blanks for nulls and for fields that the table lacks, lists joined by " | "."""
     fields = fields or df.columns
     kinds = dict(df.dtypes)
-    column = lambda c: F.lit("") if c not in kinds else F.array_join(c, " | ") if kinds[c].startswith("array<string") else F.coalesce(F.col(c).cast("string"), F.lit(""))
+    column = lambda c: F.lit("") if c not in kinds else F.array_join(c,
+        " | ") if kinds[c].startswith("array<string") else F.coalesce(F.col(c).cast("string"), F.lit(""))
     df.select(*(column(c).alias(c) for c in fields)).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 

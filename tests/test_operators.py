@@ -86,7 +86,8 @@ def test_banded_join_is_the_plain_join(spark, tolerance):
     values = [r.choice([0.0, 1e-13, 1e-12, 1.2e-12, -1.0, 1.0, 1.03, 1 / 0.97, 10 ** r.uniform(-13, 6), 5.0]) for _ in range(120)]
     df = spark.createDataFrame(list(enumerate(values)), "k int, v double")
     got = {(x.k_a, x.k_b) for x in pairs.banded_pairs(df, "k", "v", tolerance).collect()}
-    want = {(i, j) for i, j in itertools.combinations(range(len(values)), 2) if abs(values[i] - values[j]) / max(abs(values[i]), abs(values[j]), 1e-12) <= tolerance}
+    want = {(i, j) for i, j in itertools.combinations(range(len(values)), 2) if abs(values[i] - values[j]) / max(abs(values[i]),
+        abs(values[j]), 1e-12) <= tolerance}
     assert got == want
 
 
@@ -96,7 +97,8 @@ def _pairs(spark, matrix):
 
 
 def _groups(spark, matrix, threshold, keys=None):
-    parts = spark.createDataFrame([(i, (keys or [f"{k:04d}" for k in range(len(matrix))])[i]) for i in range(len(matrix))], "part_index long, stable_key string")
+    parts = spark.createDataFrame([(i, (keys or [f"{k:04d}" for k in range(len(matrix))])[i]) for i in range(len(matrix))],
+        "part_index long, stable_key string")
     out = cluster.complete_link(parts, _pairs(spark, matrix), threshold).collect()
     return [r.group for r in sorted(out, key=lambda r: r.part_index)]
 
@@ -168,17 +170,22 @@ def test_no_eligible_threshold(spark):
 
 
 def test_label_scores(spark):
-    queue = spark.createDataFrame([("a", "same", "s1", 1.0), ("b", "different", "random_cross_baseline", 0.5), ("c", "same", "s1", 1.0), ("d", "same", "s1", 1.0)], "task_id string, predicted_relation string, selection_stratum string, inclusion_probability double")
-    labels = spark.createDataFrame([("a", "correct_merge"), ("b", "correct_split"), ("c", "uncertain"), ("d", ""), ("zz", "correct_merge")], "task_id string, human_label string")
+    queue = spark.createDataFrame([("a", "same", "s1", 1.0), ("b", "different", "random_cross_baseline", 0.5), ("c", "same", "s1", 1.0),
+        ("d", "same", "s1", 1.0)], "task_id string, predicted_relation string, selection_stratum string, inclusion_probability double")
+    labels = spark.createDataFrame([("a", "correct_merge"), ("b", "correct_split"), ("c", "uncertain"), ("d", ""), ("zz", "correct_merge")],
+        "task_id string, human_label string")
     rows = {r.stratum: r for r in review.score_labels(queue, labels).collect()}
     assert (rows["s1"].labeled, rows["s1"].decided, rows["s1"].correct) == (2, 1, 1)
     assert rows["merge_precision"].estimate == 1.0 and rows["random_cross_correct_split"].decided == 1
 
 
 def test_tasks_are_distinct_and_ordered(spark):
-    groups = spark.createDataFrame([(1, 3, [1, 2, 3], 0.9, 0.95), (2, 1, [4], 1.0, 1.0)], "group long, part_count long, parts array<long>, minimum_internal_similarity double, mean_internal_similarity double")
-    checks = spark.createDataFrame([(1, 1, 4, "alignment_failed", "none")], "group long, reference_part long, candidate_part long, status string, reason string")
-    near = spark.createDataFrame([(1, 4, 0.8, False), (2, 4, 0.7, False), (1, 2, 0.95, True)], "part_a long, part_b long, similarity double, same_group boolean")
+    groups = spark.createDataFrame([(1, 3, [1, 2, 3], 0.9, 0.95), (2, 1, [4], 1.0, 1.0)],
+        "group long, part_count long, parts array<long>, minimum_internal_similarity double, mean_internal_similarity double")
+    checks = spark.createDataFrame([(1, 1, 4, "alignment_failed", "none")],
+        "group long, reference_part long, candidate_part long, status string, reason string")
+    near = spark.createDataFrame([(1, 4, 0.8, False), (2, 4, 0.7, False), (1, 2, 0.95, True)],
+        "part_a long, part_b long, similarity double, same_group boolean")
     tasks = review.select_tasks("d", groups, checks, near, cross_sample=5, internal_sample=5).collect()
     kinds = [t.item_type for t in tasks]
     assert kinds == ["unresolved_precision", "group_merge", "near_miss_pair", "random_internal_pair"]
@@ -272,7 +279,8 @@ def test_histogram_ignores_motion_and_order():
 # ---------------------------------------------------------------- metadata, catalogue, files
 
 def test_prescreen_decisions(spark):
-    rows = [("p", "Complete 3D printer assembly STEP file with bill of materials, 40 screws and nuts", "public", "MIT"), ("m", "mesh only assembly STL", "public", "MIT")]
+    rows = [("p", "Complete 3D printer assembly STEP file with bill of materials, 40 screws and nuts", "public", "MIT"),
+        ("m", "mesh only assembly STL", "public", "MIT")]
     df = spark.createDataFrame(rows, "id string, title string, access_status string, license string")
     out = {r.candidate_id: r for r in prescreen.prescreen(df).collect()}
     assert out["p"].manufacturing_sector == "additive_manufacturing" and out["p"].decision == "priority_download"
@@ -280,7 +288,8 @@ def test_prescreen_decisions(spark):
 
 
 def test_best_candidate_and_events(spark):
-    c = spark.createDataFrame([("b", "u", "", 3), ("a", "u", "", 3), ("c", "", "l", 1)], "candidate_id string, download_url string, landing_url string, score int")
+    c = spark.createDataFrame([("b", "u", "", 3), ("a", "u", "", 3), ("c", "", "l", 1)],
+        "candidate_id string, download_url string, landing_url string, score int")
     assert {r.candidate_id for r in discovery.best_per_address(c).collect()} == {"a", "c"}
     found, events = discovery.discover(spark, {}, ["nowhere"], {"gear": ["gear"]})
     assert found is None and events[0]["status"] == "unsupported"
@@ -288,7 +297,9 @@ def test_best_candidate_and_events(spark):
 
 
 def test_gates_wait_for_labels(spark):
-    row = {"minimum_order_permutation_ari": "1.0", "median_adjacent_threshold_ari": "1.0", "rigid_invariance_passed": True, "boolean_completed_assemblies": 25, "minimum_partition_ari": None, "runtime_ratio": None, "merge_precision": None, "merge_precision_low": None, "cross_split": "n/a", "cross_split_low": None}
+    row = {"minimum_order_permutation_ari": "1.0", "median_adjacent_threshold_ari": "1.0", "rigid_invariance_passed": True,
+        "boolean_completed_assemblies": 25, "minimum_partition_ari": None, "runtime_ratio": None, "merge_precision": None,
+        "merge_precision_low": None, "cross_split": "n/a", "cross_split_low": None}
     df = spark.createDataFrame([row], "minimum_order_permutation_ari string, median_adjacent_threshold_ari string, rigid_invariance_passed boolean, boolean_completed_assemblies int, minimum_partition_ari string, runtime_ratio string, merge_precision string, merge_precision_low string, cross_split string, cross_split_low string")
     assert records.gate_decision(records.gate_checks(df)).first().decision == "waiting_for_human_labels"
     assert records.gate_decision(records.gate_checks(df.withColumn("rigid_invariance_passed", F.lit(False)))).first().decision == "rejected"
@@ -326,7 +337,8 @@ def test_tables_round_trip(spark, tmp_path):
     again = tables.checkpoint(spark, f"file://{tmp_path}/c", "s1", lambda: spark.range(99).toDF("id"))
     assert kept.count() == again.count() == 3
     wanted = spark.createDataFrame([(1, 2), (1, 3)], "reference_part int, candidate_part int")
-    old = spark.createDataFrame([(1, 2, "verified", "x"), (1, 3, "alignment_failed", "x")], "reference_part int, candidate_part int, status string, signature string")
+    old = spark.createDataFrame([(1, 2, "verified", "x"), (1, 3, "alignment_failed", "x")],
+        "reference_part int, candidate_part int, status string, signature string")
     done, left = tables.resume_pairs(wanted, old, "x", legacy=True)
     assert done.count() == 1 and left.first().candidate_part == 3
     assert tables.upsert_table(spark, f"file://{tmp_path}/u", spark.range(2).toDF("id"), "id").count() == 2
@@ -372,7 +384,8 @@ def test_sweep_and_stability(spark):
 
 def test_workflow_end_to_end(spark, tmp_path):
     texts = spark.createDataFrame([("a", STEP), ("b", STEP.replace("sample", "other"))], "part string, text string")
-    exact = spark.createDataFrame([("a", 8.0, 24.0, 24.0, [1.0, 2.0, 3.0]), ("b", 8.0, 24.0, 24.0, [1.0, 2.0, 3.0])], "part string, volume double, area double, edge_length double, moments array<double>")
+    exact = spark.createDataFrame([("a", 8.0, 24.0, 24.0, [1.0, 2.0, 3.0]), ("b", 8.0, 24.0, 24.0, [1.0, 2.0, 3.0])],
+        "part string, volume double, area double, edge_length double, moments array<double>")
     manifest = workflow.group_parts(spark, texts, exact, str(tmp_path / "run"), workflow.Config(precision="off"))
     assert manifest["status"] == "completed" and all(g["passed"] for g in manifest["quality_gates"])
     groups = spark.read.json(f"file://{tmp_path}/run/groups").collect()
@@ -474,7 +487,8 @@ def test_command_line_from_group_to_cycle(spark, tmp_path, capsys):
     names = {r.part for r in step.read_step(spark, f"file://{source}").collect()}
     values = [{"part": p, "volume": 8.0 if "bolt" in p else 80.0, "area": 24.0, "edge_length": 24.0, "moments": [1.0, 2.0, 3.0]} for p in sorted(names)]
     (tmp_path / "exact.jsonl").write_text("\n".join(map(json.dumps, values)))
-    assert cli.main(["group", f"file://{source}", "--properties", f"file://{tmp_path}/exact.jsonl", "--output", str(tmp_path / "runs" / "one"), "--precision", "off", "--label-rounds", "1"]) == 0
+    assert cli.main(["group", f"file://{source}", "--properties", f"file://{tmp_path}/exact.jsonl", "--output",
+        str(tmp_path / "runs" / "one"), "--precision", "off", "--label-rounds", "1"]) == 0
     shutil.copytree(tmp_path / "runs" / "one", tmp_path / "runs" / "two")
     parts = tables.read_runs(spark, str(tmp_path / "runs"))
     assert parts.columns == [*workflow.column_names(tables.PARTS), "run"]
@@ -482,16 +496,19 @@ def test_command_line_from_group_to_cycle(spark, tmp_path, capsys):
     assert sorted(got) == [(run, k) for run in ("one", "two") for k in (1, 2, 3)]
     assert got[("one", 1)].group == got[("one", 2)].group != got[("one", 3)].group
     assert got[("one", 1)].moment_max == 3.0 and got[("one", 1)].faces > 0 and got[("one", 1)].normalized_step in names
-    again = {(r.run, r.group): (r.part_count, r.parts, r.minimum_internal_similarity) for r in workflow.recovered_groups(spark, str(tmp_path / "runs")).collect()}
+    again = {(r.run, r.group): (r.part_count, r.parts, r.minimum_internal_similarity) for r in workflow.recovered_groups(spark,
+        str(tmp_path / "runs")).collect()}
     assert again[("two", 1)][:2] == (2, [1, 2]) and again[("two", 2)] == (1, [3], 1.0)
     (tmp_path / "config.toml").write_text(CONFIG)
     common = ["--config", str(tmp_path / "config.toml"), "--output", str(tmp_path / "out")]
-    (tmp_path / "summary.json").write_text(json.dumps({"minimum_order_permutation_ari": "1.0", "median_adjacent_threshold_ari": "1.0", "rigid_invariance_passed": True, "boolean_completed_assemblies": "25"}))
+    (tmp_path / "summary.json").write_text(json.dumps({"minimum_order_permutation_ari": "1.0", "median_adjacent_threshold_ari": "1.0",
+        "rigid_invariance_passed": True, "boolean_completed_assemblies": "25"}))
     capsys.readouterr()
     assert cli.main(["benchmark", "--baseline", str(tmp_path / "runs"), "--candidate", str(tmp_path / "runs"), *common]) == 0
     agreed = json.loads(capsys.readouterr().out)
     assert agreed["run_count"] == 2 and agreed["minimum_partition_ari"] == 1.0 and agreed["runtime_ratio"] == 1.0
-    assert cli.main(["cycle", "--offline", "--assemblies", f"file://{source}", "--runs", str(tmp_path / "runs"), "--summary", str(tmp_path / "summary.json"), *common]) == 0
+    assert cli.main(["cycle", "--offline", "--assemblies", f"file://{source}", "--runs", str(tmp_path / "runs"), "--summary",
+        str(tmp_path / "summary.json"), *common]) == 0
     assert json.loads(capsys.readouterr().out)["decision"] == "waiting_for_human_labels"
     best = json.loads((tmp_path / "out" / "thresholds.json").read_text())
     assert [t["final_pair_recall"] for t in best["thresholds"]] == [1.0, 1.0]

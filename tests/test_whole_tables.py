@@ -39,7 +39,8 @@ def test_components_over_all_orders(spark, small):
 
 
 def test_descriptors_of_all_parts(spark, small):
-    got = {tuple(r) for r in catalog.QUERIES["step_descriptor"](spark, small).select("part", "label", "faces", "vertex_points", "boundary_edges", "surface", "curve").collect()}
+    got = {tuple(r) for r in catalog.QUERIES["step_descriptor"](spark, small).select("part", "label", "faces", "vertex_points",
+        "boundary_edges", "surface", "curve").collect()}
     assert got == {(k, f"part {k}", 1, 2, 1, "PLANE", "LINE") for k in range(1, 24)}
 
 
@@ -61,8 +62,10 @@ def test_latest_and_markers_of_all_rows(spark, small, tmp_path):
 
 
 def test_weighted_distances_of_all_pairs(spark, tmp_path):
-    spark.createDataFrame([(k, f"brand {k % 2}", k * 9, 1000.0 + k) for k in range(1, 7)], "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
-    spark.createDataFrame([(k, "N", 1.0 * k, 10.0 * k) for k in range(1, 7)], "l_partkey long, l_returnflag string, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"brand {k % 2}", k * 9, 1000.0 + k) for k in range(1, 7)],
+        "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k, "N", 1.0 * k, 10.0 * k) for k in range(1, 7)],
+        "l_partkey long, l_returnflag string, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = lambda mode: {(r.part_a, r.part_b) for r in catalog.QUERIES[f"weighted_distance_{mode}"](spark, str(tmp_path)).collect()}
     pairs = [(a, b) for a in range(1, 7) for b in range(a + 1, 7)]
     assert got("strict") == {(a, b) for a, b in pairs if (b - a) / (1000 + b) <= 0.002}
@@ -90,7 +93,8 @@ def test_groups_by_price_are_the_definition(spark, tmp_path):
     rank = {k: sorted(token.values()).index(token[k]) for k in keys}
     groups = [[k] for k in keys]
     while True:
-        best = min(((max(far(a, b) for a in x for b in y), sorted(rank[k] for k in x + y), min(x), min(y), x, y) for x, y in itertools.combinations(groups, 2)), default=None)
+        best = min(((max(far(a, b) for a in x for b in y), sorted(rank[k] for k in x + y), min(x), min(y), x, y) for x,
+            y in itertools.combinations(groups, 2)), default=None)
         if best is None or best[0] > 0.0002:
             break
         groups = [g for g in groups if g is not best[4] and g is not best[5]] + [best[4] + best[5]]
