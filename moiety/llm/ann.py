@@ -120,24 +120,31 @@ def _vectors(batches, kind):
         ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
         for at, x in zip(rows, vectors, strict=True):
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at].astype(np.int64)), pa.array(np.full(len(at), x.shape[1], np.int32)), pa.array([v.tobytes() for v in (x + 0.0).astype(kind)], pa.binary())], ["id", "dim", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at].astype(np.int64)), pa.array(np.full(len(at), x.shape[1], np.int32)),
+                    pa.array([v.tobytes() for v in (x + 0.0).astype(kind)], pa.binary())], ["id", "dim", "vector"])
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int = PROJECTIONS, threshold: float = THRESHOLD, verify: float = VERIFY, lot: int = LOT, block: int = QUERIES) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int = PROJECTIONS, threshold: float = THRESHOLD,
+    verify: float = VERIFY, lot: int = LOT, block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``queries`` its k nearest among ``vectors`` (both vec_id, embedding)."""
-    out, kind = "id long, dim int, vector binary", np.float32 if all(x.schema["embedding"].dataType.elementType == FloatType() for x in (vectors, queries)) else np.float64
+    out, kind = "id long, dim int, vector binary", np.float32 if all(x.schema["embedding"].dataType.elementType == FloatType() for x in (vectors,
+        queries)) else np.float64
     whole = vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null")
     asked = queries.select("vec_id", "embedding").where("vec_id is not null and embedding is not null")
     n, m = whole.count(), asked.count()
     lots, blocks = max(1, min(C.partitions(vectors.sparkSession), n // 2048), -(-n // lot)), max(1, -(-m // block))
     # equal vectors are one, with the smallest ids that can be among the k of a query (which may be one of them)
-    index = whole.mapInArrow(lambda it: _vectors(it, kind), out).distinct().withColumn("n", F.row_number().over(Window.partitionBy("dim", "vector").orderBy("id"))).where(F.col("n") <= k + 1)
-    index = index.groupBy("dim", "vector").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("lot", F.pmod(F.xxhash64("vector"), F.lit(lots)).cast("int"))
+    index = whole.mapInArrow(lambda it: _vectors(it, kind), out).distinct().withColumn("n",
+        F.row_number().over(Window.partitionBy("dim", "vector").orderBy("id"))).where(F.col("n") <= k + 1)
+    index = index.groupBy("dim", "vector").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("lot",
+        F.pmod(F.xxhash64("vector"), F.lit(lots)).cast("int"))
     index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("query", F.lit(False))
     ask = asked.mapInArrow(lambda it: _vectors(it, kind), out).groupBy("id").agg(F.min(F.struct("dim", "vector")).alias("x")).select("id", "x.*")
-    ask = ask.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).withColumn("query", F.lit(True)).withColumn("ids", F.array("id")).drop("id")
+    ask = ask.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("lot",
+        F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).withColumn("query", F.lit(True)).withColumn("ids", F.array("id")).drop("id")
     both = index.unionByName(ask).repartition("dim", "lot", "block")
-    found = both.groupBy("dim", "lot", "block").applyInArrow(lambda t: _search(t, projections, threshold, verify, k, kind), "query_id long, vec_id long, score double")
+    found = both.groupBy("dim", "lot", "block").applyInArrow(lambda t: _search(t, projections, threshold, verify, k, kind),
+        "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -124,7 +124,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 22) ->
         at = np.flatnonzero(first)
         if len(at):
             place = np.arange(len(part), dtype=np.int64)
-            place -= np.repeat(at, np.diff(np.append(at, len(part)))) if at[0] == 0 else np.concatenate([np.zeros(at[0], np.int64), np.repeat(at, np.diff(np.append(at, len(part))))])
+            place -= np.repeat(at, np.diff(np.append(at, len(part)))) if at[0] == 0 else np.concatenate([np.zeros(at[0], np.int64),
+                np.repeat(at, np.diff(np.append(at, len(part))))])
             long = int(place.max()) + 1
             if long > len(powers):
                 powers = odd_constants(long, 23)
@@ -237,7 +238,8 @@ def _merge_marks(batches):
     for batch in batches:
         for k, x in zip(batch.column("part").to_pylist(), batch.column("places"), strict=True):
             marks.setdefault(k, np.zeros(PART, bool))[np.frombuffer(x.as_buffer(), np.uint32)] = True
-    yield pa.RecordBatch.from_arrays([pa.array(list(marks), pa.int32()), pa.array([np.packbits(m).tobytes() for m in marks.values()], pa.binary())], ["part", "marks"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(marks), pa.int32()),
+        pa.array([np.packbits(m).tobytes() for m in marks.values()], pa.binary())], ["part", "marks"])
 
 
 def id_filter(ids: DataFrame, n: int) -> np.ndarray:
@@ -248,7 +250,8 @@ def id_filter(ids: DataFrame, n: int) -> np.ndarray:
     while bits < 16 * n and bits < 1 << 28:
         bits *= 2
     out = np.zeros(bits // 8, np.uint8)
-    for r in ids.mapInArrow(lambda it: _mark(it, bits), "part int, places binary").repartition("part").mapInArrow(_merge_marks, "part int, marks binary").collect():
+    for r in ids.mapInArrow(lambda it: _mark(it, bits), "part int, places binary").repartition("part").mapInArrow(_merge_marks,
+        "part int, marks binary").collect():
         out[r.part * (PART // 8):(r.part + 1) * (PART // 8)] |= np.frombuffer(bytes(r.marks), np.uint8)
     return out
 

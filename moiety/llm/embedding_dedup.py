@@ -76,7 +76,9 @@ def _vectors(batches, kind):
         ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
         for at, x in zip(rows, vectors, strict=True):
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at].astype(np.int64)), batch.column("label").take(pa.array(at)), pa.array(np.full(len(at), x.shape[1], np.int32)), pa.array([v.tobytes() for v in (x + 0.0).astype(kind)], pa.binary())], ["id", "label", "dim", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at].astype(np.int64)), batch.column("label").take(pa.array(at)),
+                    pa.array(np.full(len(at), x.shape[1], np.int32)), pa.array([v.tobytes() for v in (x + 0.0).astype(kind)], pa.binary())],
+                    ["id", "label", "dim", "vector"])
 
 
 def _points(batches, bound, grid, kind):
@@ -106,7 +108,9 @@ def _points(batches, bound, grid, kind):
                 with np.errstate(over="ignore"):
                     name = C.mix((cells.astype(np.uint64) * C.odd_constants(BLOCK, 3)[:g]).sum(axis=1, dtype=np.uint64)).view(np.int64)
                 out = rows.take(pa.array(where))
-                yield pa.RecordBatch.from_arrays([out.column("label"), out.column("dim"), pa.array(np.full(len(where), b, np.int32)), pa.array(name), *(out.column(c) for c in ("id", "own", "n")), pa.array((cells == home[where]).all(axis=1)), out.column("vector")], [*_KEYS, "id", "own", "n", "home", "vector"])
+                yield pa.RecordBatch.from_arrays([out.column("label"), out.column("dim"), pa.array(np.full(len(where), b, np.int32)),
+                    pa.array(name), *(out.column(c) for c in ("id", "own", "n")), pa.array((cells == home[where]).all(axis=1)),
+                    out.column("vector")], [*_KEYS, "id", "own", "n", "home", "vector"])
 
 
 def merged(label: np.ndarray, r: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -146,7 +150,8 @@ def _links(table, cosine, bound, kind):
             o, alive = here[j:j + TILE], None
             for k in order:
                 part = y[:, k:k + BLOCK]
-                near = square[k][v][:, None] + square[k][o][None, :] - 2 * (part[v] @ part[o].T) <= math.floor((bound * part.shape[1] / dim + SLACK) * UNIT * UNIT)
+                near = square[k][v][:, None] + square[k][o][None,
+                    :] - 2 * (part[v] @ part[o].T) <= math.floor((bound * part.shape[1] / dim + SLACK) * UNIT * UNIT)
                 alive = near if alive is None else alive & ~near
                 if not alive.any():
                     break
@@ -158,7 +163,8 @@ def _links(table, cosine, bound, kind):
             r, s = r[other], s[other]
             if not len(r):
                 continue
-            hit = np.concatenate([np.einsum("ij,ij->i", x[r[k:k + 65536]], x[s[k:k + 65536]]) / (norm[r[k:k + 65536]] * norm[s[k:k + 65536]]) >= cosine for k in range(0, len(r), 65536)])
+            hit = np.concatenate([np.einsum("ij,ij->i", x[r[k:k + 65536]],
+                x[s[k:k + 65536]]) / (norm[r[k:k + 65536]] * norm[s[k:k + 65536]]) >= cosine for k in range(0, len(r), 65536)])
             r, s = r[hit], s[hit]
             n += np.bincount(r, count[s], minlength=len(ids)).astype(np.int64)
             label = merged(label, r, s)
@@ -182,27 +188,32 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, piece: int = 8192)
     points = C.cut(told.groupBy(*alike).agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("own").alias("own")))
     largest = points.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     grid = max(1, min(BLOCK, round(math.log(largest / 2000 + 1) / math.log(2.5))))
-    placed = points.mapInArrow(lambda it: _points(it, bound, grid, kind), f"label {named}, dim int, block int, cell long, id long, own boolean, n long, home boolean, vector binary")
+    placed = points.mapInArrow(lambda it: _points(it, bound, grid, kind),
+        f"label {named}, dim int, block int, cell long, id long, own boolean, n long, home boolean, vector binary")
     crowds = C.cut(placed.groupBy(*_KEYS).agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces")).where("pieces > 1"))
     dealt = placed.join(crowds, list(_KEYS), "left").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
     role = lambda x, y, resident, visitor: F.struct(x.alias("x"), y.alias("y"), resident.alias("resident"), visitor.alias("visitor"))
     zero, yes, no = F.lit(0), F.lit(True), F.lit(False)
     every = F.sequence(zero, F.col("pieces") - 1)
     visits = F.transform(every, lambda k: role(k, F.col("mine"), no, yes))
-    stays = F.when(F.col("home"), F.transform(every, lambda k: role(F.col("mine"), k, yes, no))).otherwise(F.array().cast("array<struct<x:int,y:int,resident:boolean,visitor:boolean>>"))
-    dealt = dealt.withColumn("role", F.explode(F.when(F.col("pieces").isNull(), F.array(role(zero, zero, F.col("home"), yes))).otherwise(F.concat(visits, stays))))
+    stays = F.when(F.col("home"), F.transform(every,
+        lambda k: role(F.col("mine"), k, yes, no))).otherwise(F.array().cast("array<struct<x:int,y:int,resident:boolean,visitor:boolean>>"))
+    dealt = dealt.withColumn("role", F.explode(F.when(F.col("pieces").isNull(),
+        F.array(role(zero, zero, F.col("home"), yes))).otherwise(F.concat(visits, stays))))
     dealt = dealt.select(*_KEYS, "role.*", "id", "own", "n", "vector")
     met = C.cut(dealt.groupBy(*_KEYS, "x", "y").applyInArrow(lambda t: _links(t, cosine, bound, kind), "a long, n long, other long"))
     # back to the rows: copies have their point's links
     copies = points.where("n > 1 and own is null").select("label", "dim", "vector", F.col("id").alias("point"))
     sums = met.groupBy(F.col("a").alias("point")).agg(F.sum("n").alias("n"))
-    known = told.join(copies, ["label", "dim", "vector"], "left").select("id", F.when(F.col("own"), F.col("id")).otherwise(F.coalesce("point", "id")).alias("point"))
+    known = told.join(copies, ["label", "dim", "vector"], "left").select("id",
+        F.when(F.col("own"), F.col("id")).otherwise(F.coalesce("point", "id")).alias("point"))
     known = C.cut(known)
     links = known.distinct().join(sums, "point").groupBy(F.col("id").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     parts = C.connected_components(met.where("a <> other").select("a", F.col("other").alias("b")).unionAll(known.where("id <> point").select("id", "point")))
     out = rows.select("vec_id").join(links, "vec_id", "left").join(parts.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"),
+        (component == F.col("vec_id")).alias("kept"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

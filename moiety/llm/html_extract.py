@@ -37,7 +37,8 @@ INPUT = PATHS + WORDS + NUMBERS
 _RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for n in ("script", "style", "textarea", "title")}
 SILENT = frozenset("noscript template svg iframe select canvas audio video annotation annotation-xml".split())
 NESTED = frozenset("svg template".split())  #: silent elements that may hold themselves
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?>(?:[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*)(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|</>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?>(?:[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*)(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|</>""",
+    re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _MARKS = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
@@ -64,7 +65,8 @@ def _tag(raw: str, cache: dict):
         tokens = [name]
         if "=" in raw:
             for a in _MARKS.finditer(raw):
-                tokens += [f"{'id' if a[1].lower() == 'id' else 'c'}:{w}" for w in _PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", a[2] or a[3] or a[4] or "").lower())]
+                tokens += [f"{'id' if a[1].lower() == 'id' else 'c'}:{w}" for w in _PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2",
+                    a[2] or a[3] or a[4] or "").lower())]
         got = (name, raw.startswith("</"), tuple(tokens))
         if len(raw) < 200 and len(cache) < 20_000:
             cache[raw] = got
@@ -121,7 +123,8 @@ def blocks(page: str, cache: dict) -> list[tuple[tuple, str, float]]:
             if ends:
                 over = name == "head" or opened[name] > 0
             else:
-                over = name == "body" and not opened["body"] or quiet[0] == "svg" and name in BREAKS_SVG and not {"foreignobject", "desc", "title"}.intersection(quiet)
+                over = name == "body" and not opened["body"] or quiet[0] == "svg" and name in BREAKS_SVG and not {"foreignobject", "desc",
+                    "title"}.intersection(quiet)
             if not over:
                 if not ends and not empty and name not in VOID:
                     quiet.append(name)
@@ -184,12 +187,14 @@ def block_vectors(found: list, cache: dict) -> np.ndarray:
     words, first = C.word_hashes(data, ends)
     count = np.diff(first)
     of = np.repeat(np.arange(n), count)
-    x[:, PATHS:PATHS + WORDS] = np.sqrt(np.bincount(of * WORDS + (words % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS) / np.maximum(count, 1)[:, None])
+    x[:, PATHS:PATHS + WORDS] = np.sqrt(np.bincount(of * WORDS + (words % np.uint64(WORDS)).astype(np.int64),
+        minlength=n * WORDS).reshape(n, WORDS) / np.maximum(count, 1)[:, None])
     for i, (path, text, links) in enumerate(found):
         x[i, :PATHS] = _path_vector(path, cache)
         digits = sum(map(str.isdigit, text[:200])) / min(len(text), 200)
         same = i > 0 and found[i - 1][0] == path
-        x[i, PATHS + WORDS:] = (np.log1p(len(text)) / 6, links, min(count[i], 60) / 60, text[-1] in ".!?\"", i / n, (n - i) / n, min(len(path), 20) / 10, text[0].isupper(), digits, same, links > 0.9, "\u00a9" in text)
+        x[i, PATHS + WORDS:] = (np.log1p(len(text)) / 6, links, min(count[i], 60) / 60, text[-1] in ".!?\"", i / n, (n - i) / n,
+            min(len(path), 20) / 10, text[0].isupper(), digits, same, links > 0.9, "\u00a9" in text)
     return x
 
 
@@ -301,7 +306,8 @@ def _extract(batches, model):
     for batch in batches:
         htmls = batch.column("html").to_pylist()
         texts = [t for i in range(0, len(htmls), 256) for t in main_texts(htmls[i:i + 256], own, tags, paths)]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
+            pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:

@@ -14,16 +14,30 @@ import numpy as np
 
 from moiety.llm.html_extract import HIDDEN, INPUT, WEIGHTS, Labeller, block_vectors, blocks  # noqa: F401
 
-MAIN = ["<article>", '<article class="post">', "<main>", '<div class="content">', '<div id="main-content">', '<div class="article-body">', '<div class="entry-content">', '<section class="post-body">', '<div class="story">', '<div itemprop="articleBody">', '<div class="text">', "<main><article>", '<div id="main"><article class="entry">', '<main role="main"><div class="post">', "<article><section>"]
+MAIN = ["<article>", '<article class="post">', "<main>", '<div class="content">', '<div id="main-content">', '<div class="article-body">',
+    '<div class="entry-content">', '<section class="post-body">', '<div class="story">', '<div itemprop="articleBody">',
+    '<div class="text">', "<main><article>", '<div id="main"><article class="entry">', '<main role="main"><div class="post">',
+    "<article><section>"]
 ASIDE = {
-    "menu": ["<nav>", '<div class="menu">', '<ul class="nav">', '<div id="navigation">', '<div class="navbar">', '<nav class="breadcrumb">', '<div class="breadcrumbs">', '<nav role="navigation">', '<div class="pagination">', '<ul class="menu">', '<div class="toc">'],
-    "header": ["<header>", '<div id="header">', '<div class="masthead">', '<div class="site-header">', '<div class="topbar">', '<header class="banner">', '<div id="branding">'],
+    "menu": ["<nav>", '<div class="menu">', '<ul class="nav">', '<div id="navigation">', '<div class="navbar">', '<nav class="breadcrumb">',
+        '<div class="breadcrumbs">', '<nav role="navigation">', '<div class="pagination">', '<ul class="menu">', '<div class="toc">'],
+    "header": ["<header>", '<div id="header">', '<div class="masthead">', '<div class="site-header">', '<div class="topbar">',
+        '<header class="banner">', '<div id="branding">'],
     "footer": ["<footer>", '<div id="footer">', '<div class="site-footer">', '<footer class="bottom">', '<div class="copyright">', '<div class="legal">'],
-    "sidebar": ["<aside>", '<div class="sidebar">', '<div id="sidebar">', '<div class="related">', '<aside class="widget">', '<div class="recommended">', '<div class="rail">', '<section class="related-posts">', '<div class="share">', '<div class="social">'],
-    "notice": ['<div class="cookie-notice">', '<div class="notice">', '<div id="gdpr">', '<div class="consent">', '<div class="alert">', '<div role="alert">', '<div class="cookies banner">', '<div class="modal">', '<div class="popup">', '<p class="notice">', '<div class="paywall">', '<div role="dialog">'],
-    "advert": ['<div class="ad">', '<div class="ads">', '<div class="advert">', '<div class="advertisement">', '<div class="sponsored">', '<div class="promo">', '<aside class="ad">', '<p class="ad">', '<div id="ad-top">', '<section class="promotion">', '<ins class="adsbygoogle"><div>', '<div class="banner-ad">'],
-    "form": ["<form>", '<form class="search">', '<div class="newsletter"><form>', '<form id="subscribe">', '<form class="login">', '<div class="signup">', "<form><fieldset>", '<div class="contact-form"><form>'],
-    "comments": ['<div class="comments">', '<div id="comments">', '<section class="comments">', '<ol class="comment-list">', '<div class="comment">', '<ul class="replies">', '<section id="discussion">', '<div class="responses">', '<div class="user-comments">', '<div class="disqus thread">', '<aside class="comments">', '<div id="respond">'],
+    "sidebar": ["<aside>", '<div class="sidebar">', '<div id="sidebar">', '<div class="related">', '<aside class="widget">',
+        '<div class="recommended">', '<div class="rail">', '<section class="related-posts">', '<div class="share">',
+        '<div class="social">'],
+    "notice": ['<div class="cookie-notice">', '<div class="notice">', '<div id="gdpr">', '<div class="consent">', '<div class="alert">',
+        '<div role="alert">', '<div class="cookies banner">', '<div class="modal">', '<div class="popup">', '<p class="notice">',
+        '<div class="paywall">', '<div role="dialog">'],
+    "advert": ['<div class="ad">', '<div class="ads">', '<div class="advert">', '<div class="advertisement">', '<div class="sponsored">',
+        '<div class="promo">', '<aside class="ad">', '<p class="ad">', '<div id="ad-top">', '<section class="promotion">',
+        '<ins class="adsbygoogle"><div>', '<div class="banner-ad">'],
+    "form": ["<form>", '<form class="search">', '<div class="newsletter"><form>', '<form id="subscribe">', '<form class="login">',
+        '<div class="signup">', "<form><fieldset>", '<div class="contact-form"><form>'],
+    "comments": ['<div class="comments">', '<div id="comments">', '<section class="comments">', '<ol class="comment-list">',
+        '<div class="comment">', '<ul class="replies">', '<section id="discussion">', '<div class="responses">',
+        '<div class="user-comments">', '<div class="disqus thread">', '<aside class="comments">', '<div id="respond">'],
 }
 SAYING = {
     "menu": "home about contact news menu archive products services blog shop help search world sport business",
@@ -53,7 +67,8 @@ def _untold(page: str, r: random.Random) -> str:
         if not hashed:
             return ""
         if m[0] not in names:
-            names[m[0]] = r.choice([' class="%s"', ' class="css-%s"', ' id="%s"', ' class="%s box"']) % "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(r.randint(3, 8)))
+            names[m[0]] = r.choice([' class="%s"', ' class="css-%s"', ' id="%s"',
+                ' class="%s box"']) % "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(r.randint(3, 8)))
         return names[m[0]]
 
     page = re.sub(r' (?:class|id|role|itemprop)="[^"]*"', attribute, page)
@@ -70,7 +85,9 @@ def made_up(r: random.Random) -> str:
 
     def word():
         if r.random() < figures:
-            return r.choice([str(r.randrange(10 ** r.randint(1, 16))), ".".join(str(r.randrange(256)) for _ in range(4)), f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}", f"{r.choice(syllables)}{r.randrange(99)}@{r.choice(syllables)}.org"])
+            return r.choice([str(r.randrange(10 ** r.randint(1, 16))), ".".join(str(r.randrange(256)) for _ in range(4)),
+                f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}",
+                f"{r.choice(syllables)}{r.randrange(99)}@{r.choice(syllables)}.org"])
         return r.choice(COMMON) if r.random() < real else "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
 
     def sentence(n, mark=""):
@@ -81,7 +98,8 @@ def made_up(r: random.Random) -> str:
             return mark + " ".join(word().upper() + "!!" for _ in range(n))
         if odd < 0.12:
             return mark + " ".join(word() + r.choice(["&amp;&amp;", "***", "###", " |"]) for _ in range(n))
-        return mark + " ".join(w + r.choice(["", "", "", ",", "&amp;"]) if k % 7 == 3 else w for k, w in enumerate(word() for _ in range(n))).capitalize() + r.choice([".", ".", ".", "!", "?", ""])
+        return mark + " ".join(w + r.choice(["", "", "", ",", "&amp;"]) if k % 7 == 3 else w for k,
+            w in enumerate(word() for _ in range(n))).capitalize() + r.choice([".", ".", ".", "!", "?", ""])
 
     def saying(kind, n):
         words = SAYING[kind].split()
@@ -94,7 +112,8 @@ def made_up(r: random.Random) -> str:
         out = [opened] + ([f"<{(t := r.choice(['h2', 'h3', 'h4', 'p']))}>{r.choice(['Comments', 'Comments (%d)' % r.randint(1, 99), '%d comments' % r.randint(1, 99), 'Leave a reply', 'Responses', 'Discussion', 'What readers say'])}</{t}>"] if r.random() < 0.7 else [])
         for _ in range(r.choice([1, 1, 2, 3, 6])):
             name = word().capitalize()
-            head = r.choice([f"<b>{name}</b> {r.choice(DATES)}", f"<span>{name}</span> says:", f"{name} wrote:", f"<a href='/u'>{name}</a> <time>{r.choice(DATES)}</time>", ""])
+            head = r.choice([f"<b>{name}</b> {r.choice(DATES)}", f"<span>{name}</span> says:", f"{name} wrote:",
+                f"<a href='/u'>{name}</a> <time>{r.choice(DATES)}</time>", ""])
             text = sentence(r.choice([2, 8, 20, 60])) if r.random() < 0.6 else saying("comments", r.choice([2, 5, 12]))
             outer, inner = r.choice(["<li>", "<div>", '<div class="comment">', "<p>", ""]), r.choice(["<p>", "<p>", "<div>", ""])
             out.append(outer + (f"<div>{head}</div>" if r.random() < 0.6 else head + " ") + inner + text + _close(inner) + ("<a href='#r'>Reply</a>" if r.random() < 0.3 else "") + _close(outer))
@@ -108,10 +127,13 @@ def made_up(r: random.Random) -> str:
             return comments(opened)
         items = []
         for _ in range(r.choice([1, 1, 2, 3, 6]) if kind != "menu" else r.randint(2, 8)):
-            text = saying(kind, r.choice([1, 2, 4, 9, 25]) if kind in ("menu", "form") else r.choice([2, 6, 12, 40])) if r.random() < 0.6 else sentence(r.choice([2, 8, 20, 60]) if kind != "menu" else r.choice([1, 1, 2, 4]))
+            text = saying(kind, r.choice([1, 2, 4, 9, 25]) if kind in ("menu",
+                "form") else r.choice([2, 6, 12, 40])) if r.random() < 0.6 else sentence(r.choice([2, 8, 20,
+                60]) if kind != "menu" else r.choice([1, 1, 2, 4]))
             if kind == "menu" or kind == "sidebar" and r.random() < 0.6 or kind == "footer" and r.random() < 0.4:
                 text = f'<a href="/{word()}">{text}</a>'
-            form = {"menu": ["<li>", "", "<li>"], "form": ["<label>", "<p>", "", "<button>", "<div>"]}.get(kind, ["<p>", "<p>", "", "<div>", "<li>", "<h3>", "<h4>"])
+            form = {"menu": ["<li>", "", "<li>"], "form": ["<label>", "<p>", "", "<button>", "<div>"]}.get(kind,
+                ["<p>", "<p>", "", "<div>", "<li>", "<h3>", "<h4>"])
             tag = r.choice(form)
             items.append(tag + text + _close(tag))
         if kind == "menu" and r.random() < 0.7 and not opened.startswith("<ul"):

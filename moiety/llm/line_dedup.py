@@ -44,12 +44,15 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_
            array())"""))
     prints = picked.select("d", "t", F.explode(F.expr(f"""
         transform(array_distinct(transform(w, x -> x.p)),
-                  p -> struct(h[p] as f, filter(slice(w, greatest(p - {window} + 1, 0) + 1, least({window}, p + 1)), x -> x.p = p) as w))""")).alias("x")).select("d", "t", "x.f", "x.w")
+                  p -> struct(h[p] as f, filter(slice(w, greatest(p - {window} + 1, 0) + 1, least({window}, p + 1)), x -> x.p = p) as w))""")).alias("x")).select("d",
+                      "t", "x.f", "x.w")
     again = prints.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
     windows = prints.join(again, "f", "left_semi").select("d", "t", F.explode("w").alias("x")).select("d", "t", "x.k1", "x.k2", "x.gone")
-    single = lines.select("d", "t", F.explode(F.expr("filter(transform(at, (a, j) -> struct(h[j] as k1, g[j] as k2, array(a) as gone, n[j] as long)), x -> x.long)")).alias("x")).select("d", "t", "x.k1", "x.k2", "x.gone")
+    single = lines.select("d", "t", F.explode(F.expr("filter(transform(at, (a, j) -> struct(h[j] as k1, g[j] as k2, array(a) as gone, n[j] as long)), x -> x.long)")).alias("x")).select("d",
+        "t", "x.k1", "x.k2", "x.gone")
     runs = windows.unionAll(single)
-    first = runs.groupBy("k1", "k2").agg(F.min(F.struct("d", "t", F.col("gone")[0].alias("i"))).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = runs.groupBy("k1", "k2").agg(F.min(F.struct("d", "t", F.col("gone")[0].alias("i"))).alias("first"),
+        F.count("*").alias("n")).where("n > 1").drop("n")
     later = runs.join(first, ["k1", "k2"]).where(F.struct("d", "t", F.col("gone")[0].alias("i")) > F.col("first"))
     return later.groupBy("d", "t").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 

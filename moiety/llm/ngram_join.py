@@ -65,13 +65,17 @@ def _profile(batches):
                 flat = np.concatenate(sets)
                 if len(flat):
                     np.add.at(counts, (flat & U(SLOTS - 1)).astype(np.int64), 1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(n), pa.array(one.view(np.int64)),
+                    pa.array(two.view(np.int64)), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())],
+                    ["doc_id", "n_shingles", "d1", "d2", "block", "counts"])
     C.trim()
     for k in range(0, SLOTS // WIDTH, 8):
         blocks = [(b, x) for b in range(k, k + 8) if (x := counts[b * WIDTH:(b + 1) * WIDTH]).any()]
         n = len(blocks)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array([part & 0xFFFF] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([C.pack_counts(x) for _, x in blocks], pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array([part & 0xFFFF] * n, pa.int64()), pa.nulls(n, pa.int64()),
+                pa.nulls(n, pa.int64()), pa.array([b for b, _ in blocks], pa.int32()),
+                pa.array([C.pack_counts(x) for _, x in blocks], pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "block", "counts"])
 
 
 def choose_prefix(costs: np.ndarray, size: int, t: float, most: int = MOST, per_posting: float = 1.0, per_pair: float = 0.02) -> tuple[int, int]:
@@ -131,7 +135,8 @@ def _postings(batches, marks, table, noise, n_buckets, t, hot):
                 edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
                 ends = np.append(edges[1:], len(order))
                 groups = [order[a:b] for a, b in zip(edges, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[order[edges]], pa.int32())] + [pa.array([x[g].tobytes() for g in groups], pa.binary()) for x in (token, doc, size, l, place, last)], [x.split()[0] for x in _PACKED.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[order[edges]], pa.int32())] + [pa.array([x[g].tobytes() for g in groups],
+                    pa.binary()) for x in (token, doc, size, l, place, last)], [x.split()[0] for x in _PACKED.split(", ")])
     C.trim()
 
 
@@ -158,7 +163,9 @@ def _listed(batches, table, hot):
     order = order[keep]
     for i in range(0, len(order), 65536):
         k = order[i:i + 65536]
-        yield pa.RecordBatch.from_arrays([pa.array(token[k].view(np.int64)), pa.array(doc[k]), pa.array(size[k]), pa.array(l[k].astype(np.int32)), pa.array(place[k].astype(np.int32)), pa.array(last[k])], [x.split()[0] for x in _LISTED.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(token[k].view(np.int64)), pa.array(doc[k]), pa.array(size[k]),
+            pa.array(l[k].astype(np.int32)), pa.array(place[k].astype(np.int32)), pa.array(last[k])],
+            [x.split()[0] for x in _LISTED.split(", ")])
     C.trim()
 
 
@@ -170,7 +177,8 @@ def _sets(batches, marks):
             data, offsets = C.column_bytes(batch.column("text"))
             ids = batch.column("doc_id")
             for i, j in C.text_slices(offsets, SLICE):
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([s.tobytes() for s in C.shingle_sets(data, offsets[i:j + 1])], pa.binary())], ["id", "s"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i),
+                    pa.array([s.tobytes() for s in C.shingle_sets(data, offsets[i:j + 1])], pa.binary())], ["id", "s"])
     C.trim()
 
 
@@ -240,7 +248,8 @@ def _count_block(doc, c, size, l, last, late, tokens, percent):
         shared += left @ right.T
     i, j = np.nonzero(shared >= np.minimum(l[x][:, None], l[y][None, :]))
     met, i, j = shared[i, j], x[i], y[j]
-    fits = (met >= enough(size[i], l[i], last[i], size[j], l[j], last[j], percent)) & (c[i] != c[j]) & (doc[i] != doc[j]) & (np.minimum(size[i], size[j]) * 100 >= percent * np.maximum(size[i], size[j]))
+    fits = (met >= enough(size[i], l[i], last[i], size[j], l[j], last[j],
+        percent)) & (c[i] != c[j]) & (doc[i] != doc[j]) & (np.minimum(size[i], size[j]) * 100 >= percent * np.maximum(size[i], size[j]))
     return doc[i[fits]], doc[j[fits]]
 
 
@@ -266,13 +275,16 @@ def _count(table, percent):
 def _meetings(listed: DataFrame, percent: int) -> DataFrame:
     """Pairs of documents and leaders of their lists that meet often enough."""
     head = F.struct("doc", "size", "l")
-    leaders = listed.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc"), *("doc", "size", "l"))).alias("p"), F.min(F.struct("place", F.xxhash64("doc"), *("doc", "size", "l"))).alias("q"))
+    leaders = listed.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc"), *("doc", "size", "l"))).alias("p"),
+        F.min(F.struct("place", F.xxhash64("doc"), *("doc", "size", "l"))).alias("q"))
     leaders = leaders.select("token", *(F.struct(*(F.col(f"{k}.{f}").alias(f) for f in ("doc", "size", "l"))).alias(k) for k in "pq"))
     both = listed.select("token", head.alias("d")).join(leaders, "token")
     both = both.select("d", "p", F.explode(F.array_distinct(F.array("p", "q"))).alias("q"))
     # the two leaders meet in one direction only
-    both = both.where("d.doc <> q.doc and (d.doc <> p.doc or q.doc = p.doc)").where(F.least("d.size", "q.size") * 100 >= percent * F.greatest("d.size", "q.size"))
-    met = both.groupBy(F.least("d.doc", "q.doc").alias("a"), F.greatest("d.doc", "q.doc").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("d.l", "q.l")).alias("l"))
+    both = both.where("d.doc <> q.doc and (d.doc <> p.doc or q.doc = p.doc)").where(F.least("d.size",
+        "q.size") * 100 >= percent * F.greatest("d.size", "q.size"))
+    met = both.groupBy(F.least("d.doc", "q.doc").alias("a"), F.greatest("d.doc", "q.doc").alias("b")).agg(F.count("*").alias("n"),
+        F.min(F.least("d.l", "q.l")).alias("l"))
     return met.where("n >= l").select("a", "b")
 
 
@@ -280,7 +292,8 @@ def _remaining(listed: DataFrame, links: DataFrame, percent: int, block: int) ->
     """Pairs of different components that share enough prefix shingles; None if every list is one component."""
     parts = C.connected_components(links)
     named = listed.join(parts.withColumnRenamed("id", "doc"), "doc", "left").select(*listed.columns, F.coalesce("component", "doc").alias("c"))
-    spread = named.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min(F.struct(F.xxhash64("doc"), "doc")).alias("p")).where("c1 <> c2").select("token", F.col("p.doc").alias("lead"))
+    spread = named.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"),
+        F.min(F.struct(F.xxhash64("doc"), "doc")).alias("p")).where("c1 <> c2").select("token", F.col("p.doc").alias("lead"))
     open_ = C.cut(named.join(spread, "token").select("token", "doc", "c", "size", "l", "last", "lead"))
     if not open_.count():
         return None
@@ -289,11 +302,13 @@ def _remaining(listed: DataFrame, links: DataFrame, percent: int, block: int) ->
     there = own.select(*text, "c", (F.size("tokens") + 64).alias("w"), F.explode("leads").alias("lead"))
     per = there.groupBy("lead", "c").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
     major = per.groupBy("lead").agg(F.max(F.struct("n", "c", "w")).alias("m"), F.sum("w").alias("all")).where("all > m.w")
-    major = major.select("lead", F.col("m.c").alias("major"), F.ceil(F.col("all") / block).cast("int").alias("nb"), F.ceil((F.col("all") - F.col("m.w")) / block).cast("int").alias("ns"))
+    major = major.select("lead", F.col("m.c").alias("major"), F.ceil(F.col("all") / block).cast("int").alias("nb"),
+        F.ceil((F.col("all") - F.col("m.w")) / block).cast("int").alias("ns"))
     dealt = there.join(major, "lead")
     mine = lambda k: F.pmod(F.xxhash64("doc"), F.col(k)).cast("int")
     whole = dealt.select("lead", *text, "w", F.lit(False).alias("late"), mine("nb").alias("y"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("x"))
-    late = dealt.where("c <> major").select("lead", *text, "w", F.lit(True).alias("late"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("y"), mine("ns").alias("x"))
+    late = dealt.where("c <> major").select("lead", *text, "w", F.lit(True).alias("late"),
+        F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("y"), mine("ns").alias("x"))
     rows = C.cut(whole.unionByName(late))
     lots = max(1, math.ceil((rows.agg(F.sum("w")).first()[0] or 0) / block))  # small blocks share a lot
     rows = rows.withColumn("lot", F.pmod(F.xxhash64("lead", "x", "y"), F.lit(lots)).cast("int"))
@@ -313,7 +328,8 @@ def similarity_components(docs: DataFrame, percent: int = 75, block: int = 200_0
     total, blocks = int(shown.agg(F.sum("n_shingles")).first()[0] or 0), 1
     while blocks * WIDTH < min(total // 16, SLOTS):
         blocks *= 2
-    counts = C.summed_table(profile.where("block is not null").select(F.pmod("block", F.lit(blocks)).alias("block"), "counts", F.col("n_shingles").alias("salt")), blocks * WIDTH, blocks)
+    counts = C.summed_table(profile.where("block is not null").select(F.pmod("block", F.lit(blocks)).alias("block"), "counts",
+        F.col("n_shingles").alias("salt")), blocks * WIDTH, blocks)
     table, marks = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32)), C.marks_of(chosen.select("rep"))
     n_buckets, noise = max(C.partitions(spark), total // 4_000_000, 1), total / len(counts)
     packed = docs.mapInArrow(lambda it: _postings(it, marks, table, noise, n_buckets, t, hot), _PACKED)
@@ -326,7 +342,8 @@ def similarity_components(docs: DataFrame, percent: int = 75, block: int = 200_0
     if more is not None:
         links = links.unionAll(verified(docs, C.cut(more.join(met, ["a", "b"], "left_anti")), percent))
     groups = C.connected_components(links)
-    found = chosen.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+    found = chosen.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "d1", "d2",
+        F.coalesce("component", "rep").alias("component_id"))
     linked = full.join(found, ["n_shingles", "d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     return linked.unionAll(shown.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))).unionAll(nameless)
 

@@ -164,7 +164,9 @@ def _pieces(batches, path, end_id, capacity):
         number[order] = np.arange(len(row)) - np.repeat(new, runs) + seen[sorted_]
         seen[sorted_[new]] += runs
         docs = np.array(kept["doc_id"], object)[row].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(row), part), pa.int32()), pa.array(number)], [x.split()[0] for x in _PIECES.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+            pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(row), part), pa.int32()), pa.array(number)],
+            [x.split()[0] for x in _PIECES.split(", ")])
 
 
 def _place(batches, plan):
@@ -173,7 +175,8 @@ def _place(batches, plan):
         length, number = (batch.column(c).to_numpy() for c in ("length", "number"))
         k = np.searchsorted(keys, length << 44 | number, side="right") - 1
         out = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-        yield pa.RecordBatch.from_arrays([*out, pa.array(bins[k] + number - firsts[k]), pa.array(offsets[k])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+        yield pa.RecordBatch.from_arrays([*out, pa.array(bins[k] + number - firsts[k]), pa.array(offsets[k])],
+            ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
@@ -185,7 +188,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY)
     plan = spark.sparkContext.broadcast(make_plan(histogram, capacity).arrays())  # ranges of equal pieces: bounded by the lengths, not the rows
     before = counts.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     numbered = pieces.join(before, ["part", "length"]).withColumn("number", F.col("number") + F.col("before"))
-    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInArrow(lambda it: _place(it, plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInArrow(lambda it: _place(it, plan),
+        "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

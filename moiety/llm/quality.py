@@ -29,7 +29,8 @@ from moiety.llm import common as C
 BINS, SLICE = 8, 1 << 20
 SHARES = (0.01, 0.03, 0.08, 0.15, 0.3, 0.5, 0.8)  #: bounds of the bins of features that are shares
 THRESHOLD = 0.3
-NAMES = ("bytes", "words", "upper", "digits", "high", "hashes", "pipes", "bangs", "stops", "other", "odd_ends", "repeats", "word_bytes", "ends_well", "starts_upper", "same_line")
+NAMES = ("bytes", "words", "upper", "digits", "high", "hashes", "pipes", "bangs", "stops", "other", "odd_ends", "repeats", "word_bytes",
+    "ends_well", "starts_upper", "same_line")
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -41,7 +42,8 @@ def _table(chars: bytes) -> np.ndarray:
 _UPPER, _LOWER, _DIGIT = _table(bytes(range(65, 91))), _table(bytes(range(97, 123))), _table(b"0123456789")
 _HASH, _PIPE, _BANG, _STOP = _table(b"#$%&*@^~=+_\\<>{}[]"), _table(b"|"), _table(b"!?"), _table(b".,;:'\"()-")
 _HIGH = _table(bytes(range(128, 256)))
-_OTHER = _table(bytes(set(range(33, 127)) - {i for t in (_UPPER, _LOWER, _DIGIT, _HASH, _PIPE, _BANG, _STOP) for i in np.flatnonzero(t).tolist()} | set(range(9)) | set(range(14, 32)) | {127}))
+_OTHER = _table(bytes(set(range(33, 127)) - {i for t in (_UPPER, _LOWER, _DIGIT, _HASH, _PIPE, _BANG,
+    _STOP) for i in np.flatnonzero(t).tolist()} | set(range(9)) | set(range(14, 32)) | {127}))
 
 
 def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +85,10 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         line_hash = np.add.reduceat(np.append(keyed, np.uint64(0)), np.minimum(first[:-1], len(keyed))) if len(keyed) else np.zeros(n_lines, np.uint64)
     same = np.zeros(n_lines, np.float32)
     same[1:] = (line_hash[1:] == line_hash[:-1]) & (count[1:] > 0)
-    out = np.stack([np.log1p(n), np.log1p(count), upper / letters, total(_DIGIT) / size, high / letters, total(_HASH) / size, total(_PIPE) / size, total(_BANG) / size, total(_STOP) / size, total(_OTHER) / size, odd / many, repeats / many, (size - count) / many, np.isin(ends, np.frombuffer(b".!?\"", np.uint8)), _UPPER[heads] | _HIGH[heads], same], axis=1).astype(np.float32)
+    out = np.stack([np.log1p(n), np.log1p(count), upper / letters, total(_DIGIT) / size, high / letters, total(_HASH) / size,
+        total(_PIPE) / size, total(_BANG) / size, total(_STOP) / size, total(_OTHER) / size, odd / many, repeats / many,
+        (size - count) / many, np.isin(ends, np.frombuffer(b".!?\"", np.uint8)), _UPPER[heads] | _HIGH[heads], same],
+        axis=1).astype(np.float32)
     return out, n, before
 
 
@@ -224,7 +229,9 @@ def _sample_features(batches):
     for part, x, n, before in _described(batches):
         ends = before * len(NAMES)
         flat = x.reshape(-1)
-        yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(before[:-1], before[1:], strict=True)], pa.binary())], ["label", "x", "n"])
+        yield pa.RecordBatch.from_arrays([part.column("label"),
+            pa.array([flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
+            pa.array([n[a:b].tobytes() for a, b in zip(before[:-1], before[1:], strict=True)], pa.binary())], ["label", "x", "n"])
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, most_docs: int = 3000, most_bytes: int = 1 << 18) -> Field:
@@ -237,7 +244,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, most_doc
         named = named.where(F.crc32(F.col("doc_id").cast("string")) % 5 != held_out)
     sample = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
     short = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
-    rows = short.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("x")).select("x.text", "x.label")  # most_docs rows
+    rows = short.join(F.broadcast(sample),
+        "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("x")).select("x.text",
+        "x.label")  # most_docs rows
     got = rows.mapInArrow(_sample_features, "label int, x binary, n binary").toPandas()
     if not len(got):
         return Field(np.zeros((len(NAMES), BINS - 1)))
@@ -253,7 +262,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, most_doc
 def _score(batches, field):
     for part, x, n, before in _described(batches):
         s = field.value.scores(x, n, before)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([None if i is None else zlib.crc32(str(i).encode()) % 5 == 0 for i in part.column("doc_id").to_pylist()], pa.bool_()), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"),
+            pa.array([None if i is None else zlib.crc32(str(i).encode()) % 5 == 0 for i in part.column("doc_id").to_pylist()], pa.bool_()),
+            pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, most_docs: int = 3000) -> DataFrame:

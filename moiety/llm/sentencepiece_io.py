@@ -83,7 +83,8 @@ class Model:
         self.dummy_prefix = bool(norm.get(3, 1))
         self.trim = bool(norm.get(4, 1))
         self.unknown = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
-        self.by_units = not self.charsmap and not self.trim and self.dummy_prefix and not any(SPACE in p.lstrip(SPACE) or kind == USER for p, _, kind in self.pieces)
+        self.by_units = not self.charsmap and not self.trim and self.dummy_prefix and not any(SPACE in p.lstrip(SPACE) or kind == USER for p,
+            _, kind in self.pieces)
 
     def tokenizer(self):
         from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -134,7 +135,9 @@ class _Units(tokens.WordEncoder):
 
     def _joined(self, texts: list[str], encode, per: int = 500):
         """Ids of units without spaces, many in a text: each starts with a piece that starts with a space."""
-        flat = np.concatenate([np.array(x, np.uint32) for x in encode([" ".join(texts[i:i + per]) for i in range(0, len(texts), per)])]) if texts else np.zeros(0, np.uint32)
+        flat = np.concatenate([np.array(x,
+            np.uint32) for x in encode([" ".join(texts[i:i + per]) for i in range(0, len(texts), per)])]) if texts else np.zeros(0,
+            np.uint32)
         first = np.flatnonzero(self.starts[flat])
         if len(first) != len(texts):
             raise ValueError("a unit did not start with a space's piece")
@@ -186,7 +189,8 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         words = [t.decode("utf-8", "replace") for t in texts]
         ours, theirs = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)], self.library.encode(words, num_threads=1)
-        return np.array([i for x in ours for i in x], np.uint32), np.array([len(x) for x in ours], np.int64), np.array([x == y for x, y in zip(ours, theirs, strict=True)], bool)
+        return np.array([i for x in ours for i in x], np.uint32), np.array([len(x) for x in ours],
+            np.int64), np.array([x == y for x, y in zip(ours, theirs, strict=True)], bool)
 
     def encode(self, texts: list[bytes]) -> list[tuple[list[int], bool]]:
         """(ids, whether both libraries agree) of each text."""
@@ -224,7 +228,9 @@ def _encode(batches, path, with_ids):
             every, last = flat.tolist(), np.cumsum(n).tolist()
             back = [a.encode() == b for a, b in zip(own.decode([every[b - k:b] for b, k in zip(last, n.tolist(), strict=True)]), texts, strict=True)]
             columns = [pa.array(n, pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(back, pa.bool_()), pa.array(same, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *columns, pa.array([bytes(r) for r in raw] if with_ids else [None] * len(raw), pa.binary())], [x.split()[0] for x in _OUT.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *columns,
+                pa.array([bytes(r) for r in raw] if with_ids else [None] * len(raw), pa.binary())],
+                [x.split()[0] for x in _OUT.split(", ")])
     if own.units is not None:
         own.units.rest()
 

@@ -182,8 +182,10 @@ def _parse(batches, n_buckets):
                 edges = np.flatnonzero(np.diff(bucket, prepend=-1))
                 ends = np.append(edges, len(order))
                 five = (trigger[order] & U(0xFFFFFFFFFF)).view(np.uint8).reshape(-1, 8)[:, :5].reshape(-1)
-                packed = [_binary(five, ends * 5), _binary(phrase[order], ends), _planes(doc[order], ends), _planes(tag[order], ends), _planes(place[order].astype(np.uint32), ends), _binary(more[order].astype(np.uint8), ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[edges], pa.int32()), *packed, pa.nulls(len(edges), pa.int64()), pa.nulls(len(edges), pa.int64()), pa.nulls(len(edges), pa.binary())], _NAMES)
+                packed = [_binary(five, ends * 5), _binary(phrase[order], ends), _planes(doc[order], ends), _planes(tag[order], ends),
+                    _planes(place[order].astype(np.uint32), ends), _binary(more[order].astype(np.uint8), ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edges], pa.int32()), *packed, pa.nulls(len(edges), pa.int64()),
+                    pa.nulls(len(edges), pa.int64()), pa.nulls(len(edges), pa.binary())], _NAMES)
 
             for lot in phrases(rows):
                 lots.append(lot)
@@ -220,7 +222,8 @@ def _sort_parse(batches):
                 got[k] += [read(x.as_buffer(), kind) for x in rest.column(k)]
         if ready.true_count:  # found within a batch already
             batch = batch.filter(ready)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "row_tag", "gone")] + [pa.nulls(batch.num_rows, pa.binary())] * 2, ["doc_id", "row_tag", "gone", "asked", "trigger"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "row_tag", "gone")] + [pa.nulls(batch.num_rows,
+                pa.binary())] * 2, ["doc_id", "row_tag", "gone", "asked", "trigger"])
     five, phrase, doc, tag, place, more = (np.concatenate(got.pop(k)) if got[k] else np.zeros(0, kind) for k, kind in kinds.items())
     if not len(phrase):
         return
@@ -249,7 +252,8 @@ def _sort_parse(batches):
     ranges = (place.astype(np.int64) << 8) | more
     if gone.any():
         cols = _by_row(doc[gone], tag[gone], ranges[gone])
-        yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(cols[0]), pa.binary()), pa.nulls(len(cols[0]), pa.binary())], ["doc_id", "row_tag", "gone", "asked", "trigger"])
+        yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(cols[0]), pa.binary()), pa.nulls(len(cols[0]), pa.binary())],
+            ["doc_id", "row_tag", "gone", "asked", "trigger"])
     if asked.any():
         cols = _by_row(doc[asked], tag[asked], ranges[asked], trigger[asked])
         yield pa.RecordBatch.from_arrays([*cols[:2], pa.nulls(len(cols[0]), pa.binary()), *cols[2:]], ["doc_id", "row_tag", "gone", "asked", "trigger"])
@@ -259,7 +263,8 @@ def _fetch(batches, n_buckets, length):
     """Bytes of the asked phrases, packed by bucket of trigger."""
     for batch in batches:
         out = []
-        for doc, tag, text, asked, triggers in zip(batch.column("doc_id").to_pylist(), batch.column("row_tag").to_pylist(), batch.column("text"), batch.column("asked"), batch.column("triggers"), strict=True):
+        for doc, tag, text, asked, triggers in zip(batch.column("doc_id").to_pylist(), batch.column("row_tag").to_pylist(),
+            batch.column("text"), batch.column("asked"), batch.column("triggers"), strict=True):
             text = text.as_buffer().to_pybytes() if text.is_valid else b""
             ranges = np.concatenate([np.frombuffer(x, np.int64) for x in asked.as_py()])
             trigger = np.concatenate([np.frombuffer(x, U) for x in triggers.as_py()])
@@ -276,7 +281,8 @@ def _fetch(batches, n_buckets, length):
         ends = np.append(edges, len(order))
         cols = [_binary(x[order], ends) for x in (doc, tag, place.astype(np.uint32), more.astype(np.uint8), trigger)]
         joined = pa.array([b"".join(parts[order[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[order[edges]], pa.int32()), *cols, joined], ["bucket", "doc", "tag", "place", "more", "trigger", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[order[edges]], pa.int32()), *cols, joined],
+            ["bucket", "doc", "tag", "place", "more", "trigger", "bytes"])
 
 
 def repeated_suffixes(text: np.ndarray, starts: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -297,7 +303,8 @@ def repeated_suffixes(text: np.ndarray, starts: np.ndarray, doc: np.ndarray, len
 
 def _dictionary(batches, length, lot=200_000):
     """Settles the strings of the asked phrases, some triggers at a time."""
-    doc, tag, place, more, trigger, text = _gather(batches, {"doc": np.int64, "tag": np.int64, "place": np.uint32, "more": np.uint8, "trigger": U, "bytes": np.uint8})
+    doc, tag, place, more, trigger, text = _gather(batches,
+        {"doc": np.int64, "tag": np.int64, "place": np.uint32, "more": np.uint8, "trigger": U, "bytes": np.uint8})
     if not len(doc):
         return
     C.trim(forget=True)
@@ -344,7 +351,8 @@ def _lay(batches, length):
             kept, n, spans = kept_bytes(text.as_buffer().to_pybytes() if text.is_valid else b"", lists.as_py(), length)
             out.append((n, spans, hashlib.sha256(kept).hexdigest()))
         n, s, h = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_tag"), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(h, pa.string())], ["doc_id", "row_tag", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_tag"), pa.array(n, pa.int64()), pa.array(s, pa.int64()),
+            pa.array(h, pa.string())], ["doc_id", "row_tag", "n_removed", "n_spans", "kept_sha256"])
     C.trim()
 
 
@@ -370,12 +378,16 @@ def _found(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFram
     total = info.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(2 * n, -(-total // SHARE))
     parsed = rows.withColumnRenamed("row_tag", "tag").mapInArrow(lambda it: _parse(it, buckets), _PARSED)
-    found = C.cut(parsed.repartition(buckets, F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))).mapInArrow(_sort_parse, _FOUND), free=True)
+    found = C.cut(parsed.repartition(buckets,
+        F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))).mapInArrow(_sort_parse, _FOUND), free=True)
     gone = found.where("gone is not null").select("doc_id", "row_tag", "gone")
-    asked = found.where("asked is not null").groupBy("doc_id", "row_tag").agg(F.collect_list("asked").alias("asked"), F.collect_list("trigger").alias("triggers"))
+    asked = found.where("asked is not null").groupBy("doc_id", "row_tag").agg(F.collect_list("asked").alias("asked"),
+        F.collect_list("trigger").alias("triggers"))
     marks = C.marks_of(C.cut(asked.select("doc_id").distinct()))
-    settled = C.marked(rows, marks).join(asked, ["doc_id", "row_tag"]).mapInArrow(lambda it: _fetch(it, 2 * buckets, length), "bucket int, doc binary, tag binary, place binary, more binary, trigger binary, bytes binary")
-    settled = C.cut(settled.repartition(2 * buckets, "bucket").mapInArrow(lambda it: _dictionary(it, length), "doc_id long, row_tag long, gone binary"), free=True)
+    settled = C.marked(rows, marks).join(asked, ["doc_id", "row_tag"]).mapInArrow(lambda it: _fetch(it, 2 * buckets, length),
+        "bucket int, doc binary, tag binary, place binary, more binary, trigger binary, bytes binary")
+    settled = C.cut(settled.repartition(2 * buckets, "bucket").mapInArrow(lambda it: _dictionary(it, length),
+        "doc_id long, row_tag long, gone binary"), free=True)
     ranges = gone.unionAll(settled).join(alone, ["doc_id", "row_tag"], "left_semi").groupBy("doc_id", "row_tag").agg(F.collect_list("gone").alias("gone"))
     return rows, tagged, ranges
 
@@ -384,7 +396,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text)."""
     rows, tagged, ranges = _found(docs, length)
     marks = C.marks_of(C.cut(ranges.select("doc_id").distinct()))
-    laid = C.marked(rows, marks).join(ranges, ["doc_id", "row_tag"]).mapInArrow(lambda it: _lay(it, length), "doc_id long, row_tag long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "row_tag"])
+    laid = C.marked(rows, marks).join(ranges, ["doc_id", "row_tag"]).mapInArrow(lambda it: _lay(it, length),
+        "doc_id long, row_tag long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "row_tag"])
     whole = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= length)  # a copy of an earlier text
     out = tagged.join(laid, ["doc_id", "row_tag"], "left").select(
         "doc_id", "n_bytes",
@@ -400,7 +413,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     All columns pass through, whatever their names; texts that keep all their bytes are as they were, null included."""
     _, tagged, ranges = _found(docs, length)
-    whole = tagged.where((F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= length)).select("doc_id", "row_tag", F.lit(None).cast("array<binary>").alias("gone")).distinct()
+    whole = tagged.where((F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= length)).select("doc_id", "row_tag",
+        F.lit(None).cast("array<binary>").alias("gone")).distinct()
     several = bool(tagged.where("row_tag <> 0").head(1))
     doc, tag, gone, new = (free_name(docs, c) for c in ("cut_doc", "cut_tag", "cut_ranges", "cut_text"))
     found = ranges.unionAll(whole).select(F.col("doc_id").alias(doc), F.col("row_tag").alias(tag), F.col("gone").alias(gone))
@@ -412,13 +426,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else "" if r is None else kept_bytes(t.encode(), r, length)[0].decode("utf-8", "ignore") for t, r in zip(texts, lists, strict=True)], dtype=object)
+        return pd.Series([None if t is None else "" if r is None else kept_bytes(t.encode(), r, length)[0].decode("utf-8", "ignore") for t,
+            r in zip(texts, lists, strict=True)], dtype=object)
 
     # the text goes through Python only where ranges were found
     hit = F.col(doc).isNotNull()
     joined = joined.withColumn(new, kept(F.when(hit, docs["text"]), F.col(gone)))
     changed = {"text": F.col(new), "n_chars": F.char_length(new)}
-    return untouched.unionAll(joined.select(*(F.when(hit, changed[c.lower()]).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c) if c.lower() in changed else docs[c] for c in docs.columns)))
+    return untouched.unionAll(joined.select(*(F.when(hit,
+        changed[c.lower()]).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c) if c.lower() in changed else docs[c] for c in docs.columns)))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,19 +64,25 @@ def _tokenise(batches, path, end_id, size, wide):
     names = [x.split()[0] for x in _RAW.split(", ")]
     for kept, ids, n in tokens.encoded_rows(batches, path, end_id, ["doc_id"]):
         counts += np.bincount(ids, minlength=size)
-        row = [part, seq, np.array(kept["doc_id"], np.int64).tobytes(), n.astype(np.int64).tobytes(), ids.astype(np.uint32 if wide else np.uint16).tobytes(), before, len(ids), None, None, None]
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()), strict=True)], names)
+        row = [part, seq, np.array(kept["doc_id"], np.int64).tobytes(), n.astype(np.int64).tobytes(),
+            ids.astype(np.uint32 if wide else np.uint16).tobytes(), before, len(ids), None, None, None]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v,
+            t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(),
+            pa.int32()), strict=True)], names)
         seq, before = seq + 1, before + len(ids)
     if seq:
         row = [None] * 7 + [0, C.pack_counts(counts), part & 0xFFFF]
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()), strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v,
+            t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(),
+            pa.int32()), strict=True)], names)
 
 
 def _compress(batches, rank, wide):
     for batch in batches:
         coded = [encode_ranks(rank.value[np.frombuffer(x.as_buffer(), np.uint32 if wide else np.uint16)]) for x in batch.column("ids")]
         keep = [batch.column(c) for c in ("part", "seq", "docs", "lengths")]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary()), batch.column("tokens_before"), batch.column("tokens")], [x.split()[0] for x in _FILES.split(", ")])
+        yield pa.RecordBatch.from_arrays([*keep, pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary()),
+            batch.column("tokens_before"), batch.column("tokens")], [x.split()[0] for x in _FILES.split(", ")])
 
 
 def write_files(docs: DataFrame, path: str, out: str, end_id: int = 1) -> None:
@@ -91,20 +97,23 @@ def write_files(docs: DataFrame, path: str, out: str, end_id: int = 1) -> None:
     rank = np.empty(size, np.uint32)
     rank[by_rank] = np.arange(size, dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank)
-    blocks = raw.where("counts is null").select("part", "seq", "docs", "lengths", "ids", "tokens_before", "tokens").mapInArrow(lambda it: _compress(it, shared, wide), _FILES)
+    blocks = raw.where("counts is null").select("part", "seq", "docs", "lengths", "ids", "tokens_before",
+        "tokens").mapInArrow(lambda it: _compress(it, shared, wide), _FILES)
     blocks.write.option("compression", "uncompressed").parquet(f"{out}/blocks")
     spark.createDataFrame([(bytearray(by_rank.tobytes()),)], "ids binary").write.parquet(f"{out}/ranks")
 
 
 def _decode(batches, by_rank):
     for batch in batches:
-        for base, docs, lengths, control, data, before, n in zip(*(batch.column(c) for c in ("base", "docs", "lengths", "control", "data", "tokens_before", "tokens")), strict=True):
+        for base, docs, lengths, control, data, before, n in zip(*(batch.column(c) for c in ("base", "docs", "lengths", "control", "data",
+            "tokens_before", "tokens")), strict=True):
             ids = by_rank.value[decode_ranks(control.as_buffer(), data.as_buffer(), n.as_py())].astype("<u4")
             docs, lengths = np.frombuffer(docs.as_buffer(), np.int64), np.frombuffer(lengths.as_buffer(), np.int64)
             ends = np.cumsum(lengths)
             view = memoryview(ids).cast("B")
             crc = [zlib.crc32(view[4 * a:4 * b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(base.as_py() + before.as_py() + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(base.as_py() + before.as_py() + ends - lengths), pa.array(lengths),
+                pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

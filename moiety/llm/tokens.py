@@ -105,7 +105,8 @@ class WordEncoder:
                 elif w[-1] in _STOP and _letters(w[:-1]):
                     pieces[k] = 2
         call = self.tokenizer.encode_batch_fast
-        told = lambda joined: np.concatenate([np.array(e.ids, np.uint32) for e in call(joined, add_special_tokens=False)]) if joined else np.zeros(0, np.uint32)
+        told = lambda joined: np.concatenate([np.array(e.ids, np.uint32) for e in call(joined,
+            add_special_tokens=False)]) if joined else np.zeros(0, np.uint32)
         easy, hard = np.flatnonzero(pieces), np.flatnonzero(pieces == 0)
         flat, last, used = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
         for some in (easy[i:i + per] for i in range(0, len(easy), per)):

@@ -24,7 +24,8 @@ def corpus(seed=1, n=60):
     """Copies, near copies, shared passages, short, empty, null and long texts."""
     r = random.Random(seed)
     base, passage = prose(r, 80), prose(r, 60)
-    out = [(0, None), (1, ""), (2, "  \n\t "), (3, "one two"), (4, "ONE two"), (5, base), (6, base), (7, passage * 40), (8, "x" * 3000), (9, "é" * 49), (10, "é" * 49 + "ü")]
+    out = [(0, None), (1, ""), (2, "  \n\t "), (3, "one two"), (4, "ONE two"), (5, base), (6, base), (7, passage * 40), (8, "x" * 3000),
+        (9, "é" * 49), (10, "é" * 49 + "ü")]
     for k in range(11, n):
         words = base.split()
         kind = r.random()
@@ -230,7 +231,8 @@ def whole_ids(text, path=None):
     return Tokenizer.from_file(common.env_path("word_bpe_49k.json")).encode(text or "", add_special_tokens=False).ids + [1]
 
 
-ODD = ["it's", "a b", "İstanbul x", "J̌ y", "<|endoftext|> z", "x<|startoftext|>y", "12,5 a1b", "日本語 漢字", "🙂🙂", "\x1ca\x1cb", "é a", "don't,", "A.B.C. end.", "q" * 300]
+ODD = ["it's", "a b", "İstanbul x", "J̌ y", "<|endoftext|> z", "x<|startoftext|>y", "12,5 a1b", "日本語 漢字", "🙂🙂", "\x1ca\x1cb", "é a",
+    "don't,", "A.B.C. end.", "q" * 300]
 
 
 def test_words_give_the_ids_of_texts(monkeypatch):
@@ -252,7 +254,8 @@ def test_packing(spark):
     for i, text in rows:
         ids = np.array(whole_ids(text), "<u4")
         pieces = sorted(by[i], key=lambda r: r.piece)
-        assert [(r.piece, r.start, r.length, r.ids_crc32) for r in pieces] == [(k, a, len(ids[a:a + 4096]), zlib.crc32(ids[a:a + 4096].tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
+        assert [(r.piece, r.start, r.length, r.ids_crc32) for r in pieces] == [(k, a, len(ids[a:a + 4096]),
+            zlib.crc32(ids[a:a + 4096].tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
     bins = {}
     for r in got:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -351,7 +354,9 @@ def vectors(seed=1, n=150, dim=24):
     for k in range(1, n, 3):
         x[k] = x[k - 1] + r.normal(size=dim) * r.choice([0.0, 0.02, 0.03, 0.05, 0.2])
     rows = [(i, [float(np.float32(v)) for v in x[i]], int(r.randint(0, 3))) for i in range(n)]
-    rows += [(1000, None, 1), (1001, [0.0] * dim, 1), (1002, [float("nan")] * dim, 1), (1003, rows[0][1], None), (1004, [None] * dim, 1), (1005, [], 1), (1006, [v * 5 for v in rows[3][1]], rows[3][2]), (1007, [1.0, 2.0], 0), (1008, [float("inf")] + [1.0] * (dim - 1), 0)]
+    rows += [(1000, None, 1), (1001, [0.0] * dim, 1), (1002, [float("nan")] * dim, 1), (1003, rows[0][1], None), (1004, [None] * dim, 1),
+        (1005, [], 1), (1006, [v * 5 for v in rows[3][1]], rows[3][2]), (1007, [1.0, 2.0], 0),
+        (1008, [float("inf")] + [1.0] * (dim - 1), 0)]
     return rows
 
 
@@ -409,7 +414,8 @@ def test_quality_learns_and_bears_odd_rows(spark):
     bad = [(i, "\n".join("BUY!! NOW!! " * 4 if r.random() < 0.7 else prose(r, 5) for _ in range(r.randint(1, 6)))) for i in range(200, 300)]
     odd = [(400, None), (401, ""), (402, "\n\n"), (403, "x" * 200_000), (403, "x" * 200_000)]
     docs = table(spark, good + bad + odd, True)
-    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in bad] + [(999, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in bad] + [(999, 1, 0), (5, None, 0)],
+        "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality.score(docs, labels).collect()}
     assert len(got) == 304 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values())
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
@@ -471,8 +477,10 @@ def other_layouts(r):
     title, parts = line(6)[:-1], [line(r.randint(15, 60)) for _ in range(r.randint(3, 9))]
     menu = "".join(f'<li{c("item")}><a href="/{w}">{w.capitalize()}</a></li>' for w in r.sample(words, r.randint(3, 8)))
     body = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in parts)
-    main = r.choice([f"<article>{body}</article>", f'<div{c("content")}>{body}</div>', f'<main><div{c("post")}>{body}</div></main>', f'<section{c("story")}>{body}</section>'])
-    comments = "".join(f'<li{c("comment")}><b>{r.choice(words).capitalize()}</b> <i>{r.randint(2, 9)} days ago</i><p>{line(r.randint(5, 12))}</p><a href="#">Reply</a></li>' for _ in range(r.randint(1, 3)))
+    main = r.choice([f"<article>{body}</article>", f'<div{c("content")}>{body}</div>', f'<main><div{c("post")}>{body}</div></main>',
+        f'<section{c("story")}>{body}</section>'])
+    comments = "".join(f'<li{c("comment")}><b>{r.choice(words).capitalize()}</b> <i>{r.randint(2, 9)} days ago</i><p>{line(r.randint(5, 12))}</p><a href="#">Reply</a></li>' for _ in range(r.randint(1,
+        3)))
     page = f'<!DOCTYPE html><html><head><title>{title}</title></head><body><div{c("nav")}><ul>{menu}</ul></div>'
     page += r.choice(["", f'<div{c("cookie-notice")}>We use cookies on this site. Accept all cookies or read our privacy policy.</div>'])
     page += main + r.choice(["", f'<div{c("comments")}><h3>Comments</h3><ul>{comments}</ul></div>'])
@@ -537,7 +545,8 @@ def test_blocks_are_those_of_a_plain_parser():
 
 
 @pytest.mark.parametrize("page, want", [
-    ("<html><head><title>x</title><body><article><h1>A title</h1><p>Some text of the article that goes on for a while.</p></article>", "A title Some text of the article that goes on for a while."),
+    ("<html><head><title>x</title><body><article><h1>A title</h1><p>Some text of the article that goes on for a while.</p></article>",
+        "A title Some text of the article that goes on for a while."),
     ("Plain text without tags.", "Plain text without tags."),
     ("a &lt; b &amp; c\n\n d", "a < b & c d"),
     ('<article><a title="a > b" href=x>Link</a> and text of the article goes here.</article>', "Link and text of the article goes here."),
@@ -594,7 +603,8 @@ def test_unigram_models_are_rebuilt():
     import struct
 
     piece = lambda p, s, t=1: field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, bytes([t])))
-    data = piece("<unk>", 0.0, 2) + piece("▁a", -1.0) + piece("b", -2.0) + piece("▁ab", -1.5) + field(2, 2, field(3, 0, b"\x01")) + field(3, 2, field(3, 0, b"\x01") + field(4, 0, b"\x00"))
+    data = piece("<unk>", 0.0, 2) + piece("▁a", -1.0) + piece("b", -2.0) + piece("▁ab", -1.5) + field(2, 2, field(3, 0, b"\x01")) + field(3,
+        2, field(3, 0, b"\x01") + field(4, 0, b"\x00"))
     model = sentencepiece_io.Model(data)
     assert model.kind == sentencepiece_io.UNIGRAM and model.by_units
     assert model.tokenizer().encode("ab a").ids == [3, 1]
@@ -654,7 +664,8 @@ def test_control_and_user_pieces(tmp_path):
     """Control pieces are spelled by no text and decode to nothing; user-defined ones are found first; unknown shows as such."""
     import sentencepiece
 
-    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("[X]", 0.0, 4), ("▁", -3.0, 1), ("▁a", -1.0, 1), ("b", -2.0, 1), ("a", -2.5, 1), ("▁ab", -1.5, 1)]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("[X]", 0.0, 4), ("▁", -3.0, 1), ("▁a", -1.0, 1), ("b", -2.0, 1),
+        ("a", -2.5, 1), ("▁ab", -1.5, 1)]
     path = tmp_path / "small.model"
     path.write_bytes(made_model(pieces, sentencepiece_io.UNIGRAM))
     library, own = sentencepiece.SentencePieceProcessor(model_file=str(path)), sentencepiece_io.Codec(str(path))
@@ -686,7 +697,8 @@ def test_rows_without_ids(spark):
 def test_pipeline(spark, tmp_path):
     r = random.Random(15)
     rows = corpus(15) + [(700 + k, "CLICK!! HERE!! " * 30) for k in range(20)]
-    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     named = [(i, int(i < 700), 0) for i, _ in rows if r.random() < 0.9]
     spark.createDataFrame(named, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = common.table(spark, str(tmp_path), "documents")
