@@ -7,6 +7,7 @@ from moiety.functions import scalar as S
 from moiety.operators import metrics, records
 from moiety.operators.numbering import upper_medians
 from moiety.queries.registry import query, table
+from moiety.sources.scratch import cut
 
 C2 = "({0} * ({0} - 1) / 2)"
 
@@ -144,9 +145,10 @@ SELECT count(*) AS run_count, round(min(least(1::DOUBLE, n.s / b.s)), 9) AS mini
 def holdout_totals(spark, sf_dir):
     o = table(spark, sf_dir, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.sum("o_totalprice").alias("seconds"))
     first = o.agg(F.min("y").alias("a"))
-    old, new = (o.join(F.broadcast(first), F.col("y") == F.col("a") + k).select("o_custkey", "seconds") for k in (0, 1))
-    agree = old.withColumnRenamed("seconds", "b").join(new.withColumnRenamed("seconds", "n"), "o_custkey").select("o_custkey",
-        F.least(F.lit(1.0), F.col("n") / F.col("b")).alias("ari"))
+    old, new = (o.join(F.broadcast(first), F.col("y") == F.col("a") + k).select("o_custkey", F.col("seconds").alias(f"s{k}")) for k in (0, 1))
+    both = cut(old.join(new, "o_custkey"))  # the SQL speaks of customers with orders in both years, and of no others
+    old, new = (both.select("o_custkey", F.col(f"s{k}").alias("seconds")) for k in (0, 1))
+    agree = both.select("o_custkey", F.least(F.lit(1.0), F.col("s1") / F.col("s0")).alias("ari"))
     return metrics.holdout_totals(old, new, "o_custkey", agree).select("run_count",
         F.round("minimum_partition_ari", 9).alias("minimum_partition_ari"), F.round("runtime_ratio", 9).alias("runtime_ratio"))
 
