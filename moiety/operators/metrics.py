@@ -25,7 +25,7 @@ def adjusted_rand_index(df: DataFrame, truth: str, predicted: str, by: list[str]
     """Adjusted Rand index.  Fewer than two rows: 1.  Zero denominator: ``undefined``, or 1 if the partitions are equal and else 0."""
     c = pair_counts(df, truth, predicted, by)
     total = S.choose2("n").cast("double")
-    expected = F.col("same_truth") * F.col("same_predicted") / total
+    expected = F.col("same_truth").cast("double") * F.col("same_predicted") / total  # the product of two counts of pairs leaves a long
     top = (F.col("same_truth") + F.col("same_predicted")) / F.lit(2.0)
     equal = (F.col("both") == F.col("same_truth")) & (F.col("both") == F.col("same_predicted"))
     ari = F.when(F.col("n") < 2, 1.0).when(top == expected,

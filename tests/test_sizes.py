@@ -3,8 +3,11 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from moiety import catalog
+from moiety.functions import scalar as S
+from moiety.operators import metrics
 
 
 def test_holdout_totals_of_customers_with_both_years(spark, tmp_path):
@@ -13,3 +16,15 @@ def test_holdout_totals_of_customers_with_both_years(spark, tmp_path):
         "o_custkey long, o_totalprice double, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
     got = catalog.QUERIES["holdout_totals"](spark, str(tmp_path)).first()
     assert (got.run_count, got.minimum_partition_ari, got.runtime_ratio) == (2, 0.9, pytest.approx(120 / 110))
+
+
+def test_ari_of_counts_whose_product_leaves_a_long(spark):
+    df = spark.range(200_000).select((F.col("id") % 2).alias("t"), F.shiftright("id", 1).bitwiseAND(1).alias("p"))
+    got = metrics.adjusted_rand_index(df, "t", "p").first()
+    assert (got.n, got.ari) == (200_000, pytest.approx(0, abs=1e-4))
+
+
+def test_pairs_of_large_counts(spark):
+    n = [0, 1, 2, 5, 300_000_001, 4_000_000_000]
+    got = spark.createDataFrame([(k,) for k in n], "n long").select("n", S.choose2("n").alias("c")).collect()
+    assert [(r.n, r.c) for r in got] == [(k, k * (k - 1) // 2) for k in n]
