@@ -1,13 +1,14 @@
 """Cases that only show with larger tables or uneven ones: no rows on one side, large counts, many copies."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from moiety import catalog
 from moiety.functions import scalar as S
-from moiety.operators import metrics
+from moiety.operators import cluster, metrics
 
 
 def test_holdout_totals_of_customers_with_both_years(spark, tmp_path):
@@ -28,3 +29,38 @@ def test_pairs_of_large_counts(spark):
     n = [0, 1, 2, 5, 300_000_001, 4_000_000_000]
     got = spark.createDataFrame([(k,) for k in n], "n long").select("n", S.choose2("n").alias("c")).collect()
     assert [(r.n, r.c) for r in got] == [(k, k * (k - 1) // 2) for k in n]
+
+
+def _grouped(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.group, set()).add(r.part_index)
+    return sorted(map(sorted, out.values())), [min(out[g]) for g in sorted(out)]
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.0002, 0.01])
+def test_groups_of_one_value_are_those_of_all_pairs(spark, threshold):
+    r = random.Random(3)
+    odd = {200: None, 201: float("nan"), 202: -900.0, 203: -900.01, 204: 0.0, 205: 0.0}
+    prices = {k: 900 + r.randrange(60) * r.choice([0.05, 0.05, 1.0]) for k in range(1, 120)} | odd
+    keys = list(prices)
+    r.shuffle(keys)
+    parts = spark.createDataFrame([(k, v, f"{keys.index(k):05}") for k, v in prices.items()], "part_index long, v double, stable_key string")
+    near = [(a, b, abs(x - y) / max(abs(x), abs(y), 1e-12)) for a, x in prices.items() for b, y in prices.items() if a < b and x is not None and y is not None]
+    pairs = spark.createDataFrame([p for p in near if p[2] <= threshold], "part_a long, part_b long, distance double")
+    got = cluster.complete_link_values(parts, "v", threshold)
+    assert _grouped(got.collect()) == _grouped(cluster.complete_link(parts, pairs, threshold).collect())
+    assert cluster.value_violations(got, parts, "v", threshold).first().violations == 0
+
+
+def test_violations_among_all_pairs_of_a_group(spark):
+    parts = spark.createDataFrame([(1, 100.0), (2, 100.0), (3, 101.0), (4, 110.0), (5, 100.0), (6, 300.0)], "part_index long, v double")
+    groups = parts.select("part_index", F.when(F.col("part_index") < 5, 1).otherwise(F.col("part_index")).alias("group"))
+    assert cluster.value_violations(groups, parts, "v", 0.02).first().violations == 3
+
+
+def test_groups_of_many_parts_of_few_prices(spark, tmp_path):
+    """Twelve million pairs are within the threshold: a table of them, walked in one task, is not done in time."""
+    spark.range(8000).select(F.col("id").alias("p_partkey"), (900 + F.col("id") % 4 / 10).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.QUERIES["complete_link_groups"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.groupBy("group_id").agg(F.count("*"), F.min("part_index")).collect())) == [(1, 4000, 0), (2, 4000, 2)]
