@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moiety.functions import scalar as S
 from moiety.functions import vocabulary as V
 from moiety.operators.metrics import weighted_accuracy
+from moiety.operators.pairs import plain_value
+from moiety.sources.scratch import cut
 
 
 def near_misses(pairs: DataFrame, k: int) -> DataFrame:
@@ -15,9 +19,55 @@ def near_misses(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.where(~F.col("same_group")).orderBy(F.desc("similarity"), "part_a", "part_b").limit(k)
 
 
-def hash_sample(pairs: DataFrame, k: int, seed: str, a: str = "part_a", b: str = "part_b") -> DataFrame:
-    """The k pairs with the smallest digest of seed and parts: a sample without replacement that any run repeats."""
-    return pairs.withColumn("sample_key", S.sample_key(seed, a, b)).orderBy("sample_key").limit(k)
+def hash_sample(pairs: DataFrame, k: int, seed: str, a: str = "part_a", b: str = "part_b", n: int | None = None) -> DataFrame:
+    """The k pairs with the smallest digest of seed and parts: a sample without replacement that any run repeats.
+
+    Where it is known that there are ``n`` pairs, only digests below a bound that about k + 10 sqrt(k) + 10 of them meet are kept and sorted; should
+    fewer than k meet it, all are."""
+    keyed = pairs.withColumn("sample_key", S.sample_key(seed, a, b))
+    if n is not None and n > (share := k + 10 * k ** 0.5 + 10):
+        low = cut(keyed.where(F.col("sample_key") < f"{int(share / n * 16 ** 13):013x}"))
+        keyed = low if low.count() >= k else keyed
+    return keyed.orderBy("sample_key").limit(k)
+
+
+def nearest_in_groups(df: DataFrame, key: str, by: list[str], value: str, name: str, k: int) -> DataFrame:
+    """Pairs of rows that are equal in ``by`` and different in ``name``, among which are the ``k`` that come first by the rounded similarity
+    of ``value``, then by keys; as (part_a, part_b, value_a, value_b).
+
+    A pair comes behind k others if k smaller keys have the value of its first row, each of which makes a pair with one of the two, or k of
+    them also the name of its second row; so a few rows of each value stand for it.  Pairs of values that follow each other bound the k-th
+    similarity from below, and a banded join makes the pairs within that bound.  Rows whose value is not positive and finite are paired with all."""
+    held = df.select(*by, F.col(key).alias("part"), F.col(value).alias("value"), F.col(name).alias("name")).dropna(subset=[*by, "part", "name"])
+    held = held.withColumn("odd", ~plain_value("value"))
+    plain = held.where("not odd").drop("odd")
+    place = lambda *c: F.dense_rank().over(Window.partitionBy(*by, "value", *c).orderBy("part"))
+    few = plain.withColumn("in_name", place("name")).where(F.col("in_name") <= k + 1).withColumn("in_value", place())
+    few = cut(few.withColumn("first", F.col("in_value") <= k).drop("in_name", "in_value"))
+    # some pairs that there are: two names of one value, or of values that follow each other
+    ends = few.groupBy(*by, "value").agg(F.min(F.struct("name", "part")).alias("lo"), F.max(F.struct("name", "part")).alias("hi"))
+    w = Window.partitionBy(*by).orderBy("value")
+    ends = ends.withColumns({"next": F.lead("value").over(w), "next_lo": F.lead("lo").over(w), "next_hi": F.lead("hi").over(w)})
+    there = ends.where("lo.name <> hi.name and lo.part <> hi.part").select(F.col("value").alias("value_a"), F.col("value").alias("value_b")).unionAll(
+        ends.where("(lo.name <> next_lo.name and lo.part <> next_lo.part) or (lo.name <> next_hi.name and lo.part <> next_hi.part)").select("value", "next"))
+    far = [r[0] for r in there.select(S.relative_difference("value_a", "value_b").alias("far")).orderBy("far").limit(k).collect()]
+    # similarities are rounded to 9 places; with too few pairs known all are made
+    bound = min(far[-1] + 2e-9, 1.0) if len(far) == k else 1.0
+    a, b = (few.select(*by, *(F.col(c).alias(f"{c}_{s}") for c in ("part", "value", "name", "first"))) for s in "ab")
+    if bound < 1:
+        width = -math.log1p(-bound) * 1.001  # room for rounding: the bound is narrow
+        band = lambda v: F.floor(F.ln(v) / width)
+        a = a.withColumn("band", F.explode(F.array(*(band(F.col("value_a")) + d for d in (-1, 0, 1)))))
+        b, on = b.withColumn("band", band(F.col("value_b"))), [*by, "band"]
+    else:
+        on = by
+    close = a.where("first_a").join(b, on).where((F.col("part_a") < F.col("part_b")) & (F.col("name_a") != F.col("name_b")) & (
+        S.relative_difference("value_a", "value_b") <= bound))
+    out = close.select("part_a", "part_b", "value_a", "value_b")
+    a, b = (held.select(*by, *(F.col(c).alias(f"{c}_{s}") for c in ("part", "value", "name", "odd"))) for s in "ab")
+    for x, y in ((a.where("odd_a"), b), (a.where("not odd_a"), b.where("odd_b"))):
+        out = out.unionAll(x.join(y, by).where("part_a < part_b and name_a <> name_b").select(*out.columns))
+    return out
 
 
 def inclusion_probability(k: int, n):

@@ -1,6 +1,7 @@
 """Cases that only show with larger tables or uneven ones: no rows on one side, large counts, many copies."""
 
 import datetime
+import hashlib
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from moiety import catalog
 from moiety.functions import scalar as S
-from moiety.operators import cluster, metrics
+from moiety.operators import cluster, metrics, pairs, review
 
 
 def test_holdout_totals_of_customers_with_both_years(spark, tmp_path):
@@ -47,9 +48,9 @@ def test_groups_of_one_value_are_those_of_all_pairs(spark, threshold):
     r.shuffle(keys)
     parts = spark.createDataFrame([(k, v, f"{keys.index(k):05}") for k, v in prices.items()], "part_index long, v double, stable_key string")
     near = [(a, b, abs(x - y) / max(abs(x), abs(y), 1e-12)) for a, x in prices.items() for b, y in prices.items() if a < b and x is not None and y is not None]
-    pairs = spark.createDataFrame([p for p in near if p[2] <= threshold], "part_a long, part_b long, distance double")
+    listed = spark.createDataFrame([p for p in near if p[2] <= threshold], "part_a long, part_b long, distance double")
     got = cluster.complete_link_values(parts, "v", threshold)
-    assert _grouped(got.collect()) == _grouped(cluster.complete_link(parts, pairs, threshold).collect())
+    assert _grouped(got.collect()) == _grouped(cluster.complete_link(parts, listed, threshold).collect())
     assert cluster.value_violations(got, parts, "v", threshold).first().violations == 0
 
 
@@ -64,3 +65,67 @@ def test_groups_of_many_parts_of_few_prices(spark, tmp_path):
     spark.range(8000).select(F.col("id").alias("p_partkey"), (900 + F.col("id") % 4 / 10).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
     got = catalog.QUERIES["complete_link_groups"](spark, str(tmp_path))
     assert sorted(map(tuple, got.groupBy("group_id").agg(F.count("*"), F.min("part_index")).collect())) == [(1, 4000, 0), (2, 4000, 2)]
+
+
+def _parts(spark, path, rows):
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.mode("overwrite").parquet(
+        f"{path}/part.parquet")
+
+
+def _random_parts(seed, n, odd=()):
+    r = random.Random(seed)
+    price = lambda k: odd[k % len(odd)] if odd and k % 9 == 0 else 900 + r.randrange(40) * r.choice([0.1, 1e-9, 1.0])
+    return [(k, f"name {r.randrange(4)}" if k % 13 else None, f"brand {r.randrange(3)}", r.choice(["x", "y"]), r.randrange(2), price(k)) for k in range(n)]
+
+
+@pytest.mark.parametrize(("n", "odd"), [(30, ()), (300, ()), (300, (None, -3.0, 1e-14, 2e-14))])
+def test_near_misses_are_those_of_all_pairs(spark, tmp_path, n, odd):
+    rows = _random_parts(n, n, odd)
+    _parts(spark, tmp_path, rows)
+    far = lambda x, y: None if x is None or y is None else round(1 - abs(x - y) / max(x, y), 9)
+    both = [(a[0], b[0], far(a[5], b[5])) for a in rows for b in rows if a[0] < b[0] and a[3:5] == b[3:5] and a[1] and b[1] and a[1] != b[1]]
+    want = sorted(both, key=lambda p: (p[2] is None, -(p[2] or 0), p[0], p[1]))[:50]
+    assert [tuple(x) for x in catalog.QUERIES["near_miss_topk"](spark, str(tmp_path)).collect()] == want
+
+
+def test_near_misses_are_not_sought_among_all_pairs(spark):
+    many = spark.range(3000).select("id", F.lit("x").alias("t"), (900 + F.col("id") % 10).cast("double").alias("v"), (F.col("id") % 7).cast("string").alias("name"))
+    assert review.nearest_in_groups(many, "id", ["t"], "v", "name", 5).count() < 5000  # of 3.9 million
+
+
+@pytest.mark.parametrize("odd", [(), (-3.0, 2000.0, -5.0), (None,)])
+def test_data_quality_is_that_of_all_pairs(spark, tmp_path, odd):
+    rows = _random_parts(8, 120, odd)
+    _parts(spark, tmp_path, rows)
+    far = [abs(a[5] - b[5]) / max(a[5], b[5]) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2] and a[5] is not None and b[5] is not None]
+    got = catalog.QUERIES["data_quality"](spark, str(tmp_path)).first()
+    assert (got.part_count, got.least_distance, got.largest_distance) == (120, round(min(far), 9), round(max(far), 9))
+    assert got.invalid_distances == sum(not 0 <= d <= 1 for d in far)
+
+
+def test_extremes_do_not_need_all_pairs(spark):
+    many = spark.range(3000).select("id", F.lit("x").alias("b"), (900 + F.col("id") % 500).cast("double").alias("v"))
+    assert pairs.extreme_pairs(many, "id", "b", "v").count() == 500 + 499 + 1
+    twice = spark.createDataFrame([(1, "x", 5.0), (1, "x", 5.0), (2, "x", 8.0)], "id long, b string, v double")
+    assert {tuple(r) for r in pairs.extreme_pairs(twice, "id", "b", "v").collect()} == {(5.0, 8.0)}
+
+
+@pytest.mark.parametrize("n", [4, 500])
+def test_sampled_pairs_are_the_first_digests_of_all(spark, tmp_path, n):
+    rows = _random_parts(2, n)
+    _parts(spark, tmp_path, rows)
+    key = lambda a, b: hashlib.sha256(f"review:{a}:{b}".encode()).hexdigest()
+    both = [(a[0], b[0], key(a[0], b[0])) for a in rows for b in rows if a[0] < b[0] and (a[2], a[4]) == (b[2], b[4])]
+    got = catalog.QUERIES["hash_sample_pairs"](spark, str(tmp_path)).collect()
+    assert [tuple(r)[:3] for r in got] == sorted(both, key=lambda p: p[2])[:40]
+    assert {r.inclusion_probability for r in got} <= {round(min(1, 40 / max(1, len(both))), 9)}
+
+
+def test_lists_make_every_pair_once(spark):
+    df = spark.createDataFrame([(k, k % 2) for k in range(50)] + [(None, 1), (3, 1)], "id long, g long")
+    lists = pairs.list_pairs(pairs.key_lists(df, "id", ["g"], size=4), ["g"], deal=3)
+    got = sorted(map(tuple, pairs.expanded(lists, "a", "b", ["g"]).collect()))
+    keys = [[k for k in range(50) if k % 2 == 0], sorted([k for k in range(50) if k % 2] + [3])]
+    assert got == sorted((a, b, g) for g in (0, 1) for a in keys[g] for b in keys[g] if a < b)
+    assert pairs.pair_count(df, "id", ["g"]).first().n == len(got)
+    assert lists.where("size(keys_a) > 4 or size(keys_b) > 4").count() == 0
