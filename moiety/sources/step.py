@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from moiety.functions import scalar as S
 from moiety.functions import vocabulary as V
 from moiety.operators.graph import label_histogram, refine_labels
+from moiety.sources.scratch import cut
 
 
 def read_step(spark: SparkSession, path: str) -> DataFrame:
@@ -54,19 +55,20 @@ def _walk(ids: list, kinds: list, refs: list) -> tuple[int, set]:
     return root, seen
 
 
-def reachable(ents: DataFrame) -> DataFrame:
-    """Entities that their part's first solid reaches, with ``root``; one part's entity graph is walked in one task."""
-    kind = dict(ents.dtypes)["part"]
+def _graphs(ents: DataFrame) -> DataFrame:
+    """(part, e): a part's entities (id, kind, refs) by id, one row a part; bodies stay where they are."""
+    return ents.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("id", "kind", "refs"))).alias("e"))
+
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        root, seen = _walk(rows.id.tolist(), rows.kind.tolist(), rows.refs.tolist())
-        kept = rows[rows.id.isin(seen)].copy()
-        kept["root"] = root if root is not None else -1
-        return kept[["part", "id", "root"]]
+def reachable(ents: DataFrame) -> DataFrame:
+    """Entities that their part's first solid reaches, with ``root``; one part's entity graph is walked in one row, many parts in a batch."""
+    @F.pandas_udf("struct<root:int,ids:array<int>>")
+    def walk(ids: pd.Series, kinds: pd.Series, refs: pd.Series) -> pd.DataFrame:
+        found = [_walk(i.tolist(), k.tolist(), r) for i, k, r in zip(ids, kinds, refs, strict=True)]
+        return pd.DataFrame({"root": [-1 if root is None else root for root, _ in found], "ids": [sorted(seen) for _, seen in found]})
 
-    ids = ents.select("part", "id", "kind", "refs").groupBy("part").applyInPandas(walk, f"part {kind}, id int, root int")
-    return ents.join(ids, ["part", "id"])
+    walked = _graphs(ents).select("part", walk("e.id", "e.kind", "e.refs").alias("w"))
+    return ents.join(walked.select("part", F.col("w.root").alias("root"), F.explode("w.ids").alias("id")), ["part", "id"]).select(*ents.columns, "root")
 
 
 def solid_labels(ents: DataFrame) -> DataFrame:
@@ -109,31 +111,36 @@ def face_surfaces(ents: DataFrame) -> DataFrame:
         F.coalesce("s.kind", F.lit("UNKNOWN_SURFACE")).alias("surface"), F.coalesce("s.body", F.lit("")).alias("body"))
 
 
+def _unwrapped(ids, kinds, refs) -> list[tuple[int, int | None]]:
+    """(edge, id of its curve or None) of each edge curve of a part."""
+    base, named = set(V.BASE_CURVES), set(V.CURVES)
+    kind, refs_of, out = dict(zip(ids, kinds, strict=True)), dict(zip(ids, refs, strict=True)), []
+    for edge in (i for i, k in kind.items() if k == "EDGE_CURVE"):
+        left, seen, chosen, wrapper = refs_of[edge].tolist()[::-1], set(), None, None
+        while left and chosen is None:
+            i = left.pop()
+            if i in seen or i not in kind:
+                continue
+            seen.add(i)
+            if kind[i] in base:
+                chosen = i
+            elif kind[i] in named or "CURVE" in kind[i]:
+                wrapper = i if wrapper is None else wrapper
+                left.extend(refs_of[i].tolist()[::-1])
+        out.append((edge, chosen if chosen is not None else wrapper))
+    return out
+
+
 def edge_curves(ents: DataFrame) -> DataFrame:
     """(part, edge, curve, body): each edge's curve, unwrapped through curves of curves, first base curve in depth-first order."""
-    kind = dict(ents.dtypes)["part"]
-    base, named = set(V.BASE_CURVES), set(V.CURVES)
+    @F.pandas_udf("array<struct<edge:int,id:int>>")
+    def unwrap(ids: pd.Series, kinds: pd.Series, refs: pd.Series) -> pd.Series:
+        return pd.Series([[{"edge": e, "id": c} for e, c in _unwrapped(i.tolist(), k.tolist(), r)] for i, k, r in zip(ids, kinds, refs, strict=True)],
+            dtype=object)
 
-    def unwrap(rows: pd.DataFrame) -> pd.DataFrame:
-        kinds, refs, bodies = (dict(zip(rows.id, rows[c], strict=True)) for c in ("kind", "refs", "body"))
-        out = []
-        for edge in (i for i, k in kinds.items() if k == "EDGE_CURVE"):
-            left, seen, chosen, wrapper = list(refs[edge])[::-1], set(), None, None
-            while left and chosen is None:
-                i = left.pop()
-                if i in seen or i not in kinds:
-                    continue
-                seen.add(i)
-                if kinds[i] in base:
-                    chosen = i
-                elif kinds[i] in named or "CURVE" in kinds[i]:
-                    wrapper = i if wrapper is None else wrapper
-                    left.extend(list(refs[i])[::-1])
-            i = chosen if chosen is not None else wrapper
-            out.append((rows.part.iloc[0], edge, kinds[i] if i is not None else "UNKNOWN_CURVE", bodies[i] if i is not None else ""))
-        return pd.DataFrame(out, columns=["part", "edge", "curve", "body"])
-
-    return ents.select("part", "id", "kind", "body", "refs").groupBy("part").applyInPandas(unwrap, f"part {kind}, edge int, curve string, body string")
+    found = _graphs(ents).select("part", F.explode(unwrap("e.id", "e.kind", "e.refs")).alias("c")).select("part", "c.edge", "c.id")
+    return found.join(ents.select("part", "id", "kind", "body"), ["part", "id"], "left").select("part", "edge",
+        F.coalesce("kind", F.lit("UNKNOWN_CURVE")).alias("curve"), F.coalesce("body", F.lit("")).alias("body"))
 
 
 def parameter_token(kind, body, scale):
@@ -187,28 +194,29 @@ def _as_map(counted: DataFrame, key: str, name: str) -> DataFrame:
 def descriptors(texts: DataFrame, scales: DataFrame | None = None, rounds: int = 3) -> DataFrame:
     """One descriptor a part: counts, surface, curve and label histograms, distance histogram, graph figures.
 
-    ``scales`` (part, scale) divides lengths in family labels; 1 without it."""
-    ents = reachable(entities(texts))
+    ``scales`` (part, scale) divides lengths in family labels; 1 without it.  What several figures are drawn from is written once, as
+    a plan that holds it at each place would parse and walk the texts as many times."""
+    ents = cut(reachable(cut(entities(texts))))
     scaled = ents.select("part").distinct()
     scaled = scaled.join(scales, "part", "left").select("part",
         F.coalesce("scale", F.lit(1.0)).alias("scale")) if scales is not None else scaled.withColumn("scale", F.lit(1.0))
-    uses = face_edges(ents)
+    uses = cut(face_edges(ents))
     surfaces = face_surfaces(ents).join(scaled, "part")
     curves = edge_curves(ents).join(scaled, "part")
-    curves = curves.select("part", "edge", "curve", F.concat_ws("|p=", "curve", parameter_token("curve", "body", 1.0)).alias("strict"),
-        F.concat_ws("|p=", "curve", parameter_token("curve", "body", "scale")).alias("family"))
+    curves = cut(curves.select("part", "edge", "curve", F.concat_ws("|p=", "curve", parameter_token("curve", "body", 1.0)).alias("strict"),
+        F.concat_ws("|p=", "curve", parameter_token("curve", "body", "scale")).alias("family")))
     bounds = _refs(ents, ("ADVANCED_FACE",)).join(_kinds(ents, "dst", ("FACE_BOUND", "FACE_OUTER_BOUND")), ["part", "dst"]).groupBy("part",
         F.col("src").alias("face")).agg(F.count("*").alias("bounds"))
     degree = uses.groupBy("part", "face").agg(F.count_distinct("edge").alias("degree"))
     nodes = surfaces.join(bounds, ["part", "face"], "left").join(degree, ["part", "face"], "left")
     base = F.concat(F.col("surface"), F.lit("|b="), F.least(F.coalesce("bounds", F.lit(0)), F.lit(4)).cast("string"), F.lit("|d="),
         F.least(F.coalesce("degree", F.lit(0)), F.lit(12)).cast("string"), F.lit("|p="))
-    nodes = nodes.select("part", "face", "surface", F.concat(base, parameter_token("surface", "body", 1.0)).alias("strict"),
-        F.concat(base, parameter_token("surface", "body", "scale")).alias("family"))
+    nodes = cut(nodes.select("part", "face", "surface", F.concat(base, parameter_token("surface", "body", 1.0)).alias("strict"),
+        F.concat(base, parameter_token("surface", "body", "scale")).alias("family")))
     shared = adjacency(uses)
     sides = shared.withColumn("a", F.explode("faces")).withColumn("b",
         F.explode("faces")).where((F.col("a") != F.col("b")) | ((F.size("faces") == 1) & (F.col("uses") > 1)))
-    sides = sides.join(curves, ["part", "edge"])
+    sides = cut(sides.join(curves, ["part", "edge"]))
     seam = F.when(F.col("a") == F.col("b"), F.lit("|SEAM")).otherwise(F.lit(""))
     histograms = []
     for mode, name in (("strict", "wl"), ("family", "wl_family")):
@@ -216,7 +224,7 @@ def descriptors(texts: DataFrame, scales: DataFrame | None = None, rounds: int =
         labels = refine_labels(nodes.select(key("face").alias("node"), F.col(mode).alias("label")),
             sides.select(F.struct("part", F.col("a").alias("face")).alias("node"),
             F.struct("part", F.col("b").alias("face")).alias("other"), F.concat(F.col(mode), seam).alias("kind")), rounds)
-        histograms.append(label_histogram(labels.withColumn("part", F.col("node.part")), "part").withColumnRenamed("histogram", name))
+        histograms.append(cut(label_histogram(labels.withColumn("part", F.col("node.part")), "part").withColumnRenamed("histogram", name)))
     counts = ents.where(F.col("kind").isin(*V.COUNTED_KINDS)).groupBy("part", "kind").agg(F.count("*").alias("n"))
     every = scaled.select("part", F.explode(F.array(*(F.lit(k) for k in V.COUNTED_KINDS))).alias("kind")).join(counts, ["part", "kind"],
         "left").na.fill(0, ["n"])
