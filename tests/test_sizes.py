@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from moiety import catalog
 from moiety.functions import scalar as S
 from moiety.operators import cluster, metrics, pairs, review
+from moiety.queries import distances
 
 
 def test_holdout_totals_of_customers_with_both_years(spark, tmp_path):
@@ -129,3 +130,48 @@ def test_lists_make_every_pair_once(spark):
     assert got == sorted((a, b, g) for g in (0, 1) for a in keys[g] for b in keys[g] if a < b)
     assert pairs.pair_count(df, "id", ["g"]).first().n == len(got)
     assert lists.where("size(keys_a) > 4 or size(keys_b) > 4").count() == 0
+
+
+def _same_as_sql(spark, path, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    got = catalog.QUERIES[name](spark, str(path)).select("part_a", "part_b", "distance")
+    want = con.execute(f"SELECT part_a, part_b, distance FROM ({catalog.ORACLES[name]})").fetchall()
+    order = lambda rows: sorted(map(tuple, rows), key=lambda r: (r[0], r[1], r[2] is None, r[2]))
+    got, want = order(got.collect()), order(want)
+    assert len(want) > 1000 and [r[:2] for r in got] == [r[:2] for r in want]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1.1e-6)
+
+
+def _lines(spark, path, lines):
+    spark.createDataFrame(lines, "l_partkey long, l_returnflag string, l_quantity double, l_extendedprice double").repartition(5).write.parquet(f"{path}/lineitem.parquet")
+
+
+def _bought(spark, path, copies, prices):
+    """Parts in interleaved copies with lines of all kinds: no flag, another flag, no price, fractions of a cent; one key stands in three rows."""
+    r = random.Random(11)
+    kinds = [(f"brand {k % 2}" if k % 7 else None, r.choice(prices)) for k in range(24)]
+    lines = {k: [(r.choice(["A", "N", "R", "R", "X", None]), float(r.randrange(1, 50)), r.choice([None, 10.1, 7.07, 1 / 3, 1234.56])) for _ in range(1 + k % 9)] for k in range(24)}
+    parts = [(k + c * 24, "x", brand, "x", 1, price) for c in range(copies) for k, (brand, price) in enumerate(kinds)] + [(30, "x", "brand 0", "x", 1, 905.0)] * 2
+    _parts(spark, path, parts)
+    _lines(spark, path, [(k + c * 24, *x) for c in range(copies) for k, rows in lines.items() for x in r.sample(rows, len(rows))])
+
+
+@pytest.mark.parametrize("copies, prices", [(8, (900.0, 900.5, 905.0, 1.0)), (8, (905.0, None, 0.0, 1e-12, 9.99e-13, 1.001e-12, -5.0, 905.3))])
+def test_weighted_distances_within_a_brand_are_those_of_sql(spark, tmp_path, copies, prices):
+    _bought(spark, tmp_path, copies, prices)
+    _same_as_sql(spark, tmp_path, "weighted_distance_family")
+
+
+def test_weighted_distances_of_copies_are_worked_out_once(spark, tmp_path):
+    """Lines of copies in another order, in tenths and cents that doubles do not hold: their sums are equal all the same."""
+    _parts(spark, tmp_path, [(k, "x", "b", "x", 1, 900.0 + k % 10) for k in range(400)])
+    r = random.Random(2)
+    lines = {k: [r.randrange(100000) / 100 for _ in range(30)] for k in range(10)}
+    _lines(spark, tmp_path, [(k, "N", 1.1, x) for k in range(400) for x in r.sample(lines[k % 10], 30)])
+    lists = distances._part_lists(spark, str(tmp_path), ["p_brand"])
+    assert [len(x.keys) for x in lists.select("keys").collect()] == [40] * 10
+    assert pairs.met_lists(lists, ["p_brand"]).count() == 55  # for 79,800 pairs of parts
