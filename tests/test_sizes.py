@@ -175,3 +175,15 @@ def test_weighted_distances_of_copies_are_worked_out_once(spark, tmp_path):
     lists = distances._part_lists(spark, str(tmp_path), ["p_brand"])
     assert [len(x.keys) for x in lists.select("keys").collect()] == [40] * 10
     assert pairs.met_lists(lists, ["p_brand"]).count() == 55  # for 79,800 pairs of parts
+
+
+@pytest.mark.parametrize("copies, prices", [(12, (900.0, 900.5, 901.8, 1.0)), (8, (905.0, None, 0.0, 1e-12, 9.99e-13, 1.001e-12, -5.0, 905.3, float("inf"), float("nan")))])
+def test_weighted_distances_within_the_gate_are_those_of_sql(spark, tmp_path, copies, prices):
+    _bought(spark, tmp_path, copies, prices)
+    _same_as_sql(spark, tmp_path, "weighted_distance_strict")
+
+
+def test_lists_within_a_band_meet_once(spark):
+    held = spark.range(400).select("id", (900.0 + F.col("id") % 10).alias("v"))
+    met = pairs.met_lists(pairs.key_lists(held, "id", ["v"]), [], ("v", 0.002))
+    assert sorted((r.v_a, r.v_b) for r in met.collect()) == [(900.0 + a, 900.0 + b) for a in range(10) for b in range(a, min(a + 2, 10))]
