@@ -28,18 +28,20 @@ from moiety.llm import common as C
 from moiety.llm import tokens
 
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)  #: bytes of the four ranks of a control byte
+IDLE_WORDS = 250_000  #: that a worker keeps between tasks; a task of 11 MB meets about as many that it has not seen
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes)."""
-    ranks = ranks.astype(np.uint32)
-    more = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    wide, more = int(ranks.max(initial=0)) > 0xFFFF, (ranks > 0xFF).astype(np.uint8)
+    if wide:
+        more = more + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     codes[:len(ranks)] = more
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), raw[np.arange(4) <= more[:, None]].tobytes()
+    raw = ranks.astype("<u4" if wide else "<u2").view(np.uint8).reshape(-1, 4 if wide else 2)
+    return control.tobytes(), raw[np.arange(raw.shape[1]) <= more[:, None]].tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -48,7 +50,7 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     at = np.cumsum(sizes) - sizes
     raw = np.append(np.frombuffer(data, np.uint8), np.zeros(3, np.uint8))
     out = raw[at].astype(np.uint32)
-    for k in (1, 2, 3):
+    for k in range(1, int(sizes.max(initial=1))):
         far = np.flatnonzero(sizes > k)
         out[far] |= raw[at[far] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
@@ -62,7 +64,7 @@ def _tokenise(batches, path, end_id, size, wide):
     """Blocks of ids in order, and at the end how often this partition has each id."""
     part, seq, before, counts = TaskContext.get().partitionId(), 0, 0, np.zeros(size, np.int64)
     names = [x.split()[0] for x in _RAW.split(", ")]
-    for kept, ids, n in tokens.encoded_rows(batches, path, end_id, ["doc_id"]):
+    for kept, ids, n in tokens.encoded_rows(batches, path, end_id, ["doc_id"], idle=IDLE_WORDS):
         counts += np.bincount(ids, minlength=size)
         row = [part, seq, np.array(kept["doc_id"], np.int64).tobytes(), n.astype(np.int64).tobytes(),
             ids.astype(np.uint32 if wide else np.uint16).tobytes(), before, len(ids), None, None, None]

@@ -21,7 +21,7 @@ _STOP = ".,;:!?"
 
 def _letters(word: str) -> bool:
     """Letters alone, also after the vocabulary's normaliser, which splits some letters into letter and mark."""
-    return word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha()
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
 
 class _Index(dict):
@@ -58,10 +58,10 @@ class WordEncoder:
         self.index, self.pool, self.used = _Index(), np.zeros(1 << 16, np.uint32), 0
         self.at, self.n, self.met, self.odd = (np.zeros(1 << 16, np.int64) for _ in range(4))
 
-    def rest(self):
+    def rest(self, most: int = IDLE_WORDS):
         """Between tasks only the most frequent words are kept: an idle worker's memory counts too."""
-        if len(self.index) > IDLE_WORDS:
-            self._shrink(IDLE_WORDS)
+        if len(self.index) > most:
+            self._shrink(most)
         C.trim()
 
     def _shrink(self, most: int):
@@ -145,8 +145,10 @@ class WordEncoder:
 
     @staticmethod
     def split(text: bytes) -> list[bytes]:
-        # the vocabulary is lower case; ASCII can be lowered here, which leaves fewer words to ask for
-        return (text.lower() if text.isascii() and b"<|" not in text else text).split()
+        # the vocabulary is lower case; A-Z can be lowered here, which leaves fewer words to ask for, unless a mark of U+0300 to U+037F (those
+        # that compose with a letter A-Z, and not always alike with its small letter) or a special token's text may follow
+        plain = b"<|" not in text and (text.isascii() or b"\xcc" not in text and b"\xcd" not in text)
+        return (text.lower() if plain else text).split()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         flat, each, _ = self.encode_words(texts)
@@ -178,8 +180,10 @@ def encoder(path: str) -> WordEncoder:
     return cache[key]
 
 
-def encoded_rows(batches, path: str, end_id: int, columns: list[str], limit: int = 1 << 21):
-    """For lots of rows of about ``limit`` bytes: their columns (lists), ids with ``end_id`` after each document, and lengths."""
+def encoded_rows(batches, path: str, end_id: int, columns: list[str], limit: int = 1 << 21, idle: int = IDLE_WORDS):
+    """For lots of rows of about ``limit`` bytes: their columns (lists), ids with ``end_id`` after each document, and lengths.
+
+    ``idle`` words are kept for the worker's next task."""
     words = encoder(path)
     for batch in batches:
         text = batch.column("text")
@@ -189,4 +193,4 @@ def encoded_rows(batches, path: str, end_id: int, columns: list[str], limit: int
             flat, n = words.encode([data[a:b].tobytes() for a, b in zip(offsets[i:j].tolist(), offsets[i + 1:j + 1].tolist(), strict=True)])
             ids = np.insert(flat, np.cumsum(n), end_id).astype(np.uint32)
             yield {c: v[i:j] for c, v in kept.items()}, ids, n + 1
-    words.rest()
+    words.rest(idle)

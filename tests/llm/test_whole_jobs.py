@@ -1,5 +1,6 @@
 """Cases in which operators used to do less than their whole job."""
 
+import string
 import unicodedata
 
 import numpy as np
@@ -157,3 +158,22 @@ def test_labels_of_any_type_copies_and_repeated_ids(spark, kind, labels, piece):
     got = got.collect()
     assert len(got) == len(rows) and max(n.values()) > 3
     assert {x.vec_id: x.n_links for x in got} == n and {x.vec_id: x.component_id for x in got} == root
+
+
+def test_words_of_texts_beyond_ascii_are_asked_for_once_in_either_case():
+    own = tokens.WordEncoder(VOCABULARY)
+    texts = ["Élan Der DER der Straße STRASSE strasse", "der élan Élan", "H̱er ẖer T̈ ẗ Å å İ İ der DER", "É <|ENDOFTEXT|> <|endoftext|>Der"]
+    want = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    flat, n = own.encode([t.encode() for t in texts[:1]])
+    assert flat.tolist() == want[0] and set(own.index) == {"Élan".encode(), b"der", "straße".encode(), b"strasse"}
+    flat, n = own.encode([t.encode() for t in texts])
+    assert flat.tolist() == sum(want, []) and n.tolist() == [len(x) for x in want]
+
+
+def test_lowered_letters_give_the_ids_of_their_capitals_beside_every_mark():
+    own = tokens.WordEncoder(VOCABULARY)
+    marks = [chr(c) for c in range(0x80, 0x3100) if unicodedata.combining(chr(c))]
+    texts = [f"é {' '.join(f'x{c}{m}y' for c in string.ascii_uppercase)}" for m in marks]
+    flat, n = own.encode([t.encode() for t in texts])
+    want = [e.ids for e in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert n.tolist() == [len(x) for x in want] and flat.tolist() == sum(want, [])
