@@ -192,14 +192,25 @@ def _as_map(counted: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def descriptors(texts: DataFrame, scales: DataFrame | None = None, rounds: int = 3) -> DataFrame:
-    """One descriptor a part: counts, surface, curve and label histograms, distance histogram, graph figures.
-
-    ``scales`` (part, scale) divides lengths in family labels; 1 without it.  What several figures are drawn from is written once, as
-    a plan that holds it at each place would parse and walk the texts as many times."""
+    """One descriptor a row of ``texts`` (part, text): counts, surface, curve and label histograms, distance histogram, graph figures.
+
+    ``scales`` (part, scale) divides lengths in family labels; 1 without it.  Rows of equal text and scale are described once, under the
+    digest of both; texts are read twice for that, as copies of them would take more disk than their digests."""
+    held = texts.where("text is not null")
+    held = held.join(scales, "part", "left") if scales is not None else held.withColumn("scale", F.lit(1.0))
+    held = held.select("part", "text", F.coalesce("scale", F.lit(1.0)).cast("double").alias("scale"))
+    digest = F.substring(F.unhex(F.sha2(F.concat_ws("\u0000", F.col("scale").cast("string"), "text"), 256)), 1, 16)
+    held = held.withColumn("alike", digest)
+    kinds = cut(held.groupBy("alike").agg(F.first("text").alias("text"), F.first("scale").alias("scale")).withColumnRenamed("alike", "part"))
+    out = _described(kinds.select("part", "text"), kinds.select("part", "scale"), rounds).withColumnRenamed("part", "alike")
+    return held.select("part", "alike").join(out, "alike").drop("alike")
+
+
+def _described(texts: DataFrame, scales: DataFrame, rounds: int) -> DataFrame:
+    """``descriptors`` of texts that differ.  What several figures are drawn from is written once, as a plan that holds it at each place would
+    parse and walk the texts as many times."""
     ents = cut(reachable(cut(entities(texts))))
-    scaled = ents.select("part").distinct()
-    scaled = scaled.join(scales, "part", "left").select("part",
-        F.coalesce("scale", F.lit(1.0)).alias("scale")) if scales is not None else scaled.withColumn("scale", F.lit(1.0))
+    scaled = ents.select("part").distinct().join(scales, "part")
     uses = cut(face_edges(ents))
     surfaces = face_surfaces(ents).join(scaled, "part")
     curves = edge_curves(ents).join(scaled, "part")

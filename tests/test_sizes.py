@@ -224,3 +224,16 @@ def _same_tables(got, want, columns):
     counted = f"SELECT {', '.join(by)}, count(*), sum({a}), sum({b}), sum({a} * {b}) FROM %s GROUP BY ALL"
     got.createOrReplaceTempView("got_")
     assert {tuple(r) for r in got.sparkSession.sql(counted % "got_").collect()} == set(want.query("want_", counted % "want_").fetchall())
+
+
+def test_equal_texts_are_described_once(spark, tmp_path, monkeypatch):
+    """Parts of few names, sizes and remainders by 7; a key that stands in two rows has a row of its own for each, as in SQL."""
+    from moiety.sources import step
+
+    _parts(spark, tmp_path, [(7 * k, f"name {k % 2}", "b", "t", 3, 1.0) for k in range(40)] + [(7, "another", "b", "t", 4, 1.0), (10**10 + 1, "name 0", "b", "t", 3, 1.0)])
+    parsed, entities = [], step.entities
+    monkeypatch.setattr(step, "entities", lambda texts: (parsed.append(texts.count()), entities(texts))[1])
+    got = catalog.QUERIES["step_descriptor"](spark, str(tmp_path)).collect()
+    want = _sql(tmp_path, "step_descriptor", ["part"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 42
+    assert parsed == [4]
