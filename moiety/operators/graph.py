@@ -71,17 +71,19 @@ def connected_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     return vertices.join(component_stars(edges, small), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def refine_labels(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
+def refine_labels(nodes: DataFrame, edges: DataFrame, rounds: int, settle: bool = False) -> DataFrame:
     """Weisfeiler-Lehman labels (level, node, label) of levels 0 to ``rounds``.
 
     ``nodes`` (node, label), ``edges`` (node, other, kind) in both directions.  A round hashes a node's label with its
-    sorted neighbours' labels and edge kinds.  Rounds are unrolled in one plan; only equality of labels has meaning."""
+    sorted neighbours' labels and edge kinds.  Rounds are unrolled in one plan, in which each holds all before it, or with ``settle`` end in a
+    table each, which keeps the driver's plans small; only equality of labels has meaning."""
     now = nodes.select("node", F.sha2(F.concat(F.lit("0|"), "label"), 256).alias("label"))
     out = now.select(F.lit(0).alias("level"), "node", "label")
     for level in range(1, rounds + 1):
         around = edges.join(now.select(F.col("node").alias("other"), F.col("label").alias("theirs")), "other")
         joined = around.groupBy("node").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "kind", "theirs"))), "|").alias("around"))
         now = now.join(joined, "node", "left").select("node", F.sha2(F.concat("label", F.lit("|"), F.coalesce("around", F.lit(""))), 256).alias("label"))
+        now = cut(now) if settle else now
         out = out.unionAll(now.select(F.lit(level), "node", "label"))
     return out
 

@@ -234,7 +234,7 @@ def _described(texts: DataFrame, scales: DataFrame, rounds: int) -> DataFrame:
         key = lambda c: F.struct(F.col("part"), F.col(c))
         labels = refine_labels(nodes.select(key("face").alias("node"), F.col(mode).alias("label")),
             sides.select(F.struct("part", F.col("a").alias("face")).alias("node"),
-            F.struct("part", F.col("b").alias("face")).alias("other"), F.concat(F.col(mode), seam).alias("kind")), rounds)
+            F.struct("part", F.col("b").alias("face")).alias("other"), F.concat(F.col(mode), seam).alias("kind")), rounds, settle=True)
         histograms.append(cut(label_histogram(labels.withColumn("part", F.col("node.part")), "part").withColumnRenamed("histogram", name)))
     counts = ents.where(F.col("kind").isin(*V.COUNTED_KINDS)).groupBy("part", "kind").agg(F.count("*").alias("n"))
     every = scaled.select("part", F.explode(F.array(*(F.lit(k) for k in V.COUNTED_KINDS))).alias("kind")).join(counts, ["part", "kind"],
